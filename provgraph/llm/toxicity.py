@@ -88,7 +88,7 @@ def _present_buckets(chosen):
     def run(batches):
         at = {b: i for i, b in enumerate(chosen.value)}
         for pdf in batches:
-            yield pd.DataFrame({"x": [_present(t, at) for t in pdf["text"]], "y": pdf["toxic"].astype(float)})
+            yield pd.DataFrame({"x": [[at[b] for b in _present(t, at)] for t in pdf["text"]], "y": pdf["toxic"].astype(float)})
 
     return run
 
