@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, packing, sstable, toxicity
+from . import decontamination, hmm, packing, sstable, toxicity
 from .common import remainder, table
 
 
@@ -24,10 +24,14 @@ def op3_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER)))
 
 
+def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(table(spark, sf_dir, "documents"), public_tokenizers.path(sstable.TOKENIZER))
     return sstable.digest(sstable.read(spark, manifest))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op8_sstable": op8_sstable}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op6_edit_decontamination": op6_edit_decontamination, "op8_sstable": op8_sstable}
 ORACLES: dict[str, str] = {}
