@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, minhash, packing, sstable, toxicity
+from . import decontamination, embedding_dedup, hmm, minhash, packing, sstable, toxicity
 from .common import remainder, table
 
 
@@ -28,6 +28,10 @@ def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write(table(spark, sf_dir, "documents"), public_tokenizers.path(sstable.TOKENIZER))
     return sstable.digest(sstable.read(spark, manifest))
@@ -37,5 +41,5 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op6_edit_decontamination": op6_edit_decontamination, "op8_sstable": op8_sstable, "op10_dart_minhash": op10_dart_minhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op6_edit_decontamination": op6_edit_decontamination, "op7_projection_dedup": op7_projection_dedup, "op8_sstable": op8_sstable, "op10_dart_minhash": op10_dart_minhash}
 ORACLES: dict[str, str] = {}
