@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, hmm, minhash, packing, sstable, toxicity
+from . import decontamination, embedding_dedup, hmm, minhash, packing, pii, sstable, toxicity
 from .common import remainder, table
 
 
@@ -37,9 +37,13 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(sstable.read(spark, manifest))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op6_edit_decontamination": op6_edit_decontamination, "op7_projection_dedup": op7_projection_dedup, "op8_sstable": op8_sstable, "op10_dart_minhash": op10_dart_minhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op6_edit_decontamination": op6_edit_decontamination, "op7_projection_dedup": op7_projection_dedup, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_dart_minhash": op10_dart_minhash}
 ORACLES: dict[str, str] = {}
