@@ -1,26 +1,57 @@
-"""Whole-text encoding with a public tokenizer file, memoised by white-space chunk.
+"""Whole-text encoding with a public tokenizer file, memoised by white-space chunk and by piece.
 
-The encoders used here split text before merging, never across the boundary between a
-visible character and the white space after it, so a text's ids are the ids of its chunks
-in order. Chunks repeat, so each worker encodes a chunk once and joins bytes afterwards.
-Texts with unusual white space or control characters are encoded whole.
+The encoders used here cut a text into pieces with a pattern before merging, and merge within a
+piece only; a piece never crosses from a visible character to the white space after it. So a
+text's ids are those of its white-space chunks in order, and a chunk's those of its pieces.
+Chunks and pieces repeat: each worker looks up chunks, cuts new ones with the encoder's own
+pattern, and lets the library encode each new piece once. Texts with characters outside the plain
+range (other white space, control characters, marks that normalisation would join) go to the
+library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import regex
 
-ODD = re.compile(r"[^\S \n\t\r]|[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]")
+#: Anything but printable ASCII, space, newline, tab, return and letters that normalisation and lower-casing take one by one.
+OUTSIDE = re.compile("[^ -~\n\t\r\xa1-įı-ɏ]")
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CACHE_ENTRIES = 250_000
-CACHED_CHARS = 64
+CHUNKS, PIECES = 400_000, 400_000
+LONGEST = 64
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Memo(dict):
+    """A dictionary that makes what it lacks, and starts anew when full."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+        return value
+
+
+def _split_pattern(part: dict | None) -> str | None:
+    """The pattern of the encoder's split step; None if it has another kind."""
+    for p in (part or {}).get("pretokenizers", [part or {}]):
+        if p.get("type") == "Split":
+            return p["pattern"].get("Regex")
+        if p.get("type") == "ByteLevel" and p.get("use_regex", True) and not p.get("add_prefix_space"):
+            return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return None
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,28 +59,28 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        normalizer = json.dumps(spec["normalizer"])
+        self.lower = '"Lowercase"' in normalizer and "\\\\s+" in normalizer  # white space only separates, case is dropped
+        pattern = _split_pattern(spec["pre_tokenizer"])
+        self.pattern = regex.compile(pattern) if pattern else None
+        self.pieces = _Memo(self._whole, PIECES)
+        self.chunks = _Memo(self._chunk, CHUNKS)
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.pieces[p] for p in self.pattern.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if ODD.search(text):
-            return self._encode([text])[0]
-        chunks = CHUNK.findall(text)
-        cache = self.cache
-        missing = [c for c in set(chunks) if c not in cache]
-        if not missing:
-            return b"".join([cache[c] for c in chunks])
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = list(set(chunks))
-        fresh = dict(zip(missing, self._encode(missing)))
-        cache.update((c, b) for c, b in fresh.items() if len(c) <= CACHED_CHARS)
-        return b"".join([cache[c] if c in cache else fresh[c] for c in chunks])
+        if self.pattern is None or OUTSIDE.search(text):
+            return self._whole(text)
+        chunks = self.chunks
+        return b"".join([chunks[c] for c in (text.lower().split() if self.lower else CHUNK.findall(text))])
 
 
 def encoder(path: str) -> Encoder:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -140,35 +141,41 @@ def _present(text: str, at: dict) -> list[int]:
     return [b for b in buckets(text, _Wanted(at)) if b in at]
 
 
+def _scorer(model):
+    """A function from texts to scores."""
+    chosen, bias, linear, factors, flat = model
+    at = {b: i for i, b in enumerate(chosen)}
+    known: dict[str, tuple[int, ...]] = {}  # a word's buckets that matter
+    wanted = _Wanted(at)
+
+    def one(text: str) -> float:
+        if linear is None:
+            return flat
+        words = WORD.findall(text.lower())
+        counts: dict[int, int] = {}
+        for w in words:
+            found = known.get(w)
+            if found is None:
+                if len(known) > CACHE:
+                    known.clear()
+                found = known[w] = tuple(b for b in (_hash("w " + w), *(_hash("s " + w[:k]) for k in STARTS if len(w) >= k)) if b in wanted)
+            for b in found:
+                counts[b] = counts.get(b, 0) + 1
+        seen = set(counts) | {(b * 2654435761 + 1) % BUCKETS for b, n in counts.items() if n >= REPEATS} | {_hash(f"length {len(words).bit_length()}")}
+        i = [at[b] for b in seen if b in at]
+        v = factors[i]
+        s = v.sum(0)
+        m = bias + linear[i].sum() + 0.5 * float((s * s - (v * v).sum(0)).sum())
+        return float(1 / (1 + np.exp(-np.clip(m, -500, 500))))
+
+    return lambda texts: np.array([one(t) for t in texts], dtype=float)
+
+
 def _score(sent):
     def run(batches):
-        chosen, bias, linear, factors, flat = sent.value
-        at = {b: i for i, b in enumerate(chosen)}
-        known: dict[str, tuple[int, ...]] = {}  # a word's buckets that matter
-        wanted = _Wanted(at)
+        score_of = _scorer(sent.value)
         for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                if linear is None:
-                    out.append(flat)
-                    continue
-                words = WORD.findall(t.lower())
-                counts: dict[int, int] = {}
-                for w in words:
-                    found = known.get(w)
-                    if found is None:
-                        if len(known) > CACHE:
-                            known.clear()
-                        found = known[w] = tuple(b for b in (_hash("w " + w), *(_hash("s " + w[:k]) for k in STARTS if len(w) >= k)) if b in wanted)
-                    for b in found:
-                        counts[b] = counts.get(b, 0) + 1
-                seen = set(counts) | {(b * 2654435761 + 1) % BUCKETS for b, n in counts.items() if n >= REPEATS} | {_hash(f"length {len(words).bit_length()}")}
-                i = [at[b] for b in seen if b in at]
-                v = factors[i]
-                s = v.sum(0)
-                m = bias + linear[i].sum() + 0.5 * float((s * s - (v * v).sum(0)).sum())
-                out.append(1 / (1 + np.exp(-np.clip(m, -500, 500))))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": np.array(out, dtype=float)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score_of(pdf["text"])})
 
     return run
 
@@ -206,3 +213,16 @@ def score(docs: DataFrame, labels: DataFrame, held_out, may_train) -> DataFrame:
     kind = d.schema["doc_id"].dataType.simpleString()
     out = d.mapInPandas(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def kept(docs: DataFrame, model) -> DataFrame:
+    """The rows of docs, whole, whose text scores under 0.5."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _scorer(sent.value)
+        for texts in parts:
+            yield pd.Series(scorer(texts))
+
+    return docs.filter(score_of(F.coalesce("text", F.lit(""))) < 0.5)
