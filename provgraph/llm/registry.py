@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, hmm, kneser_ney, minhash, packing, pii, sstable, toxicity
+from . import decontamination, embedding_dedup, hmm, kneser_ney, minhash, packing, pii, rendering, sstable, toxicity
 from .common import remainder, table
 
 
@@ -28,6 +28,10 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.rendered(table(spark, sf_dir, "pages"))
+
+
 def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,5 +53,5 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op4_kneser_ney": op4_kneser_ney, "op6_edit_decontamination": op6_edit_decontamination, "op7_projection_dedup": op7_projection_dedup, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_dart_minhash": op10_dart_minhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op4_kneser_ney": op4_kneser_ney, "op5_layout_text": op5_layout_text, "op6_edit_decontamination": op6_edit_decontamination, "op7_projection_dedup": op7_projection_dedup, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_dart_minhash": op10_dart_minhash}
 ORACLES: dict[str, str] = {}
