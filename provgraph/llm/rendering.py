@@ -41,6 +41,7 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "caption": ({"caption"}, {"table"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "body": ({"head"}, set()),
 }
+CELLS = frozenset("table td th caption tr tbody thead tfoot".split())
 FENCES = frozenset("table td th caption li div section article body html".split())
 
 
@@ -90,10 +91,12 @@ def tree(page: str) -> Node:
         if m[1]:
             if tag in VOID:
                 continue
-            if tag == "p" or tag not in FENCES:
+            if tag == "p" or tag not in BLOCK:
                 close({tag}, FENCES)
+            elif tag in CELLS:
+                close({tag}, () if tag == "table" else {"table"})
             else:
-                close({tag}, {"table"} if tag != "table" else ())
+                close({tag}, CELLS)
             continue
         if tag in ("html", "body") and len(stack) > 1 and tag == "html":
             continue

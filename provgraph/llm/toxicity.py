@@ -31,6 +31,7 @@ from . import common
 
 BUCKETS = 1 << 20
 FEATURES = 500
+SIGMAS = 2.5
 SAMPLE = 16_000
 FACTORS = 4
 ROUNDS = 200
@@ -197,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_train):
     by = train.mapInPandas(_bucket_labels, "b int, clean long, toxic long").groupBy("b").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     p, q = (F.col("t") + 0.5) / (toxic + 1.0), (F.col("c") + 0.5) / (clean + 1.0)
     gain = F.abs(F.log(p / q)) * F.sqrt(F.least(p, F.lit(1.0)) + q) * F.sqrt(F.abs(p - q))
-    top = by.filter(F.col("c") + F.col("t") >= 3).orderBy(F.desc(gain), "b").limit(FEATURES).collect()  # bounded by FEATURES
+    sure = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) >= SIGMAS  # log odds over their standard error
+    top = by.filter(sure & (F.col("c") + F.col("t") >= 3)).orderBy(F.desc(gain), "b").limit(FEATURES).collect()  # bounded by FEATURES
     chosen = sorted({*(r["b"] for r in top), *(_hash(f"length {k}") for k in range(24))})
     x = train.mapInPandas(_present_buckets(spark.sparkContext.broadcast(chosen)), "x array<int>, y double")
     got = x.repartition(1).mapInPandas(_train(len(chosen)), "bias double, linear binary, factors binary").first()
