@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 CAP = 10_000
@@ -23,13 +24,14 @@ class Verdict:
     tables: tuple[str, ...]
 
 
-def _walk(plan):
+def _walk(plan, gateway):
+    """The plan and every plan below it: children, common table expressions, subqueries."""
     yield plan
-    for side in (plan.children(), plan.innerChildren()):
+    for side in (plan.children(), plan.innerChildren(), plan.subqueries()):
         for i in range(side.size()):
             child = side.apply(i)
-            if hasattr(child, "nodeName") and "plans" in child.getClass().getName():
-                yield from _walk(child)
+            if is_instance_of(gateway, child, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+                yield from _walk(child, gateway)
 
 
 def judge(spark: SparkSession, statement: str, cap: int = CAP, forbidden: tuple[str, ...] = ()) -> Verdict:
@@ -38,7 +40,7 @@ def judge(spark: SparkSession, statement: str, cap: int = CAP, forbidden: tuple[
     except Exception:
         return Verdict(False, "parse error", "none", cap, ())
     names, tables = [], []
-    for node in _walk(plan):
+    for node in _walk(plan, spark.sparkContext._gateway):
         name = node.getClass().getSimpleName()
         names.append(name)
         if name == "UnresolvedRelation":
