@@ -12,7 +12,8 @@ the same streams are read on). Each dart hits one coordinate; the earliest dart
 coordinate's value. Two documents agree in a coordinate with probability equal to their similarity.
 
 Banding: `BANDS` bands of `ROWS` coordinates; a bucket holds the documents equal in one band.
-Pass 1 compares every member of a bucket with its least member. Pass 2 takes the
+Pass 1 compares every member of a bucket with its least member: first the least of all such leaders, then,
+where both are not of one class yet, the next ones up to `LEADERS`. Pass 2 handles all the rest: it takes the
 buckets whose members are not yet of one class, and compares all members of different classes by
 signature in blocks of `BLOCK` rows (a large bucket is many small tasks), keeping pairs whose
 estimate reaches `ESTIMATE`. Pairs of one class need no comparison. Each kept pair is verified on
@@ -32,6 +33,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,9 +44,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 K = BANDS * ROWS
 BLOCK = 256
+LEADERS = 8
 ESTIMATE = 0.68
 WORD = re.compile(r"\w+")
 CACHE = 300_000
+THROWN = 50_000
 U64 = np.uint64
 
 _words: dict[str, int] = {}
@@ -92,26 +96,47 @@ def units(occurrences: np.ndarray) -> np.ndarray:
     return mix(s + (np.arange(len(s)) - first).astype(U64) * U64(0xD1B54A32D192ED03))
 
 
+def signatures(sets: list[np.ndarray], widen: int = 1) -> np.ndarray:
+    """For each set of units of weight (none empty) its K earliest darts, 32 bits of their identity each.
+
+    All sets throw together; a set that leaves a coordinate unreached throws again with twice the bound.
+    """
+    size = np.array([len(x) for x in sets])
+    bound = widen * (K * np.log(K) + 2 * K) / size
+    alive, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    at, throw = np.zeros(len(alive)), 0
+    rank, value = np.full(len(sets) * K, np.inf), np.zeros(len(sets) * K, dtype=U64)
+    while len(alive):
+        throw += 1
+        dart = mix(alive + U64(throw * 0xA24BAED4963EE407 & (1 << 64) - 1))
+        at = at - np.log(((dart >> U64(11)).astype(float) + 1) * 2.0**-53)  # the next rank of the stream
+        near = at < bound[owner]
+        alive, at, owner, dart = alive[near], at[near], owner[near], mix(dart[near])
+        column = owner * K + (dart % U64(K)).astype(np.int64)
+        np.minimum.at(rank, column, at)
+        earliest = rank[column] == at
+        value[column[earliest]] = dart[earliest]
+    out = (value >> U64(32)).astype("<u4").reshape(-1, K)
+    short = np.flatnonzero(np.isinf(rank.reshape(-1, K)).any(1))
+    if len(short):
+        out[short] = signatures([sets[i] for i in short], widen * 2)
+    return out
+
+
 def signature(elements: np.ndarray) -> np.ndarray:
-    """The K earliest darts (32 bits of their identity each); elements: units of weight, not none."""
-    bound = (K * np.log(K) + 2 * K) / len(elements)
-    while True:
-        rank, value = np.full(K, np.inf), np.zeros(K, dtype=U64)
-        alive, at, throw = elements, np.zeros(len(elements)), 0
-        while len(alive):
-            throw += 1
-            dart = mix(alive + U64(throw * 0xA24BAED4963EE407 & (1 << 64) - 1))
-            at = at - np.log(((dart >> U64(11)).astype(float) + 1) * 2.0**-53)  # the next rank of the stream
-            near = at < bound
-            alive, at, dart = alive[near], at[near], mix(dart[near])
-            column = (dart % U64(K)).astype(np.int64)
-            order = np.argsort(-at, kind="stable")  # the earliest is written last
-            c, better = column[order], at[order] < rank[column[order]]
-            c, o = c[better], order[better]
-            rank[c], value[c] = at[o], dart[o]
-        if np.isfinite(rank).all():
-            return (value >> U64(32)).astype("<u4")
-        bound *= 2
+    return signatures([elements])[0]
+
+
+def _grouped(items: list, size) -> list[list]:
+    """Runs of items of at most about THROWN units together."""
+    out, total = [[]], 0
+    for x in items:
+        if out[-1] and total + size(x) > THROWN:
+            out.append([])
+            total = 0
+        out[-1].append(x)
+        total += size(x)
+    return out if out[0] else []
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -121,24 +146,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _bands(text: str) -> tuple[bytes | None, list[int]]:
-    """The digest of a text's words and its band hashes; None and nothing without words."""
-    w = word_hashes(text)
-    if not len(w):
-        return None, []
-    row = signature(units(shingles(text))).tobytes()
-    return xxhash.xxh128_digest(w.tobytes()), [xxhash.xxh64_intdigest(row[4 * ROWS * b : 4 * ROWS * (b + 1)], b) - (1 << 63) for b in range(BANDS)]
-
-
 def _digest(batches):
     for pdf in batches:
-        rows = [_bands(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": [r[0] for r in rows], "bands": [r[1] for r in rows]})
+        digests, fresh = [], {}
+        for t in pdf["text"]:
+            w = word_hashes(t)
+            digest = xxhash.xxh128_digest(w.tobytes()) if len(w) else None
+            digests.append(digest)
+            if digest and digest not in fresh:
+                fresh[digest] = units(shingles(t))
+        bands: dict = {None: []}
+        for group in _grouped(list(fresh.items()), lambda x: len(x[1])):
+            for (digest, _), row in zip(group, signatures([x for _, x in group])):
+                bands[digest] = [xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": digests, "bands": [bands[d] for d in digests]})
 
 
 def _sign(batches):
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "signature": [signature(units(shingles(t))).tobytes() for t in pdf["text"]]})
+        rows = [x for group in _grouped([units(shingles(t)) for t in pdf["text"]], len) for x in signatures(group)]
+        yield pd.DataFrame({"id": pdf["id"], "signature": [r.tobytes() for r in rows]})
 
 
 def _verify(batches):
@@ -208,8 +235,17 @@ def classes(docs: DataFrame) -> DataFrame:
     ids = common.written(buckets.select("id").distinct(), "near-ids")
     texts = d.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     texts = common.written(texts.groupBy("id").agg(F.min("text").alias("text")), "near-texts")
-    links = verified(buckets.filter(F.col("id") != F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v")), texts)
+    stars = buckets.filter(F.col("id") != F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
+    stars = common.written(stars.withColumn("n", F.row_number().over(W.partitionBy("u").orderBy("v"))), "near-stars")
+    links = verified(stars.filter("n = 1").select("u", "v"), texts)
     found = components(links)
+    rest = stars.filter(F.col("n").between(2, LEADERS)).select("u", "v")  # further leaders only where the first left two classes
+    for end in ("u", "v"):
+        rest = rest.join(found.select(F.col("u").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    rest = verified(rest.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"), texts)
+    if rest.limit(1).count():
+        links = common.written(links.unionAll(rest), "near-links")
+        found = components(links)
     more = verified(_across(buckets.select("band", "h", "id").distinct(), found, texts), texts)
     common.drop_written(texts)
     if more.limit(1).count():
