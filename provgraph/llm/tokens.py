@@ -4,7 +4,8 @@ The encoders used here cut a text into pieces with a pattern before merging, and
 piece only; a piece never crosses from a visible character to the white space after it. So a
 text's ids are those of its white-space chunks in order, and a chunk's those of its pieces.
 Chunks and pieces repeat: each worker looks up chunks, cuts new ones with the encoder's own
-pattern, and lets the library encode each new piece once. Texts with characters outside the plain
+pattern, and lets the library's model merge each new piece once (the byte-level step before it is
+a fixed table of characters). Texts with characters outside the plain
 range (other white space, control characters, marks that normalisation would join) go to the
 library whole.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -24,6 +26,14 @@ CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 CHUNKS, PIECES = 400_000, 400_000
 LONGEST = 64
 
+
+def _byte_level() -> dict[int, str]:
+    """Byte to character of the byte-level step: visible ones stand for themselves, the others follow from U+0100 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LEVEL = _byte_level()
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -64,13 +74,23 @@ class Encoder:
         self.lower = '"Lowercase"' in normalizer and "\\\\s+" in normalizer  # white space only separates, case is dropped
         pattern = _split_pattern(spec["pre_tokenizer"])
         self.pattern = regex.compile(pattern) if pattern else None
-        self.pieces = _Memo(self._whole, PIECES)
+        self.model = self.tokenizer.model if '"ByteLevel"' in json.dumps(spec["pre_tokenizer"]) else None
+        self.pieces = _Memo(self._piece, PIECES)
         self.chunks = _Memo(self._chunk, CHUNKS)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if self.model is None:
+            return self._whole(piece)
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.removeprefix(" ").isalpha():  # one piece
+            return self._piece(chunk)
         return b"".join([self.pieces[p] for p in self.pattern.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
