@@ -84,7 +84,9 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if self.model is None:
             return self._whole(piece)
-        if not (piece.isascii() and piece.isalnum()):
+        if piece.isascii() and piece.removeprefix(" ").isalnum():
+            piece = piece.replace(" ", BYTE_LEVEL[32])
+        else:
             piece = piece.encode().decode("latin-1").translate(BYTE_LEVEL)
         return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
 
