@@ -47,6 +47,13 @@ def drop_written(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def file_system(uri: str):
+    """The pyarrow file system of a path in the shared folder, and the path in it; for use inside tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if ":" in uri.partition("/")[0] else "file://" + uri)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

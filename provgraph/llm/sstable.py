@@ -174,9 +174,7 @@ class Shard:
 
 
 def open_uri(uri: str, mode: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+    system, path = common.file_system(uri)
     if mode == "r":
         return system.open_input_file(path)
     system.create_dir(path.rpartition("/")[0], recursive=True)
