@@ -6,18 +6,23 @@ the start of a run (or the end of the last match), and repeats do not give back.
 
 The method adds spans. Two generators propose candidates that may overlap (digit groups with
 loose separators; addresses with spelled or spaced separators). Gradient-boosted trees score
-them on format (digits, length, separators, check digit, dotted parts) and on the words before
-them. They learn from the candidates of a bounded sample of documents (about `SAMPLE_DOCS`,
-by hash of the id), where those that the checked patterns confirm are positive. Per
-kind, the lowest score whose held-out precision reaches `PRECISION` is the threshold. A candidate
-above it that overlaps no base span is added; of overlapping ones the best-scored stays.
+them on what is left when the separators are taken away (digits, their groups, check digit, dotted
+parts, end of the address) and on the words before them; what only the base patterns ask for (a
+plus, an at sign, certain separators) is no feature. Labels do not come from the base spans: a
+candidate is positive if it holds up without its separators (`_holds`). The candidates of all
+documents are written once; the trees learn from about `SAMPLE_ROWS` of each kind and label (by hash
+of the id, three quarters at most), so that rare failures are among them. All others set the
+thresholds, in one grouped sum: per kind, the lowest score from which the precision reaches
+`PRECISION`, both over all their candidates and over those that overlap no base span. A candidate
+above it that overlaps no base span is added (a card only with its check digit); of overlapping ones
+the best-scored stays.
 
 Positions: matches are bracketed by two control characters (any in the text are replaced by
 another first) and the lengths of the parts summed, in blocks, so a text with very many matches
-costs little more than its length. Every row is handled on its own: no shuffle, no join.
+costs little more than its length. Every row is handled on its own: no join, and no shuffle but of the small sums.
 
-Null and empty texts have no spans. Repeated rows are scored like any other. Without candidates
-of both classes in the sample nothing is added.
+Null and empty texts have no spans. Repeated rows are scored like any other. Where no candidate
+fails, each scores 1; where none holds, nothing is added.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -39,13 +46,20 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 GENERATORS = {
     "digits": (r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+", "[0-9]"),
-    "address": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}+ ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,24}+", r"@|\(at\)|\[at\]"),
+    "address": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}+ ?(?:\.|\(dot\)|\[dot\]) ?(?:[A-Za-z0-9-]{1,63}+(?:\.| \. | ?\(dot\) ?| ?\[dot\] ?)){0,8}[A-Za-z]{2,24}+", r"@|\(at\)|\[at\]"),
 }
 CONTEXT = ("card|visa|credit|pay|karte|carte|tarjeta", "tel|phone|call|mobile|fax|handy", r"\bip\b|host|addr|server", "mail|contact|write")
 CONTEXT_CHARS = 24
+#: A word that says what follows at once is a telephone number.
+CALLED = r"\b(?:tel|telephone|phone|call|mobile|cell|fax|handy)\b[^a-z0-9]*$"
+#: Ends of addresses; of two letters not after a dot and a space, which is how sentences go on.
+ENDS = r"[.)\]] ?(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|example|test)$|(?:[^ ]\.| \. |[)\]] ?)[a-z]{2}$"
+#: Lengths of the digit groups of cards and of telephone numbers without a country mark.
+CARD_GROUPS = r"^(?:1[4-9]|4-4-4-[2-4]|4-4-4-4-[1-3]|4-6-[45])$"
+PHONE_GROUPS = r"^(?:[1-3]-)?3-3-4$"
 OPEN, CLOSE = "\x01", "\x02"
 BLOCK = 256
-SAMPLE_DOCS = 2_000
+SAMPLE_ROWS = 500
 TREES, DEPTH = 12, 3
 PRECISION = 0.98
 
@@ -110,26 +124,42 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 def _features(x: Column) -> Column:
     m, d = x["m"], _digits(x["m"])
-    count = lambda pattern: F.regexp_count(m, F.lit(pattern))
-    dotted = F.when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _octets(m)).otherwise(False)
-    flags = [F.call_function("luhn_check", d) & (F.length(d) > 0), m.startswith("+"), dotted, m.rlike("@|\\(at\\)|\\[at\\]"), *[F.lower(x["before"]).rlike(c) for c in CONTEXT]]
-    numbers = [F.length(d), F.length(m), count(r"[ \-]"), count(r"\."), count(r"[()/]"), count("[A-Za-z]")]
-    return F.array(*[c.cast("double") for c in [*numbers, *flags]])
+    groups = F.transform(F.regexp_extract_all(m, F.lit("([0-9]+)")), lambda g: F.length(g))
+    shape = F.array_join(F.transform(groups, lambda n: n.cast("string")), "-")
+    bare = F.regexp_replace(m, " ", "")
+    dotted = F.when(bare.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), _octets(bare)).otherwise(False)
+    before = F.lower(x["before"])
+    address = m.rlike("@|\\(at\\)|\\[at\\]")
+    luhn = F.call_function("luhn_check", d) & (F.length(d) > 0)
+    flags = [*[~address & c for c in (luhn, shape.rlike(CARD_GROUPS), shape.rlike(PHONE_GROUPS), dotted)], address, address & m.rlike(ENDS), before.rlike(CALLED), *[before.rlike(c) for c in CONTEXT]]
+    numbers = [F.length(d), F.size(groups), F.coalesce(F.array_max(groups), F.lit(0))]
+    return F.array(*[F.when(address, 0.0).otherwise(c.cast("double")) for c in numbers], *[c.cast("double") for c in flags])
+
+
+def _kind(f: Column, m: Column) -> Column:
+    """The kind that a candidate would be: -1 for none."""
+    return F.when(f[7] == 1, 0).when(f[6] == 1, 1).when(~m.startswith("+") & f[0].between(14, 19), 2).when(f[0].between(10, 15), 3).otherwise(-1)
 
 
-def _kind(f: Column) -> Column:
-    """The kind that a candidate would be: -1 for none."""
-    return F.when(f[9] == 1, 0).when(f[8] == 1, 1).when((f[7] == 0) & f[0].between(14, 19), 2).when(f[0].between(10, 15), 3).otherwise(-1)
+def _holds(m: Column, f: Column, k: Column) -> Column:
+    """Whether a candidate is of its kind by what is left without separators: a known end of the address, four octets, the check digit in groups of a card, or the groups of a telephone number, a word for one before it or a country mark."""
+    return F.when(k == 0, f[8] == 1).when(k == 1, f[6] == 1).when(k == 2, (f[3] == 1) & (f[4] == 1)).when(k == 3, (f[5] == 1) | (f[9] == 1) | m.startswith("+")).otherwise(False)
 
 
 def with_candidates(df: DataFrame) -> DataFrame:
-    """Adds _cand: array of (s, e, f, k) from both generators; k is -1 where no kind fits."""
+    """Adds _cand: array of (s, e, f, k, y) from both generators; k is -1 where no kind fits, y says whether it holds."""
     for name, (pattern, needs) in GENERATORS.items():
         df = _matches(df, f"_{name}", pattern, needs)
     proposed = F.concat(*[F.col(f"_{name}") for name in GENERATORS])
-    df = df.withColumn("_cand", F.transform(proposed, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), _features(x).alias("f"))))
+    df = df.withColumn("_cand", F.transform(proposed, lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), _features(x).alias("f"))))
     df = df.drop(*(f"_{name}" for name in GENERATORS))
-    return df.withColumn("_cand", F.transform("_cand", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["f"].alias("f"), _kind(c["f"]).alias("k"))))
+    df = df.withColumn("_cand", F.transform("_cand", lambda c: F.struct(c["s"].alias("s"), (c["s"] + F.length(c["m"])).alias("e"), c["m"].alias("m"), c["f"].alias("f"), _kind(c["f"], c["m"]).alias("k"))))
+    return df.withColumn("_cand", F.transform("_cand", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["f"].alias("f"), c["k"].alias("k"), _holds(c["m"], c["f"], c["k"]).alias("y"))))
+
+
+def _eligible(c: Column) -> Column:
+    """A kind fits, and a card has its check digit, as in the base."""
+    return (c["k"] >= 0) & ((c["k"] != 2) | (c["f"][3] == 1))
 
 
 def _overlaps(c: Column, spans: str) -> Column:
@@ -137,31 +167,46 @@ def _overlaps(c: Column, spans: str) -> Column:
 
 
 def fit(docs: DataFrame):
-    """(score expression over `c.f`, threshold a kind); None where the sample holds no two classes."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, n))
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = with_candidates(with_base(sample)).select("doc_id", "_base", F.explode_outer("_cand").alias("c")).filter("c IS NOT NULL")  # outer: else the array is computed again in a filter
-    confirmed = F.exists("_base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
-    rows = rows.select(array_to_vector("c.f").alias("features"), F.col("c.k").alias("k"), confirmed.cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0).alias("held")).persist()
-    classes = {r["label"] for r in rows.filter("not held").select("label").distinct().collect()}
-    if len(classes) < 2:
-        rows.unpersist()
+    """(score expression over `c.f`, threshold a kind); None where no candidate holds."""
+    df = with_candidates(with_base(docs.select("doc_id", "text")))
+    of = lambda c: F.struct(c["k"].alias("k"), c["y"].alias("y"), c["f"].alias("f"), _eligible(c).alias("eligible"), (~_overlaps(c, "_base")).alias("free"))
+    rows = df.select("doc_id", F.explode_outer(F.transform("_cand", of)).alias("c")).filter("c.k >= 0")  # outer: else the array is computed again in a filter
+    rows = common.written(rows.select("c", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)).alias("h")), "pii-candidates")
+    n = {(r["k"], r["y"]): r["n"] for r in rows.groupBy("c.k", "c.y").agg(F.count("*").alias("n")).collect()}  # at most 8 rows
+    if not any(y for _, y in n):
+        common.drop_written(rows)
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3).fit(rows.filter("not held"))
-    judged = model.transform(rows.filter("held")).select("k", "label", F.floor(vector_to_array("probability")[1] * 50).alias("bin"))
-    table = judged.groupBy("k", "bin").agg(F.sum("label").alias("yes"), F.count("*").alias("all")).collect()  # at most 4 x 51 rows
-    rows.unpersist()
+    share = lambda k, y: int(min(0.75, SAMPLE_ROWS / n.get((k, y), 1)) * 1_000_000)
+    shares = F.array(*[F.lit(share(k, y)) for k in range(len(KINDS)) for y in (False, True)])
+    sampled = F.col("h") < shares[F.col("c.k") * 2 + F.col("c.y").cast("int")]
+    train = rows.filter(sampled).select(array_to_vector("c.f").alias("features"), F.col("c.y").cast("double").alias("label")).repartition(1).persist()  # bounded by SAMPLE_ROWS
+    classes = {r["label"] for r in train.select("label").distinct().collect()}
+    score = "1D"  # none fails: all hold
+    if len(classes) == 2:
+        score = _score_sql(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3).fit(train))
+    train.unpersist()
+    limits = _limits(rows.filter(~sampled & F.col("c.eligible")), score)
+    common.drop_written(rows)
+    return score, limits
+
+
+def _limits(rows: DataFrame, score: str) -> list[float]:
+    """Per kind, the lowest score from which the precision is reached, over all candidates and over those that could be added; 1.1 for none."""
+    table = rows.groupBy(F.col("c.k").alias("k"), F.floor(F.expr(score) * 50).alias("bin"), F.col("c.free").alias("free")).agg(F.sum(F.col("c.y").cast("long")).alias("yes"), F.count("*").alias("all")).collect()  # at most 4 x 51 x 2 rows
     limits = []
     for k in range(len(KINDS)):
-        yes = every = 0
+        yes, every = {True: 0, False: 0}, {True: 0, False: 0}
         limit = 1.1
-        for r in sorted((r for r in table if r["k"] == k), key=lambda r: -r["bin"]):
-            yes, every = yes + r["yes"], every + r["all"]
-            if yes / every >= PRECISION:
-                limit = max(0.5, r["bin"] / 50)
+        bins = sorted({r["bin"] for r in table if r["k"] == k}, reverse=True)
+        for b, lower in zip(bins, [*bins[1:], 0]):
+            for r in table:
+                if r["k"] == k and r["bin"] == b:
+                    yes[r["free"]] += r["yes"]
+                    every[r["free"]] += r["all"]
+            if sum(yes.values()) >= PRECISION * sum(every.values()) and yes[True] >= PRECISION * every[True]:
+                limit = max(0.5, min(b, lower + 1) / 50)
         limits.append(limit)
-    return _score_sql(model), limits
+    return limits
 
 
 def _score_sql(model) -> str:
@@ -184,7 +229,7 @@ def with_spans(docs: DataFrame, model) -> DataFrame:
     score, limits = model
     df = with_candidates(df)
     limit = F.array(*[F.lit(float(x)) for x in limits])
-    df = df.withColumn("_cand", F.filter("_cand", lambda c: (c["k"] >= 0) & ~_overlaps(c, "_base")))
+    df = df.withColumn("_cand", F.filter("_cand", lambda c: _eligible(c) & ~_overlaps(c, "_base")))
     df = df.withColumn("_cand", F.expr(f"transform(_cand, c -> struct(c.s AS s, c.e AS e, c.k AS k, {score} AS p))"))
     df = df.withColumn("_cand", F.filter("_cand", lambda c: c["p"] >= limit[c["k"]]))
     beaten = lambda c: F.exists("_cand", lambda d: (d["s"] < c["e"]) & (c["s"] < d["e"]) & ((d["p"] > c["p"]) | ((d["p"] == c["p"]) & (F.struct(d["s"], d["e"], d["k"]) < F.struct(c["s"], c["e"], c["k"])))))

@@ -160,6 +160,20 @@ def test_pii(spark):
     assert red == {1: "é mail [EMAIL] now", 2: None}
 
 
+def test_pii_adds_loose_formats(spark):
+    rng = random.Random(11)
+    strict = ["a{}@mail.example.com", "+1 ({0:03}) 555-{1:04}", "10.{0}.7.{0}", "4111 1111 1111 1111", "5105 1051 0510 5100"]
+    wrong = ["41111111{1:04}1112", "20{0:02}-01-02 {0:02}", "me @ home. Then", "id 77{1:04}{1:04}"]
+    rows = [(i, f"{prose(i, 8)} x " + rng.choice(strict if i % 2 else wrong).format(rng.randrange(10, 100), rng.randrange(1000, 9999)) + " y") for i in range(400)]
+    loose = {1000: ("email", "name (at) host (dot) org"), 1001: ("phone", "(132) 555-1352"), 1002: ("card", "4111.1111.1111.1111"), 1003: ("card", "5105/1051/0510/5100"), 1004: ("email", "name [at] a.host [dot] org")}
+    bad = {1010: "4111.1111.1111.1112", 1011: "2024-01-02 03", 1012: "you @ home. Then"}
+    rows += [(i, f"see {m} now") for i, (_, m) in loose.items()] + [(i, f"see {m} now") for i, m in bad.items()]
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    for i, (kind, m) in loose.items():
+        assert got[i]["base"] == "" and got[i]["spans"] == f"{kind}:4:{4 + len(m)}", (i, got[i])
+    assert all(got[i]["spans"] == "" for i in bad)
+
+
 def test_kneser_ney(spark):
     rows = [(i, prose(i, 60)) for i in range(60)] + [(100, "@@ ## %% zq xv " * 30), (101, None)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
