@@ -54,10 +54,30 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if ":" in uri.partition("/")[0] else "file://" + uri)
 
 
+def slices(texts, rows: int = 1000, chars: int = 2_000_000):
+    """(start, end) of runs of rows of bounded number and size."""
+    lo = size = 0
+    for hi, text in enumerate(texts):
+        if hi > lo and (hi - lo >= rows or size + len(text) > chars):
+            yield lo, hi
+            lo, size = hi, 0
+        size += len(text)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """Only doc_id and text (null: empty), whatever other columns there are."""
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

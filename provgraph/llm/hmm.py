@@ -10,21 +10,24 @@ log10 likelihood of the text under one normalised model, by the scaled forward r
 
 Steps: word counts (combined in tasks, then summed), documents encoded once to a written table,
 the rest of the words joined with the count table and summed per document, expected counts of
-every Baum-Welch round summed per task and then in two levels. What reaches the driver is bounded
-by HEAD + TIED, never by the corpus. Rounds start from a model fitted on a bounded sample
-(`SAMPLE_DOCS`); each following round uses every training document.
+every Baum-Welch round summed per task and then in two levels. Each round runs over all training
+documents, whole, from a fixed random start; rounds end when the log-likelihood grows by less than the
+share `GAIN`, after `ROUNDS` at the latest. What reaches the driver is bounded by HEAD + TIED, never by the corpus.
 
-Training takes a document in segments of `SEGMENT` tokens (bounded memory; a following segment
-starts from the learnt occupancy of states); scoring never cuts.
+Tasks hold documents in time order side by side, about `BATCH_TOKENS` tokens at once. A longer document is
+one batch: its forward values are kept at every `BATCH_TOKENS` tokens alone and computed again on the way back.
 
-Null and empty texts hold the end token alone. Repeated rows are separate documents. With no
-training rows the model is uniform over its symbols and base counts are zero.
+Null and empty texts hold the end token alone. Repeated rows are separate documents, whatever their ids; null
+ids are scored and learnt from like others. Ties among words for the head go to the lesser word. With no
+training rows the model is uniform over its symbols and base counts are zero; an empty table gives no rows.
+Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,12 +40,11 @@ from . import common
 HEAD = 32_768
 TIED = 256
 STATES = 8
-ROUNDS = 2
-SAMPLE_DOCS, SAMPLE_ROUNDS = 1_500, 12
-SEGMENT = 128
-BATCH_TOKENS = 200_000
+ROUNDS, GAIN = 12, 0.005
+BATCH_TOKENS = 400_000
+POOL_TOKENS = 4_000_000
 CHUNK = 4_096
-FLUSH = 400_000
+FLUSH = 200_000
 SMOOTH = 50.0
 
 
@@ -85,93 +87,129 @@ def _encode(head):
         classes: dict = {}
         first = len(head.value) + 1
         for pdf in batches:
-            rows: dict = {"rid": pdf["rid"], "doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "ids": [], "rest": []}
-            for t in pdf["text"]:
-                tokens, rest, out = words(t), [], []
-                for w in tokens:
-                    i = ids.get(w)
-                    if i is None:
-                        i = classes.get(w)
+            for lo, hi in common.slices(pdf["text"], 500):
+                cut = pdf.iloc[lo:hi]
+                encoded, rest_words, rest_n = [], [], []
+                for t in cut["text"]:
+                    rest, out = [], []
+                    for w in words(t):
+                        i = ids.get(w)
                         if i is None:
-                            if len(classes) > FLUSH:
-                                classes.clear()
-                            i = classes[w] = first + _class_of(w.decode())
-                        rest.append(w)
-                    out.append(i)
-                out.append(0)
-                rows["ids"].append(np.array(out, dtype="<u2").tobytes())
-                rows["rest"].append([{"word": w.decode(), "k": k} for w, k in Counter(rest).items()])
-            yield pd.DataFrame(rows)
+                            i = classes.get(w)
+                            if i is None:
+                                if len(classes) > FLUSH:
+                                    classes.clear()
+                                i = classes[w] = first + _class_of(w.decode())
+                            rest.append(w)
+                        out.append(i)
+                    out.append(0)
+                    encoded.append(np.array(out, dtype="<u2").tobytes())
+                    n = Counter(rest)
+                    rest_words.append([w.decode() for w in n])
+                    rest_n.append(list(n.values()))
+                yield pd.DataFrame({"rid": cut["rid"], "doc_id": cut["doc_id"], "held_out": cut["held_out"], "ids": encoded, "words": rest_words, "ks": rest_n})
 
     return run
 
 
-def _segments(ids: np.ndarray):
-    return [(a, min(a + SEGMENT, len(ids))) for a in range(0, len(ids), SEGMENT)]
-
-
-def expected(batch: list[np.ndarray], fresh: np.ndarray, model):
-    """Expected counts of a batch of segments: starts (fresh), starts (following), moves, emissions; log-likelihood."""
-    begin, follow, move, emit = model
-    order = np.argsort([-len(s) for s in batch], kind="stable")
-    batch, fresh = [batch[i] for i in order], fresh[order]
-    n = np.array([len(s) for s in batch])
-    steps, k = n[0], len(begin)
-    ids = np.zeros((steps, len(batch)), dtype=np.int64)
-    for j, s in enumerate(batch):
-        ids[: len(s), j] = s
-    active = np.array([(n > t).sum() for t in range(steps)])
-    out = emit[ids]  # steps x segments x states
-    a, scale = np.zeros_like(out), np.ones(ids.shape)
-    for t in range(steps):
-        m = active[t]
-        x = (np.where(fresh[:m, None], begin, follow) if t == 0 else a[t - 1, :m] @ move) * out[t, :m]
-        scale[t, :m] = c = x.sum(1)
-        a[t, :m] = x / c[:, None]
-    b = np.ones((len(batch), k))
-    moves = np.zeros((k, k))
-    for t in range(steps - 1, -1, -1):
-        m = active[t]
-        if t + 1 < steps:
-            q = active[t + 1]
-            ahead = out[t + 1, :q] * b[:q] / scale[t + 1, :q, None]
-            moves += a[t, :q].T @ ahead
-            b[:q] = ahead @ move.T
-        a[t, :m] *= b[:m]  # now the posterior of the state
-    flat, post = ids.ravel(), a.reshape(-1, k)
-    emissions = np.stack([np.bincount(flat, weights=post[:, s], minlength=len(emit)) for s in range(k)], axis=1)
-    starts = a[0]
-    return starts[fresh].sum(0), starts[~fresh].sum(0), moves * move, emissions, np.log(scale).sum()
+def by_length(docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Indices of docs, longest first, in batches of about BATCH_TOKENS tokens; a longer document is a batch."""
+    n = np.array([len(x) for x in docs])
+    order = np.argsort(-n, kind="stable")
+    batch = (np.cumsum(n[order]) - 1) // BATCH_TOKENS
+    return iter(np.split(order, np.flatnonzero(np.diff(batch)) + 1)) if len(docs) else iter(())
+
+
+def time_major(docs: list[np.ndarray]):
+    """docs, longest first, as one array in order of time; where each time starts, and how many documents reach it."""
+    n = np.array([len(x) for x in docs])
+    active = len(docs) - np.concatenate([[0], np.cumsum(np.bincount(n, minlength=n[0] + 1))])[1 : n[0] + 1]
+    starts = np.cumsum(active) - active
+    time = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ids = np.empty(n.sum(), dtype=np.int64)
+    ids[starts[time] + np.repeat(np.arange(len(docs)), n)] = np.concatenate(docs)
+    return ids, starts.tolist(), active.tolist()
+
+
+def _spans(starts: list[int], active: list[int]) -> list[tuple[int, int]]:
+    """Runs of times of about BATCH_TOKENS tokens."""
+    cuts = [0]
+    for t in range(1, len(starts)):
+        if starts[t] + active[t] - starts[cuts[-1]] > BATCH_TOKENS:
+            cuts.append(t)
+    return list(zip(cuts, [*cuts[1:], len(starts)]))
+
+
+def expected(docs: list[np.ndarray], model):
+    """Expected counts over docs (longest first): starts, moves, emissions; and the log-likelihood."""
+    begin, move, emit = model
+    ids, starts, active = time_major(docs)
+    spans, ones = _spans(starts, active), np.ones(len(begin), emit.dtype)
+
+    def forward(lo, hi, before):
+        at, end = starts[lo], starts[hi - 1] + active[hi - 1]
+        x = emit[ids[at:end]]
+        a, scale = np.empty_like(x), np.empty(len(x), x.dtype)
+        for t in range(lo, hi):
+            i, m = starts[t] - at, active[t]
+            y = (begin if t == 0 else before[:m] @ move) * x[i : i + m]
+            c = y @ ones
+            y /= c[:, None]
+            a[i : i + m], scale[i : i + m], before = y, c, y
+        return x, a, scale
+
+    befores: list = [None]
+    for lo, hi in spans[:-1]:
+        befores.append(forward(lo, hi, befores[-1])[1][-active[hi - 1] :].copy())
+    b, ahead = np.ones((len(docs), len(begin)), emit.dtype), None
+    moves, emissions, loss = np.zeros(move.shape), np.zeros(emit.shape), 0.0
+    for (lo, hi), before in zip(reversed(spans), reversed(befores)):
+        x, a, scale = forward(lo, hi, before)
+        at = starts[lo]
+        for t in range(hi - 1, lo - 1, -1):
+            i, m = starts[t] - at, active[t]
+            now = a[i : i + m]
+            if ahead is not None:
+                q = len(ahead)
+                moves += now[:q].T @ ahead
+                b[:q] = ahead @ move.T
+            ahead = x[i : i + m] * (b[:m] / scale[i : i + m, None])
+            now *= b[:m]  # now the posterior of the state
+        loss += np.log(scale, dtype=float).sum()
+        seen = ids[at : at + len(a)]
+        for s in range(len(begin)):
+            emissions[:, s] += np.bincount(seen, weights=a[:, s], minlength=len(emit))
+    return a[: active[0]].sum(0, dtype=float), moves * move, emissions, loss
+
+
+def _pools(ids_of):
+    """Documents in pools of about POOL_TOKENS tokens, so that the long ones of a task meet in one batch."""
+    held, size = [], 0
+    for ids in ids_of:
+        held.append(ids)
+        size += len(ids)
+        if size >= POOL_TOKENS:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def _accumulate(ids_of, model):
+    model = tuple(x.astype("<f4") for x in model)
     total = None
-    held, fresh, size = [], [], 0
-
-    def add():
-        nonlocal total, held, fresh, size
-        if held:
-            found = expected(held, np.array(fresh), model)
+    for docs in _pools(ids_of):
+        for batch in by_length(docs):
+            found = expected([docs[i] for i in batch], model)
             total = list(found) if total is None else [x + y for x, y in zip(total, found)]
-        held, fresh, size = [], [], 0
-
-    for ids in ids_of:
-        for lo, hi in _segments(ids):
-            held.append(ids[lo:hi])
-            fresh.append(lo == 0)
-            size += hi - lo
-            if size >= BATCH_TOKENS:
-                add()
-    add()
     return total
 
 
 def updated(total, prior: np.ndarray):
     """The maximisation step; emissions lean on the corpus distribution, so that every symbol keeps some mass."""
-    begin, follow, moves, emissions, _ = total
+    begin, moves, emissions, _ = total
     k = len(begin)
     emit = emissions + SMOOTH * prior[:, None]
-    return ((begin + 1) / (begin.sum() + k), (follow + 1) / (follow.sum() + k), (moves + 1) / (moves.sum(1, keepdims=True) + k), emit / emit.sum(0))
+    return (begin + 1) / (begin.sum() + k), (moves + 1) / (moves.sum(1, keepdims=True) + k), emit / emit.sum(0)
 
 
 def initial(prior: np.ndarray, seed: int = 7):
@@ -179,33 +217,20 @@ def initial(prior: np.ndarray, seed: int = 7):
     emit = prior[:, None] * rng.gamma(1.0, 1.0, (len(prior), STATES)) + 1e-3 * prior[:, None]
     move = np.full((STATES, STATES), 0.1 / (STATES - 1))
     np.fill_diagonal(move, 0.9)
-    flat = np.full(STATES, 1 / STATES)
-    return flat, flat, move, emit / emit.sum(0)
+    return np.full(STATES, 1 / STATES), move, emit / emit.sum(0)
 
 
 def _ids(pdf):
-    return (np.frombuffer(b, dtype="<u2").astype(np.int64) for b in pdf)
-
-
-def _warm(prior):
-    def run(batches):
-        docs = [x for pdf in batches for x in _ids(pdf["ids"])]
-        model = initial(prior.value)
-        for _ in range(SAMPLE_ROUNDS):
-            if docs:
-                model = updated(_accumulate(docs, model), prior.value)
-        yield pd.DataFrame({"part": range(4), "data": [x.astype("<f8").tobytes() for x in model]})
-
-    return run
+    return (np.frombuffer(b, dtype="<u2") for b in pdf)
 
 
 def _expect(model):
     def run(batches):
         total = _accumulate((x for pdf in batches for x in _ids(pdf["ids"])), model.value)
         if total is not None:
-            begin, follow, moves, emissions, loss = total
+            begin, moves, emissions, loss = total
             pid = TaskContext.get().partitionId()
-            parts = [(-1, np.concatenate([begin, follow, moves.ravel(), [loss]]))]
+            parts = [(-1, np.concatenate([begin, moves.ravel(), [loss]]))]
             parts += [(i // CHUNK, emissions[i : i + CHUNK].ravel()) for i in range(0, len(emissions), CHUNK)]
             yield pd.DataFrame({"chunk": [c for c, _ in parts], "lane": pid % 32, "data": [x.astype("<f4" if c >= 0 else "<f8").tobytes() for c, x in parts]})
 
@@ -218,15 +243,11 @@ def _sum(key, pdf):
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "lane": [-1], "data": [data.astype(kind).tobytes()]})
 
 
-def baum_welch(training: DataFrame, prior: np.ndarray, sample: DataFrame):
-    """training, sample: ids. Returns the model's arrays and the log-likelihood of every round over all training rows."""
+def baum_welch(training: DataFrame, prior: np.ndarray, rounds: int = ROUNDS):
+    """training: ids. Returns the model's arrays and the log-likelihood of every round, all over all training rows."""
     spark, k = training.sparkSession, STATES
-    shapes = [(k,), (k,), (k, k), (len(prior), k)]
-    rows = sample.repartition(1).mapInPandas(_warm(spark.sparkContext.broadcast(prior)), "part int, data binary").collect()
-    found = {r["part"]: np.frombuffer(r["data"], dtype="<f8").reshape(shapes[r["part"]]) for r in rows}
-    model = tuple(found[i] for i in range(4)) if found else initial(prior)
-    losses = []
-    for _ in range(ROUNDS):
+    model, losses = initial(prior), []
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         parts = training.mapInPandas(_expect(sent), "chunk int, lane int, data binary")
         lanes = parts.groupBy("chunk", "lane").applyInPandas(_sum, "chunk int, lane int, data binary")
@@ -237,27 +258,25 @@ def baum_welch(training: DataFrame, prior: np.ndarray, sample: DataFrame):
         small = np.frombuffer(got.pop(-1), dtype="<f8")
         emissions = np.concatenate([np.frombuffer(got[c], dtype="<f4").astype(float) for c in sorted(got)]).reshape(-1, k)
         losses.append(small[-1])
-        model = updated((small[:k], small[k : 2 * k], small[2 * k : 2 * k + k * k].reshape(k, k), emissions, small[-1]), prior)
+        model = updated((small[:k], small[k : k + k * k].reshape(k, k), emissions, small[-1]), prior)
+        if len(losses) > 1 and losses[-1] - losses[-2] < GAIN * abs(losses[-2]):
+            break
     return model, losses
 
 
 def log10_likelihood(docs: list[np.ndarray], model) -> np.ndarray:
     """Scaled forward recursion over whole documents, all documents of a batch side by side."""
-    begin, _, move, emit = model
-    order = np.argsort([-len(s) for s in docs], kind="stable")
-    n = np.array([len(docs[i]) for i in order])
-    flat = np.concatenate([docs[i] for i in order])
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    total, a, m = np.zeros(len(docs)), None, len(docs)
-    for t in range(n[0]):
-        while m and n[m - 1] <= t:
-            m -= 1
-        x = (begin if t == 0 else a[:m] @ move) * emit[flat[at[:m] + t]]
-        c = x.sum(1)
-        a = x / c[:, None]
-        total[:m] += np.log10(c)
-    out = np.empty(len(docs))
-    out[order] = total
+    begin, move, emit = model
+    out = np.zeros(len(docs))
+    for batch in by_length(docs):
+        ids, starts, active = time_major([docs[i] for i in batch])
+        total, a = np.zeros(len(batch)), None
+        for t, (i, m) in enumerate(zip(starts, active)):
+            x = (begin if t == 0 else a[:m] @ move) * emit[ids[i : i + m]]
+            c = x.sum(1)
+            a = x / c[:, None]
+            total[:m] += np.log10(c)
+        out[batch] = total
     return out
 
 
@@ -266,15 +285,7 @@ def _score(sent):
         model, base = sent.value
         for pdf in batches:
             docs = list(_ids(pdf["ids"]))
-            lo = 0
-            score = np.zeros(len(docs))
-            while lo < len(docs):
-                hi, size = lo, 0
-                while hi < len(docs) and (hi == lo or size + len(docs[hi]) <= 4 * BATCH_TOKENS):
-                    size += len(docs[hi])
-                    hi += 1
-                score[lo:hi] = log10_likelihood(docs[lo:hi], model)
-                lo = hi
+            score = log10_likelihood(docs, model)
             heads = [d[d < len(base)] for d in docs]
             yield pd.DataFrame({
                 "rid": pdf["rid"], "doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "n_tokens": [len(d) for d in docs], "hmm": score,
@@ -301,7 +312,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     head = [r["word"].encode() for r in top]
     head_n = np.array([ends, *(r["n"] for r in top)], dtype=float)
     ranks = sc.broadcast(head)
-    encoded = common.written(d.mapInPandas(_encode(ranks), f"rid long, doc_id {kind}, held_out boolean, ids binary, rest array<struct<word: string, k: long>>"), "hmm-ids")
+    encoded = common.written(d.mapInPandas(_encode(ranks), f"rid long, doc_id {kind}, held_out boolean, ids binary, words array<string>, ks array<long>"), "hmm-ids")
     # the words outside the head, joined with their counts
     if top:
         last = top[-1]
@@ -312,7 +323,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     class_n = np.array([sizes.get(c, (0, 0))[0] for c in range(TIED)], dtype=float)
     class_z = np.array([sum(sizes.get(c, (0, 0))) + 1 for c in range(TIED)], dtype=float)
     z = F.element_at(F.array(*[F.lit(float(x)) for x in class_z]), _class_column(F.col("word")) + 1)
-    found = encoded.select("rid", F.explode("rest").alias("r")).select("rid", "r.word", "r.k").join(tail, "word", "left")
+    found = encoded.select("rid", F.explode(F.arrays_zip("words", "ks")).alias("r")).select("rid", F.col("r.words").alias("word"), F.col("r.ks").alias("k")).join(tail, "word", "left")
     c = F.coalesce("n", F.lit(0)).cast("double")
     rest = found.groupBy("rid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("known_rest"),
@@ -321,10 +332,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     )
     prior = np.concatenate([head_n + 1, class_n + 1])
     prior /= prior.sum()
-    training = encoded.filter(~F.col("held_out")).select("rid", "ids")
-    share = min(1.0, SAMPLE_DOCS / max(1, ends))
-    sample = training.filter(F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < int(share * 1_000_000)).select("ids")
-    model, _ = baum_welch(training.select("ids"), prior, sample)
+    model, _ = baum_welch(encoded.filter(~F.col("held_out")).select("ids"), prior)
     with np.errstate(divide="ignore"):
         base = np.where(head_n >= 0, np.log10((head_n + 1) / (total + kinds + 1)), 0)
     known_end = 1 if ends else 0

@@ -1,5 +1,7 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -60,33 +62,63 @@ def test_shards_round_trip_and_lookup(spark, tmp_path):
 
 
 def brute_forward(ids, model):
-    begin, _, move, emit = model
+    begin, move, emit = model
     a = begin * emit[ids[0]]
     for i in ids[1:]:
         a = (a @ move) * emit[i]
     return np.log10(a.sum())
 
 
-def test_forward_and_expected_counts():
+def brute_counts(ids, model):
+    """Expected counts of one document by summing over all paths of states."""
+    begin, move, emit = model
+    k = len(begin)
+    starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape), 0.0
+    for path in itertools.product(range(k), repeat=len(ids)):
+        p = begin[path[0]] * emit[ids[0], path[0]]
+        for t in range(1, len(ids)):
+            p *= move[path[t - 1], path[t]] * emit[ids[t], path[t]]
+        total += p
+        starts[path[0]] += p
+        for t, s in enumerate(path):
+            emissions[ids[t], s] += p
+            if t:
+                moves[path[t - 1], s] += p
+    return starts / total, moves / total, emissions / total
+
+
+@pytest.mark.parametrize("batch_tokens", [400_000, 4])
+def test_forward_and_expected_counts(monkeypatch, batch_tokens):
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", batch_tokens)
+    monkeypatch.setattr(hmm, "STATES", 3)
     rng = np.random.default_rng(1)
     model = hmm.initial(np.full(6, 1 / 6))
-    data = [rng.integers(0, 6, n) for n in (1, 5, 9, 3)]
+    data = [rng.integers(0, 6, n) for n in (7, 1, 5, 3)]
     assert np.allclose(hmm.log10_likelihood(data, model), [brute_forward(d, model) for d in data])
-    begin, follow, moves, emissions, _ = hmm.expected(data, np.array([True, True, False, True]), model)
-    assert np.isclose(begin.sum(), 3) and np.isclose(follow.sum(), 1) and np.isclose(moves.sum(), 14) and np.isclose(emissions.sum(), 18)
-    before = sum(hmm.log10_likelihood(data, model))
-    fresh = np.ones(4, bool)
-    for _ in range(5):
-        b, f, m, e, _ = hmm.expected(data, fresh, model)
-        model = ((b + 1e-9) / (b + 1e-9).sum(), model[1], (m + 1e-9) / (m + 1e-9).sum(1, keepdims=True), (e + 1e-9) / (e + 1e-9).sum(0))
-    assert sum(hmm.log10_likelihood(data, model)) >= before
+    want = [sum(x) for x in zip(*(brute_counts(d, model) for d in data))]
+    total = None
+    for batch in hmm.by_length(data):
+        got = hmm.expected([data[i] for i in batch], model)
+        total = got if total is None else [x + y for x, y in zip(total, got)]
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(total, want))
+    assert np.isclose(total[3] / np.log(10), sum(brute_forward(d, model) for d in data))
 
 
 def test_hmm_counts(spark):
-    got = {(r["doc_id"], r["n_tokens"]): r for r in hmm.score(docs(spark, TEXTS[:5]), F.col("doc_id") == 4).collect()}
-    assert got[(1, 1)]["n_known"] == 1 and got[(4, 3)]["held_out"] and got[(4, 3)]["n_known"] == 3
-    assert all(r["score"] < 0 for r in got.values())
+    rows = [*TEXTS, (None, "hello  WORLD again"), (9, prose(1, 3000)), (10, " ".join(f"w{i}" for i in range(50_000)))]
+    clash = docs(spark, rows).withColumn("rid", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("words", F.lit(2)).withColumn("word", F.lit(3))
+    got = hmm.score(clash, F.coalesce(F.col("doc_id") == 4, F.lit(False))).collect()
+    counts = Counter()
+    for i, t in rows:
+        if i != 4:
+            counts.update([*(t or "").encode().lower().split(), b"\x00end"])
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i if i is not None else -1, len(x), sum(counts[w] > 0 for w in x), sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in x)) for i, x in ((i, [*(t or "").encode().lower().split(), b"\x00end"]) for i, t in rows))
+    have = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["n_known"], r["base_score"]) for r in got)
+    assert all(a[:3] == b[:3] and np.isclose(a[3], b[3]) for a, b in zip(have, want)) and len(have) == len(want)
+    assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got) and [r["doc_id"] for r in got if r["held_out"]] == [4]
     assert hmm.score(docs(spark, []), F.lit(False)).count() == 0
+    assert hmm.score(docs(spark, TEXTS), F.lit(True)).filter("train_tokens = 0 AND n_known = 0").count() == len(TEXTS)
 
 
 def test_toxicity(spark):
