@@ -12,22 +12,23 @@ the same streams are read on). Each dart hits one coordinate; the earliest dart
 coordinate's value. Two documents agree in a coordinate with probability equal to their similarity.
 
 Banding: `BANDS` bands of `ROWS` coordinates; a bucket holds the documents equal in one band.
-Pass 1 compares every member of a bucket with its least member: first the least of all such leaders, then,
-where both are not of one class yet, the next ones up to `LEADERS`. Pass 2 handles all the rest: it takes the
-buckets whose members are not yet of one class, and compares all members of different classes by
-signature in blocks of `BLOCK` rows (a large bucket is many small tasks), keeping pairs whose
-estimate reaches `ESTIMATE`. Pairs of one class need no comparison. Each kept pair is verified on
-the whole texts with exact weights. Classes are the components of verified links.
-
-Null texts, empty texts and texts without words are in a class of their own each; rows with the
-same id and the same words are one document for linking, and each of them is returned. Of rows that
-share an id but not their words, the least text stands for the id when links are verified.
+Pass 1 compares every member of a bucket with its first member: first the first of all such leaders, then,
+where both are not of one class yet, the next ones up to `LEADERS`. Pass 2 handles all the rest: in
+the buckets whose members are not yet of one class, members meet in lanes of about `LANE_BYTES` (a large bucket
+is many small tasks, each of one lane or of two). A task compares signatures of members of different
+classes and, where the estimate reaches `ESTIMATE`, at once their exact weights; a link makes its two
+classes one for the rest of the task, and a pair is taken in the first bucket that it shares. So only
+links that join classes leave a task, never pairs. Classes are the components of verified links.
+
+Null texts, empty texts and texts without words are in a class of their own each. Rows are told apart by a
+row key, not by id: rows may share an id, or have none; a class is named by the least id in it. Exactly
+one row of each class is kept: one with the least id, the first of them by row key. A table
+without rows gives none. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 K = BANDS * ROWS
-BLOCK = 256
+LANE_BYTES = 4_000_000
 LEADERS = 8
 ESTIMATE = 0.68
 WORD = re.compile(r"\w+")
@@ -139,117 +140,164 @@ def _grouped(items: list, size) -> list[list]:
     return out if out[0] else []
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard index of two arrays of shingle occurrences."""
-    x, y = units(a), units(b)
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard index of two sets of units of weight."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(1, len(x) + len(y) - both)
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard index of two arrays of shingle occurrences."""
+    return overlap(units(a), units(b))
+
+
 def _digest(batches):
     for pdf in batches:
-        digests, fresh = [], {}
-        for t in pdf["text"]:
-            w = word_hashes(t)
-            digest = xxhash.xxh128_digest(w.tobytes()) if len(w) else None
-            digests.append(digest)
-            if digest and digest not in fresh:
-                fresh[digest] = units(shingles(t))
-        bands: dict = {None: []}
-        for group in _grouped(list(fresh.items()), lambda x: len(x[1])):
-            for (digest, _), row in zip(group, signatures([x for _, x in group])):
-                bands[digest] = [xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - (1 << 63) for b in range(BANDS)]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": digests, "bands": [bands[d] for d in digests]})
+        for lo, hi in common.slices(pdf["text"]):
+            cut = pdf.iloc[lo:hi]
+            digests, fresh = [], {}
+            for t in cut["text"]:
+                w = word_hashes(t)
+                digest = xxhash.xxh128_digest(w.tobytes()) if len(w) else None
+                digests.append(digest)
+                if digest and digest not in fresh:
+                    fresh[digest] = units(shingles(t))
+            bands: dict = {None: None}
+            for group in _grouped(list(fresh.items()), lambda x: len(x[1])):
+                for (digest, _), row in zip(group, signatures([x for _, x in group])):
+                    bands[digest] = [xxhash.xxh64_intdigest(row[ROWS * b : ROWS * (b + 1)].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+            yield pd.DataFrame({"rid": cut["rid"], "doc_id": cut["doc_id"].astype("Int64"), "words": digests, "bands": [bands[d] for d in digests]})
 
 
 def _sign(batches):
     for pdf in batches:
-        rows = [x for group in _grouped([units(shingles(t)) for t in pdf["text"]], len) for x in signatures(group)]
-        yield pd.DataFrame({"id": pdf["id"], "signature": [r.tobytes() for r in rows]})
+        for lo, hi in common.slices(pdf["text"]):
+            cut = pdf.iloc[lo:hi]
+            held = [units(shingles(t)) for t in cut["text"]]
+            rows = [x for group in _grouped(held, len) for x in signatures(group)]
+            yield pd.DataFrame({"id": cut["rid"], "size": [len(x) for x in held], "signature": [r.tobytes() for r in rows], "units": [x.tobytes() for x in held]})
 
 
 def _verify(batches):
     for pdf in batches:
         known: dict[int, np.ndarray] = {}
         keep = []
-        for u, v, a, b in zip(pdf["u"], pdf["v"], pdf["a"], pdf["b"]):
+        for v, a, b in zip(pdf["v"], pdf["a"], pdf["b"]):
             if v not in known:
-                known = {v: shingles(b)}
-            keep.append(similarity(shingles(a), known[v]) >= SIMILARITY)
+                known = {v: np.frombuffer(b, dtype=U64)}
+            keep.append(overlap(np.frombuffer(a, dtype=U64), known[v]) >= SIMILARITY)
         yield pdf.loc[keep, ["u", "v"]]
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs u, v whose texts (id, text) are similar; written."""
-    pairs = common.written(pairs.distinct(), "near-pairs")
-    one = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    two = one.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    out = common.written(two.mapInPandas(_verify, "u long, v long"), "near-links")
-    common.drop_written(pairs)
-    return out
+def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs u, v that are similar by their units of weight; written."""
+    one = pairs.join(signed.select(F.col("id").alias("u"), F.col("units").alias("a")), "u")
+    two = one.join(signed.select(F.col("id").alias("v"), F.col("units").alias("b")), "v").select("u", "v", "a", "b")
+    return common.written(two.mapInPandas(_verify, "u long, v long"), "near-links")
 
 
 def _close(key, pdf):
-    """Pairs of different classes whose signatures agree often enough: all within a lane, or one lane with another."""
-    _, _, low, high = key
-    pdf = pdf.sort_values("id", kind="stable").drop_duplicates("id")
+    """Links between members of different classes: all within a lane, or one lane with another."""
+    band, _, low, high = key
     rows = np.frombuffer(b"".join(pdf["signature"]), dtype="<u4").reshape(-1, K)
-    ids, classes, lanes = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["lane"].to_numpy()
-    left = np.flatnonzero(lanes == low)
+    held = [np.frombuffer(x, dtype=U64) for x in pdf["units"]]
+    size, ids, lanes = pdf["size"].to_numpy(), pdf["id"].to_numpy(), pdf["lane"].to_numpy()
+    root, of = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    root = np.arange(len(root))  # of each class, by the links found here
     right = np.flatnonzero(lanes == high)
     us, vs = [], []
-    for i in left:
-        other = right[(classes[right] != classes[i]) & (ids[right] != ids[i])]
-        if len(other):
-            hit = other[(rows[other] == rows[i]).mean(1) >= ESTIMATE]
-            us += [max(ids[i], ids[j]) for j in hit]
-            vs += [min(ids[i], ids[j]) for j in hit]
-    return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)}).drop_duplicates()
-
-
-def _across(buckets: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs between different classes of one bucket; buckets: band, h, id."""
+    for i in np.flatnonzero(lanes == low):
+        other = right[root[of[right]] != root[of[i]]]
+        if low == high:
+            other = other[other > i]
+        other = other[np.minimum(size[other], size[i]) >= SIMILARITY * np.maximum(size[other], size[i])]
+        if not len(other):
+            continue
+        same = rows[other] == rows[i]
+        estimate = same.mean(1)
+        near = np.flatnonzero(estimate >= ESTIMATE)
+        if band:
+            earlier = same[near, : ROWS * band].reshape(len(near), band, ROWS).all(2).any(1)
+            near = near[~earlier]
+        for j in other[near[np.argsort(-estimate[near], kind="stable")]]:
+            x, y = root[of[i]], root[of[j]]
+            if x != y and overlap(held[i], held[j]) >= SIMILARITY:
+                root[root == max(x, y)] = min(x, y)
+                us.append(max(ids[i], ids[j]))
+                vs.append(min(ids[i], ids[j]))
+    return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
+
+
+def _across(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
+    """Links between different classes of one bucket, written; buckets: band, h, id."""
     b = buckets.join(found.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    b = common.written(b, "near-members")
-    mixed = b.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y")
-    mixed = common.written(mixed.select("band", "h", F.ceil(F.col("n") / BLOCK).cast("int").alias("lanes")), "near-mixed")
-    m = common.written(b.join(mixed, ["band", "h"]).withColumn("lane", F.pmod(F.xxhash64("id", "band"), F.col("lanes")).cast("int")), "near-across")
-    signed = common.written(texts.join(m.select("id").distinct(), "id", "left_semi").mapInPandas(_sign, "id long, signature binary"), "near-signed")
-    m = m.join(signed, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    b = common.written(b.join(signed.select("id", "size"), "id"), "near-members")
+    mixed = b.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.col("size") * 8 + 4 * K).alias("bytes")).filter("x <> y")
+    mixed = common.written(mixed.select("band", "h", F.ceil(F.col("bytes") / LANE_BYTES).cast("int").alias("lanes")), "near-mixed")
+    m = b.join(mixed, ["band", "h"]).withColumn("lane", F.pmod(F.xxhash64("id", "band"), F.col("lanes")).cast("int"))
+    m = m.join(signed.drop("size"), "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
     m = m.withColumn("low", F.least("lane", "o")).withColumn("high", F.greatest("lane", "o"))
-    return m.select("band", "h", "low", "high", "id", "component", "lane", "signature").groupBy("band", "h", "low", "high").applyInPandas(_close, "u long, v long")
+    m = m.select("band", "h", "low", "high", "id", "component", "lane", "size", "signature", "units")
+    out = common.written(m.groupBy("band", "h", "low", "high").applyInPandas(_close, "u long, v long"), "near-more")
+    common.drop_written(b, mixed)
+    return out
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least id of its class), copies (rows with its words), kept (doc_id = class_id)."""
-    d = common.doc_texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    member = common.written(d.mapInPandas(_digest, "doc_id long, words binary, bands array<long>"), "near-words")
-    groups = member.filter(F.col("words").isNotNull() & F.col("doc_id").isNotNull()).groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+def keyed(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """docs with a row key, written: the key is the same whenever the rows are read again."""
+    return common.written(docs.withColumn(name, F.monotonically_increasing_id()), "near-rows")
+
+
+def classes_of_rows(rows: DataFrame) -> DataFrame:
+    """rows: rid, doc_id, text, written. Returns for each: rid, doc_id, class_id, copies (rows with its words), kept."""
+    member = common.written(rows.mapInPandas(_digest, "rid long, doc_id long, words binary, bands array<long>"), "near-words")
+    groups = member.filter(F.col("words").isNotNull()).groupBy("words").agg(F.min("rid").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     groups = common.written(groups, "near-groups")
-    leaders = member.join(groups, "words").filter(F.col("doc_id") == F.col("id")).select("id", F.posexplode("bands").alias("band", "h"))
+    leaders = member.join(groups.select("words", F.col("id").alias("rid")), ["words", "rid"]).select(F.col("rid").alias("id"), F.posexplode("bands").alias("band", "h"))
     bands = common.written(leaders, "near-bands")
     many = bands.groupBy("band", "h").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
     many = common.written(many.select("band", "h", "least"), "near-buckets")
     buckets = common.written(bands.join(many, ["band", "h"]), "near-bucketed")
     common.drop_written(bands, many)
-    ids = common.written(buckets.select("id").distinct(), "near-ids")
-    texts = d.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    texts = common.written(texts.groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+    ids = common.written(buckets.select(F.col("id").alias("rid")).distinct(), "near-ids")
+    signed = rows.select("rid", "text").join(ids, "rid", "left_semi").mapInPandas(_sign, "id long, size long, signature binary, units binary")
+    signed = common.written(signed, "near-signed")
     stars = buckets.filter(F.col("id") != F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
     stars = common.written(stars.withColumn("n", F.row_number().over(W.partitionBy("u").orderBy("v"))), "near-stars")
-    links = verified(stars.filter("n = 1").select("u", "v"), texts)
+    links = verified(stars.filter("n = 1").select("u", "v"), signed)
     found = components(links)
     rest = stars.filter(F.col("n").between(2, LEADERS)).select("u", "v")  # further leaders only where the first left two classes
     for end in ("u", "v"):
         rest = rest.join(found.select(F.col("u").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    rest = verified(rest.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"), texts)
+    rest = verified(rest.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"), signed)
     if rest.limit(1).count():
         links = common.written(links.unionAll(rest), "near-links")
         found = components(links)
-    more = verified(_across(buckets.select("band", "h", "id").distinct(), found, texts), texts)
-    common.drop_written(texts)
+    more = _across(buckets.select("band", "h", "id").distinct(), found, signed)
+    common.drop_written(signed, buckets, stars)
     if more.limit(1).count():
         found = components(links.unionAll(more))
-    g = groups.join(found.withColumnRenamed("u", "id"), "id", "left").select("words", "copies", F.coalesce("component", "id").alias("component"))
-    out = member.select("doc_id", "words").join(g, "words", "left")
-    return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    g = groups.join(found.withColumnRenamed("u", "id"), "id", "left").select("words", "least", "copies", F.coalesce("component", "id").alias("component"))
+    g = common.written(g, "near-classes")
+    named = common.written(g.groupBy("component").agg(F.min("least").alias("class_id")), "near-named")
+    g = common.written(g.drop("least").join(named, "component"), "near-classes")
+    placed = common.written(member.select("rid", "doc_id", "words").join(g, "words", "left"), "near-placed")
+    keep = placed.filter(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("rid").alias("keep"))
+    out = placed.join(keep, "component", "left")
+    alone = F.col("component").isNull()
+    return out.select("rid", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), (alone | (F.col("rid") == F.col("keep"))).alias("kept"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the least id of its class), copies (rows with its words), kept (one row of each class)."""
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    return classes_of_rows(rows).drop("rid")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The kept rows of docs, whole."""
+    key = common.fresh(docs, "rid")
+    rows = keyed(docs, key)
+    found = classes_of_rows(rows.select(F.col(key).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    drop = common.written(found.filter(~F.col("kept")).select(F.col("rid").alias(key)), "near-dropped")
+    return rows.join(drop, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

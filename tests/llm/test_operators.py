@@ -131,12 +131,37 @@ def test_toxicity(spark):
 
 
 def test_near_duplicates(spark):
+    """Classes equal those of all pairs, in a group of near copies of which few are similar to each other."""
+    rng = random.Random(3)
     base = prose(5, 200).split()
     near = base[:100] + ["changed"] + base[101:]
     half = base[:100] + prose(6, 100).split()
-    rows = [(10, " ".join(base)), (11, " ".join(near)), (12, " ".join(half)), (13, " ".join(base)), (14, None), (15, ""), (16, "one two"), (17, "one two")]
-    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, rows)).collect()}
-    assert got == {10: 10, 11: 10, 12: 12, 13: 10, 14: 14, 15: 15, 16: 16, 17: 16}
+    rows = [(10, " ".join(base)), (11, " ".join(near)), (12, " ".join(half)), (13, " ".join(base)), (14, None), (15, ""), (16, "one two"), (17, "one two"), (16, "one two"), (16, prose(30, 20)), (None, prose(31, 20)), (None, " ".join(base)), (18, prose(32, 30_000))]
+    hot = prose(7, 100).split()
+    for i in range(400):
+        copy = list(hot)
+        for _ in range(rng.choice([1, 2, 4])):
+            copy[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        rows.append((100 + i, " ".join(copy)))
+    sets = [set(minhash.units(minhash.shingles(t or "")).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= minhash.SIMILARITY * len(x | sets[j]) > 0:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    members = {}
+    for i, (d, _) in enumerate(rows):
+        members.setdefault(find(i), []).append(d)
+    least = {k: min((d for d in g if d is not None), default=None) for k, g in members.items()}
+    want = Counter((d, least[find(i)]) for i, (d, _) in enumerate(rows))
+    clash = docs(spark, rows).withColumn("rid", F.lit("x")).withColumn("words", F.lit(1)).withColumn("kept", F.lit(2))
+    got = minhash.classes(clash).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(members) and all(r["doc_id"] == r["class_id"] for r in got if r["kept"])
     assert minhash.classes(docs(spark, [])).count() == 0
 
 
