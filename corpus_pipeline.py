@@ -2,8 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the
 shared folder and gives it, read again, to the next stage. All stages but the last return the
-columns of `documents`. Decisions are joined back by doc_id, so rows that share an id share them;
-rows with a null id are kept by the filters.
+columns of `documents`, and any others that docs has, whatever their names. Decisions are taken row by row:
+rows that share an id, or have none, are judged by their own texts. Null and empty texts are not toxic
+unless the machine says so, have no copies, hold no benchmark item and no personal data, and are packed as a lone end id.
+Of rows equal in words one stays. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -15,12 +17,6 @@ from pyspark.sql import functions as F
 from provgraph.llm import common, decontamination, minhash, packing, pii, toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among ids."""
-    found = common.written(ids.select(F.col("doc_id").cast("long").alias("_out")).filter("_out IS NOT NULL").distinct(), "pipeline-out")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_out"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic; it learns from all labels of its input."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), F.lit(True))
@@ -28,13 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id. Of rows with the same id, all stay."""
-    return _without(docs, minhash.classes(docs).filter(~F.col("kept")))
+    """One row of each near-duplicate class: the first with the least id."""
+    return minhash.deduplicated(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs within the edit budget."""
-    return _without(docs, decontamination.find(docs, common.table(spark, sf_dir, "benchmark")))
+    return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
