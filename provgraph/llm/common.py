@@ -66,6 +66,16 @@ def slices(texts, rows: int = 1000, chars: int = 2_000_000):
         yield lo, len(texts)
 
 
+def hash_share(share: float) -> int:
+    """The bound under which a 63-bit hash falls with this probability."""
+    return min((1 << 63) - 1, int(share * (1 << 63)))
+
+
+def hashed(*columns) -> Column:
+    """A 63-bit hash of columns."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,24 +7,32 @@ hits with one automaton over all pieces, take the stretch of text that the item
 around each hit, and verify it with Myers' bit-parallel distance (substring form, one bit a
 character of the item). No occurrence within the budget is missed.
 
-The items are sent to the tasks in blocks of at most BLOCK_CHARS characters, so what is
-broadcast is bounded however large the benchmark is; documents are scanned once a block.
-Nothing is shuffled; a very common passage costs its own verification and nothing else.
-
-Null or empty texts match nothing. Items of fewer than MIN_CHARS characters are left out: they
-say too little. Repeated documents each get their hits; items of equal text each get theirs.
+Items of fewer than EDIT_EVERY characters have no budget: they are found as they are, as whole words. An item
+without a word matches nothing.
+
+The normalised items are written to the shared folder in blocks of about BLOCK_CHARS characters (by a hash of
+their id), and tasks read a block from there: nothing of the benchmark passes through the driver, and a
+task holds one block at a time. Documents are scanned once a block. Nothing is shuffled but the
+items; a very common passage costs its own verification and nothing else.
+
+Null or empty texts match nothing; null items, or items with a null id, are left out. Repeated documents each
+get their hits, whatever their ids; items of equal text each get theirs, and of rows with equal id and text
+one counts. Of several occurrences the one of least distance, then the first, is given. An empty
+table gives no rows. Only the columns named here are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 EDIT_EVERY = 16
-MIN_CHARS = 40
 BLOCK_CHARS = 8_000_000
 WORD = re.compile(r"\w+")
 
@@ -90,6 +98,10 @@ class Matcher:
         found = []
         for n, starts in near.items():
             item_id, item, k = self.items[n]
+            if not k:
+                if whole := [s for s in sorted(starts) if f" {item} " in f" {text[max(0, s - 1) : s + len(item) + 1]} "]:
+                    found.append((item_id, 0, whole[0] + len(item)))
+                continue
             best = None
             stretch = None
             for s in sorted(starts):  # hits whose stretches overlap are verified together
@@ -112,42 +124,71 @@ class Matcher:
         return min(filter(None, [best, (got[0], a + got[1]) if got else None]), default=None)
 
 
-def _scan(items):
-    matcher = []
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(folder: str) -> Matcher:
+    """The matcher of a written block; a worker process keeps one."""
+    if folder not in _matchers:
+        from pyarrow import dataset
 
+        system, path = common.file_system(folder)
+        rows = dataset.dataset(path, filesystem=system, format="parquet").to_table(columns=["item_id", "item"])
+        _matchers.clear()
+        _matchers[folder] = Matcher(list(zip(rows["item_id"].to_pylist(), rows["item"].to_pylist())))
+    return _matchers[folder]
+
+
+def _scan(folder: str):
     def run(batches):
-        if not matcher:
-            matcher.append(Matcher(items.value))
+        matcher = _matcher(folder)
         for pdf in batches:
-            rows = [(d, *hit) for d, t in zip(pdf["doc_id"].astype("object"), pdf["text"]) for hit in matcher[0].find(normalised(t))]
+            rows = [(d, *hit) for d, t in zip(pdf["doc_id"].astype("object"), pdf["text"]) for hit in matcher.find(normalised(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "end_at"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame):
-    """The items, normalised, in blocks of bounded size."""
-    block, size = [], 0
-    rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).dropDuplicates(["item_id", "text"])
-    for r in rows.toLocalIterator():
-        t = normalised(r["text"])
-        if len(t) < MIN_CHARS:
-            continue
-        if block and size + len(t) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], t))
-        size += len(t)
-    yield block
+def _normalise(batches):
+    for pdf in batches:
+        items = pdf.assign(item=[normalised(t) for t in pdf["text"]])
+        yield items.loc[items["item"] != "", ["item_id", "item"]]
+
+
+def blocks(benchmark: DataFrame) -> list[str]:
+    """Folders of the written blocks of normalised items."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    items = common.written(rows.mapInPandas(_normalise, "item_id long, item string").distinct(), "bench-items")
+    chars = items.agg(F.sum(F.length("item"))).first()[0]
+    if not chars:
+        return []
+    n = -(-chars // BLOCK_CHARS)
+    parted = items.withColumn("block", F.pmod(F.xxhash64("item_id", "item"), F.lit(n)))
+    return [common.written(parted.filter(F.col("block") == i).select("item_id", "item").repartition(1), "bench-block")._shared_path for i in range(n)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that occurs in it: doc_id, item_id, distance, end_at."""
-    spark = docs.sparkSession
     d = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") > 0))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    out = None
-    for block in _blocks(benchmark):
-        hits = d.mapInPandas(_scan(spark.sparkContext.broadcast(block)), f"doc_id {kind}, item_id long, distance int, end_at long")
-        out = hits if out is None else out.unionAll(hits)
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, end_at long"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for folder in blocks(benchmark):
+        out = out.unionAll(d.mapInPandas(_scan(folder), schema))
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, whole, in which no item occurs."""
+
+    def holds_none(folder):
+        @F.pandas_udf("boolean")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            matcher = _matcher(folder)
+            for texts in parts:
+                yield pd.Series([not matcher.find(normalised(t)) for t in texts], dtype=bool)
+
+        return run
+
+    for folder in blocks(benchmark):
+        docs = docs.filter(holds_none(folder)(F.coalesce("text", F.lit(""))))
+    return docs
