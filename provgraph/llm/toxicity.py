@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_train):
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(may_train)
     n = marked.count()
     share = min(1.0, SAMPLE / max(1, n))
-    marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))  # about SAMPLE rows at most
+    marked = marked.filter(common.hashed("doc_id") <= common.hash_share(share))  # about SAMPLE rows at most
     train = common.written(common.doc_texts(docs).join(F.broadcast(marked), "doc_id"), "fm-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
