@@ -5,17 +5,21 @@ implied end tags of HTML (a block ends a paragraph, an item ends an item, a cell
 end of a container ends what is open in it); a visibility rule drops scripts, styles, templates, the
 head, hidden elements and inline styles that hide. The renderer then emits all visible text:
 blocks on lines of their own, paragraphs and headings with a blank line around them, list items
-with a mark and indentation, preformatted text as it stands, table cells padded to columns.
-
-Null or empty pages give empty text. Unclosed and stray tags never fail; nesting beyond
-`DEEPEST` levels is read as siblings, so that hostile pages cost no more than others. Each page
-is handled on its own: no shuffle.
+with a mark and indentation, preformatted text as it stands, table cells padded to columns. A cell of
+several lines makes a row of several lines; columns are padded to `PAD` characters at most (longer cells
+stay whole), so padding never outgrows a page. All that stands in a row is emitted: text and elements
+outside cells are cells of their own.
+
+Null or empty pages give empty text, an empty table no rows; repeated rows and ids are rendered each by itself. Unclosed
+and stray tags never fail. Nesting beyond `DEEPEST` levels is written as if on that level, but what is hidden stays hidden, at any depth. Each page
+is handled on its own: no shuffle. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,16 +27,18 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0*(?:\.0*)?\s*(?:;|!|$)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
-DEEPEST = 200
+DEEPEST, OPEN = 150, 4_000
+PAD = 60
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video svg math select textarea title".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist audio video title desc defs metadata".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
+KEPT = frozenset("textarea xmp pre".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html".split())
 #: An opening tag closes the nearest open one of these, unless one of the fences lies between.
@@ -56,24 +62,28 @@ class Node:
 def _visible(tag: str, attributes: str) -> tuple[bool, int]:
     if tag in UNSEEN:
         return False, 1
-    start = 1
+    start, shown = 1, tag != "dialog"
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "hidden" or name == "style" and HIDING.search(value):
                 return False, start
+            shown |= name == "open"
             if name == "start" and tag == "ol" and value.lstrip("-").isdigit() and len(value) < 9:
                 start = int(value)
-    return True, start
+    return shown, start
 
 
 def tree(page: str) -> Node:
     root = Node("html")
-    stack = [root]
+    stack, opened = [root], Counter()
 
     def close(tags, fences) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(x.tag for x in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in fences:
@@ -108,13 +118,20 @@ def tree(page: str) -> Node:
             close({"head"}, ())
         seen, start = _visible(tag, m[3])
         node = Node(tag, seen, start)
-        stack[-1].items.append(node)
+        deep = len(stack) >= DEEPEST
+        if not deep or tag in VOID or tag in RAW:
+            stack[-1].items.append(node)
+        elif seen:
+            node.items = stack[-1].items  # written as if on the level above
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            stop = end.end() if end else len(page)
-            at = stop
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < DEEPEST:
+            if tag in KEPT:
+                text = page[at : end.start() if end else len(page)]
+                node.items.append(entities.unescape(text) if tag == "textarea" else text)
+            at = end.end() if end else len(page)
+        elif tag not in VOID and not m[3].rstrip().endswith("/") and (len(stack) < OPEN or not seen):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -148,26 +165,63 @@ class _Writer:
             self.lines.append(self.indent + line)
 
 
-def _cells(table: Node) -> tuple[list[str], list[list[str]]]:
-    """Captions, and rows of cell texts."""
+def _holds_cells(node: Node) -> bool:
+    return any(isinstance(c, Node) and (c.tag in ("td", "th") or c.tag not in BLOCK | {"form"} and _holds_cells(c)) for c in node.items)
+
+
+def _row(node: Node) -> list[list[str]]:
+    """The cells of a row as lines; wrappers around cells are looked through, whatever else is visible is a cell."""
+    cells = []
+    for c in node.items:
+        if isinstance(c, str):
+            if c.strip():
+                cells.append([" ".join(c.split())])
+        elif c.seen and c.tag not in ("td", "th") and _holds_cells(c):
+            cells += _row(c)
+        elif c.seen:
+            text = render(c) if c.tag in ("td", "th") else _rendered_alone(c)
+            if text or c.tag in ("td", "th"):
+                cells.append(text.split("\n"))
+    return cells
+
+
+def _rendered_alone(node: Node) -> str:
+    holder = Node("div")
+    holder.items.append(node)
+    return render(holder)
+
+
+def _cells(table: Node) -> tuple[list[str], list[list[list[str]]]]:
+    """Captions, and rows of cells."""
     captions, rows = [], []
     for x in table.items:
         if isinstance(x, str):
             if x.strip():
-                captions.append(x.strip())
+                captions.append(" ".join(x.split()))
         elif not x.seen:
             continue
         elif x.tag == "tr":
-            rows.append([" ".join(render(c).split()) for c in x.items if isinstance(c, Node) and c.tag in ("td", "th") and c.seen])
-        elif x.tag in ("tbody", "thead", "tfoot"):
+            rows.append(_row(x))
+        elif x.tag in ("tbody", "thead", "tfoot") or x.tag not in ("td", "th", "table", "caption") and any(isinstance(c, Node) and c.tag in ("tr", "tbody", "thead", "tfoot") for c in x.items):
             more, inner = _cells(x)
             captions += more
             rows += inner
         elif x.tag in ("td", "th"):
-            rows.append([" ".join(render(x).split())])
+            rows.append([render(x).split("\n")])
         elif x.tag not in ("col", "colgroup"):
-            captions.append(render(x))
-    return captions, [r for r in rows if any(r)]
+            captions.append(render(x) if x.tag == "caption" else _rendered_alone(x))
+    return captions, [r for r in rows if any(any(c) for c in r)]
+
+
+def _table(x: Node, out: "_Writer") -> None:
+    captions, rows = _cells(x)
+    for c in captions:
+        for line in c.split("\n"):
+            out.put(line)
+    widths = [min(PAD, max((len(line) for r in rows if i < len(r) for line in r[i]), default=0)) for i in range(max(map(len, rows), default=0))]
+    for r in rows:
+        for k in range(max(map(len, r))):
+            out.put("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip())
 
 
 def _write(node: Node, out: _Writer, pre: bool) -> None:
@@ -191,7 +245,7 @@ def _write(node: Node, out: _Writer, pre: bool) -> None:
             out.line = ""
             continue
         if tag not in BLOCK:
-            _write(x, out, pre)
+            _write(x, out, pre or tag in KEPT)
             continue
         out.end()
         if tag in SPACED and not (node.tag == "li" and tag in ("ul", "ol")):
@@ -199,13 +253,7 @@ def _write(node: Node, out: _Writer, pre: bool) -> None:
         if tag == "hr":
             out.put("---")
         elif tag == "table":
-            captions, rows = _cells(x)
-            for c in captions:
-                for line in c.split("\n"):
-                    out.put(line)
-            widths = [max(len(r[i]) if i < len(r) else 0 for r in rows) for i in range(max(map(len, rows), default=0))]
-            for r in rows:
-                out.put("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip())
+            _table(x, out)
         elif tag == "li":
             held = out.indent
             out.mark = held + (f"{number}. " if node.tag == "ol" else "- ")
@@ -218,7 +266,7 @@ def _write(node: Node, out: _Writer, pre: bool) -> None:
             held = out.indent
             if tag in ("blockquote", "dd"):
                 out.indent += "  "
-            _write(x, out, pre or tag == "pre")
+            _write(x, out, pre or tag in KEPT)
             out.end()
             out.indent = held
         if tag in SPACED and not (node.tag == "li" and tag in ("ul", "ol")):

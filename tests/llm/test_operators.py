@@ -187,14 +187,45 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in links)}
 
 
+def plain_distance(item, text):
+    """The least edit distance of item to any substring of text, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, d in enumerate(text, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d))
+    return min(row)
+
+
 def test_edit_matching(spark):
-    item = prose(20, 30)
-    edited = item.replace("harbour", "harbor").replace("stone", "stonne")
-    rows = [(1, prose(21, 50) + " " + item + " " + prose(22, 50)), (2, prose(23, 20) + " " + edited), (3, prose(24, 300)), (4, None), (5, "")]
-    bench = spark.createDataFrame([(7, item), (8, "short"), (9, None)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontamination.find(docs(spark, rows), bench).collect()}
-    assert got[(1, 7)] == 0 and set(got) == {(1, 7), (2, 7)}
-    assert decontamination.find(docs(spark, rows), bench.filter("false")).count() == 0
+    rng = random.Random(9)
+    items = [prose(20, 12), prose(21, 6), "short", "two words", "!!", prose(20, 12), "a" * 40]
+
+    def edited(t, n):
+        for _ in range(n):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(["", "z", "yy"]) + t[at + 1 :]
+        return t
+
+    rows = [(i, f"{prose(40 + i, 10)} {edited(items[i % 2], i % 9)} {prose(80 + i, 5)}") for i in range(40)]
+    rows += [(100, "a short note"), (101, "shortly"), (102, "TWO  words"), (103, None), (104, ""), (None, items[0]), (100, "nothing"), (105, prose(24, 30_000) + " " + items[1]), (106, "a" * 43)]
+    bench = spark.createDataFrame([*enumerate(items), (8, None), (None, items[0]), (0, items[0])], "item_id long, text string")
+    clash = docs(spark, rows).withColumn("item_id", F.lit("x")).withColumn("item", F.lit(1))
+    got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.find(clash, bench).collect())
+    want = Counter()
+    for d, t in rows:
+        text = decontamination.normalised(t or "")
+        for i, item in enumerate(map(decontamination.normalised, items)):
+            if item and len(item) < decontamination.EDIT_EVERY:
+                want[(d, i, 0)] += f" {item} " in f" {text} "
+            elif item and len(text) < 2000:
+                n = plain_distance(item, text)
+                want[(d, i, n)] += n <= len(item) // decontamination.EDIT_EVERY
+    want[(105, 1, 0)] += 1
+    assert got == +want
+    left = decontamination.clean(clash, bench)
+    assert left.columns == clash.columns and Counter(r["text"] for r in left.collect()) == Counter(t for d, t in rows if t != items[0] and not any(k[0] == d and not (d == 100 and t == "nothing") for k in got))
+    assert decontamination.find(docs(spark, rows), bench.filter("false")).count() == 0 and decontamination.find(docs(spark, []), bench).count() == 0
 
 
 def test_embeddings(spark):
@@ -232,11 +263,14 @@ def test_pii_adds_loose_formats(spark):
 
 
 def test_kneser_ney(spark):
-    rows = [(i, prose(i, 60)) for i in range(60)] + [(100, "@@ ## %% zq xv " * 30), (101, None)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in kneser_ney.judged(docs(spark, rows), labels).collect()}
-    assert not got[100]["kept"] and sum(got[i]["kept"] for i in range(60)) >= 58
+    rows = [(i, prose(i, 60)) for i in range(200)] + [(300, "@@ ## %% zq xv " * 30), (301, None), (None, prose(301, 60)), (301, "")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)] + [(300, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    clash = docs(spark, rows).withColumn("score", F.lit("x")).withColumn("q", F.lit(1)).withColumn("l", F.lit(2)).withColumn("n", F.lit(3))
+    got = {r["doc_id"]: r for r in kneser_ney.judged(clash, labels).collect()}
+    assert not got[300]["kept"] and sum(got[i]["kept"] for i in range(120)) >= 114
+    assert sum(got[i]["kept"] for i in range(120, 200)) >= 72  # documents without a label fare like labelled ones
     assert kneser_ney.judged(docs(spark, rows), labels.filter("false")).filter("kept").count() == len(rows)
+    assert kneser_ney.judged(docs(spark, []), labels).count() == 0
 
 
 def test_kneser_ney_sums_to_one(spark):
@@ -259,3 +293,32 @@ def test_rendering():
     page = "<title>t</title><h1>A &amp; B</h1><p>one<p>two<br>three<ul><li>x<li>y<ol start=3><li>z</ol></ul><div hidden>no</div><script>'</p>'</script><table><tr><th>k<th>v<tr><td>long<td>1</table>"
     assert rendering.text_of(page) == "A & B\n\none\n\ntwo\nthree\n\n- x\n- y\n  3. z\n\nk     v\nlong  1"
     assert rendering.text_of("") == "" and "deep" in rendering.text_of("<div>" * 3000 + "deep") and rendering.text_of("<" * 50)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr>stray<td>a<tr><form><td>b<td>c</form></tr><tr><a>d</a></table>", "stray  a\nb      c\nd"),
+        ("<textarea>a &lt; b</textarea><svg><title>t</title><text>in</text></svg> <xmp><b>raw</b></xmp>", "a < bin\n<b>raw</b>"),
+        ("<table><tr><td><pre>x\ny</pre><td>z</table>", "x  z\ny"),
+        ("<dialog>no</dialog><dialog open>yes</dialog><p style='opacity: 0'>no<p style='opacity:0.5'>half", "yes\n\nhalf"),
+        ("<div>" * 300 + "<i hidden>no<b>no</b></i>yes" + "</div>" * 300 + "<p>after", "yes\n\nafter"),
+        ("<p>a<p>a", "a\n\na"),
+    ],
+)
+def test_rendering_shows_what_is_visible(page, text):
+    assert rendering.text_of(page) == text
+
+
+def test_rendering_pads_within_bounds():
+    page = "<table><tr><td>" + "x" * 20_000 + "<td>1" + "<tr><td>y<td>2" * 300 + "</table>"
+    out = rendering.text_of(page)
+    assert "x" * 20_000 in out and len(out) < 20_000 + 300 * (rendering.PAD + 10)
+    assert len(rendering.text_of("<b>" * 20_000 + "deep" + "</p>" * 2_000)) == 4
+
+
+def test_rendered_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "word " * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit(7))
+    got = sorted((r["page_id"] or 0, r["n_chars"], r["n_lines"]) for r in rendering.rendered(pages).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 999_999, 1)]
+    assert rendering.rendered(pages.filter("false")).count() == 0
