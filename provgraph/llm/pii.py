@@ -21,8 +21,10 @@ Positions: matches are bracketed by two control characters (any in the text are
 another first) and the lengths of the parts summed, in blocks, so a text with very many matches
 costs little more than its length. Every row is handled on its own: no join, and no shuffle but of the small sums.
 
-Null and empty texts have no spans. Repeated rows are scored like any other. Where no candidate
-fails, each scores 1; where none holds, nothing is added.
+Null and empty texts have no spans. Repeated rows, and rows with equal or null ids, are scored each by itself. Of
+overlapping candidates with equal scores the one that starts first, then ends first, stays. Where no candidate
+fails, each scores 1; where none holds, nothing is added. An empty table gives none. Extra columns
+are carried through `redact` under whatever names; elsewhere only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -59,6 +61,7 @@ CARD_GROUPS = r"^(?:1[4-9]|4-4-4-[2-4]|4-4-4-4-[1-3]|4-6-[45])$"
 PHONE_GROUPS = r"^(?:[1-3]-)?3-3-4$"
 OPEN, CLOSE = "\x01", "\x02"
 BLOCK = 256
+NEAR = 64
 SAMPLE_ROWS = 500
 TREES, DEPTH = 12, 3
 PRECISION = 0.98
@@ -162,21 +165,33 @@ def _eligible(c: Column) -> Column:
     return (c["k"] >= 0) & ((c["k"] != 2) | (c["f"][3] == 1))
 
 
-def _overlaps(c: Column, spans: str) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+def _blocked(spans: str) -> Column:
+    """Spans, sorted by start, in runs of NEAR with the reach of each run, so that a search for overlaps skips most."""
+    part = lambda i: F.slice(spans, i * NEAR + 1, F.lit(NEAR))
+    last = lambda i: F.aggregate(part(i), F.lit(0).cast("long"), lambda a, b: F.greatest(a, b["e"]))
+    runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / NEAR).cast("int"))
+    made = F.transform(runs, lambda i: F.struct(F.get(spans, i * NEAR)["s"].alias("s"), last(i).alias("e"), part(i).alias("part")))
+    return F.filter(made, lambda r: r["e"] > 0)
+
+
+def _overlaps(c: Column, blocked: str, also=lambda b: F.lit(True)) -> Column:
+    """Whether c overlaps one of the spans for which `also` holds."""
+    apart = lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"])
+    return F.exists(blocked, lambda r: F.when(apart(r), F.exists(r["part"], lambda b: apart(b) & also(b))).otherwise(False))
 
 
 def fit(docs: DataFrame):
     """(score expression over `c.f`, threshold a kind); None where no candidate holds."""
     df = with_candidates(with_base(docs.select("doc_id", "text")))
-    of = lambda c: F.struct(c["k"].alias("k"), c["y"].alias("y"), c["f"].alias("f"), _eligible(c).alias("eligible"), (~_overlaps(c, "_base")).alias("free"))
-    rows = df.select("doc_id", F.explode_outer(F.transform("_cand", of)).alias("c")).filter("c.k >= 0")  # outer: else the array is computed again in a filter
-    rows = common.written(rows.select("c", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)).alias("h")), "pii-candidates")
+    of = lambda c: F.struct(c["k"].alias("k"), c["y"].alias("y"), c["f"].alias("f"), _eligible(c).alias("eligible"), (~_overlaps(c, "_near")).alias("free"))
+    each = F.when(F.size("_near") >= 0, F.transform("_cand", of))  # named twice, or the runs would be computed again for each candidate
+    rows = df.withColumn("_near", _blocked("_base")).select("doc_id", F.explode_outer(each).alias("c")).filter("c.k >= 0")  # outer: else the array is computed again in a filter
+    rows = common.written(rows.select("c", common.hashed("doc_id", F.lit(5)).alias("h")), "pii-candidates")
     n = {(r["k"], r["y"]): r["n"] for r in rows.groupBy("c.k", "c.y").agg(F.count("*").alias("n")).collect()}  # at most 8 rows
     if not any(y for _, y in n):
         common.drop_written(rows)
         return None
-    share = lambda k, y: int(min(0.75, SAMPLE_ROWS / n.get((k, y), 1)) * 1_000_000)
+    share = lambda k, y: common.hash_share(min(0.75, SAMPLE_ROWS / n.get((k, y), 1)))
     shares = F.array(*[F.lit(share(k, y)) for k in range(len(KINDS)) for y in (False, True)])
     sampled = F.col("h") < shares[F.col("c.k") * 2 + F.col("c.y").cast("int")]
     train = rows.filter(sampled).select(array_to_vector("c.f").alias("features"), F.col("c.y").cast("double").alias("label")).repartition(1).persist()  # bounded by SAMPLE_ROWS
@@ -229,12 +244,15 @@ def with_spans(docs: DataFrame, model) -> DataFrame:
     score, limits = model
     df = with_candidates(df)
     limit = F.array(*[F.lit(float(x)) for x in limits])
-    df = df.withColumn("_cand", F.filter("_cand", lambda c: _eligible(c) & ~_overlaps(c, "_base")))
+    df = df.withColumn("_near", _blocked("_base"))
+    df = df.withColumn("_cand", F.when(F.size("_near") >= 0, F.filter("_cand", lambda c: _eligible(c) & ~_overlaps(c, "_near"))))
     df = df.withColumn("_cand", F.expr(f"transform(_cand, c -> struct(c.s AS s, c.e AS e, c.k AS k, {score} AS p))"))
-    df = df.withColumn("_cand", F.filter("_cand", lambda c: c["p"] >= limit[c["k"]]))
-    beaten = lambda c: F.exists("_cand", lambda d: (d["s"] < c["e"]) & (c["s"] < d["e"]) & ((d["p"] > c["p"]) | ((d["p"] == c["p"]) & (F.struct(d["s"], d["e"], d["k"]) < F.struct(c["s"], c["e"], c["k"])))))
-    added = F.transform(F.filter("_cand", lambda c: ~beaten(c)), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
-    return df.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", added)))).drop("_cand")
+    df = df.withColumn("_cand", F.array_sort(F.filter("_cand", lambda c: c["p"] >= limit[c["k"]])))
+    df = df.withColumn("_near", _blocked("_cand"))
+    better = lambda c: lambda d: (d["p"] > c["p"]) | ((d["p"] == c["p"]) & (F.struct(d["s"], d["e"], d["k"]) < F.struct(c["s"], c["e"], c["k"])))
+    best = F.when(F.size("_near") >= 0, F.filter("_cand", lambda c: ~_overlaps(c, "_near", better(c))))
+    added = F.transform(best, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e")))
+    return df.withColumn("_spans", F.array_sort(F.array_distinct(F.concat("_base", added)))).drop("_cand", "_near")
 
 
 def _listed(spans: str) -> Column:
@@ -255,8 +273,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; overlapping spans become one, named after the first. n_chars, if there, follows."""
-    columns = docs.columns
-    df = with_spans(docs, fit(docs.select("doc_id", "text")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))  # the caller's columns apart from those made here
+    df = with_spans(held, fit(docs.select("doc_id", "text")))
     merge = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] > x["s"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.element_at(acc, -1)["k"].alias("k"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x)))
     df = df.withColumn("_m", F.aggregate("_spans", F.slice("_spans", F.lit(1), F.lit(0)), merge))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -264,8 +282,13 @@ def redact(docs: DataFrame) -> DataFrame:
     piece = lambda x, i: F.concat(F.substring(F.col("text"), (before(i) + 1).cast("int"), (x["s"] - before(i)).cast("int")), tags[x["k"]])
     last = F.element_at("_m", -1)["e"]
     text = F.concat(F.array_join(F.transform("_m", piece), ""), F.substring(F.col("text"), (last + 1).cast("int"), F.length("text")))
-    new = F.when(F.size("_m") > 0, text).otherwise(F.col("text"))
-    out = df.withColumn("text", new)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    df = df.withColumn("text", F.when(F.size("_m") > 0, text).otherwise(F.col("text")))
+
+    def column(c: str) -> Column:
+        if c.lower() == "text":
+            return F.col("text").alias(c)
+        if c.lower() == "n_chars":
+            return F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c)
+        return F.col("row").getField(c).alias(c)
+
+    return df.select(*[column(c) for c in docs.columns])

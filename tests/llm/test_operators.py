@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -239,13 +240,44 @@ def test_embeddings(spark):
     assert all(got[i] == (0, i) for i in (201, 202, 203, 204, 205))
 
 
+def luhn(d):
+    return sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_spans(text):
+    """The base spans by the four patterns and checks as they are stated."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    found = [(m.start(), k, name, m.end()) for k, (name, rule, good) in enumerate(rules) for m in re.finditer(rule, text) if good(m[0])]
+    return ",".join(f"{name}:{s}:{e}" for s, _, name, e in sorted(found))
+
+
+def test_pii_base_equals_plain_patterns(spark):
+    rng = random.Random(8)
+    parts = ["a", "b.c", "@", ".", "1", "23", "255", "256", " ", "-", "+", "(", ")", "4111 1111 1111 1111", "+49 30 123456789", "x@y.co", "1.2.3.4", "é", "\x01", "\n", "_"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(600)] + [(None, "x@y.co"), (1, "x@y.co"), (2, None)]
+    got = Counter((r["doc_id"], r["base"]) for r in pii.find(docs(spark, rows)).collect())
+    assert got == Counter((i, plain_spans((t or "").replace("\x01", "\x03"))) for i, t in rows)
+    assert pii.find(docs(spark, [])).count() == 0
+
+
 def test_pii(spark):
-    text = "a@b.co_x@y.com 1.2.3.4.5.6.7.8 999.1.1.1 card 4111 1111 1111 1111, +49 (30) 1234-5678 é a@b@c.de"
-    got = {r["doc_id"]: r for r in pii.find(docs(spark, [(1, text), (2, None), (3, "")])).collect()}
-    assert got[1]["base"].startswith("email:0:6,email:6:14,ip:15:22,ip:23:30,card:46:65,phone:67:85,email:")
-    assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_phone"]) == (3, 2, 1, 1) and got[2]["base"] == got[3]["spans"] == ""
-    red = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, [(1, "é mail a@b.co now"), (2, None)])).collect()}
-    assert red == {1: "é mail [EMAIL] now", 2: None}
+    rows = [(1, "é mail a@b.co now"), (2, None), (3, ""), (3, "x@y.zz 1.2.3.4"), (None, "a@b.co"), (4, " ".join(f"{i}.1.2.3 555-{i:04}" for i in range(2000)))]
+    clash = docs(spark, rows)
+    for c in ("_p", "_s", "_m", "_clean", "_base", "_cand", "_spans", "_near", "row"):
+        clash = clash.withColumn(c, F.lit(c))
+    red = pii.redact(clash)
+    assert red.columns == clash.columns
+    got = red.collect()
+    assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in (1, 2)} == {1: "é mail [EMAIL] now", 2: None}
+    assert {r["text"] for r in got if r["doc_id"] in (3, None)} == {"", "[EMAIL] [IP]", "[EMAIL]"}
+    assert all(r[c] == c for r in got for c in ("_p", "_base", "_near", "row")) and all(r["n_chars"] == len(r["text"] or "") for r in got)
+    assert next(r["text"] for r in got if r["doc_id"] == 4).count("[IP]") == 256
 
 
 def test_pii_adds_loose_formats(spark):
