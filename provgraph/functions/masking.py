@@ -92,9 +92,10 @@ def _weighted(d: Column) -> Column:
 
 
 def rrn(c: Column) -> Column:
-    """Thirteen digits whose last is (11 - weighted sum mod 11) mod 10."""
+    """Thirteen digits that begin with a month and a day after the year, and whose last is (11 - weighted sum mod 11) mod 10."""
     d = digits(c)
-    return F.when(F.length(d) == 13, (11 - _weighted(d) % 11) % 10 == F.substring(d, 13, 1).cast("int")).otherwise(False)
+    dated = F.substring(d, 3, 2).cast("int").between(1, 12) & F.substring(d, 5, 2).cast("int").between(1, 31)
+    return F.when(F.length(d) == 13, dated & ((11 - _weighted(d) % 11) % 10 == F.substring(d, 13, 1).cast("int"))).otherwise(False)
 
 
 def foreigner(c: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import cut
+
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -22,7 +24,7 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 def degree(edges: DataFrame) -> DataFrame:
     """Every end counts, a self-loop twice."""
-    both = edges.select(F.col("source_id").alias("id")).unionAll(edges.select(F.col("target_id").alias("id")))
+    both = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
     return both.groupBy("id").agg(F.count("*").alias("degree"))
 
 
@@ -58,9 +60,9 @@ def first_per(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
 
 def neighbours(edges: DataFrame, n: int = 10) -> DataFrame:
     """The first n edges of each node and direction, by kind, target, source."""
-    out = edges.select(F.col("source_id").alias("id"), F.lit("out").alias("direction"), "kind", "target_id", "source_id")
-    into = edges.select(F.col("target_id").alias("id"), F.lit("in").alias("direction"), "kind", "target_id", "source_id")
-    return first_per(out.unionAll(into), ["id", "direction"], n, "kind", "target_id", "source_id")
+    side = lambda id, direction: F.struct(F.col(id).alias("id"), F.lit(direction).alias("direction"))
+    both = edges.select(F.explode(F.array(side("source_id", "out"), side("target_id", "in"))).alias("e"), "kind", "target_id", "source_id")
+    return first_per(both.select("e.id", "e.direction", "kind", "target_id", "source_id"), ["id", "direction"], n, "kind", "target_id", "source_id")
 
 
 def priority(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
@@ -85,16 +87,34 @@ def top_directory(path: Column) -> Column:
     return F.split(path, "/")[0]
 
 
+def at_ranks(df: DataFrame, keys: list[str], column: str, rank) -> DataFrame:
+    """keys, n and value: the value at a rank (a function of n, from 0) of each key.
+
+    Rows are counted by value before anything is sorted; the counts are range-partitioned by key and value, and
+    ranks follow from the sums of the partitions. So no group is gathered, and a hot key is many tasks.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("c"))
+    parts = cut(counts.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()))
+    sums = parts.groupBy("part", *keys).agg(F.sum("c").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # a row a partition
+    totals = sums.groupBy(*keys).agg(F.sum("s").alias("n"))
+    places = before.join(totals, keys).withColumn("lo", F.coalesce("before", F.lit(0))).withColumn("at", rank(F.col("n")))
+    mine = places.filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("lo") + F.col("s")))  # one partition of each key holds the rank
+    inside = parts.join(F.broadcast(mine.select("part", *keys, "n", "lo", "at")), ["part", *keys])  # a row a key
+    run = inside.withColumn("until", F.col("lo") + F.sum("c").over(W.partitionBy(*keys).orderBy("value")))
+    return run.filter(F.col("until") > F.col("at")).groupBy(*keys).agg(F.first("n").alias("n"), F.min("value").alias("value"))
+
+
 def profile(df: DataFrame, column: str, key: str | None = None) -> DataFrame:
     """rows, null ratio (4 places), distinct values; for numbers least, greatest, mean and the upper median."""
     c, x = F.col(column), F.expr(f"try_cast(`{column}` AS double)")
     rows = F.count("*")
     g = df.groupBy(key) if key else df.groupBy()
-    ordered = F.array_sort(F.collect_list(x)) if key else None
-    base = [rows.alias("n_rows"), F.bround(F.sum(c.isNull().cast("int")) / rows, 4).alias("null_ratio"), F.count_distinct(c).alias("n_distinct"), F.min(x).alias("least"), F.max(x).alias("greatest"), F.avg(x).alias("mean")]
-    if ordered is not None:
-        return g.agg(*base, F.get(ordered, F.floor(F.count(x) / 2).cast("int")).alias("p50"))
-    return g.agg(*base)
+    out = g.agg(rows.alias("n_rows"), F.bround(F.sum(c.isNull().cast("int")) / rows, 4).alias("null_ratio"), F.count_distinct(c).alias("n_distinct"), F.min(x).alias("least"), F.max(x).alias("greatest"), F.avg(x).alias("mean"))
+    if key is None:
+        return out
+    p50 = at_ranks(df.select(key, x.alias("x")), [key], "x", lambda n: F.floor(n / 2)).select(F.col(key).alias("_k"), F.col("value").alias("p50"))
+    return out.join(p50, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -103,11 +123,10 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def ranked_quantile(df: DataFrame, keys: list[str], column: str, q: float) -> DataFrame:
-    """Per key: n, mean, greatest and the value at half-even-rounded rank q * (n - 1), by window, without gathering a group."""
-    w = W.partitionBy(*keys)
-    r = df.filter(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(column)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.least(F.col("_n") - 1, F.bround(F.lit(q) * (F.col("_n") - 1)).cast("long"))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.max(column).alias("greatest"), F.max(F.when(F.col("_r") == at, F.col(column))).alias("quantile"))
+    """Per key: n, mean, greatest and the value at half-even-rounded rank q * (n - 1), without gathering a group."""
+    r = df.filter(F.col(column).isNotNull())
+    at = at_ranks(r, keys, column, lambda n: F.least(n - 1, F.bround(F.lit(q) * (n - 1)).cast("long"))).drop("n").withColumnRenamed("value", "quantile")
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.max(column).alias("greatest")).join(at, keys)
 
 
 def accuracy(found: DataFrame, truth: DataFrame, *key: str) -> DataFrame:

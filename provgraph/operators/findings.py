@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import blast_radius, duplicate_owners
+from .aggregates import duplicate_owners, endpoints
 
 #: Weight of a severity in the risk score.
 SEVERITY = {"info": 10, "warning": 40, "error": 75}
@@ -50,10 +50,18 @@ def detect(calls: DataFrame, exposes: DataFrame, access: DataFrame, entities: Da
 
 def scored(findings: DataFrame, edges: DataFrame) -> DataFrame:
     """Findings with blast, risk_score and priority; edge subjects have no reach."""
-    f = findings.join(blast_radius(edges).withColumnRenamed("id", "subject_id"), "subject_id", "left").withColumn("blast", F.coalesce("blast", F.lit(0)))
+    nodes = findings.filter(~F.col("subject_id").contains("->")).select("subject_id").distinct()  # subjects that are nodes can have reach
+    reach = endpoints(edges).withColumnRenamed("id", "subject_id").join(nodes, "subject_id", "left_semi").groupBy("subject_id").agg(F.count("*").alias("blast"))
+    f = findings.join(reach, "subject_id", "left").withColumn("blast", F.coalesce("blast", F.lit(0)))
     return f.withColumn("risk_score", risk(F.col("severity"), F.col("blast"), F.lit(False))).withColumn("priority", priority(F.col("risk_score")))
 
 
+def page(findings: DataFrame, n: int, by: str = "risk") -> DataFrame:
+    """The first n findings (1 to 500): by risk, then the last seen; or the last seen first."""
+    order = [F.desc("risk_score"), F.desc("last_seen_at")] if by == "risk" else [F.desc("last_seen_at")]
+    return findings.orderBy(*order, "finding_id").limit(max(1, min(500, n)))
+
+
 def reconciled(stored: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Stored findings after a run: new ones open, missing ones resolve, system-resolved ones reopen.
 

@@ -23,6 +23,8 @@ ROLES = {
     "generated": ["build", "dist", "coverage"],
     "support": ["tools", "scripts", "fixtures", "examples", "docs"],
 }
+#: Fixed value: candidates that are scored at most, the best tiers first.
+MOST_CANDIDATES = 2000
 CAMEL = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
 
@@ -91,16 +93,35 @@ def candidates(df: DataFrame, terms: list[str]) -> DataFrame:
 
 def search(df: DataFrame, query: str, top_k: int = 20, scope: str = "all", path_prefix: str = "") -> DataFrame:
     """id, name, tier, score: symbols (id, name, path, signature) by score, then tier (exact, prefix, other), then id."""
-    terms = query_terms(query)
-    name = F.lower("name")
-    first = terms[0] if terms else ""
-    tier = F.when(name.isin(terms) if terms else F.lit(False), 0).when(name.startswith(first), 1).otherwise(2)
-    found = candidates(df, terms).withColumn("tier", tier).withColumn("score", score(terms, F.col("name"), F.col("path"), F.coalesce("signature", F.lit("")), F.col("id"))).filter("score > 0")
+    terms, name = query_terms(query), F.lower("name")
+    if terms:
+        prefix = F.lit(False)
+        for t in terms:
+            prefix = prefix | name.startswith(t)
+        tier = F.when(name.isin(terms), 0).when(prefix, 1).otherwise(2)
+        s = score(terms, F.col("name"), F.col("path"), F.coalesce("signature", F.lit("")), F.col("id"))
+        found = candidates(df, terms).withColumn("tier", tier).orderBy("tier", "id").limit(MOST_CANDIDATES).withColumn("score", s).filter("score > 0")
+    else:  # a question without terms lists symbols by id
+        found = df.orderBy("id").limit(MOST_CANDIDATES).withColumn("tier", F.lit(2)).withColumn("score", F.lit(0.0))
     if scope != "all":
-        found = found.filter(role(F.col("path")) == ("product" if scope == "product" else "test"))
-    if prefix := path_prefix.lower().rstrip("/"):
-        found = found.filter((F.lower("path") == prefix) | F.lower("path").startswith(prefix + "/"))
-    return found.orderBy(F.desc("score"), "tier", "id").limit(top_k).select("id", "name", "tier", "score")
+        found = found.filter(role(F.col("path")).isin("product", "support") if scope == "product" else role(F.col("path")) == "test")
+    if start := path_prefix.lower().rstrip("/"):
+        found = found.filter((F.lower("path") == start) | F.lower("path").startswith(start + "/"))
+    return found.orderBy(F.desc("score"), "tier", "id").limit(max(1, min(200, top_k))).select("id", "name", "tier", "score")
+
+
+def confident(hits: DataFrame, terms: list[str], n: int = 5) -> DataFrame:
+    """One row: whether one of the first n hits answers the question.
+
+    It must score 3 or more and be neither data nor contract; with several terms its name must hold
+    two of them, or it scores 5 or more and its name has two parts.
+    """
+    top = hits.orderBy(F.desc("score"), "tier", "id").limit(n).filter(~F.col("id").startswith("data:") & ~F.col("id").startswith("contract:"))
+    named = F.lit(0)
+    for t in terms:
+        named = named + F.lower("name").contains(t).cast("int")
+    enough = F.lit(True) if len(terms) < 2 else (named >= 2) | ((F.col("score") >= 5) & (F.size(identifier_tokens(F.col("name"))) >= 2))
+    return top.agg(F.coalesce(F.bool_or((F.col("score") >= 3) & enough), F.lit(False)).alias("confident"))
 
 
 def cosine(a: Column, b: Column) -> Column:

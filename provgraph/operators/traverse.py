@@ -14,11 +14,12 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, backwards: bool = False
     An edge into a node met before is still returned, but the node is not left again. Edges are
     ordered by depth, source, target where a limit cuts them.
     """
+    edges = cut(edges.select("source_id", "target_id"))
     here, there = ("target_id", "source_id") if backwards else ("source_id", "target_id")
     frontier = cut(start.select("id").distinct())
     met, out = frontier, None
     for level in range(1, depth + 1):
-        step = cut(edges.select("source_id", "target_id").join(frontier, F.col(here) == F.col("id"), "left_semi").withColumn("depth", F.lit(level)))
+        step = cut(edges.join(frontier, F.col(here) == F.col("id"), "left_semi").withColumn("depth", F.lit(level)))
         out = step if out is None else out.unionAll(step)
         frontier = cut(step.select(F.col(there).alias("id")).distinct().join(met, "id", "left_anti"))
         if not frontier.limit(1).count():
@@ -49,17 +50,24 @@ def impact(calls: DataFrame, data_edges: DataFrame, start: DataFrame, depth: int
 
 
 def runtime_path(seen: DataFrame, start: DataFrame, depth: int = 5, since=None) -> DataFrame:
-    """id, depth, frequency: nodes reached over exercised edges; frequency is the least hit count among the edges of their discovery."""
+    """id, depth, frequency: nodes reached over exercised edges; frequency is the least hit count over all edges of their discovery, the chain."""
     live = seen.filter("hit_count > 0")
     if since is not None:
         live = live.filter(F.col("last_seen_at") >= since)
     met = walk(live, start, depth).join(live.select("source_id", "target_id", "hit_count"), ["source_id", "target_id"])
     first = met.groupBy(F.col("target_id").alias("id")).agg(F.min(F.struct("depth", "source_id", "hit_count")).alias("f"))
-    return first.join(start, "id", "left_anti").select("id", F.col("f.depth").alias("depth"), F.col("f.hit_count").alias("frequency"))
+    chain = cut(first.join(start, "id", "left_anti").select("id", F.col("f.depth").alias("depth"), F.col("f.hit_count").alias("hit_count")))
+    least = chain.agg(F.coalesce(F.min("hit_count"), F.lit(0)).alias("frequency"))
+    return chain.select("id", "depth").crossJoin(F.broadcast(least))  # one row
 
 
 def link_by_name(symbols: DataFrame, mentions: DataFrame) -> DataFrame:
-    """source_id, target_id of mentions (source_id, name) that name exactly one other symbol."""
-    found = mentions.join(symbols.select(F.col("id").alias("target_id"), "name"), "name").filter(F.col("target_id") != F.col("source_id"))
-    one = found.groupBy("source_id", "name").agg(F.count("*").alias("n"), F.min("target_id").alias("target_id")).filter("n = 1")
-    return one.select("source_id", "target_id").distinct()
+    """source_id, target_id of mentions (source_id, name) that name exactly one other symbol.
+
+    Symbols are summed by name first, so a common name is one row whatever its number of mentions.
+    """
+    by = symbols.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+    own = mentions.join(symbols.select(F.col("id").alias("source_id"), "name", F.lit(1).alias("own")), ["source_id", "name"], "left")
+    one = own.join(by, "name").filter(F.col("n") - F.coalesce("own", F.lit(0)) == 1)
+    target = F.when(F.col("least") == F.col("source_id"), F.col("most")).otherwise(F.col("least"))
+    return one.select("source_id", target.alias("target_id")).distinct()

@@ -9,7 +9,7 @@ from ..functions import masking, paths
 from ..operators import aggregates as agg
 from ..operators import findings, ledger, overlay, runtime, search, temporal, traverse
 from ..streaming import observations as stream
-from ..tables import cut, load
+from ..tables import cut, load, shared_folder
 from . import projection as g
 
 QUERIES: dict = {}
@@ -64,9 +64,9 @@ def impact_analysis(spark, d):
 
 
 @query(""", r(id, d) AS (SELECT id, 0 FROM symbols WHERE is_entry_point UNION SELECT c.target_id, r.d + 1 FROM r JOIN seen c ON c.source_id = r.id WHERE r.d < 5),
-m AS (SELECT id, min(d) AS d FROM r GROUP BY id), f AS (SELECT c.target_id AS id, m.d + 1 AS depth, c.source_id, c.hit_count FROM m JOIN seen c ON c.source_id = m.id WHERE m.d < 5)
-SELECT id, CAST(depth AS INTEGER) AS depth, CAST(hit_count AS BIGINT) AS frequency FROM f WHERE id NOT IN (SELECT id FROM symbols WHERE is_entry_point)
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth, source_id, hit_count) = 1""")
+m AS (SELECT id, min(d) AS d FROM r GROUP BY id), f AS (SELECT c.target_id AS id, m.d + 1 AS depth, c.source_id, c.hit_count FROM m JOIN seen c ON c.source_id = m.id WHERE m.d < 5),
+ch AS (SELECT id, depth, hit_count FROM f WHERE id NOT IN (SELECT id FROM symbols WHERE is_entry_point) QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth, source_id, hit_count) = 1)
+SELECT id, CAST(depth AS INTEGER) AS depth, CAST((SELECT min(hit_count) FROM ch) AS BIGINT) AS frequency FROM ch""")
 def find_runtime_path(spark, d):
     return traverse.runtime_path(cut(g.seen(g.calls(spark, d))), _entries(spark, d), 5)
 
@@ -139,7 +139,7 @@ def most_called(spark, d):
 
 
 @query("SELECT target_id AS id, count(*) AS in_degree FROM access GROUP BY 1 HAVING count(*) >= 6")
-def high_fan_in(spark, d):
+def busy_entities(spark, d):
     return agg.in_degree(g.access(spark, d)).filter("in_degree >= 6")
 
 
@@ -191,7 +191,8 @@ def symbol_cards(spark, d):
     return s.select("id", "name", F.coalesce("n_callers", F.lit(0)).alias("n_callers"), F.coalesce("n_callees", F.lit(0)).alias("n_callees"))
 
 
-@query("SELECT id, bool_or(hit_count > 0) AS exercised FROM (SELECT source_id AS id, hit_count FROM calls LEFT JOIN seen USING (source_id, target_id) UNION ALL SELECT target_id, hit_count FROM calls LEFT JOIN seen USING (source_id, target_id)) GROUP BY id".replace("bool_or(hit_count > 0)", "coalesce(bool_or(coalesce(hit_count, 0) > 0), false)"))
+@query("""SELECT id, bool_or(coalesce(hit_count, 0) > 0) AS exercised FROM (SELECT source_id AS id, hit_count FROM calls LEFT JOIN seen USING (source_id, target_id)
+UNION ALL SELECT target_id, hit_count FROM calls LEFT JOIN seen USING (source_id, target_id)) GROUP BY id""")
 def exercised_subjects(spark, d):
     v = _view(spark, d)
     return v.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"), "exercised").groupBy("id").agg(F.bool_or("exercised").alias("exercised"))
@@ -243,11 +244,18 @@ def published_snapshot(spark, d):
     return temporal.snapshot(_publication(spark, d)).select("id", "valid_from", "valid_to")
 
 
-@query("SELECT l_orderkey AS id, count(DISTINCT l_shipdate) AS payloads, count(DISTINCT l_returnflag) > 1 AND count(DISTINCT l_shipdate) > 1 AS conflict FROM lineitem GROUP BY 1", graph=False)
+_STAGED = """, x AS (SELECT l_orderkey AS id, CAST(l_shipdate AS VARCHAR) AS payload, CASE l_linestatus WHEN 'F' THEN 'verified' ELSE 'inferred' END AS certainty, l_returnflag AS source_name, l_linenumber * 100000 + date_diff('day', DATE '1990-01-01', l_shipdate) AS ordinal FROM lineitem)
+SELECT id, arg_max(payload, (certainty = 'verified', ordinal)) AS payload, max(certainty) AS certainty, string_agg(DISTINCT source_name, ',' ORDER BY source_name) AS owners,
+count(DISTINCT payload) > 1 AND count(DISTINCT source_name) > 1 AS conflict FROM x GROUP BY id"""
+
+
+@query(_STAGED)
 def stage_reducer(spark, d):
-    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("string").alias("payload"), F.lit("asserted").alias("certainty"), F.col("l_returnflag").alias("source_name"), F.col("l_linenumber").alias("ordinal"))
-    n = li.groupBy("id").agg(F.count_distinct("payload").alias("payloads"))
-    return temporal.staged(li).select("id", "conflict").join(n, "id").select("id", "payloads", "conflict")
+    certainty = F.when(F.col("l_linestatus") == "F", "verified").otherwise("inferred")
+    li = load(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("payload"), certainty.alias("certainty"), F.col("l_returnflag").alias("source_name"), (F.col("l_linenumber") * 100000 + F.date_diff("l_shipdate", F.lit("1990-01-01"))).alias("ordinal")
+    )
+    return temporal.staged(li).withColumn("owners", F.array_join("owners", ",")).select("id", "payload", "certainty", "owners", "conflict")
 
 
 _OLD = f"valid_from < {NOW} - INTERVAL 30 DAY"
@@ -256,7 +264,7 @@ SELECT 'duplicate_endpoint' AS kind, 'error' AS severity, target_id AS subject_i
 UNION ALL SELECT 'unverified_claim', 'info', source_id || '->' || target_id FROM v WHERE {_OLD} AND effective_certainty = 'inferred'
 UNION ALL SELECT 'dynamic_call_detected', 'warning', source_id || '->' || target_id FROM v WHERE certainty = 'asserted' AND via_runtime
 UNION ALL SELECT 'dead_path_suspected', 'info', source_id || '->' || target_id FROM v WHERE {_OLD} AND NOT exercised
-UNION ALL SELECT 'schema_mismatch', 'warning', source_id || '->' || target_id FROM access WHERE target_id NOT IN (SELECT 'data:order:' || o_orderkey FROM orders WHERE o_orderstatus <> 'P'))"""
+UNION ALL SELECT 'schema_mismatch', 'warning', source_id || '->' || target_id FROM access a WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE 'data:order:' || o_orderkey = a.target_id AND o_orderstatus <> 'P'))"""
 
 
 def _found(spark, d):
@@ -321,18 +329,29 @@ def _searchable(spark, d):
     return g.symbols(spark, d).withColumn("signature", F.concat_ws(" ", "component_id", "path"))
 
 
-@query()
+def _search_sql(terms: list[str], n: int) -> str:
+    """The score spelt out; names and paths here are lower-case words, so identifiers are cut at other characters only."""
+    starts = lambda tokens, t: f"len(list_filter({tokens}, lambda x: {f'starts_with(x, {t!r}) OR ' if len(t) >= 3 else ''}length(x) >= 4 AND starts_with({t!r}, x))) > 0"
+    rule = lambda t: f"CASE WHEN name = {t!r} THEN 12.0 WHEN list_contains(tokens, {t!r}) THEN 8.0 WHEN {starts('tokens', t)} THEN 2.0 WHEN list_contains(places, {t!r}) OR {starts('places', t)} THEN 1.5 WHEN contains(name, {t!r}) THEN 1.0 WHEN contains(signature, {t!r}) THEN 0.5 ELSE 0.0 END"
+    hit = " OR ".join([*(f"contains({c}, {t!r})" for t in terms for c in ("id", "name", "signature")), *(f"contains({c}, {t[:4]!r})" for t in terms if len(t) >= 6 for c in ("id", "name"))])
+    tier = f"CASE WHEN name IN ({', '.join(map(repr, terms))}) THEN 0 WHEN {' OR '.join(f'starts_with(name, {t!r})' for t in terms)} THEN 1 ELSE 2 END"
+    each = ", ".join(f"{rule(t)} AS s{i}" for i, t in enumerate(terms))
+    names = [f"s{i}" for i in range(len(terms))]
+    return f""", b AS (SELECT id, name, lower(component_id || ' ' || path) AS signature, list_distinct(regexp_extract_all(name, '[a-z]+|[0-9]+')) AS tokens,
+list_concat(regexp_extract_all(path, '[a-z]+|[0-9]+'), regexp_extract_all(id, '[a-z]+|[0-9]+')) AS places FROM symbols),
+c AS (SELECT *, {tier} AS tier FROM b WHERE {hit} ORDER BY tier, id LIMIT 2000), e AS (SELECT id, name, tier, {each} FROM c)
+SELECT id, name, CAST(tier AS INTEGER) AS tier, CAST({' + '.join(names)} + CASE WHEN {' AND '.join(f'{x} > 0' for x in names)} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM e
+WHERE {' + '.join(names)} > 0 ORDER BY score DESC, tier, id LIMIT {n}"""
+
+
+@query(_search_sql(search.query_terms(QUERY_TEXT), 50))
 def search_symbols(spark, d):
     return search.search(_searchable(spark, d), QUERY_TEXT, 50)
 
 
-@query("SELECT id, CASE WHEN name = 'x' THEN 0 ELSE 1 END AS is_other FROM symbols WHERE contains(id, '77') ORDER BY id LIMIT 200")
+@query("SELECT id, name FROM symbols WHERE contains(lower(id), '77') ORDER BY id LIMIT 200")
 def id_search(spark, d):
-    return g.symbols(spark, d).filter(F.contains("id", F.lit("77"))).orderBy("id").limit(200).select("id", F.when(F.col("name") == "x", 0).otherwise(1).alias("is_other"))
-
-
-def _norm(c):
-    return f"sqrt(list_sum(list_transform({c}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
+    return g.symbols(spark, d).filter(F.contains(F.lower("id"), F.lit("77"))).orderBy("id").limit(200).select("id", "name")
 
 
 @query("""SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
@@ -343,19 +362,29 @@ def vector_search(spark, d):
     return search.vector_top(e, first, 40).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""SELECT id, sum(1.0 / (60 + rank)) AS score FROM (
+@query("""SELECT id, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS score FROM (
 SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier QUALIFY row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) <= 40
-UNION ALL SELECT l_suppkey, row_number() OVER (ORDER BY n DESC, l_suppkey) FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, l_suppkey) <= 40) GROUP BY id""".replace("1.0 / (60 + rank)", "CAST(1 AS DOUBLE) / (60 + rank)"), graph=False)
+UNION ALL SELECT l_suppkey, row_number() OVER (ORDER BY n DESC, l_suppkey) FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, l_suppkey) <= 40) GROUP BY id""", graph=False)
 def rank_fusion(spark, d):
     a = load(spark, d, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(40).withColumnRenamed("s_suppkey", "id")
     b = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(40)
     return search.fused(search.ranked(a, "balance", F.desc("s_acctbal"), "id").unionAll(search.ranked(b, "lines", F.desc("n"), "id")))
 
 
-@query("""SELECT id, CASE WHEN list_has_any(string_split(path, '/'), ['standard']) THEN 1 ELSE 0 END AS is_standard, 'product' AS role FROM symbols""")
+ROLE_PATHS = """, placed AS (SELECT id, k, CASE k % 7 WHEN 0 THEN 'src/Vendor/' WHEN 1 THEN 'a/tests/' WHEN 2 THEN 'out/dist/' WHEN 3 THEN 'Docs/' WHEN 4 THEN 'latest/' WHEN 5 THEN 'docs/test/' ELSE '' END || path AS path FROM symbols),
+roles AS (SELECT id, path, CASE WHEN list_has_any(string_split(lower(path), '/'), ['vendored', 'vendor', 'third_party', 'thirdparty', 'node_modules']) THEN 'vendored' WHEN list_has_any(string_split(lower(path), '/'), ['tests', 'test', '__tests__']) THEN 'test'
+WHEN list_has_any(string_split(lower(path), '/'), ['build', 'dist', 'coverage']) THEN 'generated' WHEN list_has_any(string_split(lower(path), '/'), ['tools', 'scripts', 'fixtures', 'examples', 'docs']) THEN 'support' ELSE 'product' END AS role FROM placed)"""
+
+
+def placed(spark, d):
+    """Symbols under folders of every role."""
+    folders = F.array(*[F.lit(x) for x in ("src/Vendor/", "a/tests/", "out/dist/", "Docs/", "latest/", "docs/test/", "")])
+    return g.symbols(spark, d).withColumn("path", F.concat(F.get(folders, (F.col("k") % 7).cast("int")), "path"))
+
+
+@query(f"{ROLE_PATHS} SELECT id, role FROM roles")
 def source_roles(spark, d):
-    s = g.symbols(spark, d)
-    return s.select("id", F.array_contains(F.split("path", "/"), "standard").cast("int").alias("is_standard"), search.role(F.col("path")).alias("role"))
+    return placed(spark, d).select("id", search.role(F.col("path")).alias("role"))
 
 
 @query("""SELECT o_orderpriority AS key, count(*) AS n_rows, round_even(avg(CASE WHEN o_totalprice IS NULL THEN 1.0 ELSE 0.0 END), 4) AS null_ratio, count(DISTINCT o_totalprice) AS n_distinct,
@@ -376,12 +405,9 @@ def stage_latency(spark, d):
     return agg.ranked_quantile(e, ["stage"], "value", 0.95).select("stage", "n", F.round("mean", 6).alias("mean"), "greatest", F.col("quantile").alias("p95"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+', '[EMAIL]', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '[IP]', 'g') AS masked FROM documents WHERE lang = 'en'""", graph=False)
+@query()
 def masked_documents(spark, d):
-    docs = load(spark, d, "documents").filter("lang = 'en'")
-    formats = dict(masking.VALUES)
-    out = F.regexp_replace(F.regexp_replace("text", formats["EMAIL"], "[EMAIL]"), formats["IP"], "[IP]")
-    return docs.select("doc_id", out.alias("masked"))
+    return load(spark, d, "documents").select("doc_id", masking.mask_formats(F.col("text")).alias("masked"))
 
 
 @query()
@@ -402,24 +428,20 @@ def contract_ids(spark, d):
     return o.select("o_orderkey", paths.contract_id(F.lit("get"), raw).alias("contract"))
 
 
-@query("SELECT * FROM observations")
+@query(f"""SELECT service, operation, kind, CAST(count(*) AS BIGINT) AS seen_count, min(t) AS first_seen_at, max(t) AS last_seen_at FROM (
+SELECT DISTINCT 'user:' || user_id AS service, event_type AS operation, 'CALLS' AS kind, CASE WHEN event_id % 2 = 0 THEN {BEFORE} ELSE {AFTER} END AS t FROM events) GROUP BY 1, 2, 3""", graph=False)
 def runtime_observations(spark, d):
-    return g.observations(spark, d)
+    e = load(spark, d, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("service"), F.col("event_type").alias("operation"), F.lit("CALLS").alias("kind"), (F.col("event_id") % 2).alias("batch"))
+    none = spark.createDataFrame([], "service string, operation string, kind string, seen_count long, first_seen_at timestamp, last_seen_at timestamp")
+    first = runtime.observed(none, e.filter("batch = 0"), F.expr(BEFORE))
+    return runtime.observed(first, e.filter("batch = 1"), F.expr(AFTER))
 
 
-@query()
+@query("SELECT operation AS event_type, user_id, seen_count, first_seen_at, last_seen_at FROM observations")
 def streamed_observations(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     e = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet")
-    import uuid
-
-    name = "observed_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    return stream.drain(stream.running_counts(e.withColumn("ts", F.col("ts").cast("timestamp"))), f"{base}/{name}", name)
+    return stream.drain(stream.running_counts(e.withColumn("ts", F.col("ts").cast("timestamp"))), shared_folder(spark, "observed"))
 
 
 def _is_folder(spark, path) -> bool:
@@ -442,7 +464,7 @@ def sessions(spark, d):
 
 
 @query("""SELECT count(*) AS n, coalesce(sum(CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(20,2)) END), 0) AS reported, coalesce(sum(CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_totalprice AS DECIMAL(20,2)) END), 0) AS estimated,
-coalesce(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(20,2)) END), 0) AS reserved, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS unknown FROM orders""".replace("AS reported,", "AS reported,"), graph=False)
+coalesce(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(20,2)) END), 0) AS reserved, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS unknown FROM orders""", graph=False)
 def ledger_exposure(spark, d):
     o = load(spark, d, "orders")
     money, r = F.col("o_totalprice").cast("decimal(20,2)"), F.col("o_orderkey") % 3
@@ -475,7 +497,7 @@ def claim_grounding(spark, d):
 
 @query(""", x AS (SELECT count(*) FILTER (WHERE t.source_id IS NOT NULL AND c.source_id IS NOT NULL) AS tp, count(c.source_id) AS found, count(t.source_id) AS truth
 FROM (SELECT source_id, target_id FROM calls WHERE certainty <> 'inferred') c FULL JOIN (SELECT source_id, target_id FROM seen) t ON c.source_id = t.source_id AND c.target_id = t.target_id)
-SELECT tp, found, truth, CAST(tp AS DOUBLE) / found AS precision, CAST(tp AS DOUBLE) / truth AS recall, round(2.0 * tp / (found + truth), 9) AS f1 FROM x""".replace("round(2.0 * tp / (found + truth), 9)", "round(CAST(2 * tp AS DOUBLE) / (found + truth), 9)"))
+SELECT tp, found, truth, CAST(tp AS DOUBLE) / found AS precision, CAST(tp AS DOUBLE) / truth AS recall, round(CAST(2 * tp AS DOUBLE) / (found + truth), 9) AS f1 FROM x""")
 def extraction_accuracy(spark, d):
     c = cut(g.calls(spark, d))
     return agg.accuracy(c.filter("certainty <> 'inferred'"), g.seen(c), "source_id", "target_id").withColumn("f1", F.round("f1", 9))

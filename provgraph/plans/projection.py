@@ -17,17 +17,17 @@ symbols AS (SELECT 'part:' || p_partkey AS id, p_partkey AS k, p_name AS name, p
 hops AS (SELECT o_orderdate, l_partkey AS s, lead(l_partkey) OVER (PARTITION BY o_orderkey ORDER BY l_partkey) AS t
   FROM (SELECT DISTINCT o_orderkey, o_orderdate, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
         WHERE o_orderpriority LIKE '1%' AND l_returnflag = 'R')),
-calls AS (SELECT s, t, 'part:' || s AS source_id, 'part:' || t AS target_id, min(o_orderdate) AS valid_from,
+calls AS MATERIALIZED (SELECT s, t, 'part:' || s AS source_id, 'part:' || t AS target_id, min(o_orderdate) AS valid_from,
   CASE s % 3 WHEN 0 THEN 'inferred' WHEN 1 THEN 'asserted' ELSE 'verified' END AS certainty, s % 7 = 0 AS via_runtime
   FROM hops WHERE t IS NOT NULL GROUP BY s, t),
 human AS (SELECT source_id, target_id, CASE WHEN (s + t) % 11 = 0 THEN 'confirm' ELSE 'dispute' END AS action FROM calls WHERE (s + t) % 11 IN (0, 1)),
 seen AS (SELECT source_id, target_id, 1 + s % 9 AS hit_count, valid_from + INTERVAL 5 DAY AS last_seen_at FROM calls WHERE (s + t) % 5 = 0),
-access AS (SELECT DISTINCT 'part:' || l_partkey AS source_id, 'data:order:' || l_orderkey AS target_id,
+access AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS source_id, 'data:order:' || l_orderkey AS target_id,
   CASE l_linestatus WHEN 'F' THEN 'READS' ELSE 'WRITES' END AS kind FROM lineitem),
-exposes AS (SELECT DISTINCT 'supplier:' || l_suppkey AS source_id,
+exposes AS MATERIALIZED (SELECT DISTINCT 'supplier:' || l_suppkey AS source_id,
   'http.GET./' || lower(replace(substr(o_orderpriority, 3), ' ', '-')) || '/' || l_returnflag AS target_id
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 50),
-edges AS (SELECT source_id, target_id, 'CALLS' AS kind FROM calls UNION ALL SELECT source_id, target_id, kind FROM access
+edges AS MATERIALIZED (SELECT source_id, target_id, 'CALLS' AS kind FROM calls UNION ALL SELECT source_id, target_id, kind FROM access
   UNION ALL SELECT source_id, target_id, 'EXPOSES' FROM exposes),
 versions AS (SELECT 'user:' || user_id AS id, event_type AS kind, value, ts AS valid_from,
   lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.paths import normal_path
 from ..schema import CERTAINTY, DEFAULT_CERTAINTY, RECORD, VERBS
@@ -19,7 +20,7 @@ LONGEST_ID, LONGEST_SOURCE = 4096, 256
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records as they are; lines that are no JSON have null fields and the line in `_corrupt_record`."""
-    schema = RECORD.add("_corrupt_record", "string") if "_corrupt_record" not in RECORD.names else RECORD
+    schema = StructType([*RECORD.fields, StructField("_corrupt_record", StringType())])
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 

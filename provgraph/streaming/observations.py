@@ -23,8 +23,15 @@ def coalesced(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def drain(df: DataFrame, folder: str, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
+def drain(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there; every batch's state goes to files of its own in the shared folder, the last is returned."""
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        done.append(number)
+
+    q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(f"{folder}/batch-{max(done)}") if done else spark.createDataFrame([], df.schema)

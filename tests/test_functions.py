@@ -1,9 +1,11 @@
+import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from provgraph.functions import guard, masking, paths
-from provgraph.operators import search
+from provgraph.operators import aggregates, search, traverse
 from provgraph.sources import records
 
 
@@ -52,3 +54,69 @@ def test_records(spark, tmp_path):
     assert [r["reason"] for r in got] == [None, "record type", "id", "certainty", "path outside root", None, "malformed"]
     assert got[0]["file"] == "a/b.py" and got[0]["certainty"] == "asserted"
     assert not got[5]["stored"] and got[0]["stored"]
+
+
+def test_guard_refuses_what_hides_a_table(spark):
+    spark.range(3).createOrReplaceTempView("cards")
+    for statement in ("select * from identifier('cards')", "select reflect('java.lang.System', 'getProperty', 'x')", "select * from parquet.`/x/part.parquet`", "select * from cards", "select 1 from (select * from CARDS) t", "select * from read_files('/x')"):
+        assert not guard.judge(spark, statement, forbidden=("cards", "part")).allowed, statement
+    assert guard.judge(spark, "select * from cards", forbidden=("card",)).allowed
+    got = guard.land(spark, "select id from cards order by id", cap=2, mask=lambda df: df.select((F.col("id") + 1).alias("id")))
+    assert [r["id"] for r in got.rows.collect()] == [1, 2] and got.truncated and got.log["limit"] == 2
+    assert guard.land(spark, "select 1", enabled=False).log["reason"] == "disabled"
+    assert guard.land(spark, "select 1 as awr_x").log["reason"] == "consent" and guard.land(spark, "select 1 as awr_x", consent=True).rows.count() == 1
+    assert guard.land(spark, "drop table cards").rows is None
+
+
+def test_windows():
+    at = datetime.datetime(2024, 3, 3, 22, 30)  # a Sunday
+    for window, inside in {"* * * * *": True, "30 22 * * 0": True, "*/15 20-23 * 3 *": True, "0-29 * * * *": False, "30 22 * * 7": False, "30": False, "x * * * *": False, "10,30 * 1-5 * *": True, "5/25 * * * *": False}.items():
+        assert guard.in_window([window], at) == inside, window
+    assert guard.in_window([], at) and guard.in_window(["bad", "* 22 * * *"], at)
+
+
+def test_resident_numbers_need_a_date(spark):
+    def number(head):
+        digits = [int(x) for x in head]
+        return head + str((11 - sum(a * b for a, b in zip(digits, masking.RRN_WEIGHTS)) % 11) % 10)
+
+    assert one(spark, number("900101123456"), masking.rrn) and not one(spark, number("901301123456"), masking.rrn) and not one(spark, number("900132123456"), masking.rrn)
+
+
+def test_search_tiers_scope_and_no_terms(spark):
+    rows = [(f"s{i}", n, p, "") for i, (n, p) in enumerate([("largest", "src/a"), ("bluefish", "docs/b"), ("large", "tests/c"), ("blue", "src/d")])]
+    df = spark.createDataFrame(rows, "id string, name string, path string, signature string")
+    got = {r["name"]: r["tier"] for r in search.search(df, "blue large").collect()}
+    assert got == {"largest": 1, "bluefish": 1, "large": 0, "blue": 0}
+    assert {r["name"] for r in search.search(df, "blue large", scope="product").collect()} == {"largest", "bluefish", "blue"}
+    assert [r["id"] for r in search.search(df, "the of", top_k=2).collect()] == ["s0", "s1"]
+    hits = search.search(df, "blue")
+    assert search.confident(hits, ["blue"]).first()[0] and not search.confident(hits.filter("false"), ["blue"]).first()[0]
+
+
+def test_records_schema_stays(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"record_type": "symbol"}\nno json\n')
+    before = list(records.RECORD.names)
+    assert sorted(r["record_type"] or "" for r in records.read(spark, str(tmp_path / "r.jsonl")).collect()) == ["", "symbol"] and records.RECORD.names == before
+
+
+def test_quantiles_by_counts(spark):
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.8 else "k" + str(rng.randrange(3)), rng.randrange(50) / 2 if rng.random() < 0.9 else None) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r["k"]: r["quantile"] for r in aggregates.ranked_quantile(df, ["k"], "x", 0.95).collect()}
+    for k in {k for k, _ in rows}:
+        values = sorted(x for y, x in rows if y == k and x is not None)
+        assert got[k] == values[min(len(values) - 1, round(0.95 * (len(values) - 1)))]
+
+
+def test_links_by_name(spark):
+    symbols = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "z"), ("e", "z"), ("f", "z")], "id string, name string")
+    mentions = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "z"), ("q", "x"), ("q", "y")], "source_id string, name string")
+    assert {tuple(r) for r in traverse.link_by_name(symbols, mentions).collect()} == {("a", "b"), ("b", "c"), ("q", "c")}
+
+
+def test_masked_documents_equal_plain_patterns(spark):
+    texts = ["mail a.b@c.de and 10.0.0.1.", "none", "x@y", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(masking.mask_formats(F.col("t"))).collect()] == ["mail [EMAIL] and [IP].", "none", "x@y", None]

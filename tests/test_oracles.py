@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from provgraph.plans import catalogue
+from provgraph.plans import answers, catalogue  # noqa: F401  answers registers its queries
 
 SF = "/root/testdata/sf0.001"
 
