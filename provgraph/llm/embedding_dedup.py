@@ -2,15 +2,18 @@
 
 Each pass orders the vectors of a label by 64 concatenated random hyperplane bits and compares
 bounded windows of the order: every block of `BLOCK` vectors with itself and the next one, by
-matrix products in double precision. Where the last two blocks compared still hold a link, the
-window grows by a block, until it holds none; so a large group of near copies is compared
-throughout. Links of all passes are united; a pair that an earlier pass has compared is skipped.
+matrix products in double precision. Where the blocks compared last still hold a link, the
+window doubles, until what is new in it holds none; so a large group of near copies is compared
+throughout, in as many rounds as its size has powers of two. Links of all passes are united; a pair that an earlier pass has compared is skipped.
 
 Tasks return counts per vector and the links of a spanning forest, never pairs. Blocks hold
 equally many vectors whatever a label's share. Vectors equal in label and components are merged
 first, so copies cost one row. The number of passes follows from the largest label, so that a
 pair at the threshold meets in some window with probability RECALL or more.
 
+Recall is that of the passes: a link is lost if its vectors meet in no window. Ties in the order go by id; equal
+vectors are one row, so repeated rows link whatever the windows. An empty table gives no rows; other columns are not read.
+
 Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a
 label or an id, link with nothing and are components of their own. Vectors of different lengths are not compared.
 """
@@ -33,13 +36,12 @@ THRESHOLD = 0.98
 BLOCK = 1024
 RECALL = 0.98
 BITS = 64
-MOST_PASSES = 24
 
 
 def passes_for(largest: int) -> int:
     agree = 1 - math.acos(THRESHOLD) / math.pi
     meet = agree ** max(1.0, math.log2(max(1, largest) / BLOCK))
-    return min(MOST_PASSES, max(2, math.ceil(math.log(1 - RECALL) / math.log(max(1e-9, 1 - meet)))))
+    return max(2, math.ceil(math.log(1 - RECALL) / math.log(max(1e-9, 1 - meet))))
 
 
 def _prepare(passes: int):
@@ -107,43 +109,39 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int):
             yield at
 
 
-def _compare(step: int):
+def _compare(key, pdf):
     """Compares the rows of a block with themselves (step 0) or with those of the block `step` further on."""
-
-    def run(key, pdf):
-        low = key[0]
-        pdf = pdf.sort_values("id", kind="stable")
-        out = []
-        for dim, g in pdf.groupby("dim"):
-            a = g[g["block"] == low]
-            b = a if step == 0 else g[g["block"] != low]
-            if not len(a) or not len(b):
-                continue
-            x, y = (np.frombuffer(b"".join(z["x"]), dtype=float).reshape(-1, int(dim)) for z in (a, b))
-            hit = (x @ y.T) >= THRESHOLD * np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
-            hit &= a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None]
-            if step == 0:
-                np.fill_diagonal(hit, False)
-            blocks_a, blocks_b = (np.array(z["blocks"].tolist(), dtype=np.int64).reshape(len(z), -1) for z in (a, b))
-            reach_a, reach_b = (np.array(z["reaches"].tolist(), dtype=np.int64).reshape(len(z), -1) for z in (a, b))
-            linked = hit.any()
-            for q in range(blocks_a.shape[1]):
-                apart = blocks_b[None, :, q] - blocks_a[:, None, q]
-                hit &= ~np.where(apart >= 0, apart <= reach_a[:, None, q], -apart <= reach_b[None, :, q])
-            i, j = np.nonzero(hit)
-            ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
-            ca, cb = a["copies"].to_numpy(), b["copies"].to_numpy()
-            out += [("n", u, n) for u, n in zip(ida, hit @ cb) if n]
-            if step:
-                out += [("n", v, n) for v, n in zip(idb, hit.T @ ca) if n]
-            both = np.unique(np.concatenate([ida, idb]))
-            si, sj = np.searchsorted(both, ida[i]), np.searchsorted(both, idb[j])
-            out += [("e", both[si[t]], both[sj[t]]) for t in _forest(si, sj, len(both))]
-            if linked:
-                out.append(("w", int(low), step))
-        return pd.DataFrame(out, columns=["kind", "a", "b"])
-
-    return run
+    low, step = key
+    pdf = pdf.sort_values("id", kind="stable")
+    out = []
+    for dim, g in pdf.groupby("dim"):
+        a = g[g["block"] == low]
+        b = a if step == 0 else g[g["block"] == low + step]
+        if not len(a) or not len(b):
+            continue
+        x, y = (np.frombuffer(b"".join(z["x"]), dtype=float).reshape(-1, int(dim)) for z in (a, b))
+        hit = (x @ y.T) >= THRESHOLD * np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+        hit &= a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None]
+        if step == 0:
+            np.fill_diagonal(hit, False)
+        blocks_a, blocks_b = (np.array(z["blocks"].tolist(), dtype=np.int64).reshape(len(z), -1) for z in (a, b))
+        reach_a, reach_b = (np.array(z["reaches"].tolist(), dtype=np.int64).reshape(len(z), -1) for z in (a, b))
+        linked = hit.any()
+        for q in range(blocks_a.shape[1]):
+            apart = blocks_b[None, :, q] - blocks_a[:, None, q]
+            hit &= ~np.where(apart >= 0, apart <= reach_a[:, None, q], -apart <= reach_b[None, :, q])
+        i, j = np.nonzero(hit)
+        ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
+        ca, cb = a["copies"].to_numpy(), b["copies"].to_numpy()
+        out += [("n", u, n) for u, n in zip(ida, hit @ cb) if n]
+        if step:
+            out += [("n", v, n) for v, n in zip(idb, hit.T @ ca) if n]
+        both = np.unique(np.concatenate([ida, idb]))
+        si, sj = np.searchsorted(both, ida[i]), np.searchsorted(both, idb[j])
+        out += [("e", both[si[t]], both[sj[t]]) for t in _forest(si, sj, len(both))]
+        if linked:
+            out.append(("w", int(low), int(step)))
+    return pd.DataFrame(out, columns=["kind", "a", "b"])
 
 
 def links(rows: DataFrame, passes: int) -> tuple[DataFrame, DataFrame]:
@@ -153,23 +151,23 @@ def links(rows: DataFrame, passes: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("blocks", none).withColumn("reaches", none)
     for p in range(passes):
         placed = common.written(ordered(rows, F.col("keys")[p]), "vec-blocks")
-        step, active, reach = 0, None, None
+        first, last, active, reach = 0, 0, None, None
         while True:
-            r = placed.withColumn("low", F.col("block"))
-            if step:
-                second = placed.withColumn("low", F.col("block") - step)
-                r = r.unionAll(second)
+            steps = F.explode(F.sequence(F.lit(first), F.lit(last)).cast("array<bigint>")).alias("step")
+            r = placed.select("*", steps).withColumn("low", F.col("block"))
+            if first:
+                r = r.unionByName(placed.select("*", steps).withColumn("low", F.col("block") - F.col("step")))
             if active is not None:
                 r = r.join(active, "low", "left_semi")
-            got = common.written(r.groupBy("low").applyInPandas(_compare(step), "kind string, a long, b long"), "vec-links")
+            got = common.written(r.groupBy("low", "step").applyInPandas(_compare, "kind string, a long, b long"), "vec-links")
             found.append(got)
-            if step >= 1:
-                active = got.filter("kind = 'w'").select(F.col("a").alias("low"))
-                grown = active.withColumn("reach", F.lit(step + 1).cast("long"))
+            if first:
+                active = common.written(got.filter("kind = 'w'").select(F.col("a").alias("low")).distinct(), "vec-active")
+                grown = active.withColumn("reach", F.lit(2 * last + 1).cast("long"))
                 reach = grown if reach is None else reach.unionAll(grown)
                 if not active.limit(1).count():
                     break
-            step += 1
+            first, last = max(1, last + 1), 2 * last + 1
         reach = reach.groupBy(F.col("low").alias("block")).agg(F.max("reach").alias("reach"))
         placed = placed.join(reach, "block", "left")
         rows = placed.withColumn("blocks", F.concat("blocks", F.array("block"))).withColumn("reaches", F.concat("reaches", F.array(F.coalesce("reach", F.lit(1).cast("long"))))).drop("block", "reach")

@@ -229,15 +229,34 @@ def test_edit_matching(spark):
     assert decontamination.find(docs(spark, rows), bench.filter("false")).count() == 0 and decontamination.find(docs(spark, []), bench).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
+    """Links, counts and classes equal those of all pairs, with blocks small enough that windows matter."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(2)
-    base = rng.standard_normal((40, 16))
-    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(base)]
-    rows += [(100 + i, [float(x) for x in base[i] + 0.01 * rng.standard_normal(16)], i % 2) for i in range(20)]
-    rows += [(200, rows[0][1], 0), (201, None, 0), (202, [0.0] * 16, 0), (203, [None] + [1.0] * 15, 1), (204, rows[0][1], None), (205, [float("nan")] * 16, 0)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    assert got[0] == (2, 0) and got[200] == (2, 0) and got[100] == (2, 0) and got[101] == (1, 1) and got[30] == (0, 30)
-    assert all(got[i] == (0, i) for i in (201, 202, 203, 204, 205))
+    base = rng.standard_normal((150, 16))
+    rows = [(i, v, i % 2) for i, v in enumerate(base)]
+    rows += [(200 + i, base[i] + 0.02 * rng.standard_normal(16), i % 2) for i in range(60)]
+    rows += [(300 + i, base[0] + 0.03 * rng.standard_normal(16), 0) for i in range(130)]  # a group of many blocks
+    rows = [(i, [float(x) for x in v], y) for i, v, y in rows]
+    rows += [(500, rows[0][1], 0), (501, None, 0), (502, [0.0] * 16, 0), (503, [None] + [1.0] * 15, 1), (504, rows[0][1], None), (505, [float("nan")] * 16, 0), (506, [1.0], 0), (506, [1.0], 0), (507, [], 1)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("block", F.lit("x")).withColumn("x", F.lit(1)).withColumn("keys", F.lit(2))
+    sound = [i for i, (_, v, y) in enumerate(rows) if v and y is not None and None not in v and np.isfinite(v).all() and any(v)]
+    links = {i: set() for i in range(len(rows))}
+    for i in sound:
+        for j in sound:
+            if i != j and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
+                a, b = (np.array(rows[k][1], dtype="f4").astype(float) for k in (i, j))
+                if a @ b >= 0.98 * np.linalg.norm(a) * np.linalg.norm(b):
+                    links[i].add(j)
+    component = list(range(len(rows)))
+    for _ in rows:
+        for i in links:
+            component[i] = min([component[i], *(component[j] for j in links[i])], key=lambda c: rows[c][0])
+    want = sorted((rows[i][0], len(links[i]), rows[component[i]][0]) for i in range(len(rows)))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.linked(e).collect())
+    assert sum(n for _, n, _ in got) >= 0.97 * sum(n for _, n, _ in want) and all(g[1] <= w[1] for g, w in zip(got, want))
+    assert [(g[0], g[2]) for g in got] == [(w[0], w[2]) for w in want]
+    assert embedding_dedup.linked(e.filter("false")).count() == 0
 
 
 def luhn(d):
