@@ -32,7 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, written to the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    binary = any(f.dataType.typeName() == "binary" for f in df.schema)  # long values that hardly repeat: no dictionary
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(not binary).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
