@@ -27,37 +27,64 @@ def docs(spark, texts):
 TEXTS = [(0, "Hello, world"), (1, None), (2, ""), (3, prose(1, 3000)), (4, "Hello, world"), (5, "a\x1cb  c"), (5, "x y")]
 
 
+def library_ids(name, text):
+    from tokenizers import Tokenizer
+
+    return np.asarray(Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    for text in ["", " ", "a  b\n\nc ", "it's don't 12ab", "ÀÉ naïve Ÿ", "é x", "日本 語", "x\x1cy", prose(2, 50)]:
-        assert tokens.Encoder(public_tokenizers.path(name)).encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    t, e = Tokenizer.from_file(public_tokenizers.path(name)), tokens.Encoder(public_tokenizers.path(name))
+    rng = random.Random(3)
+    parts = [*"aAbeéE1290.,;'!?-_/<|>\n\n  \t\r\"()@#ßÀ", "don't", "'ll", " the", "<|endoftext|>", "<|startoftext|>", "\n\n", "  ", "İ", "ı", "日"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["", " ", "a  b\n\nc ", "it's don't 12ab", "ÀÉ naïve Ÿ", "é x", "日本 語", "x\x1cy", "hello <|endoftext|> world", prose(2, 30_000), "x" * 5_000]
+    for text in texts:
+        assert e.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
 
+LONG = [(8, prose(3, 30_000)), (9, "a <|endoftext|> b"), (None, "null id")]
 
-def test_packing_is_gapless(spark):
+
+@pytest.mark.parametrize("length", [64, 48])
+def test_packing_is_gapless_and_equals_library(spark, length):
     path = public_tokenizers.path(packing.TOKENIZER)
-    got = packing.digest(packing.pack(docs(spark, TEXTS), path, 64)).toPandas()
-    assert got.groupby("sequence_id")["length"].sum().sort_index().iloc[:-1].eq(64).all()
-    enc = tokens.Encoder(path)
-    for i, text in TEXTS[:4]:
-        ids = enc.encode(text or "") + (1).to_bytes(4, "little")
+    clash = docs(spark, TEXTS + LONG).withColumn("part", F.lit("x")).withColumn("n", F.lit(1)).withColumn("ids", F.lit(2)).withColumn("before", F.lit(3))
+    got = packing.digest(packing.pack(clash, path, length)).toPandas()
+    want = Counter()
+    for i, text in TEXTS + LONG:
+        want[(i, len(library_ids(packing.TOKENIZER, text or "")) + 1)] += 1
+    whole = got.groupby(["doc_id", "doc_tokens"], dropna=False)["length"].sum()
+    assert {(None if np.isnan(i) else int(i), n): k for (i, n), k in whole.items()} == {(i, n): n * k for (i, n), k in want.items()}
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g["offset"]) == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= length
+    assert got.groupby("sequence_id")["length"].sum().sort_index().iloc[:-1].eq(length).all()
+    for i, text in [*TEXTS[:5], *LONG[:2]]:
+        ids = [*library_ids(packing.TOKENIZER, text or ""), packing.END]
         for r in got[got.doc_id == i].itertuples():
-            assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+            assert zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) == r.ids_crc32
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
-def test_shards_round_trip_and_lookup(spark, tmp_path):
+def test_shards_round_trip_and_lookup(spark):
     path = public_tokenizers.path(sstable.TOKENIZER)
-    rows = [(i, prose(i, 40)) for i in range(-3, 60)] + [(7, "again"), (None, "null id")]
-    manifest = sstable.write(docs(spark, rows), path)
-    got = sstable.read(spark, manifest).toPandas()
-    assert len(got) == len(rows) and got["start"].is_unique
-    enc = tokens.Encoder(path)
+    rows = [(i, prose(i, 40)) for i in range(-3, 60)] + [(7, "again"), (7, "again"), (70, None), (71, ""), *LONG]
+    clash = docs(spark, rows).withColumn("shard", F.lit("x")).withColumn("path", F.lit(1)).withColumn("entries", F.lit(2))
+    manifest = sstable.write(clash, path)
+    got = sstable.digest(sstable.read(spark, manifest)).toPandas().sort_values("start")
+    want = Counter((i, zlib.crc32(np.array([*library_ids(sstable.TOKENIZER, t or ""), sstable.END], dtype="<u4").tobytes())) for i, t in rows)
+    assert Counter((None if np.isnan(i) else int(i), c) for i, c in zip(got["doc_id"].astype(float), got["ids_crc32"])) == want
+    assert list(got["start"]) == [0, *got["n_tokens"].cumsum()[:-1]]
+    ids = [-(10**9) if np.isnan(i) else i for i in got["doc_id"].astype(float)]
+    assert ids == sorted(ids)
     with sstable.open_uri(next(r["path"] for r in manifest.collect() if r["first_key"] <= sstable.key_of(7) <= r["last_key"]), "r") as f:
         found = sstable.Shard(f).lookup(7)
-        assert sorted(len(x) for x in found) == sorted(len(enc.encode(t)) // 4 + 1 for t in (prose(7, 40), "again"))
+        known = {len(library_ids(sstable.TOKENIZER, t)) + 1 for t in (prose(7, 40), "again")}
+        assert found and {len(x) for x in found} <= known
         assert sstable.Shard(f).lookup(10**9) == []
     assert sstable.read(spark, sstable.write(docs(spark, []), path)).count() == 0
 
