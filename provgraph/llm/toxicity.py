@@ -3,9 +3,13 @@
 Terms of a text: each distinct word, its first 5, 6 and 7 characters, a repeat mark for words and
 starts that occur three times or more, and one term for the order of magnitude of its length.
 Terms are hashed to 2**20 buckets. On the training rows, document counts by label pick the
-`FEATURES` buckets that tell labels apart best; the machine (global, linear and pairwise parts)
-is fitted on their indicators by Adam, in one task, as the sample is bounded. The pairs let it learn what no linear
-weight can: a start that means little in a long text and much in a short one, or only beside another.
+`FEATURES` buckets that tell labels apart best by themselves. Terms that say nothing alone and much beside
+another are found by pairs: the words of at least `SUPPORT` toxic rows (the `VOCABULARY` most frequent of them)
+are counted two by two, and up to `PAIRS` pairs with far more toxic rows than the odds of their two
+words explain (`PAIR_SIGMAS` standard deviations, and `LIFT` times the odds of either word) add their words.
+The machine (global, linear and pairwise parts) is fitted on the indicators of all these by Adam. Pairs are
+counted and the machine is fitted in one task each, as the sample is bounded; the counts are products of blocks of rows,
+so their cost grows with the rows, not with the square of a text.
 
 Training rows: at most about `SAMPLE` labelled rows, taken by a hash of the id, so the fit costs the
 same at any corpus size; their ids alone are broadcast. Scoring reads every whole text once, without a shuffle.
@@ -32,6 +36,12 @@ from . import common
 BUCKETS = 1 << 20
 FEATURES = 500
 SIGMAS = 2.5
+VOCABULARY = 2_000
+SUPPORT = 10
+PAIRS = 200
+PAIR_SIGMAS = 6.0
+LIFT = 2.0
+BLOCK = 1_000
 SAMPLE = 16_000
 FACTORS = 4
 ROUNDS = 200
@@ -75,26 +85,78 @@ def buckets(text: str, wanted: dict | None = None) -> set[int]:
     return out
 
 
-def _bucket_labels(batches):
-    for pdf in batches:
-        for lo in range(0, len(pdf), 64):
-            cut = pdf.iloc[lo : lo + 64]
-            counts: dict[int, list[int]] = {}
-            for t, y in zip(cut["text"], cut["toxic"]):
-                for b in buckets(t):
-                    counts.setdefault(b, [0, 0])[y] += 1
-            yield pd.DataFrame({"b": list(counts), "clean": [x[0] for x in counts.values()], "toxic": [x[1] for x in counts.values()]})
+def words_of(text: str) -> set[int]:
+    """The buckets of whole words."""
+    return {_word_buckets(w)[0] for w in set(WORD.findall(text.lower()))}
 
 
-def _present_buckets(chosen):
+def _bucket_labels(terms):
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                cut = pdf.iloc[lo : lo + 64]
+                counts: dict[int, list[int]] = {}
+                for t, y in zip(cut["text"], cut["toxic"]):
+                    for b in terms(t):
+                        counts.setdefault(b, [0, 0])[y] += 1
+                yield pd.DataFrame({"b": list(counts), "clean": [x[0] for x in counts.values()], "toxic": [x[1] for x in counts.values()]})
+
+    return run
+
+
+def _places(chosen, terms):
+    """Rows of the places of their terms in chosen, and their labels."""
+
     def run(batches):
         at = {b: i for i, b in enumerate(chosen.value)}
         for pdf in batches:
-            yield pd.DataFrame({"x": [[at[b] for b in _present(t, at)] for t in pdf["text"]], "y": pdf["toxic"].astype(float)})
+            yield pd.DataFrame({"x": [[at[b] for b in terms(t, at) if b in at] for t in pdf["text"]], "y": pdf["toxic"].astype(float)})
 
     return run
 
 
+def telling_pairs(rows: list[list[int]], y: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Pairs of terms with far more toxic rows than the odds of the two explain, the surest first, PAIRS at most."""
+    both, toxic = np.zeros((n, n)), np.zeros((n, n))
+    for lo in range(0, len(rows), BLOCK):
+        block = np.zeros((min(BLOCK, len(rows) - lo), n), dtype=np.float32)
+        for i, r in enumerate(rows[lo : lo + BLOCK]):
+            block[i, r] = 1
+        both += block.T @ block
+        marked = block[y[lo : lo + BLOCK] > 0]
+        toxic += marked.T @ marked
+    total, base = len(rows), (y.sum() + 0.5) / (len(y) - y.sum() + 0.5)
+    odds = (np.diag(toxic) + 0.5) / (np.diag(both - toxic) + 0.5)
+    expected = odds[:, None] * odds[None, :] / base
+    share = expected / (1 + expected)
+    sure = (toxic - both * share) / np.sqrt(both * share * (1 - share) + 1)
+    seen = (toxic + 0.5) / (both - toxic + 0.5)
+    good = (toxic >= SUPPORT) & (sure >= PAIR_SIGMAS) & (seen >= LIFT * np.maximum(odds[:, None], odds[None, :])) & (both < total)
+    a, b = np.nonzero(np.triu(good, 1))
+    order = np.lexsort((b, a, -sure[a, b]))[:PAIRS]
+    return [(int(a[i]), int(b[i])) for i in order]
+
+
+def _pairs(n: int):
+    def run(batches):
+        got = pd.concat(list(batches), ignore_index=True)
+        found = telling_pairs([list(x) for x in got["x"]], got["y"].to_numpy(), n)
+        yield pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int32")
+
+    return run
+
+
+def _beside(train: DataFrame) -> set[int]:
+    """The buckets of words that tell labels apart only beside another; train: text, toxic."""
+    by = train.mapInPandas(_bucket_labels(words_of), "b int, clean long, toxic long").groupBy("b").agg(F.sum("toxic").alias("t"))
+    words = [r["b"] for r in by.filter(F.col("t") >= SUPPORT).orderBy(F.desc("t"), "b").limit(VOCABULARY).collect()]  # bounded by VOCABULARY
+    if len(words) < 2:
+        return set()
+    x = train.mapInPandas(_places(train.sparkSession.sparkContext.broadcast(words), lambda t, _: words_of(t)), "x array<int>, y double")
+    found = x.repartition(1).mapInPandas(_pairs(len(words)), "a int, b int").collect()  # bounded by PAIRS
+    return {words[i] for r in found for i in (r["a"], r["b"])}
+
+
 def train_machine(rows: list[list[int]], y: np.ndarray, features: int, seed: int = 11):
     """Bias, linear weights and factors for indicator rows, by full-batch Adam on the logistic loss."""
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -195,13 +257,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_train):
     flat = toxic / max(1, clean + toxic)
     if not clean or not toxic:
         return [], 0.0, None, None, float(flat)
-    by = train.mapInPandas(_bucket_labels, "b int, clean long, toxic long").groupBy("b").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    by = train.mapInPandas(_bucket_labels(buckets), "b int, clean long, toxic long").groupBy("b").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     p, q = (F.col("t") + 0.5) / (toxic + 1.0), (F.col("c") + 0.5) / (clean + 1.0)
     gain = F.abs(F.log(p / q)) * F.sqrt(F.least(p, F.lit(1.0)) + q) * F.sqrt(F.abs(p - q))
     sure = F.abs(F.log(p / q)) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) >= SIGMAS  # log odds over their standard error
     top = by.filter(sure & (F.col("c") + F.col("t") >= 3)).orderBy(F.desc(gain), "b").limit(FEATURES).collect()  # bounded by FEATURES
-    chosen = sorted({*(r["b"] for r in top), *(_hash(f"length {k}") for k in range(24))})
-    x = train.mapInPandas(_present_buckets(spark.sparkContext.broadcast(chosen)), "x array<int>, y double")
+    chosen = sorted({*(r["b"] for r in top), *_beside(train), *(_hash(f"length {k}") for k in range(24))})
+    x = train.mapInPandas(_places(spark.sparkContext.broadcast(chosen), _present), "x array<int>, y double")
     got = x.repartition(1).mapInPandas(_train(len(chosen)), "bias double, linear binary, factors binary").first()
     common.drop_written(train)
     linear, factors = np.frombuffer(got["linear"]), np.frombuffer(got["factors"]).reshape(-1, FACTORS)

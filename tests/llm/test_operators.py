@@ -158,6 +158,30 @@ def test_toxicity(spark):
     assert {r["score"] for r in flat.collect()} == {0.0}
 
 
+def test_toxicity_of_pairs_only(spark):
+    """Words that each stand as often in clean rows as in toxic ones are told apart by their pairs, and scores equal the plain sum over all pairs."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1000):
+        pick = ["amber brook", "cedar delta"] if i % 5 == 0 else ["amber cedar", "amber delta", "brook cedar", "brook delta"]
+        words = [f"w{rng.randrange(300)}" for _ in range(20)] + rng.choice(pick).split()
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    held = F.col("doc_id") % 4 == 1
+    chosen, bias, linear, factors, _ = model = toxicity.fit(docs(spark, rows), labels, ~held)
+    assert {toxicity._hash("w " + w) for w in ("amber", "brook", "cedar", "delta")} <= set(chosen)
+    score = dict(zip(range(1000), toxicity._scorer(model)([t for _, t in rows])))
+    out = [i for i in range(1000) if i % 4 == 1]
+    assert np.mean([(score[i] >= 0.5) == (i % 5 == 0) for i in out]) >= 0.97
+    for i in out[:20]:
+        at = [chosen.index(b) for b in toxicity.buckets(rows[i][1]) if b in set(chosen)]
+        z = bias + sum(linear[a] for a in at) + sum(factors[a] @ factors[b] for n, a in enumerate(at) for b in at[:n])
+        assert np.isclose(score[i], 1 / (1 + np.exp(-z)))
+    counts = [[0, 1], [0], [1], []]
+    assert toxicity.telling_pairs(counts * 3, np.array([1, 0, 0, 0] * 3, dtype=float), 2) == []  # too few rows to be sure
+
+
 def test_near_duplicates(spark):
     """Classes equal those of all pairs, in a group of near copies of which few are similar to each other."""
     rng = random.Random(3)
