@@ -61,6 +61,32 @@ def mask_values(c: Column) -> Column:
     return labelled(out, LICENCE, lambda m: F.when(licence(m), "[LICENSE]").otherwise("[UNVERIFIED_LICENSE]"))
 
 
+def _spans(c: Column, pattern: str, label) -> Column:
+    """Matches that label(match) gives a name: label, start and end (code points, end exclusive), in order."""
+    clean = F.translate(c, "\x01\x02", "\x03\x03")
+    parts = F.split(F.regexp_replace(clean, F.lit("(?U)" + pattern), F.lit("\x01$0\x02")), "\x01", -1)
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    none = F.array().cast("array<struct<label:string,start:int,end:int>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        match = F.substring_index(p, "\x02", 1)
+        found = F.struct(label(match).alias("label"), acc["at"].alias("start"), (acc["at"] + F.length(match)).alias("end"))
+        return F.struct((acc["at"] + F.length(p) - 1).alias("at"), F.array_append(acc["found"], found).alias("found"))
+
+    found = F.aggregate(rest, F.struct(F.length(parts[0]).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    return F.filter(found, lambda x: x["label"].isNotNull())
+
+
+def scan(c: Column) -> Column:
+    """Numbers whose check holds, as label, start and end: resident and foreigner numbers, then cards, then licences. Null: null."""
+    s = c.cast("string")
+    ids = _spans(s, NUMERIC_ID, lambda m: F.when(rrn(m), "RRN").when(foreigner(m), "FOREIGNER_ID"))
+    cards = _spans(s, CARD, lambda m: F.when(luhn(m), "CARD"))
+    licences = _spans(s, LICENCE, lambda m: F.when(licence(m), "DRIVERS_LICENSE"))
+    nothing = F.array().cast("array<struct<label:string,start:int,end:int>>")
+    return F.when(s.rlike("[0-9]"), F.concat(ids, cards, licences)).when(s.isNotNull(), nothing)
+
+
 def masked(c: Column, name: str) -> Column:
     rule = column_rule(name)
     if rule == "full":

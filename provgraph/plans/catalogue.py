@@ -410,6 +410,13 @@ def masked_documents(spark, d):
     return load(spark, d, "documents").select("doc_id", masking.mask_formats(F.col("text")).alias("masked"))
 
 
+@query()
+def personal_numbers(spark, d):
+    found = masking.scan(F.col("text"))
+    named = F.transform(found, lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string")))
+    return load(spark, d, "documents").select("doc_id", F.array_join(named, ",").alias("found"))
+
+
 @query()
 def masked_values(spark, d):
     return load(spark, d, "documents").select("doc_id", masking.mask_values(F.col("text")).alias("masked"))

@@ -120,3 +120,55 @@ def test_masked_documents_equal_plain_patterns(spark):
     texts = ["mail a.b@c.de and 10.0.0.1.", "none", "x@y", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(masking.mask_formats(F.col("t"))).collect()] == ["mail [EMAIL] and [IP].", "none", "x@y", None]
+
+
+def test_scan_equals_brute_force(spark):
+    """Spans of checked numbers, also beside marks that the masks use and characters beyond 16 bits."""
+    import re
+
+    def plain(text):
+        weights = masking.RRN_WEIGHTS
+        out = []
+        for m in re.finditer(masking.NUMERIC_ID, text):
+            d = re.sub("[^0-9]", "", m[0])
+            check = (11 - sum(int(a) * b for a, b in zip(d, weights)) % 11) % 10
+            if 1 <= int(d[2:4]) <= 12 and 1 <= int(d[4:6]) <= 31 and check == int(d[12]):
+                out.append(("RRN", *m.span()))
+            elif d[6] in "5678" and (check + 2) % 10 == int(d[12]):
+                out.append(("FOREIGNER_ID", *m.span()))
+        for m in re.finditer(masking.CARD, text):
+            d = [int(x) for x in reversed(re.sub("[^0-9]", "", m[0]))]
+            if sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2]) in range(0, 1000, 10):
+                out.append(("CARD", *m.span()))
+        for m in re.finditer(masking.LICENCE, text):
+            if 11 <= int(m[0][:2]) <= 28:
+                out.append(("DRIVERS_LICENSE", *m.span()))
+        return out
+
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    dated = lambda: f"{rng.randrange(10, 99)}{rng.randrange(1, 13):02}{rng.randrange(1, 29):02}-{number(7)}"
+    makers = [dated, lambda: number(13), lambda: number(16), lambda: "4111 1111 1111 1111", lambda: f"{number(2)}-{number(2)}-{number(6)}-{number(2)}", lambda: "\x01 word \U0001f600 \x02", lambda: "x" + number(16)]
+    rows = [(i, " ".join(rng.choice(makers)() for _ in range(30))) for i in range(60)] + [(60, ""), (61, None), (62, "no digits")]
+    got = {r["i"]: r["found"] for r in spark.createDataFrame(rows, "i int, t string").select("i", masking.scan(F.col("t")).alias("found")).collect()}
+    assert got[61] is None and got[62] == [] and sum(len(got[i]) for i in range(60)) > 50
+    assert {x["label"] for i in range(60) for x in got[i]} == {"RRN", "FOREIGNER_ID", "CARD", "DRIVERS_LICENSE"}
+    for i, t in rows[:61]:
+        assert [tuple(x) for x in got[i]] == plain(t), t
+
+
+def test_budget(spark):
+    """Lists go before texts, texts before the names; nothing is over the ceiling, and what fits stays whole."""
+    from provgraph.operators import budget
+
+    item = "y" * 60
+    rows = [("whole", [item] * 3, "short"), ("lists", [item] * 900, "short"), ("texts", [item] * 900, "\u00e9" * 90_000), ("none", None, None), ("wide", ["z" * 9000], "short")]
+    df = spark.createDataFrame(rows, "id string, items array<string>, note string")
+    got = {r["id"]: r for r in budget.within_bytes(df, ["id"], ["items"], ("note",), budget.LEAST).collect()}
+    assert all(r["n_bytes"] == len(r["artifact"].encode()) <= budget.LEAST for r in got.values())
+    assert [got[k]["truncated"] for k in ("whole", "lists", "texts", "none", "wide")] == [False, True, True, False, True]
+    assert json.loads(got["whole"]["artifact"]) == {"id": "whole", "items": [item] * 3, "note": "short"}
+    lists, texts = json.loads(got["lists"]["artifact"]), json.loads(got["texts"]["artifact"])
+    assert lists["note"] == "short" and len(lists["items"]) == got["lists"]["n_items"] > 30
+    assert texts["items"] and 1000 < len(texts["note"]) < 90_000
+    assert json.loads(got["none"]["artifact"]) == {"id": "none", "items": [], "note": ""} and json.loads(got["wide"]["artifact"]) == {"id": "wide"}
