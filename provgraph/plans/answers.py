@@ -465,7 +465,7 @@ st AS (SELECT supplier, max(k) AS whole, strlen('{"supplier":' || supplier || ',
 w AS (SELECT supplier, 0 AS i, whole AS n FROM st UNION ALL
   SELECT w.supplier, i + 1, CASE WHEN base + z <= 4096 THEN n ELSE least(n, greatest(1, CAST(floor(n * greatest(0.02::DOUBLE, least(0.75::DOUBLE, 4096::DOUBLE / (base + z)::DOUBLE * 0.9::DOUBLE))) AS BIGINT))) END
   FROM w JOIN st ON st.supplier = w.supplier JOIN it ON it.supplier = w.supplier AND k = n WHERE i < 8)
-SELECT w.supplier, n AS n_lines, n < whole AS truncated, '{"supplier":' || w.supplier || ',"lines":[' || string_agg('"' || item || '"', ',' ORDER BY k) || ']}' AS artifact
+SELECT w.supplier, CAST(n AS INTEGER) AS n_lines, n < whole AS truncated, '{"supplier":' || w.supplier || ',"lines":[' || string_agg('"' || item || '"', ',' ORDER BY k) || ']}' AS artifact
 FROM w JOIN st ON st.supplier = w.supplier JOIN it ON it.supplier = w.supplier AND k <= n WHERE i = 8 GROUP BY w.supplier, n, whole""", graph=False)
 def budgeted_artifacts(spark, d):
     li = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.concat_ws(":", F.lit("order"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item"))
