@@ -56,3 +56,24 @@ def project_index(symbols: DataFrame, edges: DataFrame, calls: DataFrame, n: int
         .unionAll(rows("hot_symbols", hot_symbols(symbols, calls, n), "id", "in_degree"))
         .unionAll(rows("data_entities", busiest_entities(entities, access, n), "id", "in_degree"))
     )
+
+
+def edge_packs(edges: DataFrame, symbols: DataFrame, found: DataFrame, items: int = 50, ceiling: int = budget.MOST) -> DataFrame:
+    """Packs whose target is an edge: id (source->target), the ends with their names (null where unknown), and findings (found: id, severity, kind)."""
+    items = clamp(items, LEAST_ITEMS, MOST_ITEMS)
+    pack = edges.select(F.concat_ws("->", "source_id", "target_id").alias("id"), "source_id", "target_id").distinct()
+    for end in ("source", "target"):
+        pack = pack.join(symbols.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left")
+    related = found.select("id", F.concat_ws(" ", "severity", "kind").alias("item"))
+    pack = pack.join(_first(related, "findings", items), "id", "left")
+    out = budget.within_bytes(pack, ["id", "source_id", "source_name", "target_id", "target_name"], ["findings"], ceiling=ceiling)
+    return out.withColumn("findings_full", F.col("n_findings") >= items)
+
+
+def finding_packs(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Packs whose target is a finding: subject_id, kind, severity, subject (node or edge), and the names of the subject's ends; null where unknown."""
+    ends = F.split("subject_id", "->")
+    pack = found.select("subject_id", "kind", "severity", F.when(F.size(ends) > 1, "edge").otherwise("node").alias("subject"), ends[0].alias("source_id"), F.get(ends, F.lit(1)).alias("target_id"))
+    for end in ("source", "target"):
+        pack = pack.join(symbols.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left")
+    return pack.select("subject_id", "kind", "severity", "subject", "source_name", "target_name")

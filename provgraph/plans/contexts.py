@@ -69,3 +69,18 @@ def coalesced_pushes(spark, d):
         F.concat(F.year("o_orderdate").cast("string"), "o_orderpriority").alias("job_id"), F.col("o_orderdate").alias("created_at"),
     )
     return pinning.after_pushes(runs)
+
+
+@query(f"""{_FOUND}, pk AS (SELECT c.source_id || '->' || c.target_id AS id, c.source_id, a.name AS source_name, c.target_id, b.name AS target_name, coalesce(f.findings, CAST([] AS VARCHAR[])) AS findings FROM calls c
+LEFT JOIN symbols a ON a.id = c.source_id LEFT JOIN symbols b ON b.id = c.target_id LEFT JOIN {_lists("findings", "subject_id", "severity || ' ' || kind", "fd")} f ON f.id = c.source_id || '->' || c.target_id)
+SELECT id, source_id, source_name, target_id, target_name, findings[1] AS first_finding, CAST(len(findings) AS INTEGER) AS n_findings, len(findings) >= {_ITEMS} AS findings_full, false AS truncated FROM pk""")
+def edge_packs(spark, d):
+    found = _found(spark, d).withColumnRenamed("subject_id", "id")
+    packs = context.edge_packs(g.calls(spark, d), g.symbols(spark, d), found, _ITEMS)
+    return packs.withColumn("first_finding", F.get_json_object("artifact", "$.findings[0]")).drop("artifact", "n_bytes")
+
+
+@query(f"""{_FOUND} SELECT subject_id, kind, severity, CASE WHEN contains(subject_id, '->') THEN 'edge' ELSE 'node' END AS subject, a.name AS source_name, b.name AS target_name
+FROM fd LEFT JOIN symbols a ON a.id = {_SUBJECT} LEFT JOIN symbols b ON contains(subject_id, '->') AND b.id = split_part(subject_id, '->', 2)""")
+def finding_packs(spark, d):
+    return context.finding_packs(_found(spark, d), g.symbols(spark, d))

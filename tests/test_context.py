@@ -50,3 +50,13 @@ def test_packs_keep_the_first_items_and_say_so(spark):
     assert got["s"]["n_callers"] == context.LEAST_ITEMS and got["s"]["callers_full"] and not got["s"]["data_access_full"]
     assert '"data_access":["READS data:x"]' in got["s"]["artifact"] and not got["s"]["truncated"]
     assert got["lone"]["n_callers"] == 0 and not got["lone"]["callers_full"]
+
+
+def test_packs_of_edges_and_findings(spark):
+    symbols = spark.createDataFrame([("s", "main")], "id string, name string")
+    edges = spark.createDataFrame([("s", "gone")], "source_id string, target_id string")
+    found = spark.createDataFrame([("s->gone", "warning", "k"), ("s->gone", "info", "k")], "id string, severity string, kind string")
+    (edge,) = context.edge_packs(edges, symbols, found).collect()
+    assert (edge["source_name"], edge["target_name"], edge["n_findings"], edge["findings_full"]) == ("main", None, 2, False)
+    got = {tuple(r) for r in context.finding_packs(found.unionByName(found.limit(1).selectExpr("'s' AS id", "severity", "kind")).withColumnRenamed("id", "subject_id"), symbols).collect()}
+    assert ("s", "k", "warning", "node", "main", None) in got and ("s->gone", "k", "info", "edge", "main", None) in got
