@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, hmm, kneser_ney, minhash, packing, pii, rendering, sstable, toxicity
+from . import decontamination, divergence, embedding_dedup, exact_dedup, hmm, kneser_ney, minhash, packing, pii, rendering, sstable, toxicity, whitening
 from .common import remainder, table
 
 
@@ -53,5 +53,24 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_hmm": op2_hmm, "op3_concat_pack": op3_concat_pack, "op4_kneser_ney": op4_kneser_ney, "op5_layout_text": op5_layout_text, "op6_edit_decontamination": op6_edit_decontamination, "op7_projection_dedup": op7_projection_dedup, "op8_sstable": op8_sstable, "op9_pii": op9_pii, "op10_dart_minhash": op10_dart_minhash}
-ORACLES: dict[str, str] = {}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents, by id, stand for what is known already; the result is that of all."""
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 2) == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_hmm, op3_concat_pack, op4_kneser_ney, op5_layout_text, op6_edit_decontamination, op7_projection_dedup, op8_sstable, op9_pii, op10_dart_minhash,
+        op11_source_divergence, op12_whitening, op13_exact_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op11_source_divergence": divergence.SQL, "op13_exact_dedup": exact_dedup.SQL}
