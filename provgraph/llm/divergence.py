@@ -39,6 +39,7 @@ ONE = 1_000_000_000
 RANKS = 200
 BLOCK = 512
 SLICE = 64
+SALTS = 256  # tasks among which the terms of one language are dealt
 ENTRIES = 400_000  # of a task's counts before it hands them on
 CHARS = 1 << 20
 CELLS = 1 << 20
@@ -111,7 +112,9 @@ def cells(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kept = real.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).filter(F.col("df") >= DOCUMENTS).drop("df")
     kept = common.written(kept, "divergence-kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
-    placed = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / BLOCK)))
+    salt = F.pmod(F.xxhash64("term"), F.lit(SALTS))
+    copies = langs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = kept.withColumn("salt", salt).join(copies, ["lang", "salt"]).withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / BLOCK)))
     placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1)
     placed = placed.withColumn("q", _level(F.col("lang_n"), F.col("lang_total"), F.col("v"))).select("lang", "term", "q", "block", "place")
     placed = common.written(placed, "divergence-terms")
