@@ -37,9 +37,48 @@ def observed(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     return stored.select(*fresh.columns).unionAll(fresh).groupBy(*keys).agg(F.sum("seen_count").alias("seen_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
 
+#: The fields of an edge that may name its operation.
+CANDIDATES = ("operation", "path", "route")
+
+
+def path_in_id(node_id: Column) -> Column:
+    """The path that a contract's id carries: contract:http:METHOD:/path, contract:METHOD /path, http.METHOD./path; null for other ids."""
+    after = lambda text, mark: F.when(F.instr(text, mark) > 0, F.right(text, F.length(text) - F.instr(text, mark) - len(mark) + 1))
+    rest = F.right(node_id, F.length(node_id) - len("contract:"))
+    spaced = F.coalesce(F.nullif(after(rest, " "), F.lit("")), rest)
+    http = F.nullif(after(F.right(node_id, F.length(node_id) - len("contract:http:")), ":"), F.lit(""))
+    return (
+        F.when(node_id.startswith("contract:http:"), http)
+        .when(node_id.startswith("contract:"), F.when(spaced.startswith("/"), spaced))
+        .when(node_id.startswith("http."), F.when(F.instr(node_id, "./") > 0, F.right(node_id, F.length(node_id) - F.instr(node_id, "./"))))
+    )
+
+
+def _keys(operation: Column) -> Column:
+    """Look-up keys of an operation: itself, and its normal form if it is a path."""
+    raw = F.when(operation != "", F.concat(F.lit("raw:"), operation))
+    norm = F.when(operation.startswith("/"), F.concat(F.lit("norm:"), normal_path(operation)))
+    return F.array_compact(F.array(raw, norm))
+
+
+def match_index(edges: DataFrame) -> DataFrame:
+    """kind, key, first (the first edge, by source and target, of each key). edges: source_id, target_id, kind and any of CANDIDATES."""
+    named = [F.col(c) for c in CANDIDATES if c in edges.columns] + [path_in_id(F.col("target_id"))]
+    keys = F.array_distinct(F.flatten(F.transform(F.array_compact(F.array(*named)), _keys)))
+    e = edges.select("kind", F.explode(keys).alias("key"), F.struct("source_id", "target_id").alias("edge"))
+    return e.groupBy("kind", "key").agg(F.min("edge").alias("first"))
+
+
+def match(observations: DataFrame, index: DataFrame) -> DataFrame:
+    """observations (kind, operation and more) with source_id and target_id of the first edge that either key of the operation finds, or null."""
+    keys = _keys(F.col("operation"))
+    o = observations.withColumn("_raw", F.get(keys, 0)).withColumn("_norm", F.get(keys, 1))
+    for c in ("_raw", "_norm"):
+        o = o.join(index.select("kind", F.col("key").alias(c), F.col("first").alias(f"{c}_edge")), ["kind", c], "left")
+    first = F.least("_raw_edge", "_norm_edge")
+    return o.select(*observations.columns, first["source_id"].alias("source_id"), first["target_id"].alias("target_id"))
+
+
 def reconcile(observations: DataFrame, edges: DataFrame) -> DataFrame:
-    """observation_id with the first edge (by key place, source, target) whose path it names, raw or normalised; unmatched ones have none."""
-    keys = observations.select("observation_id", "kind", F.posexplode(F.array_distinct(F.array(F.col("operation"), normal_path(F.col("operation"))))).alias("place", "key"))
-    found = keys.filter("key <> ''").join(edges.select("source_id", "target_id", "kind", "key"), ["kind", "key"])
-    first = found.groupBy("observation_id").agg(F.min(F.struct("place", "source_id", "target_id")).alias("m"))
-    return observations.select("observation_id").join(first, "observation_id", "left").select("observation_id", "m.source_id", "m.target_id")
+    """observation_id with the edge it is evidence for; unmatched ones have none."""
+    return match(observations, match_index(edges)).select("observation_id", "source_id", "target_id")

@@ -462,7 +462,7 @@ SELECT o.observation_id, f.source_id, f.target_id FROM o LEFT JOIN f USING (obse
 def reconcile_observations(spark, d):
     c = cut(g.calls(spark, d))
     o = g.seen(c).select(F.concat(F.lit("seen:"), "source_id").alias("observation_id"), F.col("source_id").alias("operation"), F.lit("CALLS").alias("kind")).distinct()
-    return runtime.reconcile(o, c.select("source_id", "target_id", F.lit("CALLS").alias("kind"), F.col("source_id").alias("key")))
+    return runtime.reconcile(o, c.select("source_id", "target_id", F.lit("CALLS").alias("kind"), F.col("source_id").alias("operation")))
 
 
 @query("SELECT user_id AS actor, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM events WHERE starts_with(event_type, 'c') GROUP BY 1", graph=False)
