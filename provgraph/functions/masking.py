@@ -94,6 +94,13 @@ def masked(c: Column, name: str) -> Column:
     return F.when(c.isNotNull(), mask_partial(c)) if rule == "partial" else mask_values(c)
 
 
+def masked_by(c: Column, name: Column) -> Column:
+    """c masked by the rule of a name that is data, such as an attribute's key."""
+    s = c.cast("string")
+    by_name = F.when(name.rlike("(?iu)" + FULL), F.lit("***")).when(name.rlike("(?iu)" + PARTIAL), mask_partial(c))
+    return F.when(s.isNotNull(), F.coalesce(by_name, mask_values(c)))
+
+
 def mask_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The masked rows, and one row of flags: which columns changed anywhere."""
     out = df.select(*[masked(F.col(c), c).alias(c) for c in df.columns])

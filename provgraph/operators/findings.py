@@ -48,12 +48,17 @@ def detect(calls: DataFrame, exposes: DataFrame, access: DataFrame, entities: Da
     return found.unionAll(hits).unionAll(row(lost, "schema_mismatch", "warning", edge))
 
 
-def scored(findings: DataFrame, edges: DataFrame) -> DataFrame:
-    """Findings with blast, risk_score and priority; edge subjects have no reach."""
+def scored(findings: DataFrame, edges: DataFrame, exercised: DataFrame) -> DataFrame:
+    """Findings with blast, risk_score and priority. exercised: id of the nodes that an exercised edge begins or ends at.
+
+    Subjects that are edges have no reach and are not exercised.
+    """
     nodes = findings.filter(~F.col("subject_id").contains("->")).select("subject_id").distinct()  # subjects that are nodes can have reach
     reach = endpoints(edges).withColumnRenamed("id", "subject_id").join(nodes, "subject_id", "left_semi").groupBy("subject_id").agg(F.count("*").alias("blast"))
     f = findings.join(reach, "subject_id", "left").withColumn("blast", F.coalesce("blast", F.lit(0)))
-    return f.withColumn("risk_score", risk(F.col("severity"), F.col("blast"), F.lit(False))).withColumn("priority", priority(F.col("risk_score")))
+    seen = exercised.select(F.col("id").alias("subject_id")).distinct().join(nodes, "subject_id", "left_semi").withColumn("_seen", F.lit(True))
+    f = f.join(seen, "subject_id", "left").withColumn("risk_score", risk(F.col("severity"), F.col("blast"), F.coalesce("_seen", F.lit(False)))).drop("_seen")
+    return f.withColumn("priority", priority(F.col("risk_score")))
 
 
 def page(findings: DataFrame, n: int, by: str = "risk") -> DataFrame:

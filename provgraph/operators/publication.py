@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import nested
 from .answers import clamp
 
 COUNTS = ("inserted", "replaced", "closed", "kept", "unchanged", "downgrade_ignored", "conflict", "total", "nodes", "edges")
@@ -146,7 +147,7 @@ def write_partitioned(df: DataFrame, folder: str, *keys: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def omitted(m: Column, keys: str = r"(?i)(^|_)(payload|body|raw|rows|secret)$", longest: int = 512) -> Column:
-    """A map without raw payloads and with long texts cut; the cut says how long they were."""
-    short = lambda v: F.when(F.length(v) > longest, F.concat(F.substring(v, 1, longest), F.lit("... [chars="), F.length(v).cast("string"), F.lit("]"))).otherwise(v)
-    return F.transform_values(m, lambda k, v: F.when(k.rlike(keys), F.lit('{"omitted":"raw_payload"}')).otherwise(short(v)))
+def omitted(m: Column) -> Column:
+    """A map of texts without raw payloads and long texts, which say how long they were. See `nested.redacted` for JSON."""
+    long = lambda v: F.concat(F.lit('{"omitted":"large_string","chars":'), F.length(v).cast("string"), F.lit("}"))
+    return F.transform_values(m, lambda k, v: F.when(nested.is_raw(k), F.lit('{"omitted":"raw_payload"}')).otherwise(F.when(F.length(v) > nested.CHARS, long(v)).otherwise(v)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import contract_id
+from ..functions import masking
+from ..functions.paths import contract_id, scrub_statement
 
 #: The weakness that a kind of finding stands for.
 CWE = {"duplicate_endpoint": "CWE-1041", "dynamic_call_detected": "CWE-470", "dead_path_suspected": "CWE-561", "schema_mismatch": "CWE-1078", "opaque_component_failing": "CWE-1357"}
@@ -102,8 +103,9 @@ def review_contracts(lines: DataFrame, key: str, contracts: DataFrame) -> DataFr
     method = F.when(F.col("r.f") != "", "GET").otherwise(F.concat("r.a", "r.m"))
     r = r.select(key, "sign", "location", contract_id(method, F.concat("r.ap", "r.f", "r.mp")).alias("contract_id"))
     j = r.join(contracts.select(F.col("id").alias("contract_id"), F.lit(True).alias("known")), "contract_id", "left")
-    rule = F.when((F.col("sign") == "+") & F.col("known").isNull(), "new_http_contract").when((F.col("sign") == "-") & F.col("known"), "removed_http_contract")
-    return j.select(key, "contract_id", "location", rule.alias("rule")).filter("rule IS NOT NULL")
+    rule = F.when((F.col("sign") == "+") & F.col("known").isNull(), "new_http_contract").when((F.col("sign") == "-") & F.col("known"), "contract_exposer_removed")
+    severity = F.when(F.col("sign") == "+", "warning").otherwise("critical")
+    return j.select(key, "contract_id", "location", rule.alias("rule"), severity.alias("severity")).filter("rule IS NOT NULL")
 
 
 def review_access(lines: DataFrame, key: str, entities: DataFrame) -> DataFrame:
@@ -120,9 +122,10 @@ def review_access(lines: DataFrame, key: str, entities: DataFrame) -> DataFrame:
 
 
 def scrub(key: Column, value: Column) -> Column:
-    """A span's attribute: literals of statements become '?', other sensitive values [SCRUBBED]."""
+    """A span's attribute: literals of statements become '?', other sensitive values [SCRUBBED], what is left is masked by its name and formats."""
     statement = F.lower(key).endswith("db.statement")
-    return F.when(statement, F.regexp_replace(value, "'[^']*'", "'?'")).when(key.rlike(SENSITIVE), F.when(value.isNotNull(), "[SCRUBBED]")).otherwise(value)
+    hidden = F.when(value.isNotNull(), "[SCRUBBED]")
+    return F.when(statement, scrub_statement(value)).when(key.rlike(SENSITIVE), hidden).otherwise(masking.masked_by(value, key))
 
 
 def grounding(fallback: Column, flow: Column, flow_error: Column, n_claims: Column) -> Column:

@@ -113,15 +113,16 @@ def search(df: DataFrame, query: str, top_k: int = 20, scope: str = "all", path_
 def confident(hits: DataFrame, terms: list[str], n: int = 5) -> DataFrame:
     """One row: whether one of the first n hits answers the question.
 
-    It must score 3 or more and be neither data nor contract; with several terms its name must hold
-    two of them, or it scores 5 or more and its name has two parts.
+    It must score 3 or more and be neither data nor contract; with several terms two of them must hit its name (a part of it, a
+    stem, or anywhere within), or it scores 5 or more and its name has two parts. A question without terms has no answer.
     """
+    parts = identifier_tokens(F.col("name"))
     top = hits.orderBy(F.desc("score"), "tier", "id").limit(n).filter(~F.col("id").startswith("data:") & ~F.col("id").startswith("contract:"))
     named = F.lit(0)
     for t in terms:
-        named = named + F.lower("name").contains(t).cast("int")
-    enough = F.lit(True) if len(terms) < 2 else (named >= 2) | ((F.col("score") >= 5) & (F.size(identifier_tokens(F.col("name"))) >= 2))
-    return top.agg(F.coalesce(F.bool_or((F.col("score") >= 3) & enough), F.lit(False)).alias("confident"))
+        named = named + (F.array_contains(parts, t) | stem_match(parts, t) | F.lower("name").contains(t)).cast("int")
+    enough = F.lit(True) if len(terms) < 2 else (named >= 2) | ((F.col("score") >= 5) & (F.size(parts) >= 2))
+    return top.agg(F.coalesce(F.bool_or((F.col("score") >= 3) & enough & F.lit(bool(terms))), F.lit(False)).alias("confident"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -35,11 +35,6 @@ def diff(versions: DataFrame, before: Column, after: Column) -> DataFrame:
     return g.select("id", "kind", change.alias("change")).filter("change IS NOT NULL")
 
 
-def semantic_hash(*columns: str) -> Column:
-    """SHA-256 of the typed fields in fixed order."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-
-
 def staged(candidates: DataFrame) -> DataFrame:
     """Reduces candidates (id, payload, certainty, source_name, ordinal) to one row an id.
 

@@ -423,7 +423,8 @@ def diff_rules(spark, d):
     return review.review_lines(review.diff_lines(_diffs(spark, d), "doc_id", "diff"), "doc_id")
 
 
-@query(f"""{_LINES} SELECT doc_id, 'http.GET./v1/{{id}}' AS contract_id, 'b/' || source || ':' || (n + CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 6 END) AS location, CASE WHEN doc_id % 2 = 0 THEN 'removed_http_contract' ELSE 'new_http_contract' END AS rule FROM tail""", graph=False)
+@query(f"""{_LINES} SELECT doc_id, 'http.GET./v1/{{id}}' AS contract_id, 'b/' || source || ':' || (n + CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 6 END) AS location, CASE WHEN doc_id % 2 = 0 THEN 'contract_exposer_removed' ELSE 'new_http_contract' END AS rule,
+CASE WHEN doc_id % 2 = 0 THEN 'critical' ELSE 'warning' END AS severity FROM tail""", graph=False)
 def diff_contracts(spark, d):
     lines = review.diff_lines(_diffs(spark, d), "doc_id", "diff")
     known = spark.range(1).select(F.lit("http.GET./v1/{id}").alias("id"))
@@ -438,11 +439,12 @@ def diff_access(spark, d):
     return review.review_access(review.diff_lines(_diffs(spark, d), "doc_id", "diff"), "doc_id", entities)
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[SCRUBBED]' WHEN 1 THEN 'select ''?'' from ' || event_type ELSE 'select ''' || user_id || ''' from ' || event_type END AS value FROM events""", graph=False)
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '[SCRUBBED]' WHEN 1 THEN 'select ''?'' from ' || event_type || ' 10.1.2.3'
+WHEN 4 THEN '***' WHEN 5 THEN 'sel***' ELSE 'select ''' || user_id || ''' from ' || event_type || ' [IP]' END AS value FROM events""", graph=False)
 def scrubbed_spans(spark, d):
-    keys = F.array(F.lit("http.request.body"), F.lit("DB.statement"), F.lit("http.route"), F.lit("peer"))
-    value = F.concat(F.lit("select '"), F.col("user_id").cast("string"), F.lit("' from "), "event_type")
-    return load(spark, d, "events").select("event_id", review.scrub(F.get(keys, (F.col("event_id") % 4).cast("int")), value).alias("value"))
+    keys = F.array(*[F.lit(k) for k in ("http.request.body", "DB.statement", "http.route", "peer", "x.API-key", "peer.name")])
+    value = F.concat(F.lit("select '"), F.col("user_id").cast("string"), F.lit("' from "), "event_type", F.lit(" 10.1.2.3"))
+    return load(spark, d, "events").select("event_id", review.scrub(F.get(keys, (F.col("event_id") % 6).cast("int")), value).alias("value"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'fallback' WHEN o_orderkey % 3 = 0 THEN 'hypothesis' WHEN o_orderkey % 4 = 0 THEN 'invalid' WHEN n > 0 THEN 'grounded' ELSE 'stale' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", graph=False)

@@ -283,11 +283,13 @@ def findings_by_kind(spark, d):
 
 
 @query(f"""{_FOUND}, bl AS (SELECT id, count(*) AS blast FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges WHERE target_id <> source_id) GROUP BY id),
-sc AS (SELECT fd.kind, subject_id, greatest(0, least(100, CAST(round_even(CASE severity WHEN 'info' THEN 10.0 WHEN 'warning' THEN 40.0 ELSE 75.0 END + least(20.0, 4 * sqrt(CAST(coalesce(blast, 0) AS DOUBLE))), 0) AS INTEGER))) AS risk_score
-FROM fd LEFT JOIN bl ON bl.id = fd.subject_id)
+ex AS (SELECT source_id AS id FROM v WHERE exercised UNION SELECT target_id FROM v WHERE exercised),
+sc AS (SELECT fd.kind, subject_id, greatest(0, least(100, CAST(round_even(CASE severity WHEN 'info' THEN 10::DOUBLE WHEN 'warning' THEN 40::DOUBLE ELSE 75::DOUBLE END
+* CASE WHEN ex.id IS NULL THEN 1::DOUBLE ELSE 1.3::DOUBLE END + least(20.0, 4 * sqrt(CAST(coalesce(blast, 0) AS DOUBLE))), 0) AS INTEGER))) AS risk_score
+FROM fd LEFT JOIN bl ON bl.id = fd.subject_id LEFT JOIN ex ON ex.id = fd.subject_id)
 SELECT *, CASE WHEN risk_score >= 75 THEN 'P1' WHEN risk_score >= 50 THEN 'P2' WHEN risk_score >= 25 THEN 'P3' ELSE 'P4' END AS priority FROM sc""")
 def findings_scored(spark, d):
-    return findings.scored(_found(spark, d), g.edges(spark, d)).select("kind", "subject_id", "risk_score", "priority")
+    return findings.scored(_found(spark, d), g.edges(spark, d), exercised_subjects(spark, d).filter("exercised")).select("kind", "subject_id", "risk_score", "priority")
 
 
 @query(f"{_FOUND} SELECT sha256(length('p1') || ':p1' || octet_length(encode(kind)) || ':' || kind || octet_length(encode(subject_id)) || ':' || subject_id) AS identity_key FROM fd")

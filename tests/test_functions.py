@@ -92,6 +92,11 @@ def test_search_tiers_scope_and_no_terms(spark):
     assert [r["id"] for r in search.search(df, "the of", top_k=2).collect()] == ["s0", "s1"]
     hits = search.search(df, "blue")
     assert search.confident(hits, ["blue"]).first()[0] and not search.confident(hits.filter("false"), ["blue"]).first()[0]
+    assert not search.confident(hits, []).first()[0]
+    named = lambda name, score: spark.createDataFrame([("s", name, score, 0)], "id string, name string, score double, tier int")
+    assert search.confident(named("authHandler", 3.0), ["authentication", "handler"]).first()[0]  # a stem and a part
+    assert not search.confident(named("statusIndex", 3.0), ["search", "index"]).first()[0]
+    assert search.confident(named("saveCache", 5.0), ["save_cache", "other"]).first()[0] and not search.confident(named("Connection", 5.0), ["connection", "lost"]).first()[0]
 
 
 def test_records_schema_stays(spark, tmp_path):

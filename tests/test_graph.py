@@ -58,6 +58,13 @@ def test_replay_adds_only_the_difference(spark):
     assert got == {"o": (8, 3), "p": (2, 2)}
 
 
+def test_exercised_subjects_score_higher(spark):
+    found = spark.createDataFrame([("k", "warning", "x"), ("k", "warning", "y"), ("k", "error", "a->b")], "kind string, severity string, subject_id string")
+    edges = spark.createDataFrame([("x", "z"), ("y", "z")], "source_id string, target_id string")
+    got = {r["subject_id"]: (r["risk_score"], r["priority"]) for r in findings.scored(found, edges, spark.createDataFrame([("x",), ("x",), ("a",)], "id string")).collect()}
+    assert got == {"x": (56, "P2"), "y": (44, "P3"), "a->b": (75, "P1")}
+
+
 def test_findings_resolve_and_reopen(spark):
     stored = spark.createDataFrame([("k1", "open", None), ("k2", "resolved", "system"), ("k3", "resolved", "alice")], "identity_key string, status string, resolved_by string")
     stored = stored.withColumn("first_seen_at", F.expr("TIMESTAMP '2024-01-01 00:00:00'")).withColumn("last_seen_at", F.col("first_seen_at"))
