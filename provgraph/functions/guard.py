@@ -9,6 +9,8 @@ from datetime import datetime
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
+from .masking import mask_by_origin
+
 CAP = 10_000
 #: Plan nodes of a plain read; anything else in the tree is refused.
 READS = frozenset(
@@ -111,8 +113,11 @@ class Landing:
     log: dict
 
 
-def land(spark: SparkSession, statement: str, *, enabled: bool = True, windows: list[str] = (), consent: bool = False, now: datetime | None = None, cap: int = CAP, forbidden: tuple[str, ...] = (), mask=None) -> Landing:
-    """A guarded read: cap, guard, switch, policy, mask, then one row more than the cap tells whether it was cut."""
+def land(spark: SparkSession, statement: str, *, enabled: bool = True, windows: list[str] = (), consent: bool = False, now: datetime | None = None, cap: int = CAP, forbidden: tuple[str, ...] = (), mask=mask_by_origin) -> Landing:
+    """A guarded read: cap, guard, switch, policy, mask, then one row more than the cap tells whether it was cut.
+
+    Columns are masked by where they come from, so another name or a function does not uncover them. mask: another way, or None.
+    """
     v = judge(spark, statement, cap, forbidden)
     reason = v.reason or ("disabled" if not enabled else "consent" if needs_consent(statement) and not consent else "" if in_window(list(windows), now or datetime.now()) else "window")
     log = {"statement": statement, "allowed": not reason, "reason": reason, "limit": v.limit, "tables": list(v.tables)}

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import origins
+
 #: Column names that are masked whole, and in part.
 FULL = r"\b(password|token|secret|api[_-]?key|ssn|rrn)\b"
 PARTIAL = r"\b(email|phone|name|address|mobile)\b|이름|주소|전화|휴대폰|주민|이메일"
@@ -88,7 +90,10 @@ def scan(c: Column) -> Column:
 
 
 def masked(c: Column, name: str) -> Column:
-    rule = column_rule(name)
+    return masked_as(c, column_rule(name))
+
+
+def masked_as(c: Column, rule: str) -> Column:
     if rule == "full":
         return F.when(c.isNotNull(), F.lit("***"))
     return F.when(c.isNotNull(), mask_partial(c)) if rule == "partial" else mask_values(c)
@@ -108,6 +113,14 @@ def mask_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, flags
 
 
+def mask_by_origin(df: DataFrame) -> DataFrame:
+    """df with each column masked by the strictest rule of its own name and of all names that it comes from, whatever it is called now."""
+    names = [{c} | found for c, found in zip(df.columns, origins(df))]
+    strictest = [next((r for r in ("full", "partial") if r in rules), "value") for rules in ({column_rule(n) for n in ns} for ns in names)]
+    once = df.toDF(*[f"_{i}" for i in range(len(names))])  # names may repeat
+    return once.select(*[masked_as(F.col(f"_{i}"), rule).alias(c) for i, (c, rule) in enumerate(zip(df.columns, strictest))])
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 

@@ -41,3 +41,19 @@ def semantic_hashes(spark, d):
     e = _documents(spark, d)
     h = nested.semantic_hash(kind=F.col("event_type"), data=nested.parsed(F.col("data")), certainty=F.lit("asserted"), created_by=F.array(F.lit("events")))
     return e.select("event_id", h.alias("hash"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS k, '***' AS a, '***' AS b, CASE WHEN length(c_name) <= 3 THEN '***' ELSE substr(c_name, 1, 3) || '***' END AS label, c_mktsegment AS plain FROM customer
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), '***', '***', substr('all ' || c_name, 1, 3) || '***', 'one' FROM customer WHERE c_custkey % 2 = 0""", graph=False)
+def masked_by_origin(spark, d):
+    """A statement that hides where its columns come from, landed: names, functions, unions and subqueries uncover nothing."""
+    view = f"cards_{uuid.uuid4().hex}"
+    c = load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.concat(F.lit("pw"), "c_name").alias("password"))
+    c.createOrReplaceTempView(view)
+    statement = f"""WITH w AS (SELECT c_custkey, password AS x, name AS y, segment FROM {view})
+    SELECT c_custkey AS k, upper(substr(x, 1, 9)) AS a, (SELECT max(x) FROM w) AS b, y AS label, segment AS plain FROM w
+    UNION ALL SELECT c_custkey, 'none', x, concat('all ', y), 'one' FROM w WHERE c_custkey % 2 = 0"""
+    # the cap is beyond all rows: what is shown here is the mask
+    landed = guard.land(spark, statement, cap=2_000_000_000)
+    spark.catalog.dropTempView(view)
+    return landed.rows
