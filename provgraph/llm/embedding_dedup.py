@@ -1,5 +1,9 @@
 """Near-equal embeddings by sorted projection passes.
 
+Vectors are hashed as they differ from the mean direction of their label: embeddings with a common mean would share nearly all
+bits, and those who share them would fill the windows. Cosines are of the vectors themselves. What two linked vectors differ by weighs more
+in what is left, so the number of passes follows from each label's size and spread (1 - the squared length of its mean direction).
+
 Each pass orders the vectors of a label by 64 concatenated random hyperplane bits and compares
 bounded windows of the order: every block of `BLOCK` vectors with itself and the next one, by
 matrix products in double precision. Where the blocks compared last still hold a link, the
@@ -8,8 +12,8 @@ throughout, in as many rounds as its size has powers of two. Links of all passes
 
 Tasks return counts per vector and the links of a spanning forest, never pairs. Blocks hold
 equally many vectors whatever a label's share. Vectors equal in label and components are merged
-first, so copies cost one row. The number of passes follows from the largest label, so that a
-pair at the threshold meets in some window with probability RECALL or more.
+first, so copies cost one row. A pair at the threshold meets in some window with probability RECALL or more, for labels of which all but the mean
+spreads evenly; `MOST` passes at most, which labels reach whose typical cosine is about 0.95. There nearly all pairs are close to being linked, and windows grow.
 
 Recall is that of the passes: a link is lost if its vectors meet in no window. Ties in the order go by id; equal
 vectors are one row, so repeated rows link whatever the windows. An empty table gives no rows; other columns are not read.
@@ -26,7 +30,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,36 +39,78 @@ from .components import components
 THRESHOLD = 0.98
 BLOCK = 1024
 RECALL = 0.98
+MOST = 64
 BITS = 64
 
 
-def passes_for(largest: int) -> int:
-    agree = 1 - math.acos(THRESHOLD) / math.pi
-    meet = agree ** max(1.0, math.log2(max(1, largest) / BLOCK))
-    return max(2, math.ceil(math.log(1 - RECALL) / math.log(max(1e-9, 1 - meet))))
+def passes_for(size: Column, spread: Column) -> Column:
+    """Passes for a label of this many vectors."""
+    cosine = F.greatest(F.lit(0.0), 1 - (1 - THRESHOLD) / F.greatest(spread, F.lit(1 - THRESHOLD)))
+    agree = 1 - F.acos(cosine) / math.pi
+    meet = F.pow(agree, F.greatest(F.lit(1.0), F.log2(F.greatest(size, F.lit(1)) / BLOCK)))
+    wanted = F.when(meet >= RECALL, 1).otherwise(F.ceil(math.log(1 - RECALL) / F.log(1 - F.least(meet, F.lit(RECALL)))))
+    return F.least(F.lit(MOST), F.greatest(F.lit(2), wanted)).cast("int")
+
+
+def _prepare(batches):
+    for pdf in batches:
+        out = []
+        for v, y, e in zip(pdf["vec_id"].astype("object"), pdf["label"].astype("object"), pdf["embedding"]):
+            x = None if e is None else np.array([math.nan if c is None else c for c in e], dtype=float)
+            if x is None or not len(x) or pd.isna(y) or pd.isna(v) or not np.isfinite(x).all() or not x.any():
+                out.append((v, None, None, None, None))
+                continue
+            x = x + 0.0  # one zero
+            out.append((v, int(y), len(x), xxhash.xxh128_digest(x.tobytes()), x.tobytes()))
+        frame = pd.DataFrame(out, columns=["vec_id", "label", "dim", "digest", "x"])
+        for c in ("vec_id", "label", "dim"):
+            frame[c] = frame[c].astype("Int64")
+        yield frame
+
+
+def _directions(pdf: pd.DataFrame) -> np.ndarray:
+    """Unit vectors of rows of one length; scaled first, so that no square overflows."""
+    x = np.frombuffer(b"".join(pdf["x"]), dtype=float).reshape(len(pdf), -1)
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _sums(batches):
+    found: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    for pdf in batches:
+        for key, g in pdf.groupby(["label", "dim"]):
+            n, s = found.get(key, (0, 0.0))
+            found[key] = n + len(g), s + _directions(g).sum(axis=0)
+            if len(found) > 10_000:
+                yield pd.DataFrame([(*k, n, s) for k, (n, s) in found.items()], columns=["label", "dim", "n", "sums"])
+                found = {}
+    yield pd.DataFrame([(*k, n, s) for k, (n, s) in found.items()], columns=["label", "dim", "n", "sums"])
+
+
+def _means(rows: DataFrame) -> DataFrame:
+    """label, dim, n, mean (of the directions of the label's vectors), spread."""
+    sums = rows.select("label", "dim", "x").mapInPandas(_sums, "label long, dim long, n long, sums array<double>")
+    each = sums.select("label", "dim", "n", F.posexplode("sums").alias("at", "s")).groupBy("label", "dim", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    place = F.struct("at", (F.col("s") / F.col("n")).alias("m"))
+    m = each.groupBy("label", "dim").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(place)), lambda p: p["m"]).alias("mean"))  # one entry a dimension
+    return m.withColumn("spread", 1 - F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x))
 
 
-def _prepare(passes: int):
+def _keys(passes: int):
     planes: dict[int, np.ndarray] = {}
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for v, y, e in zip(pdf["vec_id"].astype("object"), pdf["label"].astype("object"), pdf["embedding"]):
-                x = None if e is None else np.array([math.nan if c is None else c for c in e], dtype=float)
-                if x is None or not len(x) or pd.isna(y) or pd.isna(v) or not np.isfinite(x).all() or not x.any():
-                    out.append((v, None, None, None, None, None))
-                    continue
-                if len(x) not in planes:
-                    planes[len(x)] = np.random.default_rng(20 + len(x)).standard_normal((len(x), BITS * passes))
-                bits = (x @ planes[len(x)] > 0).reshape(passes, BITS)
-                keys = [int.from_bytes(np.packbits(b).tobytes(), "big") - (1 << 63) for b in bits]
-                x = x + 0.0  # one zero
-                out.append((v, int(y), len(x), xxhash.xxh128_digest(x.tobytes()), x.tobytes(), keys))
-            frame = pd.DataFrame(out, columns=["vec_id", "label", "dim", "digest", "x", "keys"])
-            for c in ("vec_id", "label", "dim"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+            out = np.empty(len(pdf), dtype=object)
+            pdf = pdf.reset_index(drop=True)
+            for (_, dim), g in pdf.groupby(["label", "dim"]):
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng(20 + dim).standard_normal((dim, BITS * passes))
+                bits = (_directions(g) - np.asarray(g["mean"].iloc[0])) @ planes[dim] > 0
+                packed = np.packbits(bits.reshape(len(g), passes, BITS), axis=2).view(">i8")[..., 0].astype(np.int64) ^ np.int64(-(1 << 63))
+                for i, keys in zip(g.index, packed):
+                    out[i] = keys
+            yield pdf.drop(columns="mean").assign(keys=out)
 
     return run
 
@@ -180,15 +226,19 @@ def links(rows: DataFrame, passes: int) -> tuple[DataFrame, DataFrame]:
 def linked(embeddings: DataFrame) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept."""
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    sizes = e.filter(F.col("label").isNotNull()).groupBy("label").count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    passes = passes_for(largest)
-    member = common.written(e.mapInPandas(_prepare(passes), "vec_id long, label long, dim long, digest binary, x binary, keys array<long>"), "vec-rows")
+    member = common.written(e.mapInPandas(_prepare, "vec_id long, label long, dim long, digest binary, x binary"), "vec-rows")
     same = ["label", "dim", "digest"]
     groups = member.filter(F.col("digest").isNotNull()).groupBy(*same).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     groups = common.written(groups, "vec-groups")
-    first = member.join(groups, same).filter(F.col("vec_id") == F.col("id")).select("id", "label", "dim", "x", "copies", "keys").dropDuplicates(["id", "label", "dim", "x"])
-    counts, pairs = links(common.written(first, "vec-first"), passes)
+    first = member.join(groups, same).filter(F.col("vec_id") == F.col("id")).select("id", "label", "dim", "x", "copies").dropDuplicates(["id", "label", "dim", "x"])
+    first = common.written(first, "vec-distinct")
+    means = common.written(_means(first), "vec-means")
+    passes = means.agg(F.max(passes_for(F.col("n"), F.col("spread")))).first()[0] or 2
+    schema = "id long, label long, dim long, x binary, copies long, keys array<long>"
+    placed = first.join(means.select("label", "dim", "mean"), ["label", "dim"]).select("id", "label", "dim", "x", "copies", "mean")
+    keyed = common.written(placed.mapInPandas(_keys(passes), schema), "vec-keys")
+    common.drop_written(first, means)
+    counts, pairs = links(keyed, passes)
     found = components(pairs).withColumnRenamed("u", "id")
     counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
     g = groups.join(counts, "id", "left").join(found, "id", "left")

@@ -11,7 +11,8 @@ stay whole), so padding never outgrows a page. All that stands in a row is emitt
 outside cells are cells of their own.
 
 Null or empty pages give empty text, an empty table no rows; repeated rows and ids are rendered each by itself. Unclosed
-and stray tags never fail. Nesting beyond `DEEPEST` levels is written as if on that level, but what is hidden stays hidden, at any depth. Each page
+and stray tags never fail. A tag whose quotes do not end ends at the next >; without one it is text; where such tags have cost `SCANS` times
+the page, tags end at the next > whatever their quotes, so time grows with the page. Nesting beyond `DEEPEST` levels is written as if on that level, but what is hidden stays hidden, at any depth. Each page
 is handled on its own: no shuffle. Only page_id, url and html are read.
 """
 
@@ -26,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+NAMED = re.compile(r"</?[a-zA-Z]")
+UP_TO_END = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+SCANS = 20
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0*(?:\.0*)?\s*(?:;|!|$)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -89,8 +93,17 @@ def tree(page: str) -> Node:
             if stack[i].tag in fences:
                 return
 
-    at = 0
-    while m := TOKEN.match(page, at):
+    at, last, lost = 0, page.rfind(">"), 0
+    while at < len(page):
+        if at > last:  # nothing closes a tag from here on
+            mark = min((x for x in (page.find("<!", at), page.find("<?", at)) if x >= 0), default=len(page))
+            stack[-1].items.append(entities.unescape(page[at:mark]))
+            break
+        named = NAMED.match(page, at)
+        m = UP_TO_END.match(page, at) if named and lost > SCANS * len(page) else TOKEN.match(page, at)
+        if named and m[2] is None:  # a quote that does not end: the tag ends at the next >
+            lost += len(page) - at
+            m = UP_TO_END.match(page, at) or m
         at = m.end()
         tag = m[2]
         if tag is None:

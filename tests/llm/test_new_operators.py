@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.llm import common, divergence, exact_dedup, registry, whitening
+from provgraph.llm import common, divergence, embedding_dedup, exact_dedup, registry, rendering, whitening
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -234,3 +235,40 @@ def test_bitmaps_hold_each_count(spark):
     assert {k: v.bit_count() for k, v in levels.items()} == {(0, 6): 1, (0, 3): 2, (1, 1): 1}
     assert levels[0, 3] & levels[1, 1] == levels[1, 1]
     assert common.table(spark, SF, "documents").count() > 0
+
+
+# embeddings with a common mean, pages of tags that do not end
+
+
+@pytest.mark.parametrize("typical", [0.8])
+def test_links_are_found_around_a_common_mean(spark, monkeypatch, typical):
+    """Twins just over the threshold, among many vectors whose cosine with each other is about `typical`."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 128)
+    rng, n, twins, dim = np.random.default_rng(int(typical * 10)), 2500, 200, 64
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    base = np.sqrt(typical) * unit(rng.standard_normal(dim)) + np.sqrt(1 - typical) * unit(rng.standard_normal((n, dim)))
+    base = unit(base)
+    side = unit(rng.standard_normal((twins, dim)))
+    side = unit(side - (side * base[:twins]).sum(axis=1, keepdims=True) * base[:twins])
+    near = 0.9802 * base[:twins] + np.sqrt(1 - 0.9802**2) * side
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(np.concatenate([base, near]))]
+    got = embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4))
+    found = got.filter((F.col("vec_id") >= n) & (F.col("component_id") == F.col("vec_id") - n)).count()
+    assert found >= 0.95 * twins, found
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<p x='", "</b ", "<a \"'>", "<", "<!", "<a <b> "])
+def test_rendering_takes_time_in_proportion(piece):
+    page = "<p>before</p>" + piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    out = rendering.text_of(page)
+    assert time.perf_counter() - began < 10 and out.startswith("before")
+
+
+def test_tags_that_do_not_end():
+    assert rendering.text_of("one <a href='x>two</a> three") == "one two three"
+    assert rendering.text_of("a < b <i title='>'>c</i> <b") == "a < b c <b"
+    assert rendering.text_of("x <b>y</b> <!-- never ends") == "x y"
