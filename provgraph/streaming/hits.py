@@ -34,6 +34,7 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 def use_keyed_state(spark: SparkSession) -> None:
     """State of keys lives in RocksDB, which spills to disk and is copied to the checkpoint."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch stores what it has changed
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
