@@ -10,6 +10,10 @@ from .aggregates import duplicate_owners, endpoints
 #: Weight of a severity in the risk score.
 SEVERITY = {"info": 10, "warning": 40, "error": 75}
 OTHER_SEVERITY = 40
+#: The detectors, the statuses of findings that are not done, the priorities.
+DETECTORS = ("duplicate_endpoint", "unverified_claim", "dynamic_call_detected", "dead_path_suspected", "schema_mismatch", "opaque_component_failing")
+LIVE = ("open", "acknowledged")
+PRIORITIES = ("P1", "P2", "P3", "P4")
 STALE_DAYS = 30
 
 
@@ -31,11 +35,15 @@ def identity(*parts: Column) -> Column:
     return F.sha2(F.concat(*[F.concat(F.octet_length(F.coalesce(p, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(p, F.lit(""))) for p in parts]), 256)
 
 
-def detect(calls: DataFrame, exposes: DataFrame, access: DataFrame, entities: DataFrame, now: Column) -> DataFrame:
-    """kind, severity, subject_id of every finding. calls is a read view (effective_certainty, exercised)."""
+def detect_rows(df: DataFrame, kind: str, severity: str, subject: Column) -> DataFrame:
+    return df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), subject.alias("subject_id"))
+
+
+def detect(calls: DataFrame, exposes: DataFrame, access: DataFrame, entities: DataFrame, now: Column, opaque: DataFrame | None = None) -> DataFrame:
+    """kind, severity, subject_id of every finding. calls is a read view (effective_certainty, exercised); opaque: rows of review.opaque_failures."""
     old = F.col("valid_from") < now - F.expr(f"INTERVAL {STALE_DAYS} DAY")
     edge = F.concat_ws("->", "source_id", "target_id")
-    row = lambda df, kind, severity, subject: df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), subject.alias("subject_id"))
+    row = detect_rows
     found = row(duplicate_owners(exposes), "duplicate_endpoint", "error", F.col("target_id"))
     # the three rules over calls share one scan
     rules = F.array(
@@ -45,7 +53,25 @@ def detect(calls: DataFrame, exposes: DataFrame, access: DataFrame, entities: Da
     )
     hits = calls.select(F.explode(F.array_compact(rules)).alias("r"), edge.alias("subject_id")).select("r.kind", "r.severity", "subject_id")
     lost = access.join(entities, F.col("target_id") == F.col("id"), "left_anti")
-    return found.unionAll(hits).unionAll(row(lost, "schema_mismatch", "warning", edge))
+    found = found.unionAll(hits).unionAll(row(lost, "schema_mismatch", "warning", edge))
+    return found if opaque is None else found.unionAll(row(opaque, "opaque_component_failing", "warning", F.col("target_id")))
+
+
+def run_stats(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """name, n of a detector run: what each detector found (nothing, too), what is new, what reopens, and what resolves by itself.
+
+    found: kind, identity_key; stored: identity_key, status, resolved_by, as they were before the run.
+    """
+    kinds = found.groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n"))
+    all_kinds = found.sparkSession.createDataFrame([(k,) for k in DETECTORS], "name string")
+    j = stored.select("identity_key", "status", "resolved_by").join(found.select("identity_key").distinct().withColumn("_f", F.lit(True)), "identity_key", "full")
+    here, known = F.coalesce("_f", F.lit(False)), F.col("status").isNotNull()
+    life = j.agg(
+        F.count_if(here & ~known).alias("new"), F.count_if(here & (F.col("status") == "resolved") & (F.col("resolved_by") == "system")).alias("reopened"),
+        F.count_if(~here & F.col("status").isin(*LIVE)).alias("auto_resolved"),
+    )
+    rows = life.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in life.columns])))
+    return all_kinds.join(kinds, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n")).unionAll(rows)
 
 
 def scored(findings: DataFrame, edges: DataFrame, exercised: DataFrame) -> DataFrame:
@@ -75,7 +101,7 @@ def reconciled(stored: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     j = stored.join(found.select("identity_key").distinct().withColumn("_f", F.lit(True)), "identity_key", "full")
     here, known = F.coalesce("_f", F.lit(False)), F.col("status").isNotNull()
     reopen = here & (F.col("status") == "resolved") & (F.col("resolved_by") == "system")
-    gone = ~here & (F.col("status") == "open")
+    gone = ~here & F.col("status").isin(*LIVE)
     status = F.when(~known, "open").when(reopen, "open").when(gone, "resolved").otherwise(F.col("status"))
     by = F.when(gone, "system").when(reopen, F.lit(None)).otherwise(F.col("resolved_by"))
     return j.select("identity_key", status.alias("status"), by.alias("resolved_by"), F.coalesce("first_seen_at", now).alias("first_seen_at"), F.when(here, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
@@ -94,12 +120,24 @@ def trend(findings: DataFrame, now: Column, days: int, bucket_days: int) -> Data
 
 
 def summary(findings: DataFrame, now: Column) -> DataFrame:
-    """One row: open and resolved counts, mean open risk, hours to resolve (1 place), seven-day flows."""
+    """One row: all, open (acknowledged ones too) and resolved counts, mean open risk, hours to resolve (1 place), seven-day flows, open ones of the first priority."""
     hours = (F.unix_timestamp("resolved_at") - F.unix_timestamp("first_seen_at")) / 3600
-    week = now - F.expr("INTERVAL 7 DAY")
+    week, alive = now - F.expr("INTERVAL 7 DAY"), F.col("status").isin(*LIVE)
     return findings.agg(
-        F.count_if(F.col("status") == "open").alias("n_open"), F.count_if(F.col("status") == "resolved").alias("n_resolved"),
-        F.bround(F.avg(F.when(F.col("status") == "open", F.col("risk_score")))).cast("int").alias("risk_index"),
+        F.count("*").alias("total"), F.count_if(alive).alias("n_open"), F.count_if(alive & (priority(F.col("risk_score")) == "P1")).alias("open_p1"), F.count_if(F.col("status") == "resolved").alias("n_resolved"),
+        F.coalesce(F.bround(F.avg(F.when(alive, F.col("risk_score")))).cast("int"), F.lit(0)).alias("risk_index"),
         F.bround(F.avg(F.when(hours >= 0, hours)), 1).alias("mttr_hours"),
         F.count_if(F.col("first_seen_at") >= week).alias("new_7d"), F.count_if(F.col("resolved_at") >= week).alias("resolved_7d"),
     )
+
+
+def breakdown(findings: DataFrame) -> DataFrame:
+    """dimension, value, n: open findings by priority (all four), all findings by status and by kind. findings: status, kind, risk_score."""
+    g = findings.groupBy("status", "kind", priority(F.col("risk_score")).alias("p")).agg(F.count("*").alias("n"))
+    marks = F.array(
+        F.when(F.col("status").isin(*LIVE), F.struct(F.lit("priority").alias("dimension"), F.col("p").alias("value"))), F.struct(F.lit("status").alias("dimension"), F.col("status").alias("value")),
+        F.struct(F.lit("kind").alias("dimension"), F.col("kind").alias("value")),
+    )
+    sums = g.select("n", F.explode(F.array_compact(marks)).alias("m")).select("m.dimension", "m.value", "n")
+    none = findings.sparkSession.createDataFrame([("priority", p, 0) for p in PRIORITIES], "dimension string, value string, n long")
+    return sums.unionAll(none).groupBy("dimension", "value").agg(F.sum("n").alias("n"))

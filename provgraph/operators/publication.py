@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import nested
+from ..tables import cut
+from . import temporal
 from .answers import clamp
 
 COUNTS = ("inserted", "replaced", "closed", "kept", "unchanged", "downgrade_ignored", "conflict", "total", "nodes", "edges")
@@ -74,6 +77,42 @@ def change_impact(changed: DataFrame, before: DataFrame) -> DataFrame:
     return b.groupBy(F.col("target_id").alias("id")).agg(F.count_distinct("source_id").alias("n_callers"))
 
 
+def comparison(nodes: DataFrame, edges: DataFrame, before: Column, after: Column, limit: int = 40) -> DataFrame:
+    """What has changed between two times, as one answer: part, kind, change, id, n, items.
+
+    nodes: id, kind, valid_from, valid_to; edges: source_id, target_id, kind, valid_from, valid_to.
+    nodes: a row a kind and change (added, removed, modified) with the number of ids and the first `limit` of them.
+    edges: a row a kind and change with the number. impact: the `limit` removed or modified nodes with most callers (edges CALLS at the earlier time), the number of
+    callers and the first ten. summary: a row a total. Ids are in order of their names, and limits cut nothing that is counted.
+    """
+    limit = clamp(limit, 1, 200)
+    earlier, later = F.least(before, after), F.greatest(before, after)
+    texts = F.array().cast("array<string>")
+    shape = lambda df, part, kind, change, node, n, items: df.select(
+        F.lit(part).alias("part"), kind.alias("kind"), change.alias("change"), node.alias("id"), n.cast("long").alias("n"), items.alias("items")
+    )
+    no, c = F.lit(None).cast("string"), F.col
+    changed = cut(temporal.diff(nodes, earlier, later))
+    place = F.row_number().over(W.partitionBy("kind", "change").orderBy("id"))
+    first = changed.withColumn("place", place).filter(c("place") <= limit).groupBy("kind", "change").agg(F.array_sort(F.collect_list("id")).alias("items"))  # at most limit each
+    counts = changed.groupBy("kind", "change").agg(F.count("*").alias("n"))
+    listed = shape(counts.join(first, ["kind", "change"]), "nodes", c("kind"), c("change"), no, c("n"), c("items"))
+    moved = cut(edge_delta(edges, earlier, later).groupBy("kind", "change").agg(F.count("*").alias("n")))
+    hit = changed.filter("change IN ('removed', 'modified')").select(c("id").alias("target_id"), "change")
+    callers = temporal.as_of(edges, earlier).filter("kind = 'CALLS'").select("source_id", "target_id").distinct().join(hit, "target_id")
+    reach = callers.groupBy("target_id", "change").agg(F.count("*").alias("n"))
+    top = reach.orderBy(F.desc("n"), "target_id").limit(limit)
+    ten = callers.join(F.broadcast(top.select("target_id")), "target_id").withColumn("place", F.row_number().over(W.partitionBy("target_id").orderBy("source_id"))).filter("place <= 10")
+    named = ten.groupBy("target_id").agg(F.array_sort(F.collect_list("source_id")).alias("items"))
+    impact = cut(shape(top.join(named, "target_id"), "impact", no, c("change"), c("target_id"), c("n"), c("items")))
+    totals = changed.agg(*[F.count_if(c("change") == x).alias(f"nodes_{x}") for x in ("added", "removed", "modified")])
+    totals = totals.crossJoin(moved.agg(*[F.coalesce(F.sum(F.when(c("change") == x, c("n"))), F.lit(0)).alias(f"edges_{x}") for x in ("added", "removed")]))
+    totals = totals.crossJoin(impact.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("impacted_callers")))  # three single rows
+    sums = totals.select(F.inline(F.array(*[F.struct(F.lit(x).alias("change"), c(x).cast("long").alias("n")) for x in totals.columns])))
+    out = listed.unionAll(shape(moved, "edges", c("kind"), c("change"), no, c("n"), texts)).unionAll(impact)
+    return out.unionAll(shape(sums, "summary", no, c("change"), no, c("n"), texts))
+
+
 def evidence_hash(evidence: DataFrame, key: str, item: str) -> DataFrame:
     """key, hash of the set of its evidence items (texts), whatever their order; a key's evidence is a short list."""
     joined = F.array_join(F.array_sort(F.collect_list(item)), ",")

@@ -311,7 +311,7 @@ o_orderkey % 101 AS risk_score FROM orders LEFT JOIN (SELECT l_orderkey AS o_ord
 _END = "TIMESTAMP '1998-08-01 00:00:00'"
 
 
-@query(f"""{_OF} SELECT count(*) FILTER (WHERE status = 'open') AS n_open, count(*) FILTER (WHERE status = 'resolved') AS n_resolved,
+@query(f"""{_OF} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'open' AND risk_score >= 75) AS open_p1, count(*) FILTER (WHERE status = 'open') AS n_open, count(*) FILTER (WHERE status = 'resolved') AS n_resolved,
 CAST(round_even(avg(risk_score) FILTER (WHERE status = 'open'), 0) AS INTEGER) AS risk_index,
 round_even(avg(epoch(resolved_at) - epoch(first_seen_at)) FILTER (WHERE resolved_at >= first_seen_at) / 3600, 1) AS mttr_hours,
 count(*) FILTER (WHERE first_seen_at >= {_END} - INTERVAL 7 DAY) AS new_7d, count(*) FILTER (WHERE resolved_at >= {_END} - INTERVAL 7 DAY) AS resolved_7d FROM fi""")

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from provgraph.plans import answers, catalogue, contexts, indexes, landing, streams  # noqa: F401  they register their queries
+from provgraph.plans import answers, catalogue, contexts, indexes, landing, reports, streams  # noqa: F401  they register their queries
 
 SF = "/root/testdata/sf0.001"
 
