@@ -72,26 +72,31 @@ def advised(findings: DataFrame) -> DataFrame:
 
 
 def diff_lines(diffs: DataFrame, key: str, column: str) -> DataFrame:
-    """key, line (from 1), file, sign, body of the added and removed lines of each diff; file is the last one named before."""
-    lines = F.split(F.col(column), "\n")
-    named = F.transform(lines, lambda x: F.when(x.startswith("+++ "), F.trim(F.substring(x, 5, 1 << 20))))
-    # the file of a line: the text up to it holds the last name; spans of lines between names carry it
-    at = F.filter(F.transform(named, lambda x, i: F.struct(i.alias("i"), x.alias("file"))), lambda x: x["file"].isNotNull())
-    parts = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("?").alias("file"))), at)
-    d = diffs.select(key, lines.alias("lines"), parts.alias("parts"))
-    d = d.select(key, "lines", F.posexplode("parts").alias("p", "part"), "parts")
-    until = F.coalesce(F.get("parts", F.col("p") + 1)["i"], F.size("lines"))
-    d = d.select(key, F.col("part.file").alias("file"), F.col("part.i").alias("i"), F.slice("lines", F.col("part.i") + 2, until - F.col("part.i") - 1).alias("own"))
-    d = d.select(key, "file", "i", F.posexplode("own").alias("k", "raw"))
+    """key, line (from 1), file, sign, body of the added and removed lines of each diff; file is the last one named before.
+
+    A diff is cut at the lines that name a file; each piece goes on alone, with the number of its first line.
+    """
+    pieces = F.split(F.concat(F.lit("\n"), F.col(column)), r"\n\+\+\+ ")
+    breaks = F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+    first = F.array(F.lit(0)).cast("array<int>")
+    # where a piece begins: the line that names its file; what stands before any such line begins at 0
+    starts = F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), first, lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + F.get(breaks, i) + 1))
+    d = diffs.filter(F.col(column).isNotNull()).select(key, F.posexplode(F.arrays_zip(pieces.alias("text"), starts.alias("start"))).alias("p", "x")).filter("x.text IS NOT NULL")
+    lines = F.split(F.col("x.text"), "\n")
+    d = d.select(key, F.when(F.col("p") == 0, "?").otherwise(F.trim(lines[0])).alias("file"), F.col("x.start").alias("start"), F.posexplode(lines).alias("i", "raw")).filter("i > 0")
     sign = F.substring("raw", 1, 1)
     kept = sign.isin("+", "-") & ~F.col("raw").startswith("+++") & ~F.col("raw").startswith("---")
-    return d.filter(kept).select(key, (F.col("i") + F.col("k") + 2).alias("line"), "file", sign.alias("sign"), F.substring("raw", 2, 1 << 30).alias("body"))
+    return d.filter(kept).select(key, (F.col("start") + F.col("i")).alias("line"), "file", sign.alias("sign"), F.substring("raw", 2, 1 << 30).alias("body"))
+
+
+_ANY_RULE = "|".join(f"(?:{p})" for _, _, p in LINE_RULES)
 
 
 def review_lines(lines: DataFrame, key: str) -> DataFrame:
-    """Findings of LINE_RULES over added lines: key, severity, rule, location."""
+    """Findings of LINE_RULES over added lines: key, severity, rule, location. One pattern of all rules goes first."""
     rules = F.array(*[F.when(F.col("body").rlike(p), F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, p in LINE_RULES])
-    hit = lines.filter("sign = '+'").select(key, F.concat_ws(":", "file", "line").alias("location"), F.explode(F.array_compact(rules)).alias("r"))
+    some = lines.filter((F.col("sign") == "+") & F.col("body").rlike(_ANY_RULE))
+    hit = some.select(key, F.concat_ws(":", "file", "line").alias("location"), F.explode(F.array_compact(rules)).alias("r"))
     return hit.select(key, "r.severity", "r.rule", "location")
 
 

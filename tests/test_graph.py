@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from provgraph.operators import findings, ledger, overlay, runtime, temporal, traverse
+from provgraph.operators import findings, ledger, overlay, review, runtime, temporal, traverse
 
 
 def test_walk_matches_model(spark):
@@ -87,3 +87,11 @@ def test_grounding(spark):
     claims = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "zz"])], "claim_id int, evidence array<string>")
     facts = spark.createDataFrame([("a", 2), ("b", 1)], "id string, rank int")
     assert {r["claim_id"]: (r["ok"], r["rank"]) for r in ledger.grounded(claims, facts).collect()} == {1: (True, 1), 2: (False, 2)}
+
+
+def test_lines_of_a_diff(spark):
+    diff = "head\n-old\n+++ b/one.py \n+a\n context\n-b\n@@\n+++ b/two.py\n---x\n++ c\n+\n+++ b/empty\n+++ b/last\n+z"
+    rows = [(1, diff), (2, None), (3, ""), (4, "+++ only"), (5, "+x"), (1, diff)]
+    got = review.diff_lines(spark.createDataFrame(rows, "k int, d string"), "k", "d").collect()
+    lines = [(2, "?", "-", "old"), (4, "b/one.py", "+", "a"), (6, "b/one.py", "-", "b"), (10, "b/two.py", "+", "+ c"), (11, "b/two.py", "+", ""), (14, "b/last", "+", "z")]
+    assert sorted(tuple(r) for r in got) == sorted([(1, *x[:3], x[3]) for x in lines] * 2 + [(5, 1, "?", "+", "x")])
