@@ -49,10 +49,14 @@ def labelled(c: Column, pattern: str, label) -> Column:
 
 
 def mask_formats(c: Column) -> Column:
-    out = c.cast("string")
-    for label, pattern in VALUES:
-        out = F.regexp_replace(out, "(?U)" + pattern, f"[{label}]")
-    return out
+    """Every format's matches become its label. Only texts with an @ or a digit are searched; labels hold neither."""
+    text = c.cast("string")
+    (email, address), *numbers = VALUES
+    out = F.when(text.contains("@"), F.regexp_replace(text, "(?U)" + address, f"[{email}]")).otherwise(text)
+    masked_numbers = out
+    for label, pattern in numbers:
+        masked_numbers = F.regexp_replace(masked_numbers, "(?U)" + pattern, f"[{label}]")
+    return F.when(text.rlike(r"(?U)\d"), masked_numbers).otherwise(out)
 
 
 def mask_values(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import masking
 from .aggregates import first_per, in_degree
 from .search import ROLES, role
 from .traverse import walk
@@ -160,9 +161,9 @@ def within_deadline(attempts: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.groupBy("attempt_id").agg(F.count_if(F.coalesce(in_time, F.lit(False))).alias("n_in_time"))
 
 
-def matches(samples: DataFrame, pattern: str, column: str, newest: list, n_samples: int = 200, n_hits: int = 50, around: int = 80) -> DataFrame:
-    """Hits of a pattern in the newest samples: the row key and a snippet from the match on."""
-    key = newest[0]
-    some = samples.orderBy(F.desc(key)).limit(n_samples)
-    at = F.regexp_instr(column, F.lit(pattern))
-    return some.filter(F.col(column).rlike(pattern)).orderBy(F.desc(key)).limit(n_hits).select(key, F.substring(F.col(column), at, F.lit(around)).alias("snippet"))
+def matches(samples: DataFrame, pattern: str, column: str, newest: str, sensitive: Column | None = None, n_samples: int = 200, n_hits: int = 50, shown: int = 80) -> DataFrame:
+    """The newest hits of a pattern in the newest samples: the key and the beginning of the value, masked. Sensitive samples show nothing."""
+    some = samples.orderBy(F.desc(newest)).limit(n_samples).filter(F.col(column).rlike(pattern))
+    if sensitive is not None:
+        some = some.filter(~F.coalesce(sensitive, F.lit(False)))
+    return some.orderBy(F.desc(newest)).limit(n_hits).select(newest, F.substring(masking.mask_values(F.col(column)), 1, shown).alias("snippet"))

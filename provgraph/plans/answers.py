@@ -176,7 +176,8 @@ def attempts_in_time(spark, d):
 
 @query()
 def value_search(spark, d):
-    return answers.matches(load(spark, d, "documents").select("doc_id", "text"), r"[0-9]{3,}", "text", ["doc_id"])
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    return answers.matches(docs, r"[0-9]{3,}", "text", "doc_id", F.col("lang") == "fr")
 
 
 @query(f"{_DELTA} SELECT * FROM delta")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, publication
+from ..operators import findings, publication, receipts
 from ..tables import load
 from . import projection as g
 from .answers import LATER, THEN, _opaque, _OPAQUE
@@ -71,3 +71,28 @@ def findings_breakdown(spark, d):
     status = F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "acknowledged").otherwise("open")
     o = load(spark, d, "orders").select(status.alias("status"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 101).alias("risk_score"))
     return findings.breakdown(o)
+
+
+@query("""SELECT run_id, list_filter([CASE WHEN k % 5 = 0 THEN 'scope' END, CASE WHEN k % 7 = 0 THEN 'generation' END, CASE WHEN k % 3 = 0 THEN 'sources_order' END, CASE WHEN k % 11 = 0 THEN 'seal_mismatch' END,
+CASE WHEN k % 13 = 0 THEN 'publication_before_seal' END, CASE WHEN k % 17 = 0 THEN 'counts_negative' END, CASE WHEN status = 'F' AND k % 13 <> 0 THEN NULL WHEN status = 'O' THEN 'completed_missing' END, CASE WHEN status = 'O' THEN 'completed_before_publication' END,
+CASE WHEN k % 2 = 0 AND k % 4 = 0 THEN 'head_state' END, CASE WHEN k % 2 = 0 AND k % 7 = 0 THEN 'head_generation' END, CASE WHEN k % 2 = 0 AND k % 13 = 0 THEN 'head_published_at' END], lambda x: x IS NOT NULL) AS f,
+f[1] AS fault, len(f) AS n FROM (SELECT o_orderkey AS run_id, o_orderkey AS k, o_orderstatus AS status FROM orders)""".replace("SELECT run_id, list_filter", "SELECT run_id, fault, CAST(n AS INTEGER) AS n FROM (SELECT run_id, list_filter", 1) + ")", graph=False)
+def receipt_checks(spark, d):
+    """Receipts of runs that went wrong in every way that depends on the order's key."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    later = lambda h: at + F.expr(f"INTERVAL {h} HOUR")
+    utc = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    pick = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    counts = F.create_map(*[x for name in receipts.COUNTS for x in (F.lit(name), pick(17, F.lit(-1), F.lit(1)))])
+    receipt = F.to_json(F.struct(
+        F.lit("v1").alias("contract_version"), pick(7, k, k + 1).alias("generation"), k.alias("base_generation"), utc(pick(13, at, later(2))).alias("published_at"), F.array(F.lit("a"), F.lit("b")).alias("authoritative_sources"),
+        utc(later(1)).alias("coverage_sealed_at"), counts.alias("counts"), F.lit(True).alias("atomic"),
+    ))
+    status = F.when(F.col("o_orderstatus") == "P", "published").otherwise("completed")
+    runs = load(spark, d, "orders").select(
+        k.alias("run_id"), F.lit("p").alias("project_id"), status.alias("status"), pick(5, F.lit("odd"), F.lit("full")).alias("scope"), at.alias("started_at"),
+        F.when(F.col("o_orderstatus") == "F", later(3)).alias("completed_at"), k.alias("base_generation"), pick(3, F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("sources"),
+        pick(11, later(5), later(1)).alias("sealed_at"), receipt.alias("receipt"),
+    )
+    heads = load(spark, d, "orders").filter(k % 2 == 0).select(k.alias("head_id"), F.lit("p").alias("head_project"), pick(4, F.lit("needs_rebuild"), F.lit("ready")).alias("state"), (k + 1).alias("head_generation"), later(2).alias("head_published_at"))
+    return receipts.faults(runs, heads, "v1").select("run_id", "fault", F.size("faults").alias("n"))

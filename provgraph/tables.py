@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: dict[str, list[str]] = {}  # folders by application
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; naive timestamps become timestamps of the (UTC) session."""
@@ -23,7 +25,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession, "cut")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what queries have left in the shared folder so far, and says how much; for use once their results are written.
+
+    Plans that read it cannot run any more. Only folders that this session has made are touched.
+    """
+    from .storage import files
+
+    gone = _made.pop(spark.sparkContext.applicationId, [])
+    for folder in gone:
+        files.delete(spark, folder)
+    return len(gone)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from provgraph.functions import guard, masking, paths
-from provgraph.operators import aggregates, search, traverse
+from provgraph.operators import aggregates, answers, search, traverse
 from provgraph.sources import records
 
 
@@ -177,3 +177,20 @@ def test_budget(spark):
     assert lists["note"] == "short" and len(lists["items"]) == got["lists"]["n_items"] > 30
     assert texts["items"] and 1000 < len(texts["note"]) < 90_000
     assert json.loads(got["none"]["artifact"]) == {"id": "none", "items": [], "note": ""} and json.loads(got["wide"]["artifact"]) == {"id": "wide"}
+
+
+def test_value_search_hides_and_masks(spark):
+    rows = [(i, f"call 555-123-{1000 + i} now", i % 4 == 0) for i in range(300)] + [(400, "no number", False), (401, None, False), (402, "x" * 100 + " 777", None), (403, "mail a.b@c.org 123", True)]
+    df = spark.createDataFrame(rows, "id int, value string, hidden boolean")
+    got = [tuple(r) for r in answers.matches(df, r"[0-9]{3}", "value", "id", F.col("hidden"), n_hits=5).collect()]
+    assert got == [(402, "x" * 80)] + [(i, "call [PHONE] now") for i in (299, 298, 297, 295)]
+
+
+def test_masks_need_a_mark(spark):
+    """Texts without an @ or a digit of any script stay as they are; all others equal plain replacement."""
+    texts = ["plain", "a@b.cc", "٠١٠-٢٣٤-٥٦٧٨", "10.0.0.1 and me@x.yz", "02-333-4444", None, "", "@", "1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for label, pattern in masking.VALUES:
+        plain = F.regexp_replace(plain, "(?U)" + pattern, f"[{label}]")
+    assert [r[0] for r in df.select(masking.mask_formats(F.col("t"))).collect()] == [r[0] for r in df.select(plain).collect()]

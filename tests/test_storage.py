@@ -134,3 +134,13 @@ def test_empty_store_and_stage(spark, folder):
     store = Store(spark, folder, "id string, n long", "id", 4)
     assert store.read(store.generation()).collect() == []
     assert promotion.publish(promotion.facts(spark, folder + "2", 4), promotion.facts(spark, folder + "2", 4).generation(), stage_of(spark, []), [], T0, "r").number == 1
+
+
+def test_release_deletes_what_queries_left(spark):
+    from provgraph.tables import cut, release
+
+    release(spark)
+    t = cut(spark.range(5))
+    folder = t.inputFiles()[0].rsplit("/", 1)[0]
+    assert t.count() == 5 and files.names(spark, folder)
+    assert release(spark) == 1 and files.names(spark, folder) == [] and release(spark) == 0
