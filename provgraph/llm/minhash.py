@@ -14,8 +14,9 @@ coordinate's value. Two documents agree in a coordinate with probability equal t
 Banding: `BANDS` bands of `ROWS` coordinates; a bucket holds the documents equal in one band.
 Pass 1 compares every member of a bucket with its first member: first the first of all such leaders, then,
 where both are not of one class yet, the next ones up to `LEADERS`. Pass 2 handles all the rest: in
-the buckets whose members are not yet of one class, members meet in lanes of about `LANE_BYTES` (a large bucket
-is many small tasks, each of one lane or of two). A task compares signatures of members of different
+the buckets whose members are not yet of one class, members meet in lanes of about `LANE_BYTES`. A bucket of `LARGE` lanes or more, which
+is there because of a passage that all its members share, is split again first, by the units of weight that are not usual in it:
+a member belongs to a part for each unit of its prefix, and no pair of `SIMILARITY` or more has prefixes apart (see `prefix`). A task compares signatures of members of different
 classes and, where the estimate reaches `ESTIMATE`, at once their exact weights; a link makes its two
 classes one for the rest of the task, and a pair is taken in the first bucket that it shares. So only
 links that join classes leave a task, never pairs. Classes are the components of verified links.
@@ -45,6 +46,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 K = BANDS * ROWS
 LANE_BYTES = 4_000_000
+LARGE = 3  # lanes from which a bucket of many classes is split again
+SAMPLED = 64
 LEADERS = 8
 ESTIMATE = 0.68
 WORD = re.compile(r"\w+")
@@ -196,9 +199,8 @@ def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return common.written(two.mapInPandas(_verify, "u long, v long"), "near-links")
 
 
-def _close(key, pdf):
+def _links(band: int, pdf: pd.DataFrame, low: int, high: int) -> tuple[list, list]:
     """Links between members of different classes: all within a lane, or one lane with another."""
-    band, _, low, high = key
     rows = np.frombuffer(b"".join(pdf["signature"]), dtype="<u4").reshape(-1, K)
     held = [np.frombuffer(x, dtype=U64) for x in pdf["units"]]
     size, ids, lanes = pdf["size"].to_numpy(), pdf["id"].to_numpy(), pdf["lane"].to_numpy()
@@ -225,20 +227,102 @@ def _close(key, pdf):
                 root[root == max(x, y)] = min(x, y)
                 us.append(max(ids[i], ids[j]))
                 vs.append(min(ids[i], ids[j]))
+    return us, vs
+
+
+def _close(key, pdf):
+    """One lane of a bucket, or of a part of one, with itself or another."""
+    us, vs = _links(key[0], pdf, *key[-2:])
+    return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
+
+
+def _close_parts(key, pdf):
+    """Several small parts of a bucket."""
+    us, vs = [], []
+    for _, g in pdf.assign(lane=0).groupby("part", sort=False):
+        u, v = _links(key[0], g, 0, 0)
+        us += u
+        vs += v
     return pd.DataFrame({"u": np.array(us, dtype=np.int64), "v": np.array(vs, dtype=np.int64)})
 
 
+def _common(key, pdf):
+    """Units that many of a few members of a bucket hold."""
+    units, n = np.unique(np.frombuffer(b"".join(pdf["units"]), dtype=U64), return_counts=True)
+    return pd.DataFrame({"band": [key[0]], "h": [key[1]], "common": [units[n >= max(2, len(pdf) // 8)].tobytes()]})
+
+
+def prefix(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first of a set's units in an order that is the same for all sets: those outside common (sorted) first, each by value.
+
+    Two sets of SIMILARITY or more share as many units as that share of the larger one, so these prefixes of theirs have one in common.
+    """
+    at = np.searchsorted(common, elements)
+    usual = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == elements) if len(common) else np.zeros(len(elements), bool)
+    order = np.lexsort((elements, usual))
+    return elements[order[: len(elements) - int(np.ceil(SIMILARITY * len(elements))) + 2]]
+
+
+def _parts(key, members, frame):
+    usual = np.frombuffer(frame["common"].iloc[0], dtype=U64) if len(frame) else np.zeros(0, U64)
+    found = [prefix(np.frombuffer(x, dtype=U64), usual) for x in members["units"]]
+    n = [len(x) for x in found]
+    part = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+    again = {c: np.repeat(members[c].to_numpy(), n) for c in ("id", "component", "size")}
+    return pd.DataFrame({"band": np.full(len(part), key[0], np.int32), "h": np.full(len(part), key[1], np.int64), "part": part} | again)
+
+
+def _in_lanes(m: DataFrame, signed: DataFrame, keys: list[str]) -> DataFrame:
+    """Links within the groups of m (keys, lanes, id, component, size): each lane with itself and the others."""
+    m = m.withColumn("lane", F.pmod(F.xxhash64("id", "band"), F.col("lanes")).cast("int"))
+    m = m.join(signed.drop("size"), "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    m = m.withColumn("low", F.least("lane", "o")).withColumn("high", F.greatest("lane", "o"))
+    m = m.select(*keys, "low", "high", "id", "component", "lane", "size", "signature", "units")
+    return m.groupBy(*keys, "low", "high").applyInPandas(_close, "u long, v long")
+
+
+def _large(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Links within large buckets of many classes. members: band, h, lanes, id, component, size.
+
+    Such a bucket is there because of what its members share (a long passage in all of them), which says little about any two. So it is split
+    again, by units outside of that: a member belongs to the parts of its prefix. No pair of SIMILARITY or more is lost, and members
+    that share only what all share meet nowhere.
+    """
+    lane = F.pmod(F.xxhash64("id", "band"), F.col("lanes")).cast("int")
+    m = common.written(members.join(signed.select("id", "units"), "id").withColumn("lane", lane), "near-large")
+    few = m.withColumn("n", F.row_number().over(W.partitionBy("band", "h").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= SAMPLED)
+    usual = few.select("band", "h", "units").groupBy("band", "h").applyInPandas(_common, "band int, h long, common binary")
+    frame = common.written(m.select("band", "h", "lane").distinct().join(usual, ["band", "h"]), "near-usual")
+    keys = ["band", "h", "lane"]
+    parts = m.groupBy(*keys).cogroup(frame.groupBy(*keys)).applyInPandas(_parts, "band int, h long, part long, id long, component long, size long")
+    parts = common.written(parts, "near-parts")
+    keys = ["band", "h", "part"]
+    mixed = parts.groupBy(*keys).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(_size()).alias("bytes")).filter("x <> y")
+    mixed = common.written(mixed.select(*keys, "bytes", F.ceil(F.col("bytes") / LANE_BYTES).cast("int").alias("lanes")), "near-part-sizes")
+    tasks = mixed.filter("lanes = 1").groupBy("band", "h").agg(F.ceil(F.sum("bytes") / LANE_BYTES).alias("tasks"))
+    small = mixed.filter("lanes = 1").join(tasks, ["band", "h"]).select(*keys, F.pmod(F.xxhash64("part"), "tasks").alias("task"))
+    some = parts.join(small, keys).join(signed.drop("size"), "id").groupBy("band", "h", "task").applyInPandas(_close_parts, "u long, v long")
+    rest = _in_lanes(parts.join(mixed.filter("lanes > 1").drop("bytes"), keys), signed, keys)
+    out = common.written(some.unionAll(rest), "near-large-links")
+    common.drop_written(m, frame, parts, mixed)
+    return out
+
+
+def _size():
+    return F.col("size") * 8 + 4 * K
+
+
 def _across(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
     """Links between different classes of one bucket, written; buckets: band, h, id."""
     b = buckets.join(found.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     b = common.written(b.join(signed.select("id", "size"), "id"), "near-members")
-    mixed = b.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(F.col("size") * 8 + 4 * K).alias("bytes")).filter("x <> y")
+    mixed = b.groupBy("band", "h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum(_size()).alias("bytes")).filter("x <> y")
     mixed = common.written(mixed.select("band", "h", F.ceil(F.col("bytes") / LANE_BYTES).cast("int").alias("lanes")), "near-mixed")
-    m = b.join(mixed, ["band", "h"]).withColumn("lane", F.pmod(F.xxhash64("id", "band"), F.col("lanes")).cast("int"))
-    m = m.join(signed.drop("size"), "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-    m = m.withColumn("low", F.least("lane", "o")).withColumn("high", F.greatest("lane", "o"))
-    m = m.select("band", "h", "low", "high", "id", "component", "lane", "size", "signature", "units")
-    out = common.written(m.groupBy("band", "h", "low", "high").applyInPandas(_close, "u long, v long"), "near-more")
+    m = b.join(mixed, ["band", "h"])
+    large = F.col("lanes") >= LARGE
+    out = common.written(_in_lanes(m.filter(~large), signed, ["band", "h"]), "near-more")
+    if mixed.filter(large).limit(1).count():
+        out = common.written(out.unionAll(_large(m.filter(large), signed)), "near-more")
     common.drop_written(b, mixed)
     return out
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.llm import common, divergence, embedding_dedup, exact_dedup, registry, rendering, whitening
+from provgraph.llm import common, divergence, embedding_dedup, exact_dedup, minhash, registry, rendering, whitening
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -272,3 +272,48 @@ def test_tags_that_do_not_end():
     assert rendering.text_of("one <a href='x>two</a> three") == "one two three"
     assert rendering.text_of("a < b <i title='>'>c</i> <b") == "a < b c <b"
     assert rendering.text_of("x <b>y</b> <!-- never ends") == "x y"
+
+
+# near-duplicates in large buckets of many classes
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 200, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.95], rng.integers(0, 200, int(rng.integers(0, 5))).astype(np.uint64)]))
+        usual = np.unique(rng.integers(0, 200, int(rng.integers(0, 90))).astype(np.uint64))
+        if len(y) and minhash.overlap(x, y) >= minhash.SIMILARITY:
+            assert set(minhash.prefix(x, usual)) & set(minhash.prefix(y, usual))
+    all_share = np.arange(300, dtype=np.uint64)
+    assert not set(minhash.prefix(np.concatenate([all_share, np.arange(1000, 1085, dtype=np.uint64)]), all_share)) & set(all_share)
+
+
+def test_large_bucket_of_many_classes(spark, monkeypatch):
+    """Documents that share most of their text, pairs of which are near copies: classes equal brute force where every bucket is split."""
+    monkeypatch.setattr(minhash, "LANE_BYTES", 3_000)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    shared = [rng.choice(words) for _ in range(75)]
+    texts = []
+    for _ in range(60):
+        own = [rng.choice(words) for _ in range(22)]
+        texts.append(shared + own)
+        if len(texts) % 3 == 0:  # a near copy, one word of it changed
+            copy = shared + own
+            copy[rng.randrange(len(copy))] = "other"
+            texts.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOC)
+    units = [minhash.units(minhash.shingles(" ".join(t))) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if minhash.overlap(units[i], units[j]) >= minhash.SIMILARITY:
+                    least[i] = least[j] = min(least[i], least[j])
+    calls = []
+    large = minhash._large
+    monkeypatch.setattr(minhash, "_large", lambda *a: calls.append(1) or large(*a))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert calls and got == dict(enumerate(least)) and len(set(least)) < len(texts)
