@@ -77,12 +77,6 @@ def duplicate_owners(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def failure_ratio(calls: DataFrame, floor: float = 0.1) -> DataFrame:
-    """target_id, ratio of errors to calls (4 places) where it reaches the floor; texts that are no numbers and zero totals fall out."""
-    g = calls.groupBy("target_id").agg(F.sum(F.expr("try_cast(errors AS bigint)")).alias("e"), F.sum(F.expr("try_cast(calls AS bigint)")).alias("c"))
-    return g.filter((F.col("c") > 0) & (F.col("e") / F.col("c") >= floor)).select("target_id", F.bround(F.col("e") / F.col("c"), 4).alias("ratio"))
-
-
 def top_directory(path: Column) -> Column:
     return F.split(path, "/")[0]
 

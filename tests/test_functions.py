@@ -194,3 +194,13 @@ def test_masks_need_a_mark(spark):
     for label, pattern in masking.VALUES:
         plain = F.regexp_replace(plain, "(?U)" + pattern, f"[{label}]")
     assert [r[0] for r in df.select(masking.mask_formats(F.col("t"))).collect()] == [r[0] for r in df.select(plain).collect()]
+
+
+def test_statements_paths_and_manifests(spark):
+    got = one(spark, "select a from Shop.Orders where x; insert into log values ('it''s'); UPDATE t SET y", paths.statement_tables)
+    assert [(r["kind"], r["table"]) for r in got] == [("READS", "shop.orders"), ("WRITES", "log"), ("WRITES", "t")]
+    assert one(spark, "select 'a', 'b c'", paths.scrub_statement) == "select '?', '?'"
+    assert [one(spark, p, lambda c: paths.relative_path(c, "/Root/")) for p in ("/root/a/b.py", "/rooted/x", "c.py")] == ["a/b.py", "/rooted/x", "c.py"]
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("gone", "1"), ("d", "1")], "producer string, fingerprint string")
+    after = spark.createDataFrame([("a", "1", True), ("b", "2", True), ("new", "1", True), ("d", "1", False)], "producer string, fingerprint string, cacheable boolean")
+    assert {r["producer"]: r["state"] for r in records.manifest_diff(before, after).collect()} == {"a": "unchanged", "b": "changed", "gone": "removed", "new": "changed", "d": "changed"}

@@ -3,9 +3,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.operators import runtime
+from provgraph.operators import overlay, runtime
 from provgraph.storage.store import Store
-from provgraph.streaming import hits, progress
+from provgraph.streaming import hits, observations, progress
 
 T = datetime.datetime(2024, 1, 1)
 
@@ -97,3 +97,25 @@ def test_progress_notes_each_batch_once(spark, base):
         spark.streams.removeListener(listener)
     got = {r["batch"]: (r["rows_in"], r["metrics"]["m.even"]) for r in progress.rows(spark, f"{base}/notes").collect()}
     assert got == {0: (5, 3), 1: (7, 4)} and sum(n for n, _ in got.values()) == spark.read.parquet(f"{base}/out").count()
+
+
+def test_bursts_coalesce_within_the_watermark(spark, base):
+    """The first of repeated events counts, within a batch and across batches and a restart; windows close behind the watermark."""
+    kept, windows = [], {}
+
+    def feed(rows):
+        spark.createDataFrame([(i, "push", at(h)) for i, h in rows], "event_id long, event_type string, ts timestamp").write.mode("append").parquet(f"{base}/in")
+        s = spark.readStream.schema("event_id long, event_type string, ts timestamp").parquet(f"{base}/in")
+        hits.run(observations.coalesced(s), lambda b, n: kept.extend(r["event_id"] for r in b.collect()), f"{base}/c", "append")
+        hits.run(observations.windowed_counts(s), lambda b, n: windows.update({r["start"]: r["n"] for r in b.collect()}), f"{base}/w", "append")
+
+    feed([(1, 0), (1, 0), (2, 0)])
+    feed([(1, 0.1), (3, 5)])
+    feed([(4, 9)])
+    assert sorted(kept) == [1, 2, 3, 4]
+    assert windows == {at(0): 4, at(5): 1}  # the last window is open still
+
+
+def test_the_newest_confirmation_holds(spark):
+    rows = spark.createDataFrame([("e", "confirm", at(1), "ann"), ("e", "dispute", at(3), "bob"), ("f", "confirm", at(2), "ann"), ("e", "confirm", at(3), "abe")], "edge string, action string, recorded_at timestamp, actor string")
+    assert {r["edge"]: (r["action"], r["actor"]) for r in overlay.last_confirmation(rows, "edge").collect()} == {"e": ("dispute", "bob"), "f": ("confirm", "ann")}
