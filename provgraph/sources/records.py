@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.paths import normal_path
+from ..functions.paths import normal_path, relative_path
 from ..schema import CERTAINTY, DEFAULT_CERTAINTY, RECORD, VERBS
 
 #: Catalogs of database systems.
@@ -32,10 +32,10 @@ def is_system(name: Column) -> Column:
     return out
 
 
-def validated(records: DataFrame, verb: str) -> DataFrame:
+def validated(records: DataFrame, verb: str, root: str | None = None) -> DataFrame:
     """records with id, source_id, target_id, kind, name, certainty, file and reason (null: accepted) and stored.
 
-    System entities, and edges into them, are accepted but not stored.
+    root: the folder that was analysed; absolute paths below it become relative to it, others are refused, as are those that climb out of it. System entities, and edges into them, are accepted but not stored.
     """
     get = lambda p: F.get_json_object("data", f"$.{p}")
     r = records.select(
@@ -43,9 +43,11 @@ def validated(records: DataFrame, verb: str) -> DataFrame:
         F.coalesce(get("certainty"), F.element_at(F.create_map(*[F.lit(x) for kv in DEFAULT_CERTAINTY.items() for x in kv]), F.col("record_type"))).alias("certainty"),
         F.replace(get("location.file"), F.lit("\\"), F.lit("/")).alias("file"),
     )
+    if root:
+        r = r.withColumn("file", relative_path(F.col("file"), root.replace("\\", "/")))
     edge = F.col("record_type") == "edge"
     bad_id = lambda c: F.col(c).isNull() | ~F.length(c).between(1, LONGEST_ID) | F.contains(F.col(c), F.lit("\x00"))
-    absolute = F.col("file").startswith("/") | F.col("file").rlike("^[A-Za-z]:")
+    absolute = F.col("file").startswith("/") | F.col("file").rlike(r"^[A-Za-z]:|(^|/)\.\.(/|$)")
     reason = (
         F.when(F.col("record_type").isNull() | F.col("data").isNull() | ~F.col("data").startswith("{"), "malformed")
         .when(~F.col("record_type").isin(VERBS[verb]), "record type")

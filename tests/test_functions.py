@@ -204,3 +204,14 @@ def test_statements_paths_and_manifests(spark):
     before = spark.createDataFrame([("a", "1"), ("b", "1"), ("gone", "1"), ("d", "1")], "producer string, fingerprint string")
     after = spark.createDataFrame([("a", "1", True), ("b", "2", True), ("new", "1", True), ("d", "1", False)], "producer string, fingerprint string, cacheable boolean")
     assert {r["producer"]: r["state"] for r in records.manifest_diff(before, after).collect()} == {"a": "unchanged", "b": "changed", "gone": "removed", "new": "changed", "d": "changed"}
+
+
+def test_files_are_relative_to_the_root(spark):
+    files = ["/Work/app/src/a.py", "C:\\\\work\\\\b.py", "src/c.py", "/work/application/d.py", "../e.py", "src/../../f.py", "src/..g.py"]
+    rows = [("symbol", "s", '{"id":"x%d","location":{"file":"%s"}}' % (i, f)) for i, f in enumerate(files)]
+    r = spark.createDataFrame(rows, "record_type string, source_name string, data string")
+    got = {x["id"]: (x["file"], x["reason"]) for x in records.validated(r, "symbols", root="/work/app/").collect()}
+    outside = "path outside root"
+    assert got == {"x0": ("src/a.py", None), "x1": ("C:/work/b.py", outside), "x2": ("src/c.py", None), "x3": ("/work/application/d.py", outside), "x4": ("../e.py", outside), "x5": ("src/../../f.py", outside), "x6": ("src/..g.py", None)}
+    assert records.validated(r, "symbols", root="c:/work").filter("id = 'x1'").first()["file"] == "b.py"
+    assert records.validated(r, "symbols").filter("id = 'x0'").first()["reason"] == outside
