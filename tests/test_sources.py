@@ -67,9 +67,10 @@ def test_stream_equals_batch_and_restarts_read_nothing_twice(spark, source, tmp_
     assert len({x for _, rows in seen for x in rows}) == sum(len(rows) for _, rows in seen) == 23
 
 
-def test_live_catalog_over_several_reads(spark):
+def test_live_catalog_over_several_reads(spark, tmp_path):
     url = "jdbc:derby:memory:catalog;create=true"
     jvm = spark._jvm
+    jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
     con = jvm.java.sql.DriverManager.getConnection(url)
     try:
         s = con.createStatement()
