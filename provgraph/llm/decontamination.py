@@ -17,7 +17,7 @@ items; a very common passage costs its own verification and nothing else.
 
 Null or empty texts match nothing; null items, or items with a null id, are left out. Repeated documents each
 get their hits, whatever their ids; items of equal text each get theirs, and of rows with equal id and text
-one counts. Of several occurrences the one of least distance, then the first, is given. An empty
+one counts. Long texts are searched whole. Of several occurrences the one of least distance, then the first, is given. An empty
 table gives no rows. Only the columns named here are read.
 """
 

@@ -21,7 +21,7 @@ classes and, where the estimate reaches `ESTIMATE`, at once their exact weights;
 classes one for the rest of the task, and a pair is taken in the first bucket that it shares. So only
 links that join classes leave a task, never pairs. Classes are the components of verified links.
 
-Null texts, empty texts and texts without words are in a class of their own each. Rows are told apart by a
+Long texts are signed whole, a few rows at a time. Null texts, empty texts and texts without words are in a class of their own each. Rows are told apart by a
 row key, not by id: rows may share an id, or have none; a class is named by the least id in it. Exactly
 one row of each class is kept: one with the least id, the first of them by row key. A table
 without rows gives none. Only doc_id and text are read, whatever other columns there are.

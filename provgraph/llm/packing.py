@@ -4,7 +4,8 @@ Pass 1 encodes each partition and notes, per document, the ids before it in its
 The totals of the partitions (one number each) are summed to give each partition's offset
 in the stream; pass 2 turns global offsets into windows. No shuffle, no sort: a hot source
 or a long text only makes more windows. Null or empty texts are a lone end id; repeated
-rows are packed as often as they occur; an empty table gives no pieces.
+rows are packed as often as they occur, and so are rows with a null id; an empty table gives no pieces. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ by bisection, and inflates one block.
 Keys are the document id as a sign-flipped big-endian 64-bit integer behind a marker byte, so
 byte order is numeric order and null ids (marker 0) come first. Equal ids keep one entry each,
 ordered by text. Values are ids as little-endian 16-bit integers where they fit, else 32-bit.
+
+Null and empty texts are the end id alone. Repeated rows keep an entry each, so all are read back and found. A long text is one
+entry, in a block of its own where it fills one. An empty table gives an empty manifest, and reading that no rows. Only doc_id and
+text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ so their cost grows with the rows, not with the square of a text.
 Training rows: at most about `SAMPLE` labelled rows, taken by a hash of the id, so the fit costs the
 same at any corpus size; their ids alone are broadcast. Scoring reads every whole text once, without a shuffle.
 
-Null or empty texts hold only a length term and get a score like any other. A document with
-several label rows counts as toxic if one says so; null labels teach nothing. Without two
+Null or empty texts hold only a length term and get a score like any other. Repeated rows are scored each by itself, and an id that
+several rows share gives its label to all of them; rows with a null id are scored and teach nothing. An empty table gives no rows. Only
+doc_id and text are read, whatever other columns there are. A document with several label rows counts as toxic if one says so; null labels teach nothing. Without two
 classes to learn from, every score is the share of toxic training rows (0 with none).
 """
 

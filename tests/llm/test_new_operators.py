@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.llm import common, divergence, embedding_dedup, exact_dedup, minhash, registry, rendering, whitening
+from provgraph.llm import common, divergence, embedding_dedup, exact_dedup, kneser_ney, minhash, registry, rendering, toxicity, whitening
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -317,3 +317,37 @@ def test_large_bucket_of_many_classes(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_large", lambda *a: calls.append(1) or large(*a))
     got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
     assert calls and got == dict(enumerate(least)) and len(set(least)) < len(texts)
+
+
+# rows of any kind
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Empty tables, null and repeated ids, clashing names and very long texts all get their score."""
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, "vile insult " * 3 if i % 2 else "kind words today", "en", "s", 0) for i in range(40)] + [(None, "vile insult", "en", "s", 0), (None, None, "en", "s", 0), (7, "kind words", "en", "s", 0), (50, "kind words " * 100_000, "en", "s", 0)]
+    clash = spark.createDataFrame(rows, DOC).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1)).withColumn("held_out", F.lit(2)).withColumn("x", F.lit(3))
+    never = F.lit(False)
+    got = toxicity.score(clash, labels, never, ~never).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    by = {r["doc_id"]: r["predicted"] for r in got if r["doc_id"] not in (None, 7)}
+    assert by[1] == 1 and by[2] == 0
+    assert toxicity.score(clash.filter("false"), labels, never, ~never).collect() == []
+    assert {r["score"] for r in toxicity.score(clash, labels.filter("false"), never, ~never).collect()} == {0.0}
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    other = [f"v{rng.randrange(5000)}" for _ in range(120_000)]
+    near = [w if i % 500 else "changed" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(other)), (4, None), (5, "short text")]
+    got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in minhash.classes(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True), 5: (5, True)}
+
+
+def test_quality_of_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"the river runs by the old mill {i % 7} today", "en", "s", 0) for i in range(200)] + [(900, "the river runs by the old mill 3 today " * 30_000, "en", "s", 0)], DOC)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in kneser_ney.judged(docs, labels).collect()}
+    assert len(got) == 201 and np.isfinite(got[900]["perplexity"])
