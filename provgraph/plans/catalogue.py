@@ -9,7 +9,7 @@ from ..functions import masking, paths
 from ..operators import aggregates as agg
 from ..operators import findings, ledger, overlay, runtime, search, temporal, traverse
 from ..streaming import observations as stream
-from ..tables import cut, load, shared_folder
+from ..tables import cut, load, load_stream, shared_folder
 from . import projection as g
 
 QUERIES: dict = {}
@@ -448,14 +448,7 @@ def runtime_observations(spark, d):
 
 @query("SELECT operation AS event_type, user_id, seen_count, first_seen_at, last_seen_at FROM observations")
 def streamed_observations(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet")
-    return stream.drain(stream.running_counts(e.withColumn("ts", F.col("ts").cast("timestamp"))), shared_folder(spark, "observed"))
-
-
-def _is_folder(spark, path) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    return stream.drain(stream.running_counts(load_stream(spark, d, "events")), shared_folder(spark, "observed"))
 
 
 @query(""", o AS (SELECT DISTINCT 'seen:' || source_id AS observation_id, source_id AS operation FROM seen),

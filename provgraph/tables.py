@@ -13,7 +13,20 @@ _made: dict[str, list[str]] = {}  # folders by application
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; naive timestamps become timestamps of the (UTC) session."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _timed(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def load_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        path = f"{sf_dir}/[{name[0]}]{name[1:]}.parquet"  # a stream's path is a folder, or a pattern that files match
+    files = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    return _timed(files.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path))
+
+
+def _timed(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
