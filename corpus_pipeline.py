@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_written(before)  # what is written does not need it any more
     return docs
