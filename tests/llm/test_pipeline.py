@@ -77,3 +77,23 @@ def test_personal_data_is_redacted_and_packed(spark, folder):
 
 def test_stages_are_named_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "benchmark_decontamination", "personal_data", "packing"]
+
+
+def test_run_over_whole_tables(spark, tmp_path):
+    """What should go is gone, what should stay is packed whole, without gaps; none of empty tables."""
+    base = f"file://{tmp_path}"
+    item = prose(900, 20)
+    rows = [(i, prose(i, 40) + (" you utter scoundrel" if i % 4 == 0 else "")) for i in range(160)]
+    rows += [(300, prose(301, 60)), (301, prose(301, 60)), (302, prose(301, 60) + " more"), (303, prose(5, 30) + " " + item + " " + prose(6, 30)), (304, None), (305, "write to ann@example.org now"), (None, prose(400, 40))]
+    documents(spark, rows).write.parquet(f"{base}/full/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{base}/full/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{base}/full/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{base}/full").toPandas()
+    want = {i for i in range(160) if i % 4} | {300, 304, 305, None}
+    assert {None if i != i else int(i) for i in got["doc_id"]} == want
+    whole = got.groupby(["doc_id", "doc_tokens"], dropna=False)["length"].sum().reset_index()
+    assert (whole["length"] == whole["doc_tokens"]).all() and len(whole) == len(want)
+    assert got.groupby("sequence_id")["length"].sum().sort_index().iloc[:-1].eq(2048).all()
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{base}/full/{t}.parquet").limit(0).write.parquet(f"{base}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{base}/none").collect() == []
