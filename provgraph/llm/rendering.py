@@ -6,9 +6,15 @@ end of a container ends what is open in it); a visibility rule drops scripts, st
 head, hidden elements and inline styles that hide. The renderer then emits all visible text:
 blocks on lines of their own, paragraphs and headings with a blank line around them, list items
 with a mark and indentation, preformatted text as it stands, table cells padded to columns. A cell of
-several lines makes a row of several lines; columns are padded to `PAD` characters at most (longer cells
-stay whole), so padding never outgrows a page. All that stands in a row is emitted: text and elements
-outside cells are cells of their own.
+several lines makes a row of several lines, a cell over several columns or rows takes their places, and characters of
+double width count as two. Columns are padded to `PAD` characters at most (longer cells stay whole), a gap of more than `REACH` blanks
+is cut to that, and of the cells that reach into later rows `REACHING` a table are followed, so padding never outgrows a page.
+All that stands in a row is emitted: text and elements outside cells are cells of their own. Buttons, lists and input fields stand apart from the words
+beside them, options are lines; names of buttons and of groups of options are text.
+
+Hidden are what `hidden`, `display: none`, no opacity or hidden content hide, with all inside, and texts whose nearest `visibility` is not visible. Styles
+come from the element, else from the page's rules for a single class or id in a <style> before it; rules under conditions such as @media,
+other selectors and other files are not followed.
 
 Null or empty pages give empty text, an empty table no rows; repeated rows and ids are rendered each by itself. Unclosed
 and stray tags never fail. A tag whose quotes do not end ends at the next >; without one it is text; where such tags have cost `SCANS` times
@@ -20,7 +26,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,10 +40,16 @@ NAMED = re.compile(r"</?[a-zA-Z]")
 UP_TO_END = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 SCANS = 20
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0*(?:\.0*)?\s*(?:;|!|$)", re.I)
+HIDING = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden|opacity\s*:\s*0*(?:\.0*)?\s*(?:;|!|$))", re.I)
+DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*[a-z]", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SINGLE = re.compile(r"[.#][\w-]+")
+BRACE = re.compile(r"[{}]")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 DEEPEST, OPEN = 150, 4_000
-PAD = 60
+PAD, REACH, REACHING = 60, 200, 200
+COLUMNS, ROWS = 1_000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -43,6 +58,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
 KEPT = frozenset("textarea xmp pre".split())
+APART = frozenset("button select input".split())
+NAMED_BUTTONS = frozenset("submit button reset".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html".split())
 #: An opening tag closes the nearest open one of these, unless one of the fences lies between.
@@ -56,32 +73,88 @@ FENCES = frozenset("table td th caption li div section article body html".split(
 
 
 class Node:
-    __slots__ = ("tag", "seen", "items", "start")
+    __slots__ = ("tag", "seen", "items", "start", "veiled", "across", "down", "label")
 
-    def __init__(self, tag: str, seen: bool = True, start: int = 1):
-        self.tag, self.seen, self.start = tag, seen, start
+    def __init__(self, tag: str, seen: bool = True, veiled: bool = False):
+        self.tag, self.seen, self.veiled, self.start, self.across, self.down, self.label = tag, seen, veiled, 1, 1, 1, ""
         self.items: list = []
 
 
-def _visible(tag: str, attributes: str) -> tuple[bool, int]:
-    if tag in UNSEEN:
-        return False, 1
-    start, shown = 1, tag != "dialog"
-    if attributes and not attributes.isspace():
-        for name, a, b, c in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), a or b or c
-            if name == "hidden" or name == "style" and HIDING.search(value):
-                return False, start
-            shown |= name == "open"
-            if name == "start" and tag == "ol" and value.lstrip("-").isdigit() and len(value) < 9:
-                start = int(value)
-    return shown, start
+class Sheet:
+    """The page's own rules that hide: single classes and ids."""
+
+    def __init__(self):
+        self.gone: set[str] = set()
+        self.veils: dict[str, bool] = {}
+
+    def read(self, text: str) -> None:
+        at = depth = 0
+        head, text = "", COMMENT.sub("", text)
+        for m in BRACE.finditer(text):
+            piece, at = text[at : m.start()], m.end()
+            if m[0] == "{":
+                head = head if depth else piece.rpartition(";")[2].strip()
+                depth += 1
+            elif depth:
+                depth -= 1
+                if not depth and not head.startswith("@"):
+                    self._rule([x.strip() for x in head.split(",")], piece)
+
+    def _rule(self, selectors: list[str], body: str) -> None:
+        gone, veils = HIDING.search(body), VISIBILITY.findall(body)
+        for x in filter(SINGLE.fullmatch, selectors):
+            if gone:
+                self.gone.add(x)
+            elif DISPLAY.search(body):
+                self.gone.discard(x)
+            if veils:
+                self.veils[x] = veils[-1].lower() != "visible"
+
+    def of(self, found: dict[str, str]) -> tuple[bool, bool | None]:
+        if not (self.gone or self.veils):
+            return False, None
+        names = ["." + x for x in found.get("class", "").split()] + ["#" + found.get("id", "").strip()]
+        return any(x in self.gone for x in names), next((self.veils[x] for x in reversed(names) if x in self.veils), None)
+
+
+def _number(text: str | None, most: int) -> int | None:
+    return min(int(text), most) if text and text.isascii() and text.isdigit() and len(text) < 9 else None
+
+
+def _element(tag: str, attributes: str, veiled: bool, sheet: Sheet) -> Node:
+    node = Node(tag, tag not in UNSEEN and tag != "dialog", veiled)
+    if tag in UNSEEN or not attributes or attributes.isspace():
+        return node
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)
+    style = found.get("style", "")
+    gone, veil = sheet.of(found)
+    own = VISIBILITY.findall(style)
+    gone = HIDING.search(style) or gone and not DISPLAY.search(style)
+    node.seen = (node.seen or "open" in found) and "hidden" not in found and not gone
+    node.veiled = own[-1].lower() != "visible" if own else veiled if veil is None else veil
+    start = found.get("start", "")
+    if tag == "ol" and start.lstrip("-").isdigit() and len(start) < 9:
+        node.start = int(start)
+    elif tag in ("td", "th"):
+        node.across = max(1, _number(found.get("colspan"), COLUMNS) or 1)
+        down = _number(found.get("rowspan"), ROWS)
+        node.down = 1 if down is None else down or ROWS  # 0: up to the end of the section
+    elif tag == "optgroup":
+        node.label = entities.unescape(found.get("label", ""))
+    elif tag == "input" and found.get("type", "").lower() in NAMED_BUTTONS:
+        node.label = entities.unescape(found.get("value", ""))
+    return node
 
 
 def tree(page: str) -> Node:
-    root = Node("html")
+    root, sheet = Node("html"), Sheet()
     stack, opened = [root], Counter()
 
+    def add(text: str) -> None:
+        stack[-1].items.append(" " if stack[-1].veiled else text)
+
     def close(tags, fences) -> None:
         if not any(opened[t] for t in tags):
             return
@@ -97,7 +170,7 @@ def tree(page: str) -> Node:
     while at < len(page):
         if at > last:  # nothing closes a tag from here on
             mark = min((x for x in (page.find("<!", at), page.find("<?", at)) if x >= 0), default=len(page))
-            stack[-1].items.append(entities.unescape(page[at:mark]))
+            add(entities.unescape(page[at:mark]))
             break
         named = NAMED.match(page, at)
         m = UP_TO_END.match(page, at) if named and lost > SCANS * len(page) else TOKEN.match(page, at)
@@ -108,7 +181,7 @@ def tree(page: str) -> Node:
         tag = m[2]
         if tag is None:
             if not m[0].startswith(("<!", "<?")):
-                stack[-1].items.append(entities.unescape(m[0]) if "&" in m[0] else m[0])
+                add(entities.unescape(m[0]) if "&" in m[0] else m[0])
             continue
         tag = tag.lower()
         if m[1]:
@@ -123,26 +196,30 @@ def tree(page: str) -> Node:
             continue
         if tag in ("html", "body") and len(stack) > 1 and tag == "html":
             continue
+        if tag in ("tbody", "thead", "tfoot"):
+            close({"tr"}, {"table"})
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ENDS_P:
             close({"p"}, FENCES)
         if tag in BLOCK and tag not in ("html", "head"):
             close({"head"}, ())
-        seen, start = _visible(tag, m[3])
-        node = Node(tag, seen, start)
+        veiled = stack[-1].veiled
+        node = _element(tag, m[3], veiled, sheet)
         deep = len(stack) >= DEEPEST
         if not deep or tag in VOID or tag in RAW:
             stack[-1].items.append(node)
-        elif seen:
+        elif node.seen:
             node.items = stack[-1].items  # written as if on the level above
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag in KEPT:
-                text = page[at : end.start() if end else len(page)]
+            text = page[at : end.start() if end else len(page)]
+            if tag in KEPT and not node.veiled:
                 node.items.append(entities.unescape(text) if tag == "textarea" else text)
+            elif tag == "style" and ("media" not in m[3].lower() or "screen" in m[3].lower()):
+                sheet.read(text)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and (len(stack) < OPEN or not seen):
+        elif tag not in VOID and not m[3].rstrip().endswith("/") and (len(stack) < OPEN or not node.seen or node.veiled != veiled):
             stack.append(node)
             opened[tag] += 1
     return root
@@ -182,19 +259,22 @@ def _holds_cells(node: Node) -> bool:
     return any(isinstance(c, Node) and (c.tag in ("td", "th") or c.tag not in BLOCK | {"form"} and _holds_cells(c)) for c in node.items)
 
 
-def _row(node: Node) -> list[list[str]]:
-    """The cells of a row as lines; wrappers around cells are looked through, whatever else is visible is a cell."""
+Cell = tuple[list[str], int, int]  # lines, columns, rows
+
+
+def _row(node: Node) -> list[Cell]:
+    """The cells of a row; wrappers around cells are looked through, whatever else is visible is a cell."""
     cells = []
     for c in node.items:
         if isinstance(c, str):
             if c.strip():
-                cells.append([" ".join(c.split())])
+                cells.append(([" ".join(c.split())], 1, 1))
         elif c.seen and c.tag not in ("td", "th") and _holds_cells(c):
             cells += _row(c)
         elif c.seen:
             text = render(c) if c.tag in ("td", "th") else _rendered_alone(c)
             if text or c.tag in ("td", "th"):
-                cells.append(text.split("\n"))
+                cells.append((text.split("\n"), c.across, c.down))
     return cells
 
 
@@ -204,8 +284,8 @@ def _rendered_alone(node: Node) -> str:
     return render(holder)
 
 
-def _cells(table: Node) -> tuple[list[str], list[list[list[str]]]]:
-    """Captions, and rows of cells."""
+def _cells(table: Node) -> tuple[list[str], list[list[Cell] | None]]:
+    """Captions, and rows of cells; None where a section begins or ends."""
     captions, rows = [], []
     for x in table.items:
         if isinstance(x, str):
@@ -218,12 +298,58 @@ def _cells(table: Node) -> tuple[list[str], list[list[list[str]]]]:
         elif x.tag in ("tbody", "thead", "tfoot") or x.tag not in ("td", "th", "table", "caption") and any(isinstance(c, Node) and c.tag in ("tr", "tbody", "thead", "tfoot") for c in x.items):
             more, inner = _cells(x)
             captions += more
-            rows += inner
+            rows += [None, *inner, None] if x.tag in ("tbody", "thead", "tfoot") else inner
         elif x.tag in ("td", "th"):
-            rows.append([render(x).split("\n")])
+            rows.append([(render(x).split("\n"), x.across, x.down)])
         elif x.tag not in ("col", "colgroup"):
             captions.append(render(x) if x.tag == "caption" else _rendered_alone(x))
-    return captions, [r for r in rows if any(any(c) for c in r)]
+    return captions, rows
+
+
+def _placed(rows: list[list[Cell] | None]) -> list[list[tuple[int, int, list[str]]]]:
+    """Per row that shows something: first column, column after the last, lines of each cell."""
+    out, reaching = [], []  # reaching: first column, column after the last, row after the last
+    for r, row in enumerate(rows):
+        if row is None:
+            reaching = []
+            continue
+        reaching = sorted(x for x in reaching if x[2] > r)
+        held, new, placed, column = iter([*reaching, (1 << 60, 0, 0)]), [], [], 0
+        nearest = next(held)
+        for lines, across, down in row:
+            while nearest[0] < column + across:  # what reaches into this row takes its place
+                column = max(column, nearest[1])
+                nearest = next(held)
+            placed.append((column, column + across, lines))
+            if down > 1 and len(reaching) + len(new) < REACHING:
+                new.append((column, column + across, r + down))
+            column += across
+        reaching += new
+        if any(any(lines) for _, _, lines in placed):
+            out.append(placed)
+    return out
+
+
+def _width(line: str) -> int:
+    """Columns that a line takes: two for wide characters, none for marks that combine."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
+def _fitted(rows: list[list[tuple[int, int, list[str]]]]) -> tuple[list[list[tuple[int, int, list[str]]]], list[int]]:
+    """The rows with columns numbered by the places where cells begin, and where each column begins when written."""
+    begins = sorted({a for row in rows for a, _, _ in row})
+    number = {a: i for i, a in enumerate(begins)}
+    rows = [[(number[a], max(number[a] + 1, bisect_left(begins, b)), lines) for a, b, lines in row] for row in rows]
+    widths = [0] * len(begins)
+    for several in (False, True):  # cells over several columns widen the last of them by what they lack
+        for row in rows:
+            for i, j, lines in row:
+                if (j - i > 1) == several:
+                    need = min(PAD, max(map(_width, lines), default=0)) - (sum(widths[i : j - 1]) + 2 * (j - i - 1))
+                    widths[j - 1] = max(widths[j - 1], need)
+    return rows, [0, *accumulate(w + 2 for w in widths)]
 
 
 def _table(x: Node, out: "_Writer") -> None:
@@ -231,10 +357,16 @@ def _table(x: Node, out: "_Writer") -> None:
     for c in captions:
         for line in c.split("\n"):
             out.put(line)
-    widths = [min(PAD, max((len(line) for r in rows if i < len(r) for line in r[i]), default=0)) for i in range(max(map(len, rows), default=0))]
-    for r in rows:
-        for k in range(max(map(len, r))):
-            out.put("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, widths)).rstrip())
+    placed, begins = _fitted(_placed(rows))
+    for row in placed:
+        for k in range(max(len(lines) for _, _, lines in row)):
+            line, at = "", 0
+            for i, j, lines in row:
+                text = lines[k] if k < len(lines) else ""
+                line += " " * min(REACH, begins[i] - begins[at]) + text
+                line += " " * min(REACH, max(2, begins[j] - begins[i] - _width(text)))
+                at = j
+            out.put(line.rstrip(" "))
 
 
 def _write(node: Node, out: _Writer, pre: bool) -> None:
@@ -257,14 +389,25 @@ def _write(node: Node, out: _Writer, pre: bool) -> None:
             out.put(out.line.rstrip(" "))
             out.line = ""
             continue
+        if tag in ("option", "optgroup"):
+            out.end()
+            out.text("" if x.veiled else x.label)
+            _write(x, out, pre)
+            out.end()
+            continue
         if tag not in BLOCK:
+            if tag in APART:
+                out.text(" ")
+                out.text("" if x.veiled else x.label)
             _write(x, out, pre or tag in KEPT)
+            if tag in APART:
+                out.text(" ")
             continue
         out.end()
         if tag in SPACED and not (node.tag == "li" and tag in ("ul", "ol")):
             out.blank = True
         if tag == "hr":
-            out.put("---")
+            out.put("---") if not x.veiled else None
         elif tag == "table":
             _table(x, out)
         elif tag == "li":

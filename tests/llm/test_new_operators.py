@@ -260,6 +260,47 @@ def test_links_are_found_around_a_common_mean(spark, monkeypatch, typical):
     assert found >= 0.95 * twins, found
 
 
+@pytest.mark.parametrize(
+    "rows, text",
+    [
+        ("<tr><td colspan=2>wide<td>b<tr><td>1<td>2<td>3", "wide  b\n1  2  3"),
+        ("<tr><td rowspan=2>tall<td>b<tr><td>c<tr><td>x<td>y", "tall  b\n      c\nx     y"),
+        ("<tr><th colspan=2>a long heading<th>z<tr><td>1<td>2<td>3", "a long heading  z\n1  2            3"),
+        ("<tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e", "a  b\n   c\nd  e"),
+        ("<tr><td>\u65e5\u672c<td>b<tr><td>abcd<td>c", "\u65e5\u672c  b\nabcd  c"),
+        ("<tr><td rowspan=3>a<td>b<tr><td><tr><td>c", "a  b\n   c"),
+    ],
+)
+def test_cells_over_several_columns_and_rows(rows, text):
+    assert rendering.text_of(f"<table>{rows}</table>") == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>seen</b>c<hr></div>d", "seen\nd"),
+        ("<style>.x{display:none} @media print{.y{display:none}}</style><p class='k x'>no<p class=y>yes", "yes"),
+        ("<style>#z, .q{visibility:hidden} .q{color:red}</style><p id=z>no<p class=q>no <b style='visibility:visible'>in</b>", "in"),
+        ("<style>.x{display:none}.x{display:block}.y{display:none}</style><p class=x>yes<p class=y style='display:block'>too", "yes\n\ntoo"),
+        ("<style media=print>.x{display:none}</style><p class=x>yes", "yes"),
+        ("<div style='backface-visibility:hidden'>shown</div><i style='fill-opacity:0'>too</i>", "shown\ntoo"),
+        ("a<select><option>b<option>c</select>d<button>go</button>now<input type=submit value='Send &amp; go'>x", "a\nb\nc\nd go now Send & go x"),
+        ("<select><optgroup label=G><option>b</optgroup></select>", "G\nb"),
+    ],
+)
+def test_rules_of_visibility_and_controls(page, text):
+    assert rendering.text_of(page) == text
+
+
+def test_wide_and_tall_cells_cost_no_more_than_the_page():
+    tall = "".join(f"<td rowspan={i % 7 + 2} colspan=999>" for i in range(5_000)) + "<tr><td>b" * 10_000
+    wide = "<td>" + ("<td>" + "y" * 60) * 1_000 + "<tr><td colspan=900>b<td>c" * 10_000
+    for cells in (tall, wide):
+        begun = time.time()
+        out = rendering.text_of("<table><tr>" + cells)
+        assert time.time() - begun < 10 and len(out) < 10 * len(cells)
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<a \"", "<p x='", "</b ", "<a \"'>", "<", "<!", "<a <b> "])
 def test_rendering_takes_time_in_proportion(piece):
     page = "<p>before</p>" + piece * (1_000_000 // len(piece))
