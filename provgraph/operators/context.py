@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import budget
+from . import budget, traverse
 from .aggregates import first_per
 from .answers import busiest_entities, clamp, hot_symbols
 
@@ -18,6 +18,23 @@ def _first(df: DataFrame, name: str, n: int) -> DataFrame:
     return some.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias(name))
 
 
+def _packs(targets: DataFrame, names: list[str], parts: dict[str, DataFrame], items: int, ceiling: int, summaries: DataFrame | None = None) -> DataFrame:
+    """parts: id, item. The targets' names, artifact, n_bytes, truncated and, per list, n_<list> and <list>_full.
+
+    summaries: target_id, summary_id, text, superseded_by, generated_at; the newest that none supersedes is the pack's summary.
+    """
+    pack = targets.select(*names)
+    for name, df in parts.items():
+        pack = pack.join(_first(df, name, items), "id", "left")
+    texts: tuple[str, ...] = ()
+    if summaries is not None:
+        newest = summaries.filter("superseded_by IS NULL").groupBy(F.col("target_id").alias("id")).agg(F.max_by("text", F.struct("generated_at", "summary_id")).alias("summary"))
+        pack, texts = pack.join(newest, "id", "left"), ("summary",)
+    full = {f"{name}_full": F.coalesce(F.size(name), F.lit(0)) >= items for name in parts}
+    flags = pack.select("id", *[c.alias(name) for name, c in full.items()])
+    return budget.within_bytes(pack, names, list(parts), texts, ceiling).join(flags, "id")
+
+
 def task_packs(symbols: DataFrame, calls: DataFrame, access: DataFrame, found: DataFrame, items: int = 50, ceiling: int = budget.MOST) -> DataFrame:
     """id, name, artifact, n_bytes, truncated (by bytes) and, per list, n_<list> and <list>_full, whether it reached the number of items.
 
@@ -30,12 +47,48 @@ def task_packs(symbols: DataFrame, calls: DataFrame, access: DataFrame, found: D
         "data_access": access.select(F.col("source_id").alias("id"), F.concat_ws(" ", "kind", "target_id").alias("item")),
         "findings": found.select("id", F.concat_ws(" ", "severity", "kind").alias("item")),
     }
-    pack = symbols.select("id", "name")
-    for name, df in parts.items():
-        pack = pack.join(_first(df, name, items), "id", "left")
-    full = {f"{name}_full": F.coalesce(F.size(name), F.lit(0)) >= items for name in parts}
-    flags = pack.select("id", *[c.alias(name) for name, c in full.items()])
-    return budget.within_bytes(pack, ["id", "name"], list(parts), ceiling=ceiling).join(flags, "id")
+    return _packs(symbols, ["id", "name"], parts, items, ceiling)
+
+
+def symbol_packs(
+    targets: DataFrame, calls: DataFrame, access: DataFrame, exposes: DataFrame, found: DataFrame, summaries: DataFrame, depth: int = 3, items: int = 50, ceiling: int = budget.MOST
+) -> DataFrame:
+    """Packs of the symbols asked for (id, name), with all that a change of them needs: as in task_packs, and contracts (which the symbol exposes),
+    impact_callers (least depth and id), impact_data (entities that the symbol or those callers touch) and the summary.
+
+    All of them walk together, each its own callers, so the work grows with the symbols asked for and what reaches them.
+    """
+    items = clamp(items, LEAST_ITEMS, MOST_ITEMS)
+    asked = targets.select("id").distinct()
+    affected, touched = traverse.impact_of_each(calls, access, asked, depth)
+    parts = {
+        "callers": calls.select(F.col("target_id").alias("id"), F.col("source_id").alias("item")),
+        "callees": calls.select(F.col("source_id").alias("id"), F.col("target_id").alias("item")),
+        "data_access": access.select(F.col("source_id").alias("id"), F.concat_ws(" ", "kind", "target_id").alias("item")),
+        "contracts": exposes.select(F.col("source_id").alias("id"), F.col("target_id").alias("item")),
+        "findings": found.select("id", F.concat_ws(" ", "severity", "kind").alias("item")),
+    }
+    parts = {name: df.join(asked, "id", "left_semi") for name, df in parts.items()}
+    parts["impact_callers"] = affected.select(F.col("root").alias("id"), F.concat_ws(" ", F.col("depth").cast("string"), F.col("id")).alias("item"))
+    parts["impact_data"] = touched.select(F.col("root").alias("id"), F.col("id").alias("item"))
+    return _packs(targets, ["id", "name"], parts, items, ceiling, summaries.join(asked, F.col("target_id") == F.col("id"), "left_semi"))
+
+
+def contract_packs(exposes: DataFrame, clients: DataFrame, found: DataFrame, summaries: DataFrame, items: int = 50, ceiling: int = budget.MOST) -> DataFrame:
+    """Packs of all contracts that are exposed or called (clients: source_id, contract_id): exposers, callers, findings and the summary."""
+    items = clamp(items, LEAST_ITEMS, MOST_ITEMS)
+    by = exposes.select(F.col("target_id").alias("id"), F.col("source_id").alias("item"))
+    called = clients.select(F.col("contract_id").alias("id"), F.col("source_id").alias("item"))
+    parts = {"exposers": by, "callers": called, "findings": found.select("id", F.concat_ws(" ", "severity", "kind").alias("item"))}
+    return _packs(by.select("id").unionAll(called.select("id")).distinct(), ["id"], parts, items, ceiling, summaries)
+
+
+def entity_packs(entities: DataFrame, access: DataFrame, found: DataFrame, summaries: DataFrame, items: int = 50, ceiling: int = budget.MOST) -> DataFrame:
+    """Packs of data entities (id): accessors (kind and symbol), findings and the summary."""
+    items = clamp(items, LEAST_ITEMS, MOST_ITEMS)
+    accessors = access.select(F.col("target_id").alias("id"), F.concat_ws(" ", "kind", "source_id").alias("item"))
+    parts = {"accessors": accessors, "findings": found.select("id", F.concat_ws(" ", "severity", "kind").alias("item"))}
+    return _packs(entities.select("id").distinct(), ["id"], parts, items, ceiling, summaries)
 
 
 def project_index(symbols: DataFrame, edges: DataFrame, calls: DataFrame, n: int = 10) -> DataFrame:

@@ -49,6 +49,35 @@ def impact(calls: DataFrame, data_edges: DataFrame, start: DataFrame, depth: int
     return affected.withColumn("what", F.lit("caller")).unionAll(touched.select("id", F.lit(0).alias("depth"), F.lit("data_entity").alias("what")))
 
 
+def reached(edges: DataFrame, roots: DataFrame, depth: int = 3, backwards: bool = False) -> DataFrame:
+    """root, id, depth (least): for each root (column id) by itself the nodes met within depth steps; the root where a cycle meets it again.
+
+    All roots walk together: a level is one join by id, whatever their number.
+    """
+    here, there = ("target_id", "source_id") if backwards else ("source_id", "target_id")
+    steps = cut(edges.select(F.col(here).alias("id"), F.col(there).alias("next")).distinct())
+    frontier = cut(roots.select(F.col("id").alias("root"), "id").distinct())
+    found = None
+    for level in range(1, depth + 1):
+        fresh = steps.join(frontier, "id").select("root", F.col("next").alias("id")).distinct()
+        if found is not None:
+            fresh = fresh.join(found, ["root", "id"], "left_anti")
+        fresh = cut(fresh.withColumn("depth", F.lit(level)))
+        found = fresh if found is None else found.unionAll(fresh)
+        frontier = fresh.filter("id <> root").select("root", "id")
+        if not frontier.limit(1).count():
+            break
+    return found
+
+
+def impact_of_each(calls: DataFrame, data_edges: DataFrame, roots: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(root, id, depth) of the callers that a change of each root affects; (root, id) of the data entities that they or the root touch."""
+    affected = reached(calls, roots, depth, True)
+    every = affected.select("root", "id").unionAll(roots.select(F.col("id").alias("root"), "id")).distinct()
+    touched = data_edges.select(F.col("source_id").alias("id"), "target_id").join(every, "id").select("root", F.col("target_id").alias("id")).distinct()
+    return affected, touched
+
+
 def runtime_path(seen: DataFrame, start: DataFrame, depth: int = 5, since=None) -> DataFrame:
     """id, depth, frequency: nodes reached over exercised edges; frequency is the least hit count over all edges of their discovery, the chain."""
     live = seen.filter("hit_count > 0")

@@ -60,12 +60,16 @@ def data_accessors(spark, d):
 SELECT DISTINCT 'customer:' || o_custkey AS source_id, 'http.GET./' || CASE WHEN l_tax = 0 THEN 'v2/' ELSE '' END || lower(replace(substr(o_orderpriority, 3), ' ', '-')) || '/' || l_returnflag AS contract_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x
 LEFT JOIN (SELECT target_id, count(DISTINCT source_id) AS n, min(source_id) AS f FROM exposes GROUP BY 1) e ON e.target_id = x.contract_id""")
 def contract_slices(spark, d):
+    return answers.contract_slice(clients(spark, d), g.exposes(spark, d))
+
+
+def clients(spark, d):
+    """source_id, contract_id: customers as callers of contracts."""
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
     li = load(spark, d, "lineitem").select("l_orderkey", "l_tax", "l_returnflag").join(o, "l_orderkey")
     name = F.lower(F.replace(F.substring("o_orderpriority", 3, 100), F.lit(" "), F.lit("-")))
     raw = F.concat(F.when(F.col("l_tax") == 0, "v2//").otherwise("/"), name, F.lit("/"), F.col("l_returnflag"), F.lit("/?page=1"))  # another spelling of the same path
-    clients = li.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("source_id"), contract_id(F.lit("get"), raw).alias("contract_id"))
-    return answers.contract_slice(clients, g.exposes(spark, d))
+    return li.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("source_id"), contract_id(F.lit("get"), raw).alias("contract_id"))
 
 
 @query("""SELECT component_id, n_symbols, coalesce(i, 0) AS n_inside, coalesce(x, 0) AS n_across FROM (SELECT component_id, count(*) AS n_symbols FROM symbols GROUP BY 1) LEFT JOIN (

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,36 @@ def test_packs_of_edges_and_findings(spark):
     assert (edge["source_name"], edge["target_name"], edge["n_findings"], edge["findings_full"]) == ("main", None, 2, False)
     got = {tuple(r) for r in context.finding_packs(found.unionByName(found.limit(1).selectExpr("'s' AS id", "severity", "kind")).withColumnRenamed("id", "subject_id"), symbols).collect()}
     assert ("s", "k", "warning", "node", "main", None) in got and ("s->gone", "k", "info", "edge", "main", None) in got
+
+
+def test_packs_with_impact_contracts_and_summaries(spark):
+    """Each target walks by itself; cycles end; the newest summary that none supersedes is taken."""
+    targets = spark.createDataFrame([("a", "A"), ("d", "D"), ("lone", "L")], "id string, name string")
+    calls = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("e", "d"), ("f", "e"), ("b", "a")], "source_id string, target_id string")
+    access = spark.createDataFrame([("c", "data:x", "READS"), ("f", "data:y", "WRITES")], "source_id string, target_id string, kind string")
+    exposes = spark.createDataFrame([("a", "http.GET./x")], "source_id string, target_id string")
+    found = spark.createDataFrame([("a", "info", "k")], "id string, severity string, kind string")
+    said = spark.createDataFrame(
+        [("a", 1, "old", None, 1), ("a", 2, "new", None, 2), ("a", 3, "gone", "x", 3), ("q", 4, "other", None, 1)], "target_id string, summary_id long, text string, superseded_by string, generated_at int"
+    )
+    got = {r["id"]: json.loads(r["artifact"]) for r in context.symbol_packs(targets, calls, access, exposes, found, said).collect()}
+    assert got["a"]["impact_callers"] == ["1 b", "2 c", "3 a", "3 d"] and got["a"]["impact_data"] == ["data:x"]
+    assert got["a"]["contracts"] == ["http.GET./x"] and got["a"]["summary"] == "new" and got["a"]["findings"] == ["info k"]
+    assert got["d"]["impact_callers"] == ["1 e", "2 f"] and got["d"]["impact_data"] == ["data:y"] and got["d"]["summary"] == ""
+    assert got["lone"]["impact_callers"] == [] and got["lone"]["callers"] == []
+
+
+def test_packs_of_contracts_and_entities(spark):
+    exposes = spark.createDataFrame([("s", "http.GET./x")], "source_id string, target_id string")
+    clients = spark.createDataFrame([("u", "http.GET./x"), ("u", "http.GET./x"), ("u", "http.GET./y")], "source_id string, contract_id string")
+    found = spark.createDataFrame([("http.GET./x", "error", "k"), ("data:x", "info", "k")], "id string, severity string, kind string")
+    said = spark.createDataFrame([("data:x", 1, "t", None, 1)], "target_id string, summary_id long, text string, superseded_by string, generated_at int")
+    got = {r["id"]: json.loads(r["artifact"]) for r in context.contract_packs(exposes, clients, found, said).collect()}
+    assert got == {
+        "http.GET./x": {"id": "http.GET./x", "exposers": ["s"], "callers": ["u"], "findings": ["error k"], "summary": ""},
+        "http.GET./y": {"id": "http.GET./y", "exposers": [], "callers": ["u"], "findings": [], "summary": ""},
+    }
+    entities = spark.createDataFrame([("data:x",), ("data:x",)], "id string")
+    access = spark.createDataFrame([("p", "data:x", "READS")], "source_id string, target_id string, kind string")
+    (pack,) = context.entity_packs(entities, access, found, said).collect()
+    assert json.loads(pack["artifact"]) == {"id": "data:x", "accessors": ["READS p"], "findings": ["info k"], "summary": "t"}
