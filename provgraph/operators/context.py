@@ -21,14 +21,14 @@ def _first(df: DataFrame, name: str, n: int) -> DataFrame:
 def _packs(targets: DataFrame, names: list[str], parts: dict[str, DataFrame], items: int, ceiling: int, summaries: DataFrame | None = None) -> DataFrame:
     """parts: id, item. The targets' names, artifact, n_bytes, truncated and, per list, n_<list> and <list>_full.
 
-    summaries: target_id, summary_id, text, superseded_by, generated_at; the newest that none supersedes is the pack's summary.
+    summaries: target_id, summary_id, text, superseded_by, generated_at; the newest that none supersedes is the pack's summary (of equal ones the greatest text).
     """
     pack = targets.select(*names)
     for name, df in parts.items():
         pack = pack.join(_first(df, name, items), "id", "left")
     texts: tuple[str, ...] = ()
     if summaries is not None:
-        newest = summaries.filter("superseded_by IS NULL").groupBy(F.col("target_id").alias("id")).agg(F.max_by("text", F.struct("generated_at", "summary_id")).alias("summary"))
+        newest = summaries.filter("superseded_by IS NULL").groupBy(F.col("target_id").alias("id")).agg(F.max_by("text", F.struct("generated_at", "summary_id", "text")).alias("summary"))
         pack, texts = pack.join(newest, "id", "left"), ("summary",)
     full = {f"{name}_full": F.coalesce(F.size(name), F.lit(0)) >= items for name in parts}
     flags = pack.select("id", *[c.alias(name) for name, c in full.items()])

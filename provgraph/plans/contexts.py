@@ -50,7 +50,7 @@ def _pack_sql(before: str, targets: str, names: str, parts: list[str], lists: li
     joins = " ".join(f"LEFT JOIN {x} l{i} ON l{i}.id = t.id" for i, x in enumerate(lists))
     fields = ", ".join(f"'{n}': {n}" for n in [*names.split(", "), *parts, "summary"])
     return f"""{before}, su AS ({summary}), pk AS (SELECT {", ".join("t." + n for n in names.split(", "))}, {", ".join(f"coalesce({p}, CAST([] AS VARCHAR[])) AS {p}" for p in parts)}, coalesce(said, '') AS summary FROM ({targets}) t {joins}
-LEFT JOIN (SELECT target_id AS id, arg_max(text, (generated_at, summary_id)) AS said FROM su WHERE superseded_by IS NULL GROUP BY 1) s ON s.id = t.id)
+LEFT JOIN (SELECT target_id AS id, arg_max(text, (generated_at, summary_id, text)) AS said FROM su WHERE superseded_by IS NULL GROUP BY 1) s ON s.id = t.id)
 SELECT {names}, CAST(to_json({{{fields}}}) AS VARCHAR) AS artifact, false AS truncated, {", ".join(f"CAST(len({p}) AS INTEGER) AS n_{p}, len({p}) >= {_ITEMS} AS {p}_full" for p in parts)} FROM pk"""
 
 
