@@ -424,3 +424,43 @@ def test_rendered_rows(spark):
     got = sorted((r["page_id"] or 0, r["n_chars"], r["n_lines"]) for r in rendering.rendered(pages).collect())
     assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 0, 0), (3, 999_999, 1)]
     assert rendering.rendered(pages.filter("false")).count() == 0
+
+
+def test_kneser_ney_against_a_plain_model(spark):
+    """Interpolated modified Kneser-Ney by loops over plain dictionaries, for texts in and out of training."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(40)], k=rng.randrange(0, 30))) for _ in range(300)]
+    words = lambda t: ["<s>", "<s>", *t.split(), "</s>"]
+    three = Counter(tuple(words(t)[i : i + 3]) for t in texts for i in range(len(words(t)) - 2))
+    two = Counter(k[1:] for k in three)
+    one = Counter(k[1:] for k in two)
+
+    def level(counts):
+        n = [sum(c == i for c in counts.values()) or 1 for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0.0] + [min(0.95 * i, max(0.1, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+        total, held = Counter(), Counter()
+        for k, c in counts.items():
+            total[k[:-1]] += c
+            held[k[:-1]] += d[min(c, 3)]
+        return counts, d, total, held
+
+    def probability(key, levels):
+        if not levels:
+            return 1 / (len(one) + 1)
+        counts, d, total, held = levels[0]
+        lower = probability(key[1:], levels[1:])
+        if key[:-1] not in total:
+            return lower
+        c = counts.get(key, 0)
+        return (c - d[min(c, 3)]) / total[key[:-1]] + held[key[:-1]] / total[key[:-1]] * lower
+
+    levels = [level(three), level(two), level(one)]
+    keys, values, unseen = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [*texts[:50], "", "w0 never w1 w2", "w39 w38 w37 w39", "never ever", "w1 " * 200]
+    got, n = kneser_ney.log10_scores(asked, kneser_ney.Table(keys, values), unseen)
+    for t, score, size in zip(asked, got, n):
+        w = words(t)
+        assert size == len(w) - 2
+        assert score == pytest.approx(sum(np.log10(probability(tuple(w[i : i + 3]), levels)) for i in range(size)), rel=1e-4, abs=1e-4)
