@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.llm import components, decontamination, embedding_dedup, hmm, kneser_ney, minhash, packing, pii, rendering, sstable, tokens, toxicity
+from provgraph.llm import common, components, decontamination, embedding_dedup, hmm, kneser_ney, minhash, packing, pii, rendering, sstable, tokens, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the and of harbour lantern river stone copper window garden silver morning letter bridge winter signal".split()
@@ -464,3 +464,24 @@ def test_kneser_ney_against_a_plain_model(spark):
         w = words(t)
         assert size == len(w) - 2
         assert score == pytest.approx(sum(np.log10(probability(tuple(w[i : i + 3]), levels)) for i in range(size)), rel=1e-4, abs=1e-4)
+
+
+def test_kneser_ney_learns_from_all_trusted_documents(spark, monkeypatch):
+    """Each document's score is that of a model of all trusted documents of the other half; thresholds come from all trusted documents."""
+    monkeypatch.setattr(kneser_ney, "SLICE", 100_000)  # several slices and parts
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 500}" for _ in range(rng.randrange(1, 12)))) for i in range(6000)]
+    trusted = 5000
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(trusted)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows)
+    half = {r["doc_id"]: r["h"] for r in table.select("doc_id", (common.hashed("doc_id") % 2).alias("h")).collect()}
+    got = {r["doc_id"]: r for r in kneser_ney.judged(table, labels).collect()}
+    assert len(got) == len(rows)
+    for h in (0, 1):
+        keys, values, unseen = kneser_ney.train(spark.createDataFrame([(t,) for i, t in rows[:trusted] if half[i] != h], "text string"))
+        asked = [(i, t) for i, t in rows if half[i] == h]
+        score, n = kneser_ney.log10_scores([t for _, t in asked], kneser_ney.Table(keys, values), unseen)
+        for (i, _), s, k in zip(asked, score, n):
+            assert got[i]["n_tokens"] == k and got[i]["perplexity"] == pytest.approx(10 ** (-s / k), rel=1e-4)
+    bound = np.quantile([got[i]["perplexity"] for i in range(trusted)], kneser_ney.QUANTILE, method="inverted_cdf")
+    assert got[0]["threshold"] == pytest.approx(bound, rel=1e-2)
