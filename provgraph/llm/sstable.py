@@ -1,9 +1,9 @@
 """Sorted-string-table shards of token ids.
 
 A shard holds a contiguous range of keys. Layout: data blocks (entries with prefix-compressed
-keys, deflated), a sparse index (first key, offset and size of each block), a Bloom filter over
+keys, compressed by zstd behind their size), a sparse index (first key, offset and size of each block), a Bloom filter over
 the keys, and a fixed-size footer. A lookup reads footer, filter and index, searches the index
-by bisection, and inflates one block.
+by bisection, and unpacks one block.
 
 Keys are the document id as a sign-flipped big-endian 64-bit integer behind a marker byte, so
 byte order is numeric order and null ids (marker 0) come first. Equal ids keep one entry each,
@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-MAGIC = b"TOKSST01"
+MAGIC = b"TOKSST02"
+SIZE = struct.Struct("<Q")
 FOOTER = struct.Struct("<QQQQQQ8s")  # index at, index size, filter at, filter size, entries, ids, magic
 
 
@@ -91,7 +93,7 @@ def write_shard(out, entries) -> tuple[int, int]:
     def flush():
         nonlocal at, block
         if block:
-            raw = zlib.compress(bytes(block), 1)
+            raw = SIZE.pack(len(block)) + pa.compress(bytes(block), codec="zstd", asbytes=True)
             out.write(raw)
             index.append((first, at, len(raw)))
             at += len(raw)
@@ -148,7 +150,8 @@ class Shard:
 
     def _block(self, i: int):
         _, offset, length = self.index[i]
-        raw, at, last = zlib.decompress(self._read(offset, length)), 0, b""
+        packed, at, last = self._read(offset, length), 0, b""
+        raw = pa.decompress(packed[SIZE.size :], SIZE.unpack_from(packed)[0], codec="zstd", asbytes=True)
         while at < len(raw):
             shared, at = _read_varint(raw, at)
             rest, at = _read_varint(raw, at)

@@ -41,6 +41,10 @@ def _byte_level() -> dict[int, str]:
 
 
 BYTE_LEVEL = _byte_level()
+SPACE = BYTE_LEVEL[32]
+VISIBLE = [BYTE_LEVEL.get(b, chr(b)) for b in range(256)]
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = frozenset(".,;:!?")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -68,7 +72,7 @@ def _split_pattern(part: dict | None) -> str | None:
         if p.get("type") == "Split":
             return p["pattern"].get("Regex")
         if p.get("type") == "ByteLevel" and p.get("use_regex", True) and not p.get("add_prefix_space"):
-            return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            return GPT2
     return None
 
 
@@ -84,6 +88,7 @@ class Encoder:
         pattern = _split_pattern(spec["pre_tokenizer"])
         self.pattern = regex.compile(pattern) if pattern else None
         self.model = self.tokenizer.model if '"ByteLevel"' in json.dumps(spec["pre_tokenizer"]) else None
+        self.plain = self.model is not None and pattern == GPT2
         self.pieces = _Memo(self._piece, PIECES)
         self.chunks = _Memo(self._chunk, CHUNKS)
         self.words = _Memo(self._word, CHUNKS)
@@ -95,9 +100,9 @@ class Encoder:
         if self.model is None:
             return self._whole(piece)
         if not piece.isascii() or "\n" in piece or "\t" in piece or "\r" in piece:
-            piece = piece.encode().decode("latin-1").translate(BYTE_LEVEL)
+            piece = "".join(map(VISIBLE.__getitem__, piece.encode()))
         elif " " in piece:
-            piece = piece.replace(" ", BYTE_LEVEL[32])
+            piece = piece.replace(" ", SPACE)
         return array("I", map(ID, self.model.tokenize(piece))).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
@@ -117,6 +122,11 @@ class Encoder:
         """A word after a space; after LINE, one at the start of a line; or a line's end."""
         if word == "\n":
             return self._piece(word)
+        if self.plain and word:
+            if word.isalpha():  # one piece
+                return array("I", map(ID, self.model.tokenize(SPACE + (word if word.isascii() else "".join(map(VISIBLE.__getitem__, word.encode())))))).tobytes()
+            if word[-1] in MARKS and word[:-1].isalpha():  # two pieces
+                return self.words[word[:-1]] + self.pieces[word[-1]]
         word = word[1:] if word[:1] == LINE else " " + word
         return self._chunk(word) if word else b""
 
@@ -132,8 +142,7 @@ class Encoder:
         if any(x in text for x in SPACED) or text[0].isspace() or text[-1].isspace():
             chunks = self.chunks
             return b"".join([chunks[c] for c in CHUNK.findall(text)])
-        words = self.words
-        return b"".join([words[w] for w in (LINE + text.replace("\n", f" \n {LINE}")).split(" ")])
+        return b"".join(map(self.words.__getitem__, (LINE + text.replace("\n", f" \n {LINE}")).split(" ")))
 
 
 def encoder(path: str) -> Encoder:

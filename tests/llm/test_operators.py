@@ -46,6 +46,13 @@ def test_encoder_equals_library(name):
         assert e.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
+def test_encoder_cuts_no_plain_words_by_pattern():
+    e = tokens.Encoder(public_tokenizers.path(sstable.TOKENIZER))
+    e.pattern = object()  # nothing to cut with
+    for text in ("hello world. Naïve, über? x!", "so: a\nstone; élan.", "word " * 50 + "end."):
+        assert e.encode(text) == library_ids(sstable.TOKENIZER, text).tobytes()
+
+
 LONG = [(8, prose(3, 30_000)), (9, "a <|endoftext|> b"), (None, "null id")]
 
 
