@@ -25,6 +25,7 @@ Only doc_id and text are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -94,30 +95,35 @@ def _class_column(word):
     return (F.crc32(F.substring(word, -2, 2)) % TIED).cast("int")
 
 
+class _Ids(dict):
+    """Word to symbol: the head's words; any other has its class's, which those that end in the same two ASCII characters share."""
+
+    def __init__(self, head):
+        super().__init__((w, i + 1) for i, w in enumerate(head))
+        self.ends: dict = {}
+
+    def __missing__(self, word: bytes) -> int:
+        end = word[-2:]
+        symbol = self.ends.get(end)
+        if symbol is None:
+            symbol = len(self) + 1 + _class_of(word.decode())
+            if end.isascii():
+                self.ends[end] = symbol
+        return symbol
+
+
 def _encode(head):
     def run(batches):
-        ids = {w: i + 1 for i, w in enumerate(head.value)}
-        classes: dict = {}
-        first = len(head.value) + 1
+        ids, first = _Ids(head.value), len(head.value) + 1
         for pdf in batches:
             for lo, hi in common.slices(pdf["text"], 500):
                 cut = pdf.iloc[lo:hi]
                 encoded, rest_words, rest_n = [], [], []
                 for t in cut["text"]:
-                    rest, out = [], []
-                    for w in words(t):
-                        i = ids.get(w)
-                        if i is None:
-                            i = classes.get(w)
-                            if i is None:
-                                if len(classes) > FLUSH:
-                                    classes.clear()
-                                i = classes[w] = first + _class_of(w.decode())
-                            rest.append(w)
-                        out.append(i)
-                    out.append(0)
-                    encoded.append(np.array(out, dtype="<u2").tobytes())
-                    n = Counter(rest)
+                    ws = words(t)
+                    out = np.fromiter(itertools.chain(map(ids.__getitem__, ws), (0,)), dtype="<u2", count=len(ws) + 1)
+                    n = Counter([ws[i] for i in np.flatnonzero(out >= first).tolist()])
+                    encoded.append(out.tobytes())
                     rest_words.append([w.decode() for w in n])
                     rest_n.append(list(n.values()))
                 yield pd.DataFrame({"rid": cut["rid"], "doc_id": cut["doc_id"], "held_out": cut["held_out"], "ids": encoded, "words": rest_words, "ks": rest_n})
@@ -145,8 +151,10 @@ def time_major(docs: list[np.ndarray]):
 
 
 def _spans(starts: list[int], active: list[int]) -> list[tuple[int, int]]:
-    """Runs of times of about BATCH_TOKENS tokens."""
+    """Runs of times of about BATCH_TOKENS tokens; up to twice as many are one."""
     cuts = [0]
+    if starts[-1] + active[-1] <= 2 * BATCH_TOKENS:
+        return [(0, len(starts))]
     for t in range(1, len(starts)):
         if starts[t] + active[t] - starts[cuts[-1]] > BATCH_TOKENS:
             cuts.append(t)
@@ -157,7 +165,7 @@ def expected(docs: list[np.ndarray], model):
     """Expected counts over docs (longest first): starts, moves, emissions; and the log-likelihood."""
     begin, move, emit = model
     ids, starts, active = time_major(docs)
-    spans, ones = _spans(starts, active), np.ones(len(begin), emit.dtype)
+    spans, ones, back = _spans(starts, active), np.ones(len(begin), emit.dtype), move.T.copy()
 
     def forward(lo, hi, before):
         at, end = starts[lo], starts[hi - 1] + active[hi - 1]
@@ -165,10 +173,15 @@ def expected(docs: list[np.ndarray], model):
         a, scale = np.empty_like(x), np.empty(len(x), x.dtype)
         for t in range(lo, hi):
             i, m = starts[t] - at, active[t]
-            y = (begin if t == 0 else before[:m] @ move) * x[i : i + m]
-            c = y @ ones
+            y = a[i : i + m]
+            if t == 0:
+                y[:] = begin
+            else:
+                np.matmul(before[:m], move, out=y)
+            y *= x[i : i + m]
+            c = np.matmul(y, ones, out=scale[i : i + m])
             y /= c[:, None]
-            a[i : i + m], scale[i : i + m], before = y, c, y
+            before = y
         return x, a, scale
 
     befores: list = [None]
@@ -185,8 +198,9 @@ def expected(docs: list[np.ndarray], model):
             if ahead is not None:
                 q = len(ahead)
                 moves += now[:q].T @ ahead
-                b[:q] = ahead @ move.T
-            ahead = x[i : i + m] * (b[:m] / scale[i : i + m, None])
+                np.matmul(ahead, back, out=b[:q])
+            ahead = x[i : i + m]
+            ahead *= b[:m] / scale[i : i + m, None]
             now *= b[:m]  # now the posterior of the state
         loss += np.log(scale, dtype=float).sum()
         seen = ids[at : at + len(a)]

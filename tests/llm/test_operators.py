@@ -46,10 +46,17 @@ def test_encoder_equals_library(name):
         assert e.encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
+def test_hmm_batches_go_forward_once():
+    """A batch just over BATCH_TOKENS is one span, so that its forward pass is not made again."""
+    held = [np.zeros(1000, dtype="<u2")] * 401
+    assert sum(map(len, held)) > hmm.BATCH_TOKENS
+    assert len(hmm._spans(*hmm.time_major(held)[1:])) == 1
+
+
 def test_encoder_cuts_no_plain_words_by_pattern():
     e = tokens.Encoder(public_tokenizers.path(sstable.TOKENIZER))
     e.pattern = object()  # nothing to cut with
-    for text in ("hello world. Naïve, über? x!", "so: a\nstone; élan.", "word " * 50 + "end."):
+    for text in ("hello world. Naïve, über? x!", "so a\nstone lies; élan.", "word " * 50 + "end."):
         assert e.encode(text) == library_ids(sstable.TOKENIZER, text).tobytes()
 
 
