@@ -3,18 +3,20 @@
 Trusted text: all rows labelled quality 1. A hash of the id halves the ids, and each half of the trusted text makes a model.
 Every document of the corpus, trusted or not, is scored by the model of the half that its id is not in: so every
 trusted document counts in a model, none is scored by a model that has learnt from its id, and all perplexities compare.
-The lowest bit of a word's id names the half, so that one run of joins makes both models.
+The lowest bit of a word's id names the half, so that the same jobs make both models.
 
-Trigrams are counted in tasks and summed by shuffle; continuation counts, context totals, the
-three discounts of each order, and the interpolated probabilities are joins and grouped sums over
-the hashed n-grams, sharded by key. Each n-gram and context becomes one additive entry, so that a
-token's log10 probability is the sum of the entries found for it:
+`judged` writes all texts once as words and tokens, in slices of about `SLICE` characters, and works in at most `ROUNDS` rounds
+over them. A round has the trigrams of one class of middle words. Those of trusted documents are dealt by their first two
+words into parts and counted there, the pairs by their two words, the words by themselves (a running table). Each slice asks the
+parts for its distinct trigrams, contexts and pairs, in the order of their keys, and gets whole numbers back. What a round shuffles
+goes before the next, so that little is on disk at once. With all rounds done the discounts are known, and each slice turns
+the numbers into probabilities and adds up its documents, whole.
+
+`estimate` makes the same model as additive entries by joins, for a small model at hand (`train`):
 
     log P1(w) + [v seen] log g(v) + [vw seen] d2 + [uv seen] log g(uv) + [uvw seen] d3
 
-with d2, d3 what the interpolated estimate adds to backing off. The entries grow with the trusted text, so no task
-holds them all: they are dealt by key into parts. Documents are dealt into slices of about `SLICE` characters; each slice
-asks every part once for its distinct n-grams, the parts answer in the order asked, and the slice adds up its documents, whole.
+with d2, d3 what the interpolated estimate adds to backing off.
 
 A document is kept if its perplexity is at most the `QUANTILE` quantile of the trusted documents of its language;
 languages with fewer than `ENOUGH` of them take the quantile over all languages.
@@ -27,16 +29,21 @@ trusted text in both halves everything is kept (threshold null); an empty table
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SLICE = 8_000_000
+SLICE = 14_000_000
+ROUNDS = 10
+GROUPS = 4
 QUANTILE = 0.99
 ENOUGH = 20
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -46,21 +53,31 @@ U64 = np.uint64
 CONTEXT = U64(1 << 63)
 FLUSH = 2_000_000
 
-_words: dict[str, int] = {}
+
+class _Words(dict):
+    def __missing__(self, w: str) -> int:
+        h = self[w] = _word(w)
+        return h
+
+
+class _Seen(dict):
+    def __missing__(self, w) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+def _word(w: str) -> int:
+    return xxhash.xxh64_intdigest(w) >> 2 << 1
+
+
+_words = _Words()
 
 
 def token_ids(text: str, half: int = 0) -> np.ndarray:
     """Two start marks, the hashed tokens, one end mark; the lowest bit of each is the half."""
     if len(_words) > CACHE:
         _words.clear()
-    get, out = _words.get, [START, START]
-    for w in TOKEN.findall(text.lower()):
-        h = get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh64_intdigest(w) >> 2 << 1
-        out.append(h)
-    out.append(END)
-    return np.array(out, dtype=np.int64) + half
+    return np.array([START, START, *map(_words.__getitem__, TOKEN.findall(text.lower())), END], dtype=np.int64) + half
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -245,60 +262,320 @@ def log10_scores(texts, table: Table, unseen: float) -> tuple[np.ndarray, np.nda
     return sums[starts + n] - sums[starts], n
 
 
-def _asked(texts, halves, parts: int):
-    """Token ids of the texts, end to end, under the model of the other half; how many each text has; for words, pairs and triples
-    where each one's key is among the keys asked for; those keys, dealt by part, and where each part's begin."""
-    ids = [token_ids(t, 1 - h) for t, h in zip(texts, halves)]
-    flat = np.concatenate(ids)
-    kinds = [np.unique(entry_key(n, *[flat[i : len(flat) - n + 1 + i] for i in range(n)]), return_inverse=True) for n in (1, 2, 3)]
-    before = np.cumsum([0, *(len(k) for k, _ in kinds)])
-    keys = np.concatenate([k for k, _ in kinds])
-    part = part_of(keys, parts)
-    order = np.argsort(part, kind="stable")
-    place = np.empty(len(keys), dtype=np.int64)
-    place[order] = np.arange(len(keys))
-    at = [place[inverse + b] for (_, inverse), b in zip(kinds, before)]
-    return flat, np.array([len(x) - 2 for x in ids]), at, keys[order], np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def _ask(parts: int):
-    def run(key, pdf):
-        *_, keys, cuts = _asked(pdf["text"], pdf["half"], parts)
-        return pd.DataFrame({"part": np.arange(parts), "slice": key[0], "key": [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+def _packed(x: np.ndarray) -> bytes:
+    """An array of whole numbers: its length in bytes, then its bytes by place, by zstd."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, dtype="<i8") -> np.ndarray:
+    found = np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    return found.reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+
+
+def _joined(raws, dtype="<i8") -> np.ndarray:
+    return np.concatenate([_unpacked(x, dtype) for x in raws] or [np.zeros(0, dtype)])
+
+
+def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of keys, ascending with them."""
+    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
+def _word_key(words: np.ndarray) -> np.ndarray:
+    return entry_key(1, words)
+
+
+def _save(limit: int):
+    """Documents in slices: their words once each, commonest first, and which of them every token is."""
+
+    def row(ids, langs, halves, texts, at):
+        seen = _Seen()
+        start, end = seen[""], seen[None]
+        found = [np.array([start, start, *map(seen.__getitem__, TOKEN.findall(t.lower())), end], dtype="<u4") for t in texts]
+        words = np.array([START, END, *map(_word, list(seen)[2:])], dtype="<i8")
+        index = np.concatenate(found)
+        order = np.argsort(-np.bincount(index), kind="stable")
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        blobs = [_packed(x) for x in (np.array(halves, dtype="<u4"), np.array([len(x) - 2 for x in found], dtype="<u4"), words[order], rank[index])]
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), one(pa.concat_arrays(ids)), one(pa.concat_arrays(langs)), *[pa.array([x], pa.binary()) for x in blobs]], names=["slice", "doc_id", "lang", "half", "n", "words", "tokens"])
+
+    def run(batches):
+        at, size, ids, langs, halves, texts = TaskContext.get().partitionId() << 32, 0, [], [], [], []
+        for b in batches:
+            every = b.column("text").to_pylist()
+            for lo, hi in common.slices(every, 1000, limit):
+                length = sum(map(len, every[lo:hi]))
+                if texts and size + length > limit:
+                    yield row(ids, langs, halves, texts, at)
+                    at, size, ids, langs, halves, texts = at + 1, 0, [], [], [], []
+                size += length
+                texts += every[lo:hi]
+                halves += b.column("half").to_pylist()[lo:hi]
+                ids.append(b.column("doc_id").slice(lo, hi - lo))
+                langs.append(b.column("lang").slice(lo, hi - lo))
+        if texts:
+            yield row(ids, langs, halves, texts, at)
 
     return run
 
 
-def _answer(asks: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-    """For each key asked for, its entry (NaN: none) and the entry as a context (0: none)."""
-    keys, values = _merged(blocks)
+class _Slice:
+    """A saved slice; its trigrams by the round of their middle word."""
+
+    def __init__(self, row, rounds: int):
+        self.half, self.n, self.words, self.at = _unpacked(row.half, "<u4"), _unpacked(row.n, "<u4").astype(np.int64), _unpacked(row.words), _unpacked(row.tokens, "<u4")
+        self.ends = np.cumsum(self.n + 2)
+        self.round = (_word_key(self.words >> 1) % U64(rounds)).astype(np.uint8)
+        self.start = np.flatnonzero(self.words == START)[0]
+
+    def trigrams(self, r: int):
+        """u, v, w without the bit of the half, and the document."""
+        i = np.flatnonzero(self.round[self.at[1:-1]] == r)
+        i = i[self.at[i + 2] != self.start]  # one that ends in a start mark spans two documents
+        return *(self.words[self.at[i + k]] for k in range(3)), np.searchsorted(self.ends, i, side="right")
+
+
+def _of(found, mask: np.ndarray, half: int):
+    """The trigrams of documents that the mask has, with the bit of the half."""
+    *words, doc = found
+    at = mask[doc]
+    return *(x[at] + half for x in words), doc[at]
+
+
+def _looked_up(u, v, w, parts: int, inverse: bool = False):
+    """The distinct trigrams, contexts of two and pairs in the order they are asked for, each with where each part's begin."""
+    context, found = entry_key(2, u, v), []
+    key, first, *at = np.unique(entry_key(3, u, v, w), return_index=True, return_inverse=inverse)
+    part = _range_of(context[first], parts)
+    order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
+    if inverse:
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        at = [place[at[0]]]
+    found.append((key[order], np.searchsorted(part[order], np.arange(parts + 1)), *at))
+    for key in (context, entry_key(2, v, w)):
+        key, *at = np.unique(key, return_inverse=True) if inverse else (np.unique(key),)
+        found.append((key, np.searchsorted(_range_of(key, parts), np.arange(parts + 1)), *at))
+    return found
+
+
+def _ask_three(r: int, rounds: int, parts: int):
+    """The trusted trigrams with their counts, by contexts; the trigrams and contexts of all documents, under the other half's model."""
+
+    def run(rows):
+        for pdf in rows:
+            for row in pdf.itertuples():
+                s, out = _Slice(row, rounds), []
+                found, trusted = s.trigrams(r), np.zeros(len(s.n), dtype=bool)
+                if row.trusted is not None:
+                    trusted[np.asarray(row.trusted, dtype=np.int64)] = True
+                for half in (0, 1):
+                    u, v, w, _ = _of(found, trusted & (s.half == half), half)
+                    if len(u):
+                        _, first, c = np.unique(entry_key(3, u, v, w), return_index=True, return_counts=True)
+                        u, v, w = u[first], v[first], w[first]
+                        part = _range_of(entry_key(2, u, v), parts)
+                        order = np.lexsort((u, v, part))
+                        u, v, w, c, part = u[order], v[order], w[order], c[order], part[order]
+                        for p in np.unique(part):
+                            x = slice(*np.searchsorted(part, [p, p + 1]))
+                            new = np.flatnonzero(np.r_[True, (np.diff(u[x]) != 0) | (np.diff(v[x]) != 0)])
+                            out.append((int(p) + half * parts, -1, *map(_packed, (u[x][new], v[x][new], np.diff(np.r_[new, x.stop - x.start]), w[x], c[x]))))
+                    u, v, w, _ = _of(found, s.half != half, half)
+                    (key, cuts, *_), (context, ends, *_), _ = _looked_up(u, v, w, parts)
+                    out += [(p + half * parts, row.slice, _packed(key[cuts[p] : cuts[p + 1]]), _packed(context[ends[p] : ends[p + 1]]), None, None, None) for p in range(parts) if ends[p] < ends[p + 1]]
+                yield pd.DataFrame(out, columns=["part", "slice", *"abcde"])
+
+    return run
+
+
+def _ask_two(r: int, rounds: int, parts: int):
+    def run(rows):
+        for pdf in rows:
+            for row in pdf.itertuples():
+                s, out = _Slice(row, rounds), []
+                found = s.trigrams(r)
+                for half in (0, 1):
+                    _, v, w, _ = _of(found, s.half != half, half)
+                    key = np.unique(entry_key(2, v, w))
+                    cuts = np.searchsorted(_range_of(key, parts), np.arange(parts + 1))
+                    out += [(p + half * parts, row.slice, _packed(key[a:b]), None, None) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield pd.DataFrame(out, columns=["part", "slice", *"abc"])
+
+    return run
+
+
+def _ask_one(parts: int):
+    def run(rows):
+        for pdf in rows:
+            for row in pdf.itertuples():
+                words, out = _unpacked(row.words), []
+                for half in (0, 1):
+                    key = np.sort(_word_key(words + half))
+                    cuts = np.searchsorted(_range_of(key, parts), np.arange(parts + 1))
+                    out += [(p + half * parts, row.slice, _packed(key[a:b]), None) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield pd.DataFrame(out, columns=["part", "slice", *"ab"])
+
+    return run
+
+
+def _found(keys: np.ndarray, columns, asked: np.ndarray) -> bytes:
+    """For each key asked for its numbers, one column after the other; 0 for what is absent."""
+    if not len(keys):
+        return _packed(np.zeros(len(asked) * len(columns), dtype="<i8"))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    there = keys[at] == asked
+    return _packed(np.concatenate([np.where(there, x[at], 0) for x in columns]).astype("<i8"))
+
+
+def _summed(inverse: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.bincount(inverse, weights=values).astype(np.int64)
+
+
+def _held_numbers(key: np.ndarray, c: np.ndarray):
+    """Keys; their sums of counts, and of how many n-grams the count is 1, 2, or more."""
+    key, inverse = np.unique(key, return_inverse=True)
+    return key, [_summed(inverse, x) for x in (c, c == 1, c == 2, c >= 3)]
+
+
+def _rows(found: list) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["kind", "part", "slice", *"abc", "numbers"])
+
+
+FOUND = "kind int, part long, slice long, a binary, b binary, c binary, numbers array<long>"
+ANSWER, STATISTICS, PASSED = 0, 1, 2
+
+
+def _by_count(c: np.ndarray) -> list[int]:
+    return [int((c == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _three(parts: int):
+    """Counts the trigrams of a part, answers, and passes on pairs with their numbers of words before."""
+
+    def run(pdf):
+        half, own, asks = int(pdf["part"].iloc[0]) // parts, pdf[pdf["slice"] < 0], pdf[pdf["slice"] >= 0]
+        many = _joined(own["c"])
+        u, v, w = np.repeat(_joined(own["a"]), many), np.repeat(_joined(own["b"]), many), _joined(own["d"])
+        keys, first, inverse = np.unique(entry_key(3, u, v, w), return_index=True, return_inverse=True)
+        c = _summed(inverse, _joined(own["e"]))
+        u, v, w = u[first], v[first], w[first]
+        contexts, held = _held_numbers(entry_key(2, u, v), c)
+        out = [(ANSWER, p, s, _found(keys, [c], _unpacked(a, "<u8")), _found(contexts, held, _unpacked(b, "<u8")), None, None) for p, s, a, b in zip(asks["part"], asks["slice"], asks["a"], asks["b"])]
+        if len(keys):
+            pairs, first, n = np.unique(entry_key(2, v, w), return_index=True, return_counts=True)
+            v, w, part = v[first], w[first], _range_of(pairs, parts)
+            order = np.lexsort((v, part))
+            v, w, n, part = v[order], w[order], n[order], part[order]
+            for p in np.unique(part):
+                x = slice(*np.searchsorted(part, [p, p + 1]))
+                out.append((PASSED, int(p) + half * parts, -1, _packed(v[x]), _packed(w[x]), _packed(n[x]), None))
+        return _rows([*out, (STATISTICS, half, -1, None, None, None, _by_count(c))])
+
+    return run
+
+
+def _two(parts: int):
+    """Sums up the pairs of a part, answers, and passes on words: the numbers of them as contexts, and their distinct words before."""
+
+    def run(pdf):
+        half, own, asks = int(pdf["part"].iloc[0]) // parts, pdf[pdf["slice"] < 0], pdf[pdf["slice"] >= 0]
+        v, w = _joined(own["a"]), _joined(own["b"])
+        keys, first, inverse = np.unique(entry_key(2, v, w), return_index=True, return_inverse=True)
+        c = _summed(inverse, _joined(own["c"]))
+        out = [(ANSWER, p, s, _found(keys, [c], _unpacked(a, "<u8")), None, None, None) for p, s, a in zip(asks["part"], asks["slice"], asks["a"])]
+        if len(keys):
+            before, held = _held_numbers(v[first], c)
+            after, n = np.unique(w[first], return_counts=True)
+            words, numbers = np.r_[before, after], np.zeros((5, len(before) + len(after)), dtype="<i8")
+            numbers[:4, : len(before)], numbers[4, len(before) :] = held, n
+            part = _range_of(_word_key(words), parts)
+            for p in np.unique(part):
+                out.append((PASSED, int(p) + half * parts, -1, _packed(words[part == p]), _packed(numbers[:, part == p].ravel()), None, None))
+        return _rows([*out, (STATISTICS, half, -1, None, None, None, _by_count(c))])
+
+    return run
+
+
+def _one(parts: int):
+    """Sums up the words of a part; answers, or passes them on if nothing is asked yet."""
+
+    def run(pdf):
+        p = int(pdf["part"].iloc[0])
+        half, own, asks = p // parts, pdf[pdf["slice"] < 0], pdf[pdf["slice"] >= 0]
+        words = _joined(own["a"])
+        keys, first, inverse = np.unique(_word_key(words), return_index=True, return_inverse=True)
+        words = words[first]
+        numbers = np.concatenate([_unpacked(x).reshape(5, -1) for x in own["b"]] or [np.zeros((5, 0), dtype="<i8")], axis=1)
+        numbers = [_summed(inverse, x) for x in numbers]
+        out = [(ANSWER, p, s, _found(keys, numbers, _unpacked(a, "<u8")), None, None, None) for p, s, a in zip(asks["part"], asks["slice"], asks["a"])]
+        c = numbers[4]
+        if not len(asks):
+            return _rows([(PASSED, p, -1, _packed(words), _packed(np.concatenate(numbers)), None, None)])
+        return _rows([*out, (STATISTICS, half, -1, None, None, None, [*_by_count(c), int(c.sum()), int((c > 0).sum()), int((c >= 3).sum())])])
+
+    return run
+
+
+def _numbers(found: DataFrame, n: int) -> dict[int, list[int]]:
+    """The sums of the statistics by half."""
+    rows = found.filter(F.col("kind") == STATISTICS).groupBy("part").agg(*[F.sum(F.col("numbers")[i]).alias(f"n{i}") for i in range(n)]).collect()
+    return {r["part"]: list(r)[1:] for r in rows}
+
+
+def _taken_off(counts: list[int]) -> np.ndarray:
+    """D1, D2, D3+ from how many n-grams occur once to four times."""
+    n = [max(1, x) for x in counts[:4]]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([min(0.95 * i, max(0.1, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)])
+
 
-    def found(asked, default):
-        at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-        return np.where(keys[at] == asked, values[at], np.float32(default)) if len(keys) else np.full(len(asked), default, dtype="<f4")
+def _backed(c, total, held, lower, d):
+    """The interpolated estimate; the lower one where the context is unknown."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = (c - np.r_[0.0, d][np.minimum(c, 3)] + (held[0] * d[0] + held[1] * d[1] + held[2] * d[2]) * lower) / total
+    return np.where(total > 0, p, lower)
 
-    out = []
-    for raw in asks["key"]:
-        asked = np.frombuffer(raw, dtype="<u8")
-        out.append(np.concatenate([found(asked, np.nan), found(asked | CONTEXT, 0)]).astype("<f4").tobytes())
-    return pd.DataFrame({"part": asks["part"], "slice": asks["slice"], "value": out})
 
+def _score(rounds: int, parts: int, statistics):
+    """Sums of log10 probabilities of the documents of a slice from the answers to it."""
 
-def _score(parts: int, unseen: dict):
     def run(pdf, answers):
-        flat, n, at, keys, cuts = _asked(pdf["text"], pdf["half"], parts)
-        value, context = np.empty(len(keys)), np.empty(len(keys))
-        if len(answers) != parts:
-            raise ValueError("a slice lacks answers")
-        for p, raw in zip(answers["part"], answers["value"]):
-            value[cuts[p] : cuts[p + 1]], context[cuts[p] : cuts[p + 1]] = np.frombuffer(raw, dtype="<f4").reshape(2, -1)
-        one, two, three = at
-        words = value[one[2:]]
-        floor = np.where(flat[2:] & 1, unseen[1], unseen[0])
-        total = np.where(np.isnan(words), floor, words) + context[one[1:-1]] + np.nan_to_num(value[two[1:]]) + context[two[:-1]] + np.nan_to_num(value[three])
-        starts = np.concatenate([[0], np.cumsum(n + 2)[:-1]])
-        sums = np.concatenate([[0.0], np.cumsum(total)])
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_tokens": n, "score": sums[starts + n] - sums[starts]})
+        row = next(pdf.itertuples())
+        s, held = _Slice(row, rounds), {(t, r, p): (a, b) for t, r, p, a, b in zip(answers["level"], answers["round"], answers["part"], answers["a"], answers["b"])}
+        sums = np.zeros(len(s.n))
+
+        def answer(level, r, half, cuts, columns, which=0):
+            got = [_unpacked(held[level, r, p + half * parts][which]).reshape(columns, -1) for p in range(parts) if cuts[p] < cuts[p + 1]]
+            return np.concatenate(got or [np.zeros((columns, 0), dtype="<i8")], axis=1)
+
+        by_half = []
+        for half in (0, 1):
+            n1, n2, _, _, total, kinds, more = statistics[0][half]
+            d1, d2, d3 = (_taken_off(x[half]) for x in statistics)
+            floor = (n1 * d1[0] + n2 * d1[1] + more * d1[2]) / total / (kinds + 1)
+            known = np.sort(_word_key(s.words + half))
+            words = answer(1, 0, half, np.searchsorted(_range_of(known, parts), np.arange(parts + 1)), 5)
+            p1 = (words[4] - np.r_[0.0, d1][np.minimum(words[4], 3)]) / total + floor
+            by_half.append((d2, d3, known, words, p1))
+        for r in range(rounds):
+            found = s.trigrams(r)
+            for half, (d2, d3, known, words, p1) in enumerate(by_half):
+                u, v, w, doc = _of(found, s.half != half, half)
+                if not len(u):
+                    continue
+                (_, cuts, three), (_, ends, context), (_, bounds, two) = _looked_up(u, v, w, parts, inverse=True)
+                c3 = np.concatenate([_unpacked(held[3, r, p + half * parts][0]) for p in range(parts) if ends[p] < ends[p + 1]])[three]
+                total3, *held3 = answer(3, r, half, ends, 4, 1)[:, context]
+                c2 = answer(2, r, half, bounds, 1)[0][two]
+                total2, *held2 = words[:4, np.searchsorted(known, _word_key(v))]
+                lower = p1[np.searchsorted(known, _word_key(w))]
+                p3 = _backed(c3, total3, held3, _backed(c2, total2, held2, lower, d2), d3)
+                sums += np.bincount(doc, weights=np.log10(p3), minlength=len(sums))
+        return pd.DataFrame({"slice": [row.slice], "n_tokens": [s.n], "score": [sums]})
 
     return run
 
@@ -309,17 +586,45 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").withColumn("half", (common.hashed("doc_id") % 2).cast("int"))
     kind = d.schema["doc_id"].dataType.simpleString()
     size = d.agg(F.sum(F.length("text") + 100)).first()[0] or 0
-    parts = 1 + size // SLICE
-    model = estimate(d.join(good, "doc_id", "left_semi").select("text", "half"), parts)
-    if model is None or len(model[1]) < 2:
+    parts, rounds = 1 + size // (8 * SLICE), min(ROUNDS, 1 + size // SLICE)
+    saved = common.written(d.mapInArrow(_save(SLICE), f"slice long, doc_id array<{kind}>, lang array<string>, half binary, n binary, words binary, tokens binary"), "kn-tokens")
+    listed = saved.select("slice", F.posexplode("doc_id").alias("at", "doc_id")).join(good, "doc_id", "left_semi")
+    flags = common.written(listed.groupBy("slice").agg(F.collect_list("at").alias("trusted")), "kn-trusted")
+    tokens = saved.select("slice", "half", "n", "words", "tokens").join(F.broadcast(flags), "slice", "left")  # 4 bytes a trusted document
+    kept, words = [], None
+
+    def keep(found, level, r):
+        kept.append(common.written(found.filter(F.col("kind") != PASSED).select(F.lit(level).alias("level"), F.lit(r).alias("round"), "kind", "part", "slice", "a", "b", "numbers"), f"kn-answers-{level}"))
+
+    for r in range(rounds):
+        asks = tokens.mapInPandas(_ask_three(r, rounds, parts), "part long, slice long, a binary, b binary, c binary, d binary, e binary")
+        three = common.written(asks.groupBy("part").applyInPandas(_three(parts), FOUND), "kn-3")
+        asks = saved.mapInPandas(_ask_two(r, rounds, parts), "part long, slice long, a binary, b binary, c binary").unionByName(three.filter(F.col("kind") == PASSED).select("part", "slice", "a", "b", "c"))
+        keep(three, 3, r)
+        common.release_shuffles(d.sparkSession)
+        two = common.written(asks.groupBy("part").applyInPandas(_two(parts), FOUND), "kn-2")
+        keep(two, 2, r)
+        common.drop_written(three)
+        new = two.filter(F.col("kind") == PASSED).select("part", "slice", "a", "b")
+        before, words = words, common.written((new if words is None else new.unionByName(words)).groupBy("part").applyInPandas(_one(parts), FOUND).select("part", "slice", "a", "b"), "kn-1")
+        common.drop_written(two, *[before] * (before is not None))
+        common.release_shuffles(d.sparkSession)
+    asks = saved.mapInPandas(_ask_one(parts), "part long, slice long, a binary, b binary").unionByName(words)
+    keep(asks.groupBy("part").applyInPandas(_one(parts), FOUND), 1, 0)
+    common.drop_written(words)
+    found = reduce(DataFrame.unionByName, kept)
+    statistics = [_numbers(found.filter(F.col("level") == i), 7 if i == 1 else 4) for i in (1, 2, 3)]
+    if any(statistics[0].get(half, [0] * 5)[4] == 0 for half in (0, 1)):
         return d.select("doc_id", "lang", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    entries, unseen = model
-    sliced = d.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    asks = sliced.groupBy("slice").applyInPandas(_ask(parts), "part long, slice long, key binary")
-    answers = asks.groupBy("part").cogroup(entries.groupBy("part")).applyInPandas(_answer, "part long, slice long, value binary")
-    scored = sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInPandas(_score(parts, unseen), f"doc_id {kind}, lang string, n_tokens long, score double")
+    answers, summed = found.filter(F.col("kind") == ANSWER).drop("kind", "numbers"), []
+    for g in range(GROUPS):
+        of = F.pmod(F.xxhash64("slice"), F.lit(GROUPS)) == g
+        asked = saved.filter(of).select("slice", "half", "n", "words", "tokens").groupBy("slice")
+        summed.append(common.written(asked.cogroup(answers.filter(of).groupBy("slice")).applyInPandas(_score(rounds, parts, statistics), "slice long, n_tokens array<long>, score array<double>"), "kn-sums"))
+        common.release_shuffles(d.sparkSession)
+    scored = saved.select("slice", "doc_id", "lang").join(reduce(DataFrame.unionByName, summed), "slice").select(F.explode(F.arrays_zip("doc_id", "lang", "n_tokens", "score")).alias("x")).select("x.*")
     scored = common.written(scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), "kn-scores")
-    common.drop_written(entries)
+    common.drop_written(saved, flags, *kept, *summed)
     trusted = scored.join(good, "doc_id", "left_semi")
     quantile = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000))
     overall = trusted.agg(quantile.alias("q")).first()["q"]

@@ -1,4 +1,5 @@
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -499,3 +500,22 @@ def test_kneser_ney_learns_from_all_trusted_documents(spark, monkeypatch):
             assert got[i]["n_tokens"] == k and got[i]["perplexity"] == pytest.approx(10 ** (-s / k), rel=1e-4)
     bound = np.quantile([got[i]["perplexity"] for i in range(trusted)], kneser_ney.QUANTILE, method="inverted_cdf")
     assert got[0]["threshold"] == pytest.approx(bound, rel=1e-2)
+
+
+def test_kneser_ney_keeps_little_on_disk(spark, monkeypatch):
+    """What is in the shared folder at once stays below the size of the texts."""
+    monkeypatch.setattr(kneser_ney, "SLICE", 1_000_000)
+    rng, folder, sizes, write = random.Random(12), pathlib.Path(common.shared_dir(spark).removeprefix("file://")), [], common.written
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = held()
+
+    def written(*args):
+        out = write(*args)
+        sizes.append(held() - before)
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 20_000}" for _ in range(200))) for i in range(2000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert kneser_ney.judged(docs(spark, rows), labels).count() == 2000
+    assert max(sizes) < sum(len(t) for _, t in rows)
