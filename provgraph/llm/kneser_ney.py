@@ -3,14 +3,14 @@
 Trusted text: all rows labelled quality 1. A hash of the id halves the ids, and each half of the trusted text makes a model.
 Every document of the corpus, trusted or not, is scored by the model of the half that its id is not in: so every
 trusted document counts in a model, none is scored by a model that has learnt from its id, and all perplexities compare.
-The lowest bit of a word's id names the half, so that the same jobs make both models.
 
-`judged` writes all texts once as words and tokens, in slices of about `SLICE` characters, and works in at most `ROUNDS` rounds
-over them. A round has the trigrams of one class of middle words. Those of trusted documents are dealt by their first two
-words into parts and counted there, the pairs by their two words, the words by themselves (a running table). Each slice asks the
-parts for its distinct trigrams, contexts and pairs, in the order of their keys, and gets whole numbers back. What a round shuffles
-goes before the next, so that little is on disk at once. With all rounds done the discounts are known, and each slice turns
-the numbers into probabilities and adds up its documents, whole.
+`judged` keeps no tokens and no answers. Trusted documents are cut into trigrams, which are dealt by their middle word (and half)
+into parts of about `PART * SLICE` characters of the corpus. A part counts its trigrams, contexts and pairs and keeps them as whole numbers;
+only its words' numbers of words before them come from elsewhere, from a job by word. Words that fill more than half a part in a sample of
+`SAMPLE` documents get several parts, by the word before; their pairs are summed up in a job of their own and sent back to these parts.
+The sample only evens out the parts: results do not depend on it. With all discounts known, the documents follow in `GROUPS` groups by
+a hash of the id: each sends its trigrams, whole, to the parts, and gets a sum from each. What a group shuffles goes before the next.
+A word's own probability is added where it is the middle word, so the sum over a document is that of all its tokens.
 
 `estimate` makes the same model as additive entries by joins, for a small model at hand (`train`):
 
@@ -29,6 +29,8 @@ trusted text in both halves everything is kept (threshold null); an empty table
 from __future__ import annotations
 
 import re
+import time
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -41,9 +43,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SLICE = 14_000_000
-ROUNDS = 10
-GROUPS = 4
+SLICE = 7_000_000
+PART = 8
+CHUNK = 600_000
+GROUPS = 8
+SAMPLE = 2_000
 QUANTILE = 0.99
 ENOUGH = 20
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -66,6 +70,19 @@ class _Seen(dict):
         return n
 
 
+class _Chunks(dict):
+    """What stands between white space, as the places of its tokens."""
+
+    def __init__(self, seen: _Seen):
+        self.seen = seen
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        places = self[chunk] = self.seen[chunk].to_bytes(4, "little") if chunk.isalnum() else b"".join([self.seen[w].to_bytes(4, "little") for w in TOKEN.findall(chunk)])
+        return places
+
+
 def _word(w: str) -> int:
     return xxhash.xxh64_intdigest(w) >> 2 << 1
 
@@ -277,354 +294,463 @@ def _joined(raws, dtype="<i8") -> np.ndarray:
     return np.concatenate([_unpacked(x, dtype) for x in raws] or [np.zeros(0, dtype)])
 
 
-def _range_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of keys, ascending with them."""
-    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-
-
 def _word_key(words: np.ndarray) -> np.ndarray:
     return entry_key(1, words)
 
 
-def _save(limit: int):
-    """Documents in slices: their words once each, commonest first, and which of them every token is."""
-
-    def row(ids, langs, halves, texts, at):
-        seen = _Seen()
-        start, end = seen[""], seen[None]
-        found = [np.array([start, start, *map(seen.__getitem__, TOKEN.findall(t.lower())), end], dtype="<u4") for t in texts]
-        words = np.array([START, END, *map(_word, list(seen)[2:])], dtype="<i8")
-        index = np.concatenate(found)
-        order = np.argsort(-np.bincount(index), kind="stable")
-        rank = np.empty(len(order), dtype="<u4")
-        rank[order] = np.arange(len(order))
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        blobs = [_packed(x) for x in (np.array(halves, dtype="<u4"), np.array([len(x) - 2 for x in found], dtype="<u4"), words[order], rank[index])]
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), one(pa.concat_arrays(ids)), one(pa.concat_arrays(langs)), *[pa.array([x], pa.binary()) for x in blobs]], names=["slice", "doc_id", "lang", "half", "n", "words", "tokens"])
-
-    def run(batches):
-        at, size, ids, langs, halves, texts = TaskContext.get().partitionId() << 32, 0, [], [], [], []
-        for b in batches:
-            every = b.column("text").to_pylist()
-            for lo, hi in common.slices(every, 1000, limit):
-                length = sum(map(len, every[lo:hi]))
-                if texts and size + length > limit:
-                    yield row(ids, langs, halves, texts, at)
-                    at, size, ids, langs, halves, texts = at + 1, 0, [], [], [], []
-                size += length
-                texts += every[lo:hi]
-                halves += b.column("half").to_pylist()[lo:hi]
+def _one_list(x) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+
+def _slices(batches, limit: int):
+    """Rows of batches in slices of a bounded number of characters: a number, and the columns, of which texts and halves are lists."""
+    at = TaskContext.get().partitionId() << 32
+    size, texts, halves, ids, langs = 0, [], [], [], []
+    for b in batches:
+        every = b.column("text").to_pylist()
+        for lo, hi in common.slices(every, 1000, limit):
+            length = sum(map(len, every[lo:hi]))
+            if texts and size + length > limit:
+                yield at, texts, halves, ids, langs
+                at, size, texts, halves, ids, langs = at + 1, 0, [], [], [], []
+            size += length
+            texts += every[lo:hi]
+            halves += b.column("half").to_pylist()[lo:hi]
+            if "doc_id" in b.schema.names:
                 ids.append(b.column("doc_id").slice(lo, hi - lo))
                 langs.append(b.column("lang").slice(lo, hi - lo))
-        if texts:
-            yield row(ids, langs, halves, texts, at)
-
-    return run
-
-
-class _Slice:
-    """A saved slice; its trigrams by the round of their middle word."""
-
-    def __init__(self, row, rounds: int):
-        self.half, self.n, self.words, self.at = _unpacked(row.half, "<u4"), _unpacked(row.n, "<u4").astype(np.int64), _unpacked(row.words), _unpacked(row.tokens, "<u4")
-        self.ends = np.cumsum(self.n + 2)
-        self.round = (_word_key(self.words >> 1) % U64(rounds)).astype(np.uint8)
-        self.start = np.flatnonzero(self.words == START)[0]
-
-    def trigrams(self, r: int):
-        """u, v, w without the bit of the half, and the document."""
-        i = np.flatnonzero(self.round[self.at[1:-1]] == r)
-        i = i[self.at[i + 2] != self.start]  # one that ends in a start mark spans two documents
-        return *(self.words[self.at[i + k]] for k in range(3)), np.searchsorted(self.ends, i, side="right")
+    if texts:
+        yield at, texts, halves, ids, langs
 
 
-def _of(found, mask: np.ndarray, half: int):
-    """The trigrams of documents that the mask has, with the bit of the half."""
-    *words, doc = found
-    at = mask[doc]
-    return *(x[at] + half for x in words), doc[at]
+class _Parts:
+    """Which part has a trigram: that of its middle word; a frequent word has several, and the word before it says which."""
 
+    def __init__(self, parts: int, ways: dict[int, int]):
+        self.parts = parts
+        self.words = np.array(sorted(ways), dtype="<i8")
+        self.ways = np.array([ways[w] for w in sorted(ways)], dtype="<i8")
 
-def _looked_up(u, v, w, parts: int, inverse: bool = False):
-    """The distinct trigrams, contexts of two and pairs in the order they are asked for, each with where each part's begin."""
-    context, found = entry_key(2, u, v), []
-    key, first, *at = np.unique(entry_key(3, u, v, w), return_index=True, return_inverse=inverse)
-    part = _range_of(context[first], parts)
-    order = np.argsort(part.astype(np.uint16) if parts < 65536 else part, kind="stable")
-    if inverse:
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        at = [place[at[0]]]
-    found.append((key[order], np.searchsorted(part[order], np.arange(parts + 1)), *at))
-    for key in (context, entry_key(2, v, w)):
-        key, *at = np.unique(key, return_inverse=True) if inverse else (np.unique(key),)
-        found.append((key, np.searchsorted(_range_of(key, parts), np.arange(parts + 1)), *at))
-    return found
-
+    def frequent(self, words: np.ndarray) -> np.ndarray:
+        """How many parts each word has."""
+        out = np.ones(len(words), dtype="<i8")
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            out[self.words[at] == words] = self.ways[at[self.words[at] == words]]
+        return out
 
-def _ask_three(r: int, rounds: int, parts: int):
-    """The trusted trigrams with their counts, by contexts; the trigrams and contexts of all documents, under the other half's model."""
+    def first(self, words: np.ndarray) -> np.ndarray:
+        return (_word_key(words) % U64(self.parts)).astype("<i8")
+
+    def of(self, words: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        part, ways = self.first(words)[v], self.frequent(words)
+        if (ways > 1).any():
+            at = np.flatnonzero(ways[v] > 1)
+            turn = (mix(_word_key(words)) >> U64(8)).astype("<i8")
+            part[at] = (part[at] + turn[u[at]] % ways[v[at]]) % self.parts
+        return part
+
+
+def _dealt(texts, halves, dealer: _Parts):
+    """The trigrams of texts by part (that of the other half from `parts` on): part, words, commonest first, u, v, w as places in them, document; and the documents' tokens."""
+    seen = _Seen()
+    start, end = seen[""], seen[None]
+    chunks = _Chunks(seen)
+    before, after = 2 * start.to_bytes(4, "little"), end.to_bytes(4, "little")
+    found = [b"".join([before, *map(chunks.__getitem__, t.lower().split()), after]) for t in texts]
+    words = np.array([START, END, *map(_word, list(seen)[2:])], dtype="<i8")
+    n = np.array([len(x) // 4 - 2 for x in found], dtype="<i8")
+    index = np.frombuffer(b"".join(found), dtype="<u4")
+    del found, seen, chunks
+    order = np.argsort(-np.bincount(index), kind="stable")
+    rank = np.empty(len(order), dtype="<u4")
+    rank[order] = np.arange(len(order))
+    words, start, index = words[order], rank[start], rank[index]
+    inside = index[2:] != start  # one that ends in a start mark spans two documents
+    u, v, w = index[:-2][inside], index[1:-1][inside], index[2:][inside]
+    doc = np.repeat(np.arange(len(n), dtype="<u4"), n)
+    part = dealer.of(words, u, v) + dealer.parts * np.asarray(halves, dtype="<i8")[doc]
+    part = part.astype(np.uint16) if 2 * dealer.parts < 65536 else part
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(2 * dealer.parts + 1))
+    del index, inside, part
+
+    def rows():
+        for p in range(2 * dealer.parts):
+            for lo in range(cuts[p], cuts[p + 1], CHUNK):
+                at = order[lo : min(lo + CHUNK, cuts[p + 1])]
+                three = np.concatenate([u[at], v[at], w[at]])
+                if len(words) < 8 * len(three):
+                    here = np.flatnonzero(np.bincount(three, minlength=len(words)))
+                    rank[here] = np.arange(len(here))
+                    place = rank[three]
+                else:
+                    here, place = np.unique(three, return_inverse=True)
+                yield p, words[here], *place.astype("<u4").reshape(3, -1), doc[at]
+
+    return n, rows()
+
+
+def _learn(limit: int, dealer: _Parts):
+    """The distinct trigrams of slices of trusted documents with their counts, by part."""
 
-    def run(rows):
-        for pdf in rows:
-            for row in pdf.itertuples():
-                s, out = _Slice(row, rounds), []
-                found, trusted = s.trigrams(r), np.zeros(len(s.n), dtype=bool)
-                if row.trusted is not None:
-                    trusted[np.asarray(row.trusted, dtype=np.int64)] = True
-                for half in (0, 1):
-                    u, v, w, _ = _of(found, trusted & (s.half == half), half)
-                    if len(u):
-                        _, first, c = np.unique(entry_key(3, u, v, w), return_index=True, return_counts=True)
-                        u, v, w = u[first], v[first], w[first]
-                        part = _range_of(entry_key(2, u, v), parts)
-                        order = np.lexsort((u, v, part))
-                        u, v, w, c, part = u[order], v[order], w[order], c[order], part[order]
-                        for p in np.unique(part):
-                            x = slice(*np.searchsorted(part, [p, p + 1]))
-                            new = np.flatnonzero(np.r_[True, (np.diff(u[x]) != 0) | (np.diff(v[x]) != 0)])
-                            out.append((int(p) + half * parts, -1, *map(_packed, (u[x][new], v[x][new], np.diff(np.r_[new, x.stop - x.start]), w[x], c[x]))))
-                    u, v, w, _ = _of(found, s.half != half, half)
-                    (key, cuts, *_), (context, ends, *_), _ = _looked_up(u, v, w, parts)
-                    out += [(p + half * parts, row.slice, _packed(key[cuts[p] : cuts[p + 1]]), _packed(context[ends[p] : ends[p + 1]]), None, None, None) for p in range(parts) if ends[p] < ends[p + 1]]
-                yield pd.DataFrame(out, columns=["part", "slice", *"abcde"])
+    def run(batches):
+        for _, texts, halves, *_ in _slices(batches, limit):
+            out = []
+            for p, words, u, v, w, _ in _dealt(texts, halves, dealer)[1]:
+                key, c = np.unique((v.astype("<i8") * len(words) + w) * len(words) + u, return_counts=True)
+                key, u = np.divmod(key, len(words))
+                v, w = np.divmod(key, len(words))
+                out.append((p, _packed(words), *(_packed(x.astype("<u4")) for x in (u, v, w, c))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64(), *[pa.binary()] * 5])], names=["part", *"abcde"])
 
     return run
 
 
-def _ask_two(r: int, rounds: int, parts: int):
-    def run(rows):
-        for pdf in rows:
-            for row in pdf.itertuples():
-                s, out = _Slice(row, rounds), []
-                found = s.trigrams(r)
-                for half in (0, 1):
-                    _, v, w, _ = _of(found, s.half != half, half)
-                    key = np.unique(entry_key(2, v, w))
-                    cuts = np.searchsorted(_range_of(key, parts), np.arange(parts + 1))
-                    out += [(p + half * parts, row.slice, _packed(key[a:b]), None, None) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                yield pd.DataFrame(out, columns=["part", "slice", *"abc"])
-
-    return run
-
+def _ask(limit: int, dealer: _Parts):
+    """The trigrams of slices of documents by part, and a row that has the documents themselves."""
 
-def _ask_one(parts: int):
-    def run(rows):
-        for pdf in rows:
-            for row in pdf.itertuples():
-                words, out = _unpacked(row.words), []
-                for half in (0, 1):
-                    key = np.sort(_word_key(words + half))
-                    cuts = np.searchsorted(_range_of(key, parts), np.arange(parts + 1))
-                    out += [(p + half * parts, row.slice, _packed(key[a:b]), None) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-                yield pd.DataFrame(out, columns=["part", "slice", *"ab"])
+    def run(batches):
+        for at, texts, halves, ids, langs in _slices(batches, limit):
+            n, rows = _dealt(texts, [1 - x for x in halves], dealer)
+            ids, langs = _one_list(pa.concat_arrays(ids)), _one_list(pa.concat_arrays(langs))
+            none = [pa.array([None], x.type) for x in (ids, langs)]
+            names = ["part", "slice", "doc_id", "lang", *"abcde"]
+            blobs = lambda *x: [pa.array([y], pa.binary()) for y in (*x, *[None] * (5 - len(x)))]
+            yield pa.RecordBatch.from_arrays([pa.array([2 * dealer.parts + at % dealer.parts], pa.int64()), pa.array([at], pa.int64()), ids, langs, *blobs(_packed(np.array(halves, dtype="<u4")), _packed(n))], names=names)
+            for p, words, u, v, w, doc in rows:
+                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                docs, many = doc[first], np.diff(np.r_[first, len(doc)])
+                places = _packed(np.concatenate([u, v, w]))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([at], pa.int64()), *none, *blobs(_packed(words), places, _packed(docs), _packed(many.astype("<u4")))], names=names)
 
     return run
 
 
-def _found(keys: np.ndarray, columns, asked: np.ndarray) -> bytes:
-    """For each key asked for its numbers, one column after the other; 0 for what is absent."""
-    if not len(keys):
-        return _packed(np.zeros(len(asked) * len(columns), dtype="<i8"))
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    there = keys[at] == asked
-    return _packed(np.concatenate([np.where(there, x[at], 0) for x in columns]).astype("<i8"))
+def _summed(inverse: np.ndarray, values: np.ndarray, size: int = 0) -> np.ndarray:
+    return np.bincount(inverse, weights=values, minlength=size).astype(np.int64)
 
 
-def _summed(inverse: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.bincount(inverse, weights=values).astype(np.int64)
+def _rows(found: list) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["kind", "part", "source", *"abcdef", "numbers"])
 
 
-def _held_numbers(key: np.ndarray, c: np.ndarray):
-    """Keys; their sums of counts, and of how many n-grams the count is 1, 2, or more."""
-    key, inverse = np.unique(key, return_inverse=True)
-    return key, [_summed(inverse, x) for x in (c, c == 1, c == 2, c >= 3)]
+FOUND = "kind int, part long, source long, a binary, b binary, c binary, d binary, e binary, f binary, numbers array<long>"
+MODEL, WORDS, PAIRS, STATISTICS, ANSWER = range(5)
 
 
-def _rows(found: list) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=["kind", "part", "slice", *"abc", "numbers"])
+def _by_count(c: np.ndarray) -> list[int]:
+    return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
-FOUND = "kind int, part long, slice long, a binary, b binary, c binary, numbers array<long>"
-ANSWER, STATISTICS, PASSED = 0, 1, 2
+def _statistics(level: int, half: int, numbers: list[int]) -> tuple:
+    return STATISTICS, half, level, *[None] * 6, numbers
 
 
-def _by_count(c: np.ndarray) -> list[int]:
-    return [int((c == i).sum()) for i in (1, 2, 3, 4)]
+def _to_words(source: int, words: np.ndarray, n: np.ndarray, half: int, parts: int):
+    """The rows that ask the parts of words for their numbers of words before; n: what to add to them."""
+    part = part_of(_word_key(words), parts)
+    for p in np.unique(part):
+        yield WORDS, int(p) + half * parts, source, _packed(words[part == p]), _packed(n[part == p].astype("<u4")), *[None] * 4, None
 
 
-def _three(parts: int):
-    """Counts the trigrams of a part, answers, and passes on pairs with their numbers of words before."""
+def _three(dealer: _Parts):
+    """Counts the trigrams of a part: a model of places in its words, by pair. Pairs of frequent middle words are passed on."""
 
     def run(pdf):
-        half, own, asks = int(pdf["part"].iloc[0]) // parts, pdf[pdf["slice"] < 0], pdf[pdf["slice"] >= 0]
-        many = _joined(own["c"])
-        u, v, w = np.repeat(_joined(own["a"]), many), np.repeat(_joined(own["b"]), many), _joined(own["d"])
-        keys, first, inverse = np.unique(entry_key(3, u, v, w), return_index=True, return_inverse=True)
-        c = _summed(inverse, _joined(own["e"]))
-        u, v, w = u[first], v[first], w[first]
-        contexts, held = _held_numbers(entry_key(2, u, v), c)
-        out = [(ANSWER, p, s, _found(keys, [c], _unpacked(a, "<u8")), _found(contexts, held, _unpacked(b, "<u8")), None, None) for p, s, a, b in zip(asks["part"], asks["slice"], asks["a"], asks["b"])]
-        if len(keys):
-            pairs, first, n = np.unique(entry_key(2, v, w), return_index=True, return_counts=True)
-            v, w, part = v[first], w[first], _range_of(pairs, parts)
-            order = np.lexsort((v, part))
-            v, w, n, part = v[order], w[order], n[order], part[order]
-            for p in np.unique(part):
-                x = slice(*np.searchsorted(part, [p, p + 1]))
-                out.append((PASSED, int(p) + half * parts, -1, _packed(v[x]), _packed(w[x]), _packed(n[x]), None))
-        return _rows([*out, (STATISTICS, half, -1, None, None, None, _by_count(c))])
+        at, parts = int(pdf["part"].iloc[0]), dealer.parts
+        half, lists = at // parts, [_unpacked(x) for x in pdf["a"]]
+        words = np.unique(np.concatenate(lists))
+        n, places, counts = len(words), [], []
+        for x, *cols in zip(lists, *(pdf[k] for k in "bcde")):
+            place = np.searchsorted(words, x)
+            u, v, w, c = (_unpacked(y, "<u4") for y in cols)
+            places.append((place[u], place[v] * n + place[w]))
+            counts.append(c)
+        pairs, pair = np.unique(np.concatenate([x for _, x in places]), return_inverse=True)
+        keys, inverse = np.unique(pair * n + np.concatenate([x for x, _ in places]), return_inverse=True)
+        c = _summed(inverse, np.concatenate(counts))
+        pair, u = np.divmod(keys, n)
+        v, w = np.divmod(pairs, n)
+        many = np.bincount(pair, minlength=len(pairs))
+        passed = dealer.frequent(words)[v] > 1
+        out = [(MODEL, at, -1, _packed(words), *(_packed(x.astype("<u4")) for x in (v, w, many, u, c)), None), _statistics(3, half, _by_count(c)), _statistics(2, half, _by_count(many[~passed]))]
+        known = np.zeros(n, dtype=bool)
+        known[v] = known[w] = True
+        out += _to_words(at, words[known], np.bincount(w[~passed], minlength=n)[known], half, parts)
+        v, w, many = words[v[passed]], words[w[passed]], many[passed]
+        bucket = part_of(entry_key(2, v, w), parts)
+        for p in np.unique(bucket):
+            x = bucket == p
+            out.append((PAIRS, int(p) + half * parts, -1, _packed(v[x]), _packed(w[x]), _packed(many[x]), *[None] * 3, None))
+        return _rows(out)
 
     return run
 
 
 def _two(parts: int):
-    """Sums up the pairs of a part, answers, and passes on words: the numbers of them as contexts, and their distinct words before."""
+    """Sums up passed pairs, and asks for their words' numbers as the part 2 * parts further on."""
 
     def run(pdf):
-        half, own, asks = int(pdf["part"].iloc[0]) // parts, pdf[pdf["slice"] < 0], pdf[pdf["slice"] >= 0]
-        v, w = _joined(own["a"]), _joined(own["b"])
-        keys, first, inverse = np.unique(entry_key(2, v, w), return_index=True, return_inverse=True)
-        c = _summed(inverse, _joined(own["c"]))
-        out = [(ANSWER, p, s, _found(keys, [c], _unpacked(a, "<u8")), None, None, None) for p, s, a in zip(asks["part"], asks["slice"], asks["a"])]
-        if len(keys):
-            before, held = _held_numbers(v[first], c)
-            after, n = np.unique(w[first], return_counts=True)
-            words, numbers = np.r_[before, after], np.zeros((5, len(before) + len(after)), dtype="<i8")
-            numbers[:4, : len(before)], numbers[4, len(before) :] = held, n
-            part = _range_of(_word_key(words), parts)
-            for p in np.unique(part):
-                out.append((PASSED, int(p) + half * parts, -1, _packed(words[part == p]), _packed(numbers[:, part == p].ravel()), None, None))
-        return _rows([*out, (STATISTICS, half, -1, None, None, None, _by_count(c))])
+        at = int(pdf["part"].iloc[0])
+        v, w = _joined(pdf["a"]), _joined(pdf["b"])
+        words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
+        v, w = place.reshape(2, -1)
+        pairs, inverse = np.unique(v * len(words) + w, return_inverse=True)
+        c = _summed(inverse, _joined(pdf["c"]))
+        v, w = np.divmod(pairs, len(words))
+        out = [(PAIRS, at + 2 * parts, -1, _packed(words), *(_packed(x.astype("<u4")) for x in (v, w, c)), None, None, None), _statistics(2, at // parts, _by_count(c))]
+        return _rows([*out, *_to_words(at + 2 * parts, words, np.bincount(w, minlength=len(words)), at // parts, parts)])
 
     return run
 
 
 def _one(parts: int):
-    """Sums up the words of a part; answers, or passes them on if nothing is asked yet."""
+    """Sums up the words of a part and answers those that asked."""
 
     def run(pdf):
-        p = int(pdf["part"].iloc[0])
-        half, own, asks = p // parts, pdf[pdf["slice"] < 0], pdf[pdf["slice"] >= 0]
-        words = _joined(own["a"])
-        keys, first, inverse = np.unique(_word_key(words), return_index=True, return_inverse=True)
-        words = words[first]
-        numbers = np.concatenate([_unpacked(x).reshape(5, -1) for x in own["b"]] or [np.zeros((5, 0), dtype="<i8")], axis=1)
-        numbers = [_summed(inverse, x) for x in numbers]
-        out = [(ANSWER, p, s, _found(keys, numbers, _unpacked(a, "<u8")), None, None, None) for p, s, a in zip(asks["part"], asks["slice"], asks["a"])]
-        c = numbers[4]
-        if not len(asks):
-            return _rows([(PASSED, p, -1, _packed(words), _packed(np.concatenate(numbers)), None, None)])
-        return _rows([*out, (STATISTICS, half, -1, None, None, None, [*_by_count(c), int(c.sum()), int((c > 0).sum()), int((c >= 3).sum())])])
+        at, lists = int(pdf["part"].iloc[0]), [_unpacked(x) for x in pdf["a"]]
+        words, place = np.unique(np.concatenate(lists), return_inverse=True)
+        c = _summed(place, _joined(pdf["b"], "<u4"))
+        ends = np.cumsum([len(x) for x in lists])
+        out = [(ANSWER, s, at, _packed(c[place[e - len(x) : e]].astype("<u4")), *[None] * 5, None) for s, x, e in zip(pdf["source"], lists, ends)]
+        return _rows([*out, _statistics(1, at // parts, [*_by_count(c), int(c.sum()), int((c > 0).sum()), int((c >= 3).sum()), int(c[words == END].sum())])])
+
+    return run
+
+
+def _numbers_of(words: np.ndarray, answers: dict[int, bytes], parts: int) -> np.ndarray:
+    """The answers for words, from each part of words in turn."""
+    out = np.zeros(len(words), dtype="<i8")
+    out[np.argsort(part_of(_word_key(words), parts), kind="stable")] = _joined([answers[p] for p in sorted(answers)], "<u4")
+    return out
+
+
+def _returned(dealer: _Parts):
+    """Passed pairs with all numbers, to each part of their first word."""
+
+    def run(pdf, answers):
+        if not len(pdf):
+            return _rows([])
+        parts, row, out = dealer.parts, next(pdf.itertuples()), []
+        half, words = row.part // parts - 2, _unpacked(row.a)
+        v, w, c = (_unpacked(x, "<u4") for x in (row.b, row.c, row.d))
+        before = _numbers_of(words, dict(zip(answers["source"], answers["a"])), parts)
+        first, ways = dealer.first(words)[v], dealer.frequent(words)[v]
+        for turn in range(int(ways.max())):
+            to = np.where(ways > turn, (first + turn) % parts, -1)
+            for p in np.unique(to[to >= 0]):
+                x = to == p
+                out.append((PAIRS, int(p) + half * parts, -1, *map(_packed, (words[v[x]], words[w[x]], c[x], before[v[x]].astype("<u4"), before[w[x]].astype("<u4"))), None, None))
+        return _rows(out)
 
     return run
 
 
-def _numbers(found: DataFrame, n: int) -> dict[int, list[int]]:
-    """The sums of the statistics by half."""
-    rows = found.filter(F.col("kind") == STATISTICS).groupBy("part").agg(*[F.sum(F.col("numbers")[i]).alias(f"n{i}") for i in range(n)]).collect()
-    return {r["part"]: list(r)[1:] for r in rows}
+def _numbers(found: DataFrame) -> dict[int, dict[int, list[int]]]:
+    """The sums of the statistics by level and half."""
+    rows = found.filter(F.col("kind") == STATISTICS).groupBy("source", "part").agg(*[F.sum(F.get("numbers", F.lit(i))).alias(f"n{i}") for i in range(8)]).collect()
+    out = {level: {} for level in (1, 2, 3)}
+    for r in rows:
+        out[r["source"]][r["part"]] = [x or 0 for x in list(r)[2:]]
+    return out
 
 
 def _taken_off(counts: list[int]) -> np.ndarray:
-    """D1, D2, D3+ from how many n-grams occur once to four times."""
+    """0, D1, D2, D3+ from how many n-grams occur once to four times."""
     n = [max(1, x) for x in counts[:4]]
     y = n[0] / (n[0] + 2 * n[1])
-    return np.array([min(0.95 * i, max(0.1, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)])
+    return np.array([0.0, *(min(0.95 * i, max(0.1, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3))])
 
 
-def _backed(c, total, held, lower, d):
-    """The interpolated estimate; the lower one where the context is unknown."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (c - np.r_[0.0, d][np.minimum(c, 3)] + (held[0] * d[0] + held[1] * d[1] + held[2] * d[2]) * lower) / total
-    return np.where(total > 0, p, lower)
+def _word_probability(c: np.ndarray, numbers: list[int]) -> np.ndarray:
+    """Of words by their number of words before, which may be 0."""
+    n1, n2, _, _, total, kinds, more, _ = numbers
+    d = _taken_off(numbers)
+    return (c - d[np.minimum(c, 3)]) / total + (n1 * d[1] + n2 * d[2] + more * d[3]) / total / (kinds + 1)
 
 
-def _score(rounds: int, parts: int, statistics):
-    """Sums of log10 probabilities of the documents of a slice from the answers to it."""
+def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where among ascending keys; -1 for what is absent."""
+    if not len(keys):
+        return np.full(len(asked), -1)
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    at[keys[at] != asked] = -1
+    return at
+
+
+def _ascending(held: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending; held is so already."""
+    if not sum(map(len, more)):
+        return held
+    x = np.sort(np.concatenate([held, *more]))
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
+class _Model:
+    """One part's model. As arrays by place in its words, in its pairs and in its contexts of two."""
+
+    def __init__(self, rows: pd.DataFrame, half: int, dealer: _Parts, statistics):
+        d1, d2, d3 = (_taken_off(statistics[i][half]) for i in (1, 2, 3))
+        model, back = rows[rows["kind"] == MODEL], rows[rows["kind"] == PAIRS]
+        none = np.zeros(0, dtype="<i8")
+        own, v, w, many, u, c, before = none, none, none, none, none, none, none
+        if len(model):
+            own = _unpacked(model["a"].iloc[0])
+            v, w, many, u, c = (_unpacked(model[k].iloc[0], "<u4").astype("<i8") for k in "bcdef")
+            known = np.zeros(len(own), dtype=bool)
+            known[v] = known[w] = True
+            asked = rows[rows["kind"] == ANSWER]
+            before = np.zeros(len(own), dtype="<i8")
+            before[known] = _numbers_of(own[known], dict(zip(asked["source"], asked["a"])), dealer.parts)
+        first, second = _joined(back["a"]), _joined(back["b"])
+        self.words = _ascending(own, first, second)
+        n = len(self.words)
+        numbers = np.zeros(n, dtype="<i8")
+        place = np.searchsorted(self.words, own)
+        numbers[place] = before
+        first, second = np.searchsorted(self.words, first), np.searchsorted(self.words, second)
+        numbers[first], numbers[second] = _joined(back["d"], "<u4"), _joined(back["e"], "<u4")
+        self.p1 = _word_probability(numbers, statistics[1][half])
+        self.unseen = _word_probability(np.zeros(1, dtype="<i8"), statistics[1][half])[0]
+        v, w, u = place[v], place[w], place[u]
+        self.pairs = _ascending(v * n + w, first * n + second)
+        c2 = np.zeros(len(self.pairs), dtype="<i8")
+        pair = np.searchsorted(self.pairs, v * n + w)
+        c2[pair] = many
+        c2[np.searchsorted(self.pairs, first * n + second)] = _joined(back["c"], "<u4")
+        start = self.pairs // max(1, n)
+        total, held = np.bincount(start, weights=c2, minlength=n), np.bincount(start, weights=d2[np.minimum(c2, 3)], minlength=n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.g2 = np.where(total > 0, held / total, 1.0)
+        self.a2 = (c2 - d2[np.minimum(c2, 3)]) / total[start] / self.p1[self.pairs % max(1, n)]  # over the probability of the word
+        self.three = np.repeat(pair, many) * n + u
+        del start, place, first, second, pair, own
+        self.contexts, context = np.unique(np.repeat(v, many) * n + u, return_inverse=True)
+        del u, v
+        total, held = np.bincount(context, weights=c), np.bincount(context, weights=d3[np.minimum(c, 3)])
+        self.g3 = held / total
+        self.a3 = (c - d3[np.minimum(c, 3)]) / total[context] / np.repeat(self.p1[w], many)
+
+    def log10(self, words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """For trigrams, as places in words: of p(w | u, v) / p(w) * p(v), that of a start mark being 1."""
+        n, place = len(self.words), _places(self.words, words)
+        known = place >= 0
+        p1, g2 = np.full(len(words), self.unseen), np.ones(len(words))
+        p1[known], g2[known] = self.p1[place[known]], self.g2[place[known]]
+        p1[words == START] = 1.0
+        order = np.argsort(place[v] * n + place[w])  # so that what is looked up lies close together
+        u, v, w = u[order], v[order], w[order]
+        last = p1[v]
+        out, u, v, w = g2[v], place[u], place[v], place[w]
+        at = np.flatnonzero((v >= 0) & (w >= 0))
+        pair = np.full(len(v), -1)
+        pair[at] = _places(self.pairs, v[at] * n + w[at])
+        at = np.flatnonzero(pair >= 0)
+        out[at] += self.a2[pair[at]]
+        at = np.flatnonzero((v >= 0) & (u >= 0))
+        context = _places(self.contexts, v[at] * n + u[at])
+        at, context = at[context >= 0], context[context >= 0]
+        out[at] *= self.g3[context]
+        at = at[pair[at] >= 0]
+        three = _places(self.three, pair[at] * n + u[at])
+        out[at[three >= 0]] += self.a3[three[three >= 0]]
+        last[order] = np.log10(out * last)
+        return last
+
+
+def _score(dealer: _Parts, statistics):
+    """Sums by document of what a part's trigrams add to its score; rows that have the documents themselves pass."""
+
+    def run(asks, model):
+        found = asks.select(["slice", "doc_id", "lang", "a", "b"])
+        if not len(asks) or asks["part"][0].as_py() >= 2 * dealer.parts:
+            return found
+        held, out = _Model(model.to_pandas(), asks["part"][0].as_py() // dealer.parts, dealer, statistics), []
+        for words, places, docs, many in zip(*(asks[k] for k in "abcd")):
+            many = _unpacked(many.as_py(), "<u4")
+            score = held.log10(_unpacked(words.as_py()), *_unpacked(places.as_py(), "<u4").reshape(3, -1))
+            out.append((docs.as_py(), _packed(np.bincount(np.repeat(np.arange(len(many)), many), weights=score))))
+        for i, x in enumerate(zip(*out)):
+            found = found.set_column(3 + i, found.schema.field(3 + i), pa.chunked_array([pa.array(x, pa.binary())]))
+        return found
 
-    def run(pdf, answers):
-        row = next(pdf.itertuples())
-        s, held = _Slice(row, rounds), {(t, r, p): (a, b) for t, r, p, a, b in zip(answers["level"], answers["round"], answers["part"], answers["a"], answers["b"])}
-        sums = np.zeros(len(s.n))
-
-        def answer(level, r, half, cuts, columns, which=0):
-            got = [_unpacked(held[level, r, p + half * parts][which]).reshape(columns, -1) for p in range(parts) if cuts[p] < cuts[p + 1]]
-            return np.concatenate(got or [np.zeros((columns, 0), dtype="<i8")], axis=1)
-
-        by_half = []
-        for half in (0, 1):
-            n1, n2, _, _, total, kinds, more = statistics[0][half]
-            d1, d2, d3 = (_taken_off(x[half]) for x in statistics)
-            floor = (n1 * d1[0] + n2 * d1[1] + more * d1[2]) / total / (kinds + 1)
-            known = np.sort(_word_key(s.words + half))
-            words = answer(1, 0, half, np.searchsorted(_range_of(known, parts), np.arange(parts + 1)), 5)
-            p1 = (words[4] - np.r_[0.0, d1][np.minimum(words[4], 3)]) / total + floor
-            by_half.append((d2, d3, known, words, p1))
-        for r in range(rounds):
-            found = s.trigrams(r)
-            for half, (d2, d3, known, words, p1) in enumerate(by_half):
-                u, v, w, doc = _of(found, s.half != half, half)
-                if not len(u):
-                    continue
-                (_, cuts, three), (_, ends, context), (_, bounds, two) = _looked_up(u, v, w, parts, inverse=True)
-                c3 = np.concatenate([_unpacked(held[3, r, p + half * parts][0]) for p in range(parts) if ends[p] < ends[p + 1]])[three]
-                total3, *held3 = answer(3, r, half, ends, 4, 1)[:, context]
-                c2 = answer(2, r, half, bounds, 1)[0][two]
-                total2, *held2 = words[:4, np.searchsorted(known, _word_key(v))]
-                lower = p1[np.searchsorted(known, _word_key(w))]
-                p3 = _backed(c3, total3, held3, _backed(c2, total2, held2, lower, d2), d3)
-                sums += np.bincount(doc, weights=np.log10(p3), minlength=len(sums))
-        return pd.DataFrame({"slice": [row.slice], "n_tokens": [s.n], "score": [sums]})
+    return run
+
+
+def _added_up(statistics):
+    """A slice's documents with their numbers of tokens and scores."""
+    ends = [float(np.log10(_word_probability(np.array([statistics[1][h][7]]), statistics[1][h])[0])) for h in (0, 1)]
+
+    def run(rows):
+        at = next(i for i, x in enumerate(rows["doc_id"]) if x.is_valid)
+        docs, n = rows.slice(at, 1), _unpacked(rows["b"][at].as_py())
+        score = np.where(_unpacked(docs["a"][0].as_py(), "<u4") == 1, ends[0], ends[1])  # the model is the other half's
+        for i, (a, b) in enumerate(zip(rows["a"], rows["b"])):
+            if i != at:
+                score[_unpacked(a.as_py(), "<u4")] += _unpacked(b.as_py(), "<f8")
+        flat = lambda k: docs[k].combine_chunks().flatten()
+        return pa.table({"doc_id": flat("doc_id"), "lang": flat("lang"), "n_tokens": pa.array(n, pa.int64()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
+def _word_counts(batches):
+    for pdf in batches:
+        many = Counter(w for t in pdf["text"] for w in TOKEN.findall(t.lower()))
+        yield pd.DataFrame({"word": [-1, *map(_word, many)], "n": [sum(many.values()), *many.values()]})
+
+
+def _ways(d: DataFrame, rows: int, parts: int) -> dict[int, int]:
+    """Words that fill more than half a part, by a sample of documents, and how many parts they get. Results do not depend on it, only how evenly the parts fill."""
+    if parts == 1:
+        return {}
+    sample = d.filter(common.hashed("doc_id", "text") <= common.hash_share(min(1.0, SAMPLE / rows))).select(F.substring("text", 1, 10_000).alias("text"))
+    counts = sample.mapInPandas(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(2 * parts + 1).collect()}
+    total = found.pop(-1, 0)
+    return {w: min(parts, -(-2 * n * parts // total)) for w, n in found.items() if 2 * n * parts > total}
+
+
+def _settled(spark) -> None:
+    """Waits until the last job's events are through and hold its plan no more, so that its shuffle files can go."""
+    for _ in range(2):
+        common.release_shuffles(spark)
+        time.sleep(1)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, lang, n_tokens, perplexity, threshold, kept."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").withColumn("half", (common.hashed("doc_id") % 2).cast("int"))
-    kind = d.schema["doc_id"].dataType.simpleString()
-    size = d.agg(F.sum(F.length("text") + 100)).first()[0] or 0
-    parts, rounds = 1 + size // (8 * SLICE), min(ROUNDS, 1 + size // SLICE)
-    saved = common.written(d.mapInArrow(_save(SLICE), f"slice long, doc_id array<{kind}>, lang array<string>, half binary, n binary, words binary, tokens binary"), "kn-tokens")
-    listed = saved.select("slice", F.posexplode("doc_id").alias("at", "doc_id")).join(good, "doc_id", "left_semi")
-    flags = common.written(listed.groupBy("slice").agg(F.collect_list("at").alias("trusted")), "kn-trusted")
-    tokens = saved.select("slice", "half", "n", "words", "tokens").join(F.broadcast(flags), "slice", "left")  # 4 bytes a trusted document
-    kept, words = [], None
-
-    def keep(found, level, r):
-        kept.append(common.written(found.filter(F.col("kind") != PASSED).select(F.lit(level).alias("level"), F.lit(r).alias("round"), "kind", "part", "slice", "a", "b", "numbers"), f"kn-answers-{level}"))
-
-    for r in range(rounds):
-        asks = tokens.mapInPandas(_ask_three(r, rounds, parts), "part long, slice long, a binary, b binary, c binary, d binary, e binary")
-        three = common.written(asks.groupBy("part").applyInPandas(_three(parts), FOUND), "kn-3")
-        asks = saved.mapInPandas(_ask_two(r, rounds, parts), "part long, slice long, a binary, b binary, c binary").unionByName(three.filter(F.col("kind") == PASSED).select("part", "slice", "a", "b", "c"))
-        keep(three, 3, r)
-        common.release_shuffles(d.sparkSession)
-        two = common.written(asks.groupBy("part").applyInPandas(_two(parts), FOUND), "kn-2")
-        keep(two, 2, r)
-        common.drop_written(three)
-        new = two.filter(F.col("kind") == PASSED).select("part", "slice", "a", "b")
-        before, words = words, common.written((new if words is None else new.unionByName(words)).groupBy("part").applyInPandas(_one(parts), FOUND).select("part", "slice", "a", "b"), "kn-1")
-        common.drop_written(two, *[before] * (before is not None))
-        common.release_shuffles(d.sparkSession)
-    asks = saved.mapInPandas(_ask_one(parts), "part long, slice long, a binary, b binary").unionByName(words)
-    keep(asks.groupBy("part").applyInPandas(_one(parts), FOUND), 1, 0)
-    common.drop_written(words)
-    found = reduce(DataFrame.unionByName, kept)
-    statistics = [_numbers(found.filter(F.col("level") == i), 7 if i == 1 else 4) for i in (1, 2, 3)]
-    if any(statistics[0].get(half, [0] * 5)[4] == 0 for half in (0, 1)):
+    hashed = common.hashed("doc_id")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), (hashed % 2).cast("int").alias("half"), (F.shiftright(hashed, 1) % GROUPS).alias("g"))
+    kind, spark = d.schema["doc_id"].dataType.simpleString(), d.sparkSession
+    rows, size = d.agg(F.count("*"), F.sum(F.length("text") + 100)).first()
+    parts = 1 + (size or 0) // (PART * SLICE)
+    dealer = _Parts(parts, _ways(d, rows, parts))
+    asks = d.join(F.broadcast(good), "doc_id", "left_semi").select("text", "half").mapInArrow(_learn(SLICE, dealer), "part long, a binary, b binary, c binary, d binary, e binary")
+    three = common.written(asks.groupBy("part").applyInPandas(_three(dealer), FOUND), "kn-3")
+    common.release_shuffles(spark)
+    of = lambda df, kind: df.filter(F.col("kind") == kind)
+    two = common.written(of(three, PAIRS).groupBy("part").applyInPandas(_two(parts), FOUND), "kn-2")
+    one = common.written(of(three.unionByName(two), WORDS).groupBy("part").applyInPandas(_one(parts), FOUND), "kn-1")
+    back = common.written(of(two, PAIRS).groupBy("part").cogroup(of(one, ANSWER).filter(F.col("part") >= 2 * parts).groupBy("part")).applyInPandas(_returned(dealer), FOUND), "kn-pairs")
+    statistics = _numbers(reduce(DataFrame.unionByName, (three, two, one)))
+    if any(statistics[1].get(half, [0] * 5)[4] == 0 for half in (0, 1)):
+        common.drop_written(three, two, one, back)
         return d.select("doc_id", "lang", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    answers, summed = found.filter(F.col("kind") == ANSWER).drop("kind", "numbers"), []
+    common.drop_written(two)
+    model = of(three, MODEL).unionByName(of(one, ANSWER).filter(F.col("part") < 2 * parts)).unionByName(back)
+    summed, columns = [], f"slice long, doc_id array<{kind}>, lang array<string>, a binary, b binary"
     for g in range(GROUPS):
-        of = F.pmod(F.xxhash64("slice"), F.lit(GROUPS)) == g
-        asked = saved.filter(of).select("slice", "half", "n", "words", "tokens").groupBy("slice")
-        summed.append(common.written(asked.cogroup(answers.filter(of).groupBy("slice")).applyInPandas(_score(rounds, parts, statistics), "slice long, n_tokens array<long>, score array<double>"), "kn-sums"))
-        common.release_shuffles(d.sparkSession)
-    scored = saved.select("slice", "doc_id", "lang").join(reduce(DataFrame.unionByName, summed), "slice").select(F.explode(F.arrays_zip("doc_id", "lang", "n_tokens", "score")).alias("x")).select("x.*")
-    scored = common.written(scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))), "kn-scores")
-    common.drop_written(saved, flags, *kept, *summed)
+        _settled(spark)
+        asks = d.filter(F.col("g") == g).select("doc_id", "text", "lang", "half").mapInArrow(_ask(SLICE, dealer), f"part long, {columns}, c binary, d binary, e binary")
+        parted = asks.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_score(dealer, statistics), columns)
+        summed.append(common.written(parted.groupBy("slice").applyInArrow(_added_up(statistics), f"doc_id {kind}, lang string, n_tokens long, score double"), "kn-sums"))
+    common.release_shuffles(spark)
+    common.drop_written(three, one, back)
+    scored = reduce(DataFrame.unionByName, summed).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     trusted = scored.join(good, "doc_id", "left_semi")
     quantile = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000))
     overall = trusted.agg(quantile.alias("q")).first()["q"]

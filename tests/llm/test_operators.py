@@ -502,6 +502,35 @@ def test_kneser_ney_learns_from_all_trusted_documents(spark, monkeypatch):
     assert got[0]["threshold"] == pytest.approx(bound, rel=1e-2)
 
 
+def test_kneser_ney_splits_frequent_words(spark, monkeypatch):
+    """Many parts, a word that fills several of them, and few bytes in the shared folder: the scores of the plain model."""
+    monkeypatch.setattr(kneser_ney, "SLICE", 20_000)
+    folder, sizes, write = pathlib.Path(common.shared_dir(spark).removeprefix("file://")), [], common.written
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before, rng = held(), random.Random(13)
+
+    def written(*args):
+        out = write(*args)
+        sizes.append(held() - before)
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    rows = [(i, " ".join(rng.choice([".", f"w{int(rng.paretovariate(0.8)) % 3000}"]) for _ in range(400))) for i in range(1000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows)
+    got = {r["doc_id"]: r for r in kneser_ney.judged(table, labels).collect()}
+    assert max(sizes) < 0.3 * sum(len(t) for _, t in rows)
+    monkeypatch.setattr(common, "written", write)
+    half = {r["doc_id"]: r["h"] for r in table.select("doc_id", (common.hashed("doc_id") % 2).alias("h")).collect()}
+    for h in (0, 1):
+        keys, values, unseen = kneser_ney.train(spark.createDataFrame([(t,) for i, t in rows[:100] if half[i] != h], "text string"))
+        asked = [(i, t) for i, t in rows if half[i] == h]
+        for (i, _), s, k in zip(asked, *kneser_ney.log10_scores([t for _, t in asked], kneser_ney.Table(keys, values), unseen)):
+            assert got[i]["n_tokens"] == k and got[i]["perplexity"] == pytest.approx(10 ** (-s / k), rel=1e-4)
+    size = sum(len(t) + 100 for _, t in rows)
+    assert kneser_ney._ways(table, len(rows), 1 + size // (kneser_ney.PART * kneser_ney.SLICE))[kneser_ney._word(".")] > 2
+
+
 def test_kneser_ney_keeps_little_on_disk(spark, monkeypatch):
     """What is in the shared folder at once stays below the size of the texts."""
     monkeypatch.setattr(kneser_ney, "SLICE", 1_000_000)
