@@ -122,21 +122,25 @@ def evidence_hash(evidence: DataFrame, key: str, item: str) -> DataFrame:
 def packed(items: DataFrame, key: str, budget: int) -> DataFrame:
     """items: key, place, size (bytes). Greedy packs in order: brackets and commas count, an item over the budget is alone.
 
-    A key's items are the evidence of one file, a bounded list.
+    A key's items are the evidence of one file, a bounded list. Items without a place come last; of items at one place the smaller comes first.
+    An item of unknown size leaves its own pack (unless it is the first) and all later ones unknown.
     """
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("pack"), F.lit(2).cast("long").alias("held"), F.expr("cast(array() as array<struct<place: bigint, pack: bigint>>)").alias("out"))
+    placed = "array<struct<place: bigint, pack: bigint>>"
+    start = F.struct(F.lit(0).alias("pack"), F.lit(1).alias("held"), F.array().cast(placed).alias("out")).cast(f"struct<pack: bigint, held: bigint, out: {placed}>")
 
     def add(acc, x):
-        grown = acc["held"] + x["size"] + F.when(acc["held"] > 2, 1).otherwise(0)
-        full = (acc["held"] > 2) & (grown > budget)
-        pack = acc["pack"] + F.when(full, 1).otherwise(0)
+        grown = acc["held"] + x["size"] + 1  # its comma; the first item has none, so an empty list holds 1
+        full = (F.size(acc["out"]) > 0) & (grown > budget)
+        pack = acc["pack"] + full.cast("long")
         placed = F.struct(x["place"].alias("place"), pack.alias("pack"))
         return F.struct(pack.alias("pack"), F.when(full, x["size"] + 2).otherwise(grown).alias("held"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
     item = F.struct(F.col("place").cast("long").alias("place"), F.col("size").cast("long").alias("size"))
     lists = items.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return lists.select(key, F.inline(F.aggregate("items", start, add)["out"]))
+    nowhere = lambda x: x["place"].isNull()
+    last = F.concat(F.filter("items", lambda x: ~nowhere(x)), F.filter("items", nowhere))
+    ordered = F.when(nowhere(F.get("items", 0)), last).otherwise(F.col("items"))  # nulls come first in sorted arrays
+    return lists.select(key, F.inline(F.aggregate(ordered, start, add)["out"]))
 
 
 def swept(runs: DataFrame, now: Column, hours: int) -> DataFrame:

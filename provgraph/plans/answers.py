@@ -266,7 +266,7 @@ def evidence_hash(spark, d):
 r AS (SELECT l_orderkey, place, k, 0 AS pack, 2 + size AS held FROM i WHERE k = 1 UNION ALL
 SELECT i.l_orderkey, i.place, i.k, r.pack + CAST(r.held + size + 1 > 60 AS INTEGER), CASE WHEN r.held + size + 1 > 60 THEN 2 + size ELSE r.held + size + 1 END FROM r JOIN i ON i.l_orderkey = r.l_orderkey AND i.k = r.k + 1) SELECT l_orderkey, place, CAST(pack AS BIGINT) AS pack FROM r""", graph=False)
 def evidence_packs(spark, d):
-    li = load(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("place"), F.col("l_quantity").cast("long").alias("size"))
+    li = load(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("place"), F.rint("l_quantity").cast("long").alias("size"))
     return publication.packed(li, "l_orderkey", 60)
 
 
