@@ -89,10 +89,11 @@ def receipt_checks(spark, d):
         utc(later(1)).alias("coverage_sealed_at"), counts.alias("counts"), F.lit(True).alias("atomic"),
     ))
     status = F.when(F.col("o_orderstatus") == "P", "published").otherwise("completed")
-    runs = load(spark, d, "orders").select(
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate").repartition("o_orderkey")  # receipts are made and checked where they are joined
+    runs = orders.select(
         k.alias("run_id"), F.lit("p").alias("project_id"), status.alias("status"), pick(5, F.lit("odd"), F.lit("full")).alias("scope"), at.alias("started_at"),
         F.when(F.col("o_orderstatus") == "F", later(3)).alias("completed_at"), k.alias("base_generation"), pick(3, F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("sources"),
         pick(11, later(5), later(1)).alias("sealed_at"), receipt.alias("receipt"),
     )
-    heads = load(spark, d, "orders").filter(k % 2 == 0).select(k.alias("head_id"), F.lit("p").alias("head_project"), pick(4, F.lit("needs_rebuild"), F.lit("ready")).alias("state"), (k + 1).alias("head_generation"), later(2).alias("head_published_at"))
+    heads = orders.filter(k % 2 == 0).select(k.alias("head_id"), F.lit("p").alias("head_project"), pick(4, F.lit("needs_rebuild"), F.lit("ready")).alias("state"), (k + 1).alias("head_generation"), later(2).alias("head_published_at"))
     return receipts.faults(runs, heads, "v1").select("run_id", "fault", F.size("faults").alias("n"))
