@@ -15,9 +15,6 @@ COUNTS = (
 )
 READY = "ready"
 
-#: How a variant's type is written that has all counts and nothing else, whole numbers all.
-_COUNTED = f"OBJECT<{', '.join(f'{n}: BIGINT' for n in sorted(COUNTS))}>"
-
 _UTC = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|\+00:00)$"
 
 
@@ -56,29 +53,30 @@ def faults(runs: DataFrame, heads: DataFrame, contract: str) -> DataFrame:
     text = lambda name: F.when(_is_text(c(name)), F.try_variant_get(c(name), "$", "string"))
     known = ["run_id", "project_id", "status", "scope", "started_at", "completed_at", "base_generation", "sources", "sealed_at"]
     parsed = runs.select(*known, F.try_variant_get(F.try_parse_json("receipt"), "$", "map<string,variant>").alias("receipt"))
-    fields = parsed.select(*known, "receipt", *[F.try_element_at("receipt", F.lit(name)).alias(f"r_{name}") for name in FIELDS])
-    texts = fields.select("*", *[text(f"r_{name}").alias(f"t_{name}") for name in ("published_at", "coverage_sealed_at")])
+    fields = parsed.select(
+        *known, c("receipt").isNotNull().alias("has_receipt"), (_keys("receipt") == _named(FIELDS)).alias("shape"), *[F.try_element_at("receipt", F.lit(name)).alias(f"r_{name}") for name in FIELDS]
+    )
+    typed = fields.select(
+        *known, "has_receipt", "shape", F.array_sort(F.array_distinct("sources")).alias("canonical"), text("r_contract_version").alias("version"), (F.schema_of_variant("r_atomic") == "BOOLEAN").alias("is_flag"),
+        F.try_variant_get("r_atomic", "$", "boolean").alias("atomic"), _whole(c("r_generation")).alias("generation"), _whole(c("r_base_generation")).alias("base"), text("r_coverage_sealed_at").alias("sealed_text"),
+        text("r_published_at").alias("published_text"), F.try_variant_get("r_authoritative_sources", "$", "array<string>").alias("named"), F.try_variant_get("r_counts", "$", "map<string,variant>").alias("counts"),
+    )
     moment = lambda name: F.when(c(name).rlike(_UTC), c(name).try_cast("timestamp"))
-    r = texts.select(
-        *known, F.array_sort(F.array_distinct("sources")).alias("canonical"), "r_contract_version", "r_atomic", F.try_variant_get("r_atomic", "$", "boolean").alias("atomic"),
-        "receipt", _whole(c("r_generation")).alias("generation"), _whole(c("r_base_generation")).alias("base"),
-        F.try_variant_get("r_authoritative_sources", "$", "array<string>").alias("named"), moment("t_coverage_sealed_at").alias("sealed"), moment("t_published_at").alias("published"),
-        "r_counts", F.coalesce(F.schema_of_variant("r_counts") == _COUNTED, F.lit(False)).alias("counted"),
+    r = typed.select(
+        *known, "has_receipt", "shape", "canonical", "version", "is_flag", "atomic", "generation", "base", "named", moment("sealed_text").alias("sealed"), moment("published_text").alias("published"),
+        (_keys("counts") == _named(COUNTS)).alias("counts_shape"), F.transform(F.map_values("counts"), _whole).alias("numbers"),
     )
-    r = r.withColumn("counts", F.when(~c("counted"), F.try_variant_get("r_counts", "$", "map<string,variant>")))  # seldom; most counts are as they should be
-    numbers = F.transform(F.map_values("counts"), _whole)
-    r = r.withColumn("numbers", F.when(c("counted"), F.map_values(F.try_variant_get("r_counts", "$", "map<string,bigint>"))).otherwise(numbers))
     sealed, published, done = c("sealed"), c("published"), c("status") != "published"
     checks = [
         ("status", c("status").isin(*PUBLISHED)), ("scope", c("scope").isin(*SCOPES)), ("started_at", c("started_at").isNotNull()),
-        ("receipt", c("receipt").isNotNull()), ("contract_version", text("r_contract_version") == contract),
-        ("atomic", F.schema_of_variant("r_atomic") == "BOOLEAN"), ("atomic_true", c("atomic")),
+        ("receipt", c("has_receipt")), ("contract_version", c("version") == contract),
+        ("atomic", c("is_flag")), ("atomic_true", c("atomic")),
         ("base_generation", c("base_generation") >= 0), ("base_mismatch", c("base") == c("base_generation")), ("generation", c("generation") == c("base_generation") + 1),
         ("sources_missing", F.forall("sources", lambda s: s.isNotNull() & (F.trim(s) != ""))), ("sources_order", c("sources") == c("canonical")), ("sources_mismatch", c("named") == c("canonical")),
         ("seal_missing", c("sealed_at").isNotNull()), ("seal_timestamp", sealed.isNotNull()), ("seal_mismatch", sealed == c("sealed_at")), ("seal_before_start", c("started_at") <= sealed),
         ("publication_timestamp", published.isNotNull()), ("publication_before_seal", sealed <= published),
-        ("counts", c("counted") | c("counts").isNotNull()), ("counts_shape", c("counted") | (_keys("counts") == _named(COUNTS))), ("counts_whole", c("counted") | F.forall("numbers", lambda n: n.isNotNull())), ("counts_negative", F.forall("numbers", lambda n: n >= 0)),
-        ("shape", _keys("receipt") == _named(FIELDS)),
+        ("counts", c("numbers").isNotNull()), ("counts_shape", c("counts_shape")), ("counts_whole", F.forall("numbers", lambda n: n.isNotNull())), ("counts_negative", F.forall("numbers", lambda n: n >= 0)),
+        ("shape", c("shape")),
         ("completed_early", done | c("completed_at").isNull()), ("completed_missing", ~done | c("completed_at").isNotNull()), ("completed_before_publication", ~done | (c("completed_at") >= published)),
     ]
     judged = r.select("run_id", "project_id", "generation", "published", _failed(checks).alias("own"))
